@@ -10,9 +10,15 @@ from importlib import import_module
 #: Operator modules by number.
 MODULES = {
     1: "decontaminate",
+    2: "sorted_table",
     3: "shard_lookup",
+    4: "best_fit",
+    5: "near_dedup",
     6: "line_dedup",
+    7: "fingerprints",
+    8: "toxicity",
     9: "chat_format",
+    10: "language_id",
 }
 
 
