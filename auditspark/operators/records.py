@@ -8,31 +8,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge_attempts(log: DataFrame, key: str, ordinal: str, ok: Column, payload: Sequence[str]) -> DataFrame:
-    """One record per key of an append-only log: a success beats a failure, else the first stays.
+def compact_attempts(log: DataFrame, key: str, ordinal: str, ok: Column, payload: Sequence[str]) -> DataFrame:
+    """(key, ok, p, n, first): how often each outcome occurred for a key, and where first. Compacted logs can be put
+    together and compacted again (recompact), which is what an incremental merge keeps as its state."""
+    rows = log.select(key, ok.alias("ok"), F.struct(*payload).alias("p"), F.col(ordinal).alias("first"), F.lit(1).cast("long").alias("n"))
+    return recompact(rows, key)
+
+
+def recompact(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key, "ok", "p").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
 
-    (key, the kept record's ordinal and payload, kept_ok, attempts, failures, duplicates, disagreements: later
-    successes whose payload differs from the kept one's). Null-safe; keys may be null. The kept record is a
-    minimum, so partial results are combined before the shuffle and a hot key does no harm.
+def resolve_attempts(compacted: DataFrame, key: str, ordinal: str) -> DataFrame:
+    """One record per key: a success beats a failure, else the first stays.
+
+    (key, the kept record's ordinal, kept_ok, the payload's columns, attempts, failures, duplicates, disagreements:
+    successes whose payload differs from a kept success). Keys may be null. Sums and a minimum only, so a hot key's
+    rows are combined before the shuffle.
     """
-    rows = log.select(key, F.col(ordinal).alias("_o"), ok.alias("_ok"), F.struct(*payload).alias("_p")).withColumn("_h", F.xxhash64(F.to_json("_p")))
-    first = F.min(F.struct((~F.col("_ok")).alias("bad"), F.col("_o").alias("o"), F.col("_p").alias("p"), F.col("_h").alias("h")))
-    kept = rows.groupBy(key).agg(first.alias("k"), F.count("*").alias("attempts"), F.count_if(~F.col("_ok")).alias("failures"), F.count_if("_ok").alias("successes"))
-    same = rows.filter("_ok").groupBy(key, "_h").agg(F.count("*").alias("n"))
-    agree = same.join(kept.select(F.col(key).alias("_k"), F.col("k.h").alias("_kh")), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_kh"))).select(F.col("_k").alias("_a"), F.col("n").alias("agreeing"))
-    out = kept.join(agree, F.col(key).eqNullSafe(F.col("_a")), "left")
-    return out.select(
+    best = F.min(F.struct((~F.col("ok")).alias("bad"), "first", "p", "n"))
+    kept = compacted.groupBy(key).agg(best.alias("k"), F.sum("n").alias("attempts"), F.coalesce(F.sum(F.when(~F.col("ok"), F.col("n"))), F.lit(0)).alias("failures"))
+    return kept.select(
         key,
-        F.col("k.o").alias(ordinal),
+        F.col("k.first").alias(ordinal),
         (~F.col("k.bad")).alias("kept_ok"),
-        *[F.col(f"k.p.{c}").alias(c) for c in payload],
+        "k.p.*",
         "attempts",
         "failures",
         (F.col("attempts") - 1).alias("duplicates"),
-        F.when(F.col("k.bad"), 0).otherwise(F.col("successes") - F.coalesce("agreeing", F.lit(0))).cast("long").alias("disagreements"),
+        F.when(F.col("k.bad"), 0).otherwise(F.col("attempts") - F.col("failures") - F.col("k.n")).cast("long").alias("disagreements"),
     )
 
 
+def merge_attempts(log: DataFrame, key: str, ordinal: str, ok: Column, payload: Sequence[str]) -> DataFrame:
+    """One record per key of an append-only log; see resolve_attempts."""
+    return resolve_attempts(compact_attempts(log, key, ordinal, ok, payload), key, ordinal)
+
+
 def fingerprint(items: Column) -> Column:
     """An order-insensitive hash of an array of structs."""
     return F.sha2(F.array_join(F.array_sort(F.transform(items, lambda i: F.to_json(i))), "\n"), 256)

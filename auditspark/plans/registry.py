@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES (name -> callable) and ORACLES (name -> SQL).
-MODULES: list[str] = ["archive", "messages", "statistics", "nested", "governance", "corpus"]
+MODULES: list[str] = ["archive", "messages", "statistics", "nested", "governance", "corpus", "logs"]
 
 
 def _all(kind: str) -> dict:
