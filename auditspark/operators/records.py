@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 
 def compact_attempts(log: DataFrame, key: str, ordinal: str, ok: Column, payload: Sequence[str]) -> DataFrame:
-    """(key, ok, p, n, first): how often each outcome occurred for a key, and where first. Compacted logs can be put
+    """(key, _ok, _p, _n, _first): how often each outcome occurred for a key, and where first. Compacted logs can be put
     together and compacted again (recompact), which is what an incremental merge keeps as its state."""
-    rows = log.select(key, ok.alias("ok"), F.struct(*payload).alias("p"), F.col(ordinal).alias("first"), F.lit(1).cast("long").alias("n"))
+    rows = log.select(key, ok.alias("_ok"), F.struct(*payload).alias("_p"), F.col(ordinal).alias("_first"), F.lit(1).cast("long").alias("_n"))
     return recompact(rows, key)
 
 
 def recompact(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key, "ok", "p").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return rows.groupBy(key, "_ok", "_p").agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
 
 
 def resolve_attempts(compacted: DataFrame, key: str, ordinal: str) -> DataFrame:
@@ -26,17 +26,17 @@ def resolve_attempts(compacted: DataFrame, key: str, ordinal: str) -> DataFrame:
     successes whose payload differs from a kept success). Keys may be null. Sums and a minimum only, so a hot key's
     rows are combined before the shuffle.
     """
-    best = F.min(F.struct((~F.col("ok")).alias("bad"), "first", "p", "n"))
-    kept = compacted.groupBy(key).agg(best.alias("k"), F.sum("n").alias("attempts"), F.coalesce(F.sum(F.when(~F.col("ok"), F.col("n"))), F.lit(0)).alias("failures"))
+    best = F.min(F.struct((~F.col("_ok")).alias("bad"), "_first", "_p", "_n"))
+    kept = compacted.groupBy(key).agg(best.alias("_kept"), F.sum("_n").alias("attempts"), F.coalesce(F.sum(F.when(~F.col("_ok"), F.col("_n"))), F.lit(0)).alias("failures"))
     return kept.select(
         key,
-        F.col("k.first").alias(ordinal),
-        (~F.col("k.bad")).alias("kept_ok"),
-        "k.p.*",
+        F.col("_kept._first").alias(ordinal),
+        (~F.col("_kept.bad")).alias("kept_ok"),
+        "_kept._p.*",
         "attempts",
         "failures",
         (F.col("attempts") - 1).alias("duplicates"),
-        F.when(F.col("k.bad"), 0).otherwise(F.col("attempts") - F.col("failures") - F.col("k.n")).cast("long").alias("disagreements"),
+        F.when(F.col("_kept.bad"), 0).otherwise(F.col("attempts") - F.col("failures") - F.col("_kept._n")).cast("long").alias("disagreements"),
     )
 
 
