@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +29,19 @@ def get_spark(app: str = "auditspark", cpus: int | None = None) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once for each context, as --py-files would: a notebook or driver whose
+    workers start in another folder can't import it otherwise."""
+    context = spark.sparkContext
+    if not getattr(context, "_auditspark_shipped", False):
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='auditspark-code-')}/{package.name}", "zip", package.parent, package.name)
+        context.addPyFile(archive)
+        context._auditspark_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
