@@ -9,10 +9,20 @@ met, up to CACHE of them; a text in which white space stands before a space is e
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from functools import cache
+from itertools import chain
 
 #: Words whose ids a worker keeps, some 150 bytes each; beyond that it starts anew. Results don't depend on it.
-CACHE = 700_000
+CACHE = 1_000_000
+#: Stands before a piece that no space precedes; texts that have it are encoded as a whole.
+BARE = "\0"
+#: Words of Latin letters (without the signs U+00D7 and U+00F7, and U+0130, which falls apart in lower case): one
+#: piece in either file, and nothing to normalise but case; and such words with signs after them.
+LATIN = "[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"
+PLAIN = re.compile(LATIN).fullmatch
+MARKED = re.compile(f"({BARE}?{LATIN})([!-/:-@\\[-`{{-~]+)").fullmatch
 #: White space of which one may stand before a space.
 SPACES = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 ASCII_PAIRS = [c + " " for c in SPACES if ord(c) < 128]
@@ -21,7 +31,8 @@ OTHER_PAIRS = [c + " " for c in SPACES if ord(c) >= 128]
 
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit integers, as the tokenizers library encodes the whole
-    text without special tokens. drops_space: the tokenizer ignores white space but for its cuts."""
+    text without special tokens. drops_space: the tokenizer lower-cases, and ignores white space but for its
+    cuts."""
 
     def __init__(self, path: str, drops_space: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -29,41 +40,96 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.lead = "" if drops_space else " "
         self.drops_space = drops_space
+        self._prepare(path)
+        #: Ids by piece: as it stands after a space, or BARE and the piece where none is before it.
         self.known: dict[str, bytes] = {}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
+    def _prepare(self, path: str) -> None:
+        """A second tokenizer for plain words: the file's model without the steps that leave such words as they
+        are. Where a word begins or ends shows in the ids, so many go through in one text."""
+        import numpy as np
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer = normalizers.Sequence([])
+        by_byte = pre_tokenizers.ByteLevel(add_prefix_space=not self.drops_space, use_regex=False)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), by_byte])
+        vocabulary = self.words.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.edge[i] = token.endswith("</w>") if self.drops_space else token.startswith("\u0120")
+
+    def _plain(self, words: list[str]) -> list[bytes]:
         import numpy as np
 
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for k in range(0, len(words), 2000):
+            own = words[k : k + 2000]
+            text = " ".join(own).lower() if self.drops_space else " ".join(own)
+            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.edge[ids])
+            stops = 4 * (at + 1 if self.drops_space else np.append(at[1:], len(ids)))
+            if len(stops) != len(own):
+                raise ValueError("words and ids do not match")
+            data, start = ids.tobytes(), 0
+            for stop in stops.tolist():
+                out.append(data[start:stop])
+                start = stop
+        return out
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _parts(self, text: str) -> list[str] | None:
         if self.drops_space:
-            return text.replace("\n", " ").split(" ")
+            return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
         if any(x in text for x in ASCII_PAIRS) or not text.isascii() and any(x in text for x in OTHER_PAIRS):
             return None
-        return text.split(" ")
+        parts = text.split(" ")
+        parts[0] = BARE + parts[0]
+        return parts
+
+    @staticmethod
+    def _unmarked(piece: str) -> list[str]:
+        """Signs after letters are encoded apart from them."""
+        found = MARKED(piece)
+        return [found[1], BARE + found[2]] if found else [piece]
+
+    def _pieces(self, part: str) -> list[str]:
+        """A line's end between other than white space is a piece of its own."""
+        if "\n" not in part:
+            return self._unmarked(part)
+        lines = part.split("\n")
+        if part.split() != lines:
+            return [part]
+        first, *rest = lines
+        return self._unmarked(first) + [p for line in rest for p in (BARE + "\n", *self._unmarked(BARE + line))]
+
+    def _learn(self, pieces: set[str]) -> set[str]:
+        """Add the plain words among the pieces to what is known, and return the others."""
+        plain = [p for p in pieces if PLAIN(p)]
+        self.known.update(zip(plain, self._plain(plain), strict=True))
+        return pieces.difference(plain)
+
+    def _look_up(self, parts: set[str]) -> dict[str, bytes]:
+        known = self.known
+        made = {p: self._pieces(p) for p in self._learn({p for p in parts if p not in known})}
+        rest = list(self._learn({k for ks in made.values() for k in ks if k not in known}))
+        lead = "" if self.drops_space else " "
+        known.update(zip(rest, self.whole([k[1:] if k[:1] == BARE else lead + k for k in rest]), strict=True))
+        for p, ks in made.items():
+            known[p] = b"".join([known[k] for k in ks])
+        return dict(zip(parts, map(known.__getitem__, parts), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; none for a null."""
-        parts = [None if t is None else self._parts(t) for t in texts]
+        parts = [None if t is None else self._parts(t) if BARE not in t else None for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
-        new = list({p for ps in parts if ps is not None for p in (ps if self.drops_space else ps[1:]) if p not in self.known})
-        self.known.update(zip(new, self.whole([self.lead + p for p in new]), strict=True))
-        ids = self.known.__getitem__
-        out = []
-        for text, ps in zip(texts, parts, strict=True):
-            if text is None:
-                out.append(b"")
-            elif ps is None:
-                out.append(self.whole([text])[0])
-            elif self.drops_space:
-                out.append(b"".join(map(ids, ps)))
-            else:
-                out.append(self.whole([ps[0]])[0] + b"".join(map(ids, ps[1:])))
-        return out
+        # the parts of these texts alone: a small table, looked up once for each of their places
+        ids = self._look_up(set(chain.from_iterable(ps for ps in parts if ps is not None))).__getitem__
+        return [b"" if t is None else self.whole([t])[0] if ps is None else b"".join(map(ids, ps)) for t, ps in zip(texts, parts, strict=True)]
 
 
 @cache
@@ -72,7 +138,7 @@ def encoder(path: str, drops_space: bool) -> Encoder:
     return Encoder(path, drops_space)
 
 
-def spread(texts: list, n: int = 128):
+def spread(texts: list, n: int = 256):
     """Slices of so many texts, so that a batch's parts don't stand in memory all at once."""
     for k in range(0, len(texts), n):
         yield slice(k, k + n)

@@ -88,6 +88,9 @@ def test_encoder_equals_whole_text(spark, path, drops):
     ]
     rng = random.Random(1)
     texts += ["".join(rng.choice(["a", "B", " ", " ", "\n", "\t", "'s", "1", ".", "é", "　", "́"]) for _ in range(30)) for _ in range(400)]
+    latin = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x250))]
+    texts += [" ".join("".join(rng.choice(latin) for _ in range(rng.randint(1, 12))) for _ in range(40)) for _ in range(60)]
+    texts += [" ".join("".join(rng.choice("aeinrst") for _ in range(rng.randint(1, 12))) for _ in range(3000))]
     for text, got in zip(texts, Encoder(path, drops).encode(texts), strict=True):
         ids = plain.encode(text, add_special_tokens=False).ids
         assert [int.from_bytes(got[k : k + 4], "little") for k in range(0, len(got), 4)] == ids, repr(text)
