@@ -21,7 +21,7 @@ from auditspark.session import materialise, read_table
 
 #: Category -> its label as an expression on the labels table, in chain order.
 CATEGORIES = {"low_quality": "CAST(quality = 0 AS INT)", "toxic": "CAST(toxic = 1 AS INT)"}
-POSITIVES, NEGATIVES, FOLDS = 2000, 4000, 3
+POSITIVES, NEGATIVES, FOLDS = 1500, 3000, 3
 #: Hashed features, those a model keeps, the strength of its penalty, and the probability that rejects.
 DIMENSIONS, SELECTED, PENALTY, THRESHOLD = 1 << 20, 800, 2.0, 0.5
 #: Words whose features a worker keeps.
@@ -44,36 +44,40 @@ def values(counts, n_words: int):
     """What a count among so many words is worth: the rate a hundred words, damped for short texts, at most 3."""
     import numpy as np
 
-    return np.minimum(3.0, 100.0 * np.asarray(counts, "f8") / (n_words + 100.0))
+    return np.minimum(3, 100 * np.asarray(counts, "f4") / (n_words + 100))
 
 
-def fit(rows, columns, weights_in, y, extra):
-    """A logistic regression on the features that correlate best with y, by Newton steps.
+def fit(rows, columns, v, y, extra, use):
+    """A logistic regression on the features that correlate best with y, by Newton steps, on the rows in use.
 
-    rows, columns, weights_in: the sparse matrix; extra: dense columns. -> (features, weights, intercept,
-    weights of extra).
+    rows, columns, v: the sparse matrix; extra: dense columns. -> (features, weights, intercept, weights of extra).
     """
     import numpy as np
 
-    n, mean = len(y), y.mean()
+    n, mean = int(use.sum()), y[use].mean()
     if mean in (0.0, 1.0):
         return np.empty(0, "i8"), np.empty(0), -20.0 if mean == 0 else 20.0, np.zeros(extra.shape[1])
-    total = np.bincount(columns, weights_in, DIMENSIONS)
-    square = np.bincount(columns, weights_in**2, DIMENSIONS)
-    with_y = np.bincount(columns, weights_in * y[rows], DIMENSIONS)
-    often = np.bincount(columns, minlength=DIMENSIONS)
+    total, square, with_y, often = (np.zeros(DIMENSIONS) for _ in range(4))
+    for k in range(0, len(rows), 1_000_000):  # in slices: the sums need wider numbers than the matrix
+        own = slice(k, k + 1_000_000)
+        on = use[rows[own]]
+        c, x = columns[own][on], v[own][on].astype("f8")
+        total += np.bincount(c, x, DIMENSIONS)
+        square += np.bincount(c, x * x, DIMENSIONS)
+        with_y += np.bincount(c, x * y[rows[own][on]], DIMENSIONS)
+        often += np.bincount(c, minlength=DIMENSIONS)
     spread = np.sqrt(np.maximum(square / n - (total / n) ** 2, 1e-12))
     strength = np.where(often >= 3, np.abs(with_y / n - total / n * mean) / spread, 0.0)
     chosen = np.sort(np.argsort(-strength, kind="stable")[:SELECTED])
     chosen = chosen[strength[chosen] > 0]
-    place = np.full(DIMENSIONS, -1)
+    place = np.full(DIMENSIONS, -1, "i4")
     place[chosen] = np.arange(len(chosen))
-    at = place[columns]
-    x = np.zeros((n, len(chosen) + extra.shape[1] + 1))
-    keep = at >= 0
-    x[rows[keep], at[keep]] = weights_in[keep]
+    x = np.zeros((len(y), len(chosen) + extra.shape[1] + 1), "f4")
+    keep = np.flatnonzero(place[columns] >= 0)
+    x[rows[keep], place[columns[keep]]] = v[keep]
     x[:, len(chosen) : -1] = extra
     x[:, -1] = 1
+    x, y = x[use].astype("f8"), y[use]
     w = np.zeros(x.shape[1])
     w[-1] = np.log(mean / (1 - mean))
     penalty = np.full(x.shape[1], PENALTY)
@@ -132,18 +136,18 @@ def learner(k: int):
         sizes = np.array([len(b.as_py()) // 4 for b in table.column("features")])
         columns = np.concatenate([np.frombuffer(b.as_py(), "<i4") for b in table.column("features")])
         counts = np.concatenate([np.frombuffer(b.as_py(), "<i4") for b in table.column("counts")])
-        rows = np.repeat(np.arange(len(sizes)), sizes)
-        v = values(counts, table.column("n_words").to_numpy()[rows])
+        # the sample's features are the bulk of a worker's memory: 12 bytes each
+        rows = np.repeat(np.arange(len(sizes), dtype="i4"), sizes)
+        v = values(counts, np.repeat(table.column("n_words").to_numpy().astype("f4"), sizes))
+        del counts
         y = np.array([y[k] for y in table.column("y").to_pylist()], "f8")
         extra = np.array(table.column("odds").to_pylist(), "f8").reshape(len(y), k)
         model, fold = table.column("model")[0].as_py(), table.column("fold").to_numpy()
         use = fold != model
-        pick = use[rows]
-        renumber = np.cumsum(use) - 1
-        chosen, w, b, w_extra = fit(renumber[rows[pick]], columns[pick], v[pick], y[use], extra[use]) if use.any() else (np.empty(0, "i8"), np.empty(0), -20.0, np.zeros(k))
+        chosen, w, b, w_extra = fit(rows, columns, v, y, extra, use) if use.any() else (np.empty(0, "i8"), np.empty(0), -20.0, np.zeros(k))
         if model < 0:
             return pa.table({"doc_id": pa.array([None], pa.int64()), "odds": pa.array([None], pa.float64()), "model": pa.array([[*chosen.tolist(), *w.tolist(), b, *w_extra.tolist()]], pa.list_(pa.float64()))})
-        full = np.zeros(DIMENSIONS)
+        full = np.zeros(DIMENSIONS, "f4")
         full[chosen] = w
         z = np.bincount(rows, full[columns] * v, len(y)) + b + extra @ w_extra
         return pa.table({"doc_id": table.column("doc_id").filter(pa.array(~use)), "odds": pa.array(np.clip(z, -20, 20)[~use]), "model": pa.nulls(int((~use).sum()), pa.list_(pa.float64()))})
