@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.session import read_table
+from auditspark.session import materialise, read_table
 
 WHITE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,6 +32,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
         .filter(F.char_length("key") >= min_chars)
         .select("doc_id", "text_hash", "pos", F.unhex(F.md5("key")).alias("line_hash"))
     )
+    # read twice below: written once (36 bytes a line) it spares the second normalising of all texts
+    lines = materialise(lines, "lines")
     repeated = (
         lines.groupBy("line_hash")
         .agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
