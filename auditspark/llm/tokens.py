@@ -114,13 +114,16 @@ class Encoder:
 
     def _look_up(self, parts: set[str]) -> dict[str, bytes]:
         known = self.known
-        made = {p: self._pieces(p) for p in self._learn({p for p in parts if p not in known})}
+        ids = dict(zip(parts, map(known.get, parts), strict=True))  # None: not known yet
+        missing = {p for p, i in ids.items() if i is None}
+        made = {p: self._pieces(p) for p in self._learn(missing)}
         rest = list(self._learn({k for ks in made.values() for k in ks if k not in known}))
         lead = "" if self.drops_space else " "
         known.update(zip(rest, self.whole([k[1:] if k[:1] == BARE else lead + k for k in rest]), strict=True))
         for p, ks in made.items():
             known[p] = b"".join([known[k] for k in ks])
-        return dict(zip(parts, map(known.__getitem__, parts), strict=True))
+        ids.update(zip(missing, map(known.__getitem__, missing), strict=True))
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; none for a null."""
