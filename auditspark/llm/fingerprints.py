@@ -191,7 +191,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
             if out:
                 yield flush()
 
-    dealt = in_order(docs, parts).repartition(parts, "part").sortWithinPartitions("part", "guest", "doc_id", "text")
+    dealt = in_order(docs, parts).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", "doc_id", "text")
     return dealt.mapInArrow(work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
