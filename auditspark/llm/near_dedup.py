@@ -23,8 +23,8 @@ from auditspark.llm.components import connected_components
 from auditspark.session import materialise, read_table
 
 CHUNKS = 16
-#: Symbols of a chunk: with 5, pairs at 0.85 exceed the distance in 1 of 8 million cases, with 4, pairs at 0.8
-#: in 1 of 2 million.
+#: Symbols of a chunk: with 5, pairs at 0.85 exceed the distance in 1 of 19 million cases, with 4, pairs at 0.8
+#: in 1 of 12 million.
 SYMBOLS = {85: 5, 80: 4}
 #: Members and shingles of a block, and clustered representatives whose ids are broadcast.
 BLOCK_ROWS, BLOCK_SHINGLES, BROADCAST_ROWS = 1000, 500_000, 500_000
