@@ -141,6 +141,11 @@ def encoder(path: str, drops_space: bool) -> Encoder:
     return Encoder(path, drops_space)
 
 
+def release() -> None:
+    """Free the words that an earlier job left in a worker that is used again."""
+    encoder.cache_clear()
+
+
 def spread(texts: list, n: int = 256):
     """Slices of so many texts, so that a batch's parts don't stand in memory all at once."""
     for k in range(0, len(texts), n):

@@ -17,11 +17,12 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditspark.llm.tokens import release
 from auditspark.session import materialise, read_table
 
 #: Category -> its label as an expression on the labels table, in chain order.
 CATEGORIES = {"low_quality": "CAST(quality = 0 AS INT)", "toxic": "CAST(toxic = 1 AS INT)"}
-POSITIVES, NEGATIVES, FOLDS = 1500, 3000, 3
+POSITIVES, NEGATIVES, FOLDS = 1000, 2000, 3
 #: Hashed features, those a model keeps, the strength of its penalty, and the probability that rejects.
 DIMENSIONS, SELECTED, PENALTY, THRESHOLD = 1 << 20, 800, 2.0, 0.5
 #: Words whose features a worker keeps.
@@ -109,6 +110,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, st
         import numpy as np
         import pyarrow as pa
 
+        release()
         for batch in batches:
             out = []
             for text in batch.column(1):
@@ -133,6 +135,7 @@ def learner(k: int):
         import numpy as np
         import pyarrow as pa
 
+        release()
         sizes = np.array([len(b.as_py()) // 4 for b in table.column("features")])
         columns = np.concatenate([np.frombuffer(b.as_py(), "<i4") for b in table.column("features")])
         counts = np.concatenate([np.frombuffer(b.as_py(), "<i4") for b in table.column("counts")])
@@ -195,6 +198,7 @@ def score(docs: DataFrame, models: list[dict], names: list[str]) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        release()
         chain_of = shared.value
         features = sorted({f for m in chain_of for f in m["features"]})
         place = {f: k for k, f in enumerate(features)}
