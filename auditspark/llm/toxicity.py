@@ -5,7 +5,8 @@ the first also sees the log odds of the categories before it. In training these
 models, so that a later model learns from predictions such as it will meet, not from fitted ones.
 
 The models are fitted on a bounded sample of labelled documents (POSITIVES and NEGATIVES of the last category,
-the smallest by a hash of the id); everything else covers all rows.
+the smallest by a hash of the id); everything else covers all rows. Spark sums up what each feature is worth to each
+model, so a worker that fits one holds the columns of the chosen features alone.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from auditspark.session import materialise, read_table
 
 #: Category -> its label as an expression on the labels table, in chain order.
 CATEGORIES = {"low_quality": "CAST(quality = 0 AS INT)", "toxic": "CAST(toxic = 1 AS INT)"}
-POSITIVES, NEGATIVES, FOLDS = 1000, 2000, 3
+POSITIVES, NEGATIVES, FOLDS = 2000, 4000, 3
 #: Hashed features, those a model keeps, the strength of its penalty, and the probability that rejects.
 DIMENSIONS, SELECTED, PENALTY, THRESHOLD = 1 << 20, 800, 2.0, 0.5
+#: Feature values are summed up as whole numbers of this part, so that no order of the rows shows in the sums.
+GRAIN = 1_000_000
 #: Words whose features a worker keeps.
 CACHE = 300_000
 
@@ -48,37 +51,17 @@ def values(counts, n_words: int):
     return np.minimum(3, 100 * np.asarray(counts, "f4") / (n_words + 100))
 
 
-def fit(rows, columns, v, y, extra, use):
-    """A logistic regression on the features that correlate best with y, by Newton steps, on the rows in use.
+def fit(x, y, extra):
+    """A logistic regression by Newton steps. x: a column for each chosen feature; extra: further columns.
 
-    rows, columns, v: the sparse matrix; extra: dense columns. -> (features, weights, intercept, weights of extra).
+    -> (weights, intercept, weights of extra).
     """
     import numpy as np
 
-    n, mean = int(use.sum()), y[use].mean()
+    mean, m = y.mean(), x.shape[1]
     if mean in (0.0, 1.0):
-        return np.empty(0, "i8"), np.empty(0), -20.0 if mean == 0 else 20.0, np.zeros(extra.shape[1])
-    total, square, with_y, often = (np.zeros(DIMENSIONS) for _ in range(4))
-    for k in range(0, len(rows), 1_000_000):  # in slices: the sums need wider numbers than the matrix
-        own = slice(k, k + 1_000_000)
-        on = use[rows[own]]
-        c, x = columns[own][on], v[own][on].astype("f8")
-        total += np.bincount(c, x, DIMENSIONS)
-        square += np.bincount(c, x * x, DIMENSIONS)
-        with_y += np.bincount(c, x * y[rows[own][on]], DIMENSIONS)
-        often += np.bincount(c, minlength=DIMENSIONS)
-    spread = np.sqrt(np.maximum(square / n - (total / n) ** 2, 1e-12))
-    strength = np.where(often >= 3, np.abs(with_y / n - total / n * mean) / spread, 0.0)
-    chosen = np.sort(np.argsort(-strength, kind="stable")[:SELECTED])
-    chosen = chosen[strength[chosen] > 0]
-    place = np.full(DIMENSIONS, -1, "i4")
-    place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(y), len(chosen) + extra.shape[1] + 1), "f4")
-    keep = np.flatnonzero(place[columns] >= 0)
-    x[rows[keep], place[columns[keep]]] = v[keep]
-    x[:, len(chosen) : -1] = extra
-    x[:, -1] = 1
-    x, y = x[use].astype("f8"), y[use]
+        return np.zeros(m), -20.0 if mean == 0 else 20.0, np.zeros(extra.shape[1])
+    x = np.hstack([x, extra, np.ones((len(y), 1))], dtype="f8")
     w = np.zeros(x.shape[1])
     w[-1] = np.log(mean / (1 - mean))
     penalty = np.full(x.shape[1], PENALTY)
@@ -91,11 +74,11 @@ def fit(rows, columns, v, y, extra, use):
         w -= step
         if np.abs(step).max() < 1e-4:
             break
-    return chosen, w[: len(chosen)], float(w[-1]), w[len(chosen) : -1]
+    return w[:m], float(w[-1]), w[m:-1]
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, str]) -> DataFrame:
-    """(doc_id, fold, y array<int>, features binary, counts binary, n_words): the bounded sample."""
+    """(doc_id, fold, y array<int>, features array<int>, v array<float>): the bounded sample."""
     last = len(categories) - 1
     known = labels.select("doc_id", F.array(*[F.expr(e) for e in categories.values()]).alias("y")).filter(
         F.col("doc_id").isNotNull() & ~F.exists("y", lambda v: v.isNull())
@@ -119,15 +102,80 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, st
                 for w, k in Counter(words).items():
                     for f in word_features(w):
                         found[f] += k
-                out.append((np.array(list(found), "<i4").tobytes(), np.array(list(found.values()), "<i4").tobytes(), len(words)))
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.binary(), pa.int64()), strict=True)]], names=["doc_id", "y", "features", "counts", "n_words"])
+                out.append((list(found), values(list(found.values()), len(words)).tolist()))
+            cols = list(zip(*out, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, k) for c, k in zip(cols, (pa.list_(pa.int32()), pa.list_(pa.float32())), strict=True)]], names=["doc_id", "y", "features", "v"])
 
-    made = texts.mapInArrow(featurise, "doc_id long, y array<int>, features binary, counts binary, n_words long")
+    made = texts.mapInArrow(featurise, "doc_id long, y array<int>, features array<int>, v array<float>")
     return materialise(made.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")), "featurised")
 
 
-def learner(k: int):
+def feature_sums(sample: DataFrame, categories: int) -> DataFrame:
+    """(feature, and for each fold f: often_f, total_f, square_f, and with_k_f for each category k): how many documents
+    have the feature, and the sums of its values, their squares, and the values where the category holds."""
+    each = sample.select("fold", "y", F.explode_outer(F.arrays_zip("features", "v")).alias("e")).filter("e IS NOT NULL")
+    each = each.select("fold", "y", F.col("e.features").alias("feature"), F.round(F.col("e.v").cast("double") * GRAIN).cast("long").alias("q"))
+    sums = []
+    for f in range(FOLDS):
+        of = lambda c, f=f: F.coalesce(F.sum(F.when(F.col("fold") == f, c)), F.lit(0))
+        sums += [of(F.lit(1)).alias(f"often_{f}"), of(F.col("q")).alias(f"total_{f}"), of(F.col("q") * F.col("q")).alias(f"square_{f}")]
+        sums += [of(F.col("q") * F.get("y", F.lit(k))).alias(f"with_{k}_{f}") for k in range(categories)]
+    return materialise(each.groupBy("feature").agg(*sums), "sums")
+
+
+def choose(sums: DataFrame, per_fold: dict[int, tuple[int, list[int]]], k: int) -> dict[int, list[int]]:
+    """The features, in order, that correlate best with category k on the rows of each model: all folds but one, or
+    all (-1). per_fold: fold -> (documents, those of each category)."""
+    best = []
+    for model in range(-1, FOLDS):
+        folds = [f for f in range(FOLDS) if f != model]
+        n = sum(per_fold.get(f, (0, []))[0] for f in folds)
+        yes = sum(per_fold[f][1][k] for f in folds if f in per_fold)
+        if yes in (0, n):
+            continue
+        mean = lambda c, folds=folds, n=n: sum((F.col(f"{c}_{f}") for f in folds), F.lit(0)).cast("double") / n
+        total = mean("total") / GRAIN
+        spread = F.sqrt(F.greatest(mean("square") / GRAIN / GRAIN - total * total, F.lit(1e-12)))
+        strength = F.abs(mean(f"with_{k}") / GRAIN - total * (yes / n)) / spread
+        often = sum((F.col(f"often_{f}") for f in folds), F.lit(0))
+        own = sums.filter(often >= 3).select(F.lit(model).alias("model"), "feature", strength.alias("strength")).filter("strength > 0")
+        best.append(own.orderBy(F.desc("strength"), "feature").limit(SELECTED))
+    chosen: dict[int, list[int]] = {m: [] for m in range(-1, FOLDS)}
+    for own in best:
+        for r in own.collect():  # SELECTED rows
+            chosen[r["model"]].append(r["feature"])
+    return {m: sorted(fs) for m, fs in chosen.items()}
+
+
+def narrow(sample: DataFrame, chosen: dict[int, list[int]]) -> DataFrame:
+    """A row of sample (with odds) for each model: (model, doc_id, fold, y, odds, places binary, v binary), the
+    features as places among those chosen for the model."""
+    shared = sample.sparkSession.sparkContext.broadcast(chosen)  # SELECTED features for each model
+
+    def cut(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        place = {}
+        for m, features in shared.value.items():
+            place[m] = np.full(DIMENSIONS, -1, "i2")
+            place[m][features] = np.arange(len(features))
+        for batch in batches:
+            features, v = batch.column(4), batch.column(5)
+            found = [(features[i].values.to_numpy(), v[i].values.to_numpy()) for i in range(batch.num_rows)]
+            for m, own in place.items():
+                places, kept = [], []
+                for c, x in found:
+                    at = own[c]
+                    places.append(at[at >= 0].astype("<i2").tobytes())
+                    kept.append(x[at >= 0].astype("<f4").tobytes())
+                model = pa.array([m] * batch.num_rows, pa.int32())
+                yield pa.RecordBatch.from_arrays([model, *batch.columns[:4], pa.array(places, pa.binary()), pa.array(kept, pa.binary())], names=["model", "doc_id", "fold", "y", "odds", "places", "v"])
+
+    return sample.select("doc_id", "fold", "y", "odds", "features", "v").mapInArrow(cut, "model int, doc_id long, fold int, y array<int>, odds array<double>, places binary, v binary")
+
+
+def learner(k: int, chosen: dict[int, list[int]]):
     """The function that fits the chain's model number k on a group: all folds but the one named by `model` (-1:
     none left out), and either returns the model or the log odds of the fold left out."""
 
@@ -136,24 +184,18 @@ def learner(k: int):
         import pyarrow as pa
 
         release()
-        sizes = np.array([len(b.as_py()) // 4 for b in table.column("features")])
-        columns = np.concatenate([np.frombuffer(b.as_py(), "<i4") for b in table.column("features")])
-        counts = np.concatenate([np.frombuffer(b.as_py(), "<i4") for b in table.column("counts")])
-        # the sample's features are the bulk of a worker's memory: 12 bytes each
-        rows = np.repeat(np.arange(len(sizes), dtype="i4"), sizes)
-        v = values(counts, np.repeat(table.column("n_words").to_numpy().astype("f4"), sizes))
-        del counts
+        model, fold = table.column("model")[0].as_py(), table.column("fold").to_numpy()
+        x = np.zeros((table.num_rows, len(chosen[model])), "f4")
+        for row, places, v in zip(x, table.column("places"), table.column("v"), strict=True):
+            row[np.frombuffer(places.as_py(), "<i2")] = np.frombuffer(v.as_py(), "<f4")
         y = np.array([y[k] for y in table.column("y").to_pylist()], "f8")
         extra = np.array(table.column("odds").to_pylist(), "f8").reshape(len(y), k)
-        model, fold = table.column("model")[0].as_py(), table.column("fold").to_numpy()
         use = fold != model
-        chosen, w, b, w_extra = fit(rows, columns, v, y, extra, use) if use.any() else (np.empty(0, "i8"), np.empty(0), -20.0, np.zeros(k))
+        w, b, w_extra = fit(x[use], y[use], extra[use]) if use.any() else (np.zeros(x.shape[1]), -20.0, np.zeros(k))
         if model < 0:
-            return pa.table({"doc_id": pa.array([None], pa.int64()), "odds": pa.array([None], pa.float64()), "model": pa.array([[*chosen.tolist(), *w.tolist(), b, *w_extra.tolist()]], pa.list_(pa.float64()))})
-        full = np.zeros(DIMENSIONS, "f4")
-        full[chosen] = w
-        z = np.bincount(rows, full[columns] * v, len(y)) + b + extra @ w_extra
-        return pa.table({"doc_id": table.column("doc_id").filter(pa.array(~use)), "odds": pa.array(np.clip(z, -20, 20)[~use]), "model": pa.nulls(int((~use).sum()), pa.list_(pa.float64()))})
+            return pa.table({"doc_id": pa.array([None], pa.int64()), "odds": pa.array([None], pa.float64()), "model": pa.array([[*chosen[model], *w.tolist(), b, *w_extra.tolist()]], pa.list_(pa.float64()))})
+        z = x[~use] @ w + b + extra[~use] @ w_extra
+        return pa.table({"doc_id": table.column("doc_id").filter(pa.array(~use)), "odds": pa.array(np.clip(z, -20, 20)), "model": pa.nulls(len(z), pa.list_(pa.float64()))})
 
     return learn
 
@@ -168,11 +210,15 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str] =
 
     sample = sample_labelled(docs, labels, categories)
     earlier = sample.select("doc_id", F.array().cast("array<double>").alias("odds"))
+    sums = feature_sums(sample, len(categories))
+    of_fold = sample.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(F.get("y", F.lit(k))).alias(f"y{k}") for k in range(len(categories))]).collect()
+    per_fold = {r["fold"]: (r["n"], [r[f"y{k}"] for k in range(len(categories))]) for r in of_fold}
     models: list[dict] = []
     for k in range(len(categories)):
-        held = sample.join(earlier, "doc_id").withColumn("model", F.explode(F.array(*[F.lit(m) for m in range(-1, FOLDS)])))
+        chosen = choose(sums, per_fold, k)
+        held = narrow(sample.join(earlier, "doc_id"), chosen)
         # each group is the bounded sample
-        done = materialise(held.groupBy("model").applyInArrow(learner(k), "doc_id long, odds double, model array<double>"), "learnt")
+        done = materialise(held.groupBy("model").applyInArrow(learner(k, chosen), "doc_id long, odds double, model array<double>"), "learnt")
         final = done.filter("model IS NOT NULL").select("model").first()
         flat = final["model"] if final else [-20.0, *[0.0] * k]
         m = (len(flat) - 1 - k) // 2

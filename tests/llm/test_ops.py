@@ -400,6 +400,36 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(r["p_toxic"] >= 0.5 for r in clean) / len(clean) < 0.01
 
 
+def test_toxicity_sample_is_whole(spark):
+    labels = spark.range(6500).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    docs = labels.select("doc_id", F.lit("some words").alias("text"))
+    got = toxicity.sample_labelled(docs, labels, toxicity.CATEGORIES).collect()
+    assert Counter(r["y"][1] for r in got) == {1: 2000, 0: 4000}
+
+
+def test_toxicity_chooses_as_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    sample = toxicity.sample_labelled(docs, labels, toxicity.CATEGORIES)
+    rows = sample.collect()
+    per_fold = {f: (sum(r["fold"] == f for r in rows), [sum(r["y"][k] for r in rows if r["fold"] == f) for k in range(2)]) for f in range(toxicity.FOLDS)}
+    sums = toxicity.feature_sums(sample, 2)
+    for k in range(2):
+        for model, got in toxicity.choose(sums, per_fold, k).items():
+            own = [r for r in rows if r["fold"] != model]
+            mean = sum(r["y"][k] for r in own) / len(own)
+            often, total, square, with_y = Counter(), Counter(), Counter(), Counter()
+            for r in own:
+                for f, v in zip(r["features"], r["v"], strict=True):
+                    often[f] += 1
+                    total[f] += v / len(own)
+                    square[f] += v * v / len(own)
+                    with_y[f] += v * r["y"][k] / len(own)
+            strength = {f: abs(with_y[f] - total[f] * mean) / max(square[f] - total[f] ** 2, 1e-12) ** 0.5 for f in often if often[f] >= 3}
+            best = sorted(strength.values(), reverse=True)[: toxicity.SELECTED]
+            assert len(got) == len(best) and got == sorted(set(got))
+            assert sorted((strength[f] for f in got), reverse=True) == pytest.approx(best, abs=1e-4)
+
+
 def test_toxicity_odd(spark):
     labels = spark.createDataFrame([(5, 1, 1), (4, 0, 0), (None, 1, 0), (6, None, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.judge(table(spark, ODD), labels).count() == len(ODD)
