@@ -1,6 +1,7 @@
 """Every registered query of the library against its oracle on the smallest tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from auditspark.plans import registry
 from auditspark.plans.messages import msg
@@ -52,3 +53,13 @@ def test_floor_rows_reads_all_lines(spark):
     assert {r for r in got if r[3] != "(empty set)"} == want
     empty = {r[:3] for r in got if r[3] == "(empty set)"}
     assert empty and not empty & {r[:3] for r in want} and len(got) == len(want) + len(empty)
+
+
+def test_nested_path_find_has_all_keys(spark, tmp_path):
+    keys = range(1, 2601)
+    spark.range(1, 2601).select(F.col("id").alias("p_partkey"), F.lit("t").alias("p_type")).write.parquet(str(tmp_path / "part.parquet"))
+    want = {}
+    for k in keys:
+        want[k] = f"{want[k // 5][0]}/{k}" if k >= 5 else str(k), want[k // 5][1] + 1 if k >= 5 else 0
+    got = QUERIES["nested_path_find"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r["child"]: (r["path"], r["depth"]) for r in got} == want
