@@ -13,7 +13,7 @@ from auditspark.operators import findings as M
 from auditspark.operators import records as L
 from auditspark.plans.vocabulary import case_sql
 from auditspark.plans.views import Registry, view
-from auditspark.session import read_table
+from auditspark.session import materialise, read_table
 
 r = Registry()
 QUERIES, ORACLES = r.queries, r.oracles
@@ -177,13 +177,19 @@ def flatten_messages(spark, sf_dir):
 RANKS = {"1-URGENT": 1, "2-HIGH": 2}
 
 
-@r.query("manifest", "SELECT o_orderkey AS uid, o_orderpriority AS class, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 1 ELSE 2 END, o_totalprice, o_orderkey)::INTEGER AS place FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') QUALIFY place <= 200")
+@r.query("manifest", "SELECT o_orderkey AS uid, o_orderpriority AS class, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 1 ELSE 2 END, o_totalprice, o_orderkey)::INTEGER AS place FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
 def manifest(spark, sf_dir):
-    """SRC8: the first of the plan, cheapest first within a class. The limit is the manifest's own length."""
+    """SRC8: the whole plan, cheapest first within a class. Each range of the order is numbered by itself, from the
+    number of rows in the ranges before it."""
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv]), F.col("o_orderpriority"))
-    first = read_table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").isin(*RANKS)).orderBy(rank, "o_totalprice", "o_orderkey").limit(200)
-    w = C.Window.orderBy(rank, "o_totalprice", "o_orderkey")
-    return first.select(F.col("o_orderkey").alias("uid"), F.col("o_orderpriority").alias("class"), F.row_number().over(w).alias("place"))
+    order = [rank, F.col("o_totalprice"), F.col("o_orderkey")]
+    plan = read_table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").isin(*RANKS)).select("o_orderkey", "o_orderpriority", "o_totalprice")
+    ranges = materialise(plan.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    # a row for each range
+    n = ranges.groupBy("range").agg(F.count("*").alias("n"))
+    before = n.select("range", (F.sum("n").over(C.Window.orderBy("range")) - F.col("n")).alias("before"))
+    place = F.row_number().over(C.Window.partitionBy("range").orderBy(*order)) + F.col("before")
+    return ranges.join(F.broadcast(before), "range").select(F.col("o_orderkey").alias("uid"), F.col("o_orderpriority").alias("class"), place.cast("int").alias("place"))
 
 
 @r.query("resume_pending", "SELECT o_orderkey AS uid FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")

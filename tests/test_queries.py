@@ -63,3 +63,13 @@ def test_nested_path_find_has_all_keys(spark, tmp_path):
         want[k] = f"{want[k // 5][0]}/{k}" if k >= 5 else str(k), want[k // 5][1] + 1 if k >= 5 else 0
     got = QUERIES["nested_path_find"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {r["child"]: (r["path"], r["depth"]) for r in got} == want
+
+
+def test_manifest_is_the_whole_plan(spark):
+    rows = spark.read.parquet(f"{SF}/orders.parquet").filter("o_orderpriority IN ('1-URGENT', '2-HIGH')").collect()
+    order = sorted(rows, key=lambda r: (r["o_orderpriority"], r["o_totalprice"], r["o_orderkey"]))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges
+    got = sorted(QUERIES["manifest"](spark, SF).collect(), key=lambda r: r["place"])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rows) > 200
+    assert [tuple(r[c] for c in ("uid", "class", "place")) for r in got] == [(r["o_orderkey"], r["o_orderpriority"], k + 1) for k, r in enumerate(order)]
