@@ -3,7 +3,8 @@
 The tokenizer files used here split a text into pieces before they merge, and a piece never runs on over a
 space that follows something else than white space. A text can therefore be cut at such spaces, each part
 encoded by itself and the ids joined. The parts repeat (words), so each worker keeps the ids of those it has
-met, up to CACHE of them; a text in which white space stands before a space is encoded as a whole.
+met, up to CACHE of them; a text in which white space stands before a space is encoded as a whole, and so is one
+that holds an added token's string (<|endoftext|>), which the library finds before anything else.
 """
 
 from __future__ import annotations
@@ -32,14 +33,17 @@ OTHER_PAIRS = [c + " " for c in SPACES if ord(c) >= 128]
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit integers, as the tokenizers library encodes the whole
     text without special tokens. drops_space: the tokenizer lower-cases, and ignores white space but for its
-    cuts."""
+    cuts. spells_added: an added token's string in a text is spelt out like other text, not given the token's id."""
 
-    def __init__(self, path: str, drops_space: bool):
+    def __init__(self, path: str, drops_space: bool, spells_added: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = spells_added
+        added = [] if spells_added else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # in any case: parts are lower-cased before the library sees them
+        self.holds_added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE).search
         self.drops_space = drops_space
         self._prepare(path)
         #: Ids by piece: as it stands after a space, or BARE and the piece where none is before it.
@@ -127,7 +131,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; none for a null."""
-        parts = [None if t is None else self._parts(t) if BARE not in t else None for t in texts]
+        parts = [None if t is None or BARE in t or self.holds_added(t) else self._parts(t) for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
         # the parts of these texts alone: a small table, looked up once for each of their places
@@ -137,8 +141,8 @@ class Encoder:
 
 @cache
 def encoder(path: str, drops_space: bool) -> Encoder:
-    """One encoder for each worker process."""
-    return Encoder(path, drops_space)
+    """One encoder for each worker process, with the ids that Tokenizer.from_file gives."""
+    return Encoder(path, drops_space, spells_added=False)
 
 
 def release() -> None:

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from auditspark.llm import best_fit, chat_format, decontaminate, fingerprints, language_id, line_dedup, near_dedup, shard_lookup, sorted_table, toxicity
 from auditspark.llm.components import connected_components
-from auditspark.llm.tokens import Encoder
+from auditspark.llm.tokens import Encoder, encoder
 from auditspark.session import scratch_path
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -96,6 +96,27 @@ def test_encoder_equals_whole_text(spark, path, drops):
         assert [int.from_bytes(got[k : k + 4], "little") for k in range(0, len(got), 4)] == ids, repr(text)
 
 
+@pytest.mark.parametrize(("path", "drops"), [(WORD, True), (BYTE, False)])
+def test_worker_encoder_equals_plain_tokenizer(spark, path, drops):
+    plain = Tokenizer.from_file(path)
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>", " ", "\n", "a", "Word", "\u0338", "."]
+    rng = random.Random(3)
+    texts = [t for _, t in documents(spark, 30)] + ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y", "<|ENDOFTEXT|> z"]
+    texts += ["".join(rng.choice(marks) for _ in range(12)) for _ in range(300)]
+    for text, got in zip(texts, encoder(path, drops).encode(texts), strict=True):
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert [int.from_bytes(got[k : k + 4], "little") for k in range(0, len(got), 4)] == ids, repr(text)
+
+
+def test_packing_and_tables_keep_added_tokens(spark):
+    rows = [(1, "a <|endoftext|> b"), (2, "after")]
+    path = scratch_path(spark, "t")
+    got = sorted(sorted_table.read_tables(sorted_table.write_tables(table(spark, rows), path, WORD, files=1), path).collect(), key=lambda r: r["start"])
+    assert [(r["doc_id"], r["start"], r["ids"][:-1]) for r in got] == [(1, 0, [320, 49407, 321]), (2, 4, Tokenizer.from_file(WORD).encode("after", add_special_tokens=False).ids)]
+    packed = best_fit.pack(table(spark, rows[:1]), BYTE).collect()
+    assert sum(r["length"] for r in packed) == 4 + 1
+
+
 def test_sorted_table_round_trip(spark):
     rows = documents(spark) + [(-5, "negative id"), *ODD]
     plain = Tokenizer.from_file(WORD)
