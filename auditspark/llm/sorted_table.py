@@ -204,6 +204,8 @@ def write_tables(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         import pyarrow as pa
 
         words = encoder(tokenizer, True)
+        if not wide and max(len(words.edge) - 1, end_id) > 0xFFFF:
+            raise ValueError("the tokenizer's ids need more than 16 bits: write wide tables")
         fs, folder = _open(path)
         fs.create_dir(folder)
         kind = "<u4" if wide else "<u2"

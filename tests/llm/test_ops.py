@@ -1,6 +1,7 @@
 """The ten operators against brute force, round trips, held-out accuracy and odd inputs."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -135,6 +136,16 @@ def test_sorted_table_round_trip(spark):
     assert sorted_table.read_tables(sorted_table.write_tables(table(spark, []), scratch_path(spark, "t"), WORD), path).count() == 0
 
 
+def test_sorted_table_refuses_ids_beyond_16_bits(spark, tmp_path):
+    with open(WORD, encoding="utf-8") as f:
+        file = json.load(f)
+    file["model"]["vocab"]["toolarge</w>"] = 70_000
+    large = tmp_path / "large.json"
+    large.write_text(json.dumps(file), encoding="utf-8")
+    with pytest.raises(Exception, match="more than 16 bits"):
+        sorted_table.write_tables(table(spark, [(1, "a")]), scratch_path(spark, "t"), str(large)).collect()
+
+
 def test_sorted_table_lookup(tmp_path):
     keys = [None, *sorted(random.Random(2).sample(range(-10_000, 10_000), 3000)), 20_000, 20_000]
     with open(tmp_path / "x.sst", "wb") as out:
