@@ -94,7 +94,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, piece int, start, length, ids_crc32 long[, ids array<long>]): each text's ids and the end id,
+    """(doc_id, piece int, start, length, ids_crc32 long[, ids array<int>]): each text's ids and the end id,
     cut from the end into pieces of the capacity, so that the first one may be shorter."""
 
     def cut(batches):
@@ -102,26 +102,24 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
         import pyarrow as pa
 
         words = encoder(tokenizer, False)
-        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for part in spread(keys):
-                rows = []
-                for doc_id, ids in zip(keys[part], words.encode(texts[part.start : part.stop].to_pylist()), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    start = 0
-                    for k, stop in enumerate(range((n - 1) % capacity + 1, n + 1, capacity)):
-                        own = ids[4 * start : 4 * stop]
-                        rows.append((doc_id, k, start, stop - start, zlib.crc32(own), np.frombuffer(own, "<u4").astype("i8") if keep_ids else None))
-                        start = stop
-                cols = list(zip(*rows, strict=True))
-                arrays = [pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(cols[:5])]
+            for part in spread(batch.column(1)):
+                ids, ends = words.encode_ended(batch.column(1)[part], end_id)
+                n = np.diff(ends, prepend=0)
+                first = (n - 1) % capacity + 1
+                pieces = (n - 1) // capacity + 1
+                doc = np.repeat(np.arange(len(n)), pieces)
+                piece = np.arange(len(doc)) - (np.cumsum(pieces) - pieces)[doc]
+                length = np.where(piece == 0, first[doc], capacity)
+                start = np.where(piece == 0, 0, first[doc] + (piece - 1) * capacity)
+                stops, data = np.cumsum(length), memoryview(ids.tobytes())
+                crcs = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((stops - length).tolist(), stops.tolist(), strict=True)]
+                arrays = [batch.column(0)[part].take(pa.array(doc)), *map(pa.array, (piece.astype("i4"), start, length)), pa.array(crcs, pa.int64())]
                 if keep_ids:
-                    arrays.append(pa.array(cols[5], pa.list_(pa.int64())))
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.append(0, stops), pa.int32()), ids.astype("i4")))
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
 
-    columns = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids
+    columns = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     return docs.select("doc_id", "text").mapInArrow(cut, columns)
 
 

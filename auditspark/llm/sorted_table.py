@@ -200,7 +200,6 @@ def write_tables(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     width = 4 if wide else 2
 
     def write(batches):
-        import numpy as np
         import pyarrow as pa
 
         words = encoder(tokenizer, True)
@@ -208,8 +207,6 @@ def write_tables(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             raise ValueError("the tokenizer's ids need more than 16 bits: write wide tables")
         fs, folder = _open(path)
         fs.create_dir(folder)
-        kind = "<u4" if wide else "<u2"
-        end = np.array([end_id], dtype=kind).tobytes()
         table = out = name = first = last = None
         done = []
 
@@ -220,9 +217,10 @@ def write_tables(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for part in spread(keys):
-                rows = texts[part.start : part.stop].to_pylist()
-                for doc_id, ids in zip(keys[part], words.encode(rows), strict=True):
+            for part in spread(texts):
+                ids, ends = words.encode_ended(texts[part], end_id)
+                stored, stops = ids.astype(f"<u{width}").tobytes(), (width * ends).tolist()
+                for doc_id, start, stop in zip(keys[part], [0, *stops], stops, strict=False):
                     key = pack_key(doc_id)
                     if table and table.at >= FILE_BYTES and key != last:
                         finish()
@@ -231,7 +229,7 @@ def write_tables(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                         name, first = f"{uuid.uuid4().hex}.sst", key
                         out = fs.open_output_stream(f"{folder}/{name}")
                         table = TableWriter(out, width)
-                    table.add(key, (ids if wide else np.frombuffer(ids, "<u4").astype(kind).tobytes()) + end)
+                    table.add(key, stored[start:stop])
                     last = key
         if table:
             finish()
@@ -241,7 +239,8 @@ def write_tables(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             names=["file", "first_key", "last_key", "n_docs", "n_ids"],
         )
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the texts' beginnings deal the rows of one id that has very many of them to several files
+    ordered = docs.select("doc_id", "text").repartitionByRange(files, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     return materialise(ordered.mapInArrow(write, "file string, first_key binary, last_key binary, n_docs long, n_ids long"), "manifest")
 
 
@@ -271,7 +270,7 @@ def read_tables(manifest: DataFrame, path: str, keep_ids: bool = True) -> DataFr
                         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(arrays)])
 
     # one small row for each file: the running sum needs them in one place
-    before = Window.orderBy("first_key").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("first_key", "last_key", "file").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * keep_ids

@@ -1,53 +1,163 @@
 """Token ids of whole texts, a worker's words encoded once.
 
-The tokenizer files used here split a text into pieces before they merge, and a piece never runs on over a
-space that follows something else than white space. A text can therefore be cut at such spaces, each part
-encoded by itself and the ids joined. The parts repeat (words), so each worker keeps the ids of those it has
-met, up to CACHE of them; a text in which white space stands before a space is encoded as a whole, and so is one
-that holds an added token's string (<|endoftext|>), which the library finds before anything else.
+The tokenizer files used here split a text into pieces before they merge, and no piece runs over white space that
+follows something else, or from a letter or digit to a sign. A text can therefore be cut at such places, each span
+encoded by itself and the ids joined. Spans repeat (words), so each worker keeps the ids of those it has met, in a
+table that is asked for all spans of many texts at once. A text that holds an added token's string (<|endoftext|>),
+which the library finds before anything else, or white space other than ASCII before white space, is one span.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
 from functools import cache
-from itertools import chain
 
-#: Words whose ids a worker keeps, some 150 bytes each; beyond that it starts anew. Results don't depend on it.
-CACHE = 1_000_000
-#: Stands before a piece that no space precedes; texts that have it are encoded as a whole.
-BARE = "\0"
+#: Spans whose ids a worker keeps, some 60 bytes each; beyond that it starts anew. Results don't depend on it.
+CACHE = 2_000_000
+#: Bytes of a span that the table compares (three machine words); longer ones up to KEPT bytes are kept in a dict.
+WIDTH, KEPT = 24, 100
+#: Bytes of texts, and spans, that are worked on at once.
+SLICE, CHUNK = 4 << 20, 1 << 19
 #: Words of Latin letters (without the signs U+00D7 and U+00F7, and U+0130, which falls apart in lower case): one
-#: piece in either file, and nothing to normalise but case; and such words with signs after them.
-LATIN = "[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"
-PLAIN = re.compile(LATIN).fullmatch
-MARKED = re.compile(f"({BARE}?{LATIN})([!-/:-@\\[-`{{-~]+)").fullmatch
-#: White space of which one may stand before a space.
-SPACES = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-ASCII_PAIRS = [c + " " for c in SPACES if ord(c) < 128]
-OTHER_PAIRS = [c + " " for c in SPACES if ord(c) >= 128]
+#: piece in either file, and nothing to normalise but case.
+LATIN = "[a-zA-ZÀ-ÖØ-öø-įı-ɏ]+"
+#: Spans that are encoded many in one text, and how many.
+PLAIN = {True: re.compile(LATIN).fullmatch, False: re.compile(f" (?:{LATIN}|[0-9]+)").fullmatch}
+TOGETHER = 2000
+#: White space beyond ASCII, as RE2 spells it.
+OTHER_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Classes of bytes: a place to cut, white space (or what some take for it), a sign, a letter or digit.
+CUT, WHITE, SIGN, WORD = 1, 2, 4, 8
+
+
+def _byte_classes():
+    import numpy as np
+
+    of = np.zeros(256, "u1")
+    for c in range(128):
+        if c in range(9, 14) or c == 32:
+            of[c] = CUT | WHITE
+        elif c in range(28, 32):
+            of[c] = WHITE
+        elif chr(c).isalnum():
+            of[c] = WORD
+        elif c > 32 and c < 127:
+            of[c] = SIGN
+    return of
+
+
+class SpanTable:
+    """Numbers of spans by their bytes: open addressing, asked and filled for many spans at once."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        import numpy as np
+
+        self.n, self.bits = 0, 16
+        self.keys = np.zeros((3, 1 << 15), "u8")
+        self.number = np.zeros(1 << 15, "i4")
+        self.slots = np.full(1 << self.bits, -1, "i4")
+
+    def mix(self, keys):
+        """A hash of the three machine words. Spans that share it are told apart by their bytes."""
+        import numpy as np
+
+        h = keys[0] * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h = (h + keys[1]) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        h = (h + keys[2]) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+    def _home(self, h):
+        import numpy as np
+
+        return (h >> np.uint64(64 - self.bits)).astype("i8")
+
+    def find(self, keys, h):
+        """The number of each span, -1 for those that are not here."""
+        import numpy as np
+
+        out = np.full(len(h), -1, "i8")
+        left, at, mask = None, self._home(h), len(self.slots) - 1
+        while len(at):
+            c = self.slots[at]
+            there = c >= 0
+            same = there.copy()
+            for own, k in zip(self.keys, keys, strict=True):
+                same &= own[c] == k
+            if left is None:
+                out[same] = self.number[c[same]]
+                left = np.flatnonzero(there & ~same)
+                go = left
+            else:
+                out[left[same]] = self.number[c[same]]
+                go = np.flatnonzero(there & ~same)
+                left = left[go]
+            keys, at = keys[:, go], (at[go] + 1) & mask
+        return out
+
+    def add(self, keys, h, number) -> None:
+        """Distinct spans that are not here yet."""
+        import numpy as np
+
+        first, self.n = self.n, self.n + len(h)
+        if self.n > self.keys.shape[1]:
+            room = 2 * self.n
+            self.keys = np.hstack([self.keys[:, :first], np.zeros((3, room - first), "u8")])
+            self.number = np.append(self.number[:first], np.zeros(room - first, "i4"))
+        self.keys[:, first : self.n], self.number[first : self.n] = keys, number
+        if 2 * self.n > len(self.slots):
+            while 2 * self.n > 1 << self.bits:
+                self.bits += 1
+            self.slots = np.full(1 << self.bits, -1, "i4")
+            first, h = 0, self.mix(self.keys[:, : self.n])
+        entry, at = np.arange(first, self.n, dtype="i4"), self._home(h)
+        while len(entry):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = entry[free]
+            lost = self.slots[at] != entry
+            entry, at = entry[lost], (at[lost] + 1) & (len(self.slots) - 1)
 
 
 class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit integers, as the tokenizers library encodes the whole
-    text without special tokens. drops_space: the tokenizer lower-cases, and ignores white space but for its
-    cuts. spells_added: an added token's string in a text is spelt out like other text, not given the token's id."""
+    """Texts to ids, as the tokenizers library encodes the whole text without special tokens.
+
+    drops_space: the tokenizer lower-cases, and ignores white space but for its cuts. spells_added: an added token's
+    string in a text is spelt out like other text, not given the token's id."""
 
     def __init__(self, path: str, drops_space: bool, spells_added: bool = True):
+        import numpy as np
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = spells_added
         added = [] if spells_added else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # in any case: parts are lower-cased before the library sees them
-        self.holds_added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE).search
+        # a byte of zero would not show in the table; added tokens in any case: spans are compared in lower case
+        hard = [r"\x00", *[f"(?i:{re.escape(t)})" for t in added], *[rf"{OTHER_SPACE}[\t-\r\x1c-\x20]"] * (not drops_space)]
+        self.hard = "|".join(hard)
         self.drops_space = drops_space
         self._prepare(path)
-        #: Ids by piece: as it stands after a space, or BARE and the piece where none is before it.
-        self.known: dict[str, bytes] = {}
+        self.classes = _byte_classes()
+        self.lower = np.arange(256, dtype="u1")
+        self.lower[65:91] += 32
+        self.masks = np.array([(1 << 8 * k) - 1 for k in range(9)], "u8")
+        self.table = SpanTable()
+        self._forget()
+
+    def _forget(self) -> None:
+        import numpy as np
+
+        self.table.clear()
+        self.long: dict[bytes, int] = {}
+        #: Ids of all known spans one after another, and for each span the place of its first one and their number.
+        self.ids, self.n_ids = np.zeros(1 << 16, "<u4"), 0
+        self.first, self.size, self.n = np.zeros(1 << 15, "i8"), np.zeros(1 << 15, "i4"), 0
 
     def _prepare(self, path: str) -> None:
         """A second tokenizer for plain words: the file's model without the steps that leave such words as they
@@ -62,81 +172,185 @@ class Encoder:
         vocabulary = self.words.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
-            self.edge[i] = token.endswith("</w>") if self.drops_space else token.startswith("\u0120")
+            self.edge[i] = token.endswith("</w>") if self.drops_space else token.startswith("Ġ")
 
-    def _plain(self, words: list[str]) -> list[bytes]:
+    def _plain(self, words: list[str]):
+        """(ids, their number for each word)."""
         import numpy as np
 
-        out: list[bytes] = []
-        for k in range(0, len(words), 2000):
-            own = words[k : k + 2000]
-            text = " ".join(own).lower() if self.drops_space else " ".join(own)
+        all_ids, sizes = [], []
+        for k in range(0, len(words), TOGETHER):
+            own = words[k : k + TOGETHER]
+            text = " ".join(own).lower() if self.drops_space else "".join(own)
             ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.edge[ids])
-            stops = 4 * (at + 1 if self.drops_space else np.append(at[1:], len(ids)))
+            stops = at + 1 if self.drops_space else np.append(at[1:], len(ids))
             if len(stops) != len(own):
                 raise ValueError("words and ids do not match")
-            data, start = ids.tobytes(), 0
-            for stop in stops.tolist():
-                out.append(data[start:stop])
-                start = stop
+            all_ids.append(ids)
+            sizes.append(np.diff(stops, prepend=0))
+        return np.concatenate(all_ids), np.concatenate(sizes)
+
+    def _whole(self, texts: list[str]):
+        import numpy as np
+
+        found = []
+        for k in range(0, len(texts), TOGETHER):
+            found += [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts[k : k + TOGETHER], add_special_tokens=False)]
+        return np.concatenate(found), np.array([len(f) for f in found])
+
+    def _learn(self, spans: list[bytes]):
+        """Encode the spans and give them numbers: (the first number, for each span its place after that)."""
+        import numpy as np
+
+        texts = [s.decode() for s in spans]
+        plain = np.fromiter((bool(PLAIN[self.drops_space](t)) for t in texts), bool, len(texts))
+        before, place = self.n, np.empty(len(texts), "i8")
+        for kind, encode in ((True, self._plain), (False, self._whole)):
+            own = np.flatnonzero(plain == kind)
+            if len(own):
+                place[own] = self.n - before + np.arange(len(own))
+                self._keep(*encode([texts[k] for k in own.tolist()]))
+        return before, place
+
+    def _keep(self, ids, sizes) -> None:
+        import numpy as np
+
+        if self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.append(self.ids[: self.n_ids], np.zeros(self.n_ids + 2 * len(ids), "<u4"))
+        if self.n + len(sizes) > len(self.size):
+            room = self.n + 2 * len(sizes)
+            self.first = np.append(self.first[: self.n], np.zeros(room, "i8"))
+            self.size = np.append(self.size[: self.n], np.zeros(room, "i4"))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.first[self.n : self.n + len(sizes)] = self.n_ids + np.cumsum(sizes) - sizes
+        self.size[self.n : self.n + len(sizes)] = sizes
+        self.n_ids, self.n = self.n_ids + len(ids), self.n + len(sizes)
+
+    def _cuts(self, data, offsets, hard):
+        """Where spans begin: at each text, and inside those that are not hard."""
+        import numpy as np
+
+        found, begins = [], offsets[:-1][np.diff(offsets) > 0]
+        for lo in range(0, len(data), SLICE):
+            back = min(lo, 2)
+            own = data[lo - back : lo + SLICE]
+            kind = self.classes[own]
+            if own.max() > 127:  # letters of two bytes
+                second = own[1:]
+                kind[1:][(own[:-1] == 0xC3) & (second > 127) & (second != 0x97) & (second != 0xB7)] = WORD
+            before, here = kind[:-1], kind[1:]
+            cut = np.zeros(len(own), bool)
+            white = here & CUT > 0
+            cut[1:] = (white if self.drops_space else white & (before & WHITE == 0)) | ((here & SIGN > 0) & (before & WORD > 0))
+            for start, stop in hard:
+                cut[max(0, start - lo + back) : max(0, stop - lo + back)] = False
+            cut = cut[back:]
+            cut[begins[np.searchsorted(begins, lo) : np.searchsorted(begins, lo + SLICE)] - lo] = True
+            found.append(np.flatnonzero(cut) + lo)
+        return np.concatenate(found) if found else np.empty(0, "i8")
+
+    def _words_of(self, data, starts, lengths):
+        """The spans' first WIDTH bytes as three machine words, zero beyond the span."""
+        import numpy as np
+
+        q, r = starts >> 3, ((starts & 7) << 3).astype("u8")
+        up, one = np.uint64(63) - r, np.uint64(1)
+        parts = [data[q + k] for k in range(4)]
+        return np.stack([((parts[k] >> r) | (parts[k + 1] << one << up)) & self.masks[np.clip(lengths - 8 * k, 0, 8)] for k in range(3)])
+
+    def _look_up(self, raw, aligned, lowered, starts, lengths):
+        """The number of each span; -1 for those too long to keep."""
+        import numpy as np
+
+        keys = self._words_of(aligned if lowered is None else lowered, starts, lengths)
+        if lowered is not None:  # lower case for ASCII alone: the library composes letters before it lowers them
+            other = np.flatnonzero((keys[0] | keys[1] | keys[2]) & np.uint64(0x8080808080808080))
+            keys[:, other] = self._words_of(aligned, starts[other], lengths[other])
+        h = self.table.mix(keys)
+        out = self.table.find(keys, h)
+        long = lengths > WIDTH
+        out[long] = -1
+        missing = np.flatnonzero((out < 0) & ~long)
+        if len(missing):
+            _, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            alike = (keys[:, missing] == keys[:, missing[first[back]]]).all(axis=0)
+            long[missing[~alike]] = True  # another span has the same hash
+            new = missing[first]
+            before, place = self._learn([raw[s : s + n] for s, n in zip(starts[new].tolist(), lengths[new].tolist(), strict=True)])
+            self.table.add(keys[:, new], h[new], before + place)
+            out[missing[alike]] = before + place[back[alike]]
+        at = np.flatnonzero(long & (lengths <= KEPT))
+        spans = [raw[s : s + n] for s, n in zip(starts[at].tolist(), lengths[at].tolist(), strict=True)]
+        unknown = list({s for s in spans if s not in self.long})
+        if unknown:
+            before, place = self._learn(unknown)
+            self.long.update(zip(unknown, (before + place).tolist(), strict=True))
+        out[at] = [self.long[s] for s in spans]
         return out
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode_ended(self, texts, end_id: int):
+        """encode() with one more id at the end of each text."""
+        import numpy as np
+
+        ids, ends = self.encode(texts)
+        ends = ends + np.arange(1, len(ends) + 1)
+        out = np.empty(len(ids) + len(ends), "<u4")
+        own = np.ones(len(out), bool)
+        own[ends - 1] = False
+        out[own], out[~own] = ids, end_id
+        return out, ends
 
-    def _parts(self, text: str) -> list[str] | None:
+    def encode(self, texts):
+        """texts: an Arrow array of strings -> (the ids of all texts, as little-endian unsigned 32-bit integers, and for
+        each text where its ids end). A null has none."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if self.n > CACHE:
+            self._forget()
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        n = len(texts)
+        offsets = np.frombuffer(texts.buffers()[1], "<i8", n + 1, 8 * texts.offset) if n else np.zeros(1, "i8")
+        total = int(offsets[-1] - offsets[0])
+        if not total:
+            return np.empty(0, "<u4"), np.zeros(n, "i8")
+        data = np.zeros((total + 7) // 8 * 8 + 32, "u1")
+        data[:total] = np.frombuffer(texts.buffers()[2], "u1")[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        raw = data[:total].tobytes()
+        hard = np.flatnonzero(pc.match_substring_regex(texts, self.hard).to_numpy(zero_copy_only=False))
+        begins = self._cuts(data[:total], offsets, [(int(offsets[k]), int(offsets[k + 1])) for k in hard])
+        of_text = np.searchsorted(begins, offsets)
+        starts, lengths = begins.copy(), np.diff(begins, append=total)
         if self.drops_space:
-            return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
-        if any(x in text for x in ASCII_PAIRS) or not text.isascii() and any(x in text for x in OTHER_PAIRS):
-            return None
-        parts = text.split(" ")
-        parts[0] = BARE + parts[0]
-        return parts
-
-    @staticmethod
-    def _unmarked(piece: str) -> list[str]:
-        """Signs after letters are encoded apart from them."""
-        found = MARKED(piece)
-        return [found[1], BARE + found[2]] if found else [piece]
-
-    def _pieces(self, part: str) -> list[str]:
-        """A line's end between other than white space is a piece of its own."""
-        if "\n" not in part:
-            return self._unmarked(part)
-        lines = part.split("\n")
-        if part.split() != lines:
-            return [part]
-        first, *rest = lines
-        return self._unmarked(first) + [p for line in rest for p in (BARE + "\n", *self._unmarked(BARE + line))]
-
-    def _learn(self, pieces: set[str]) -> set[str]:
-        """Add the plain words among the pieces to what is known, and return the others."""
-        plain = [p for p in pieces if PLAIN(p)]
-        self.known.update(zip(plain, self._plain(plain), strict=True))
-        return pieces.difference(plain)
-
-    def _look_up(self, parts: set[str]) -> dict[str, bytes]:
-        known = self.known
-        ids = dict(zip(parts, map(known.get, parts), strict=True))  # None: not known yet
-        missing = {p for p, i in ids.items() if i is None}
-        made = {p: self._pieces(p) for p in self._learn(missing)}
-        rest = list(self._learn({k for ks in made.values() for k in ks if k not in known}))
-        lead = "" if self.drops_space else " "
-        known.update(zip(rest, self.whole([k[1:] if k[:1] == BARE else lead + k for k in rest]), strict=True))
-        for p, ks in made.items():
-            known[p] = b"".join([known[k] for k in ks])
-        ids.update(zip(missing, map(known.__getitem__, missing), strict=True))
-        return ids
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; none for a null."""
-        parts = [None if t is None or BARE in t or self.holds_added(t) else self._parts(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        # the parts of these texts alone: a small table, looked up once for each of their places
-        ids = self._look_up(set(chain.from_iterable(ps for ps in parts if ps is not None))).__getitem__
-        return [b"" if t is None else self.whole([t])[0] if ps is None else b"".join(map(ids, ps)) for t, ps in zip(texts, parts, strict=True)]
+            space = self.classes[data[starts]] & CUT > 0
+            starts += space
+            lengths -= space
+        loose = np.zeros(len(starts), bool)
+        loose[of_text[hard]] = True  # hard texts are not kept
+        aligned = data.view("<u8")
+        lowered = self.lower[data].view("<u8") if self.drops_space else None
+        number = np.full(len(starts), -1, "i8")
+        for k in range(0, len(starts), CHUNK):
+            own = k + np.flatnonzero(~loose[k : k + CHUNK])
+            number[own] = self._look_up(raw, aligned, lowered, starts[own], lengths[own])
+        known = self.n, self.n_ids
+        rest = np.flatnonzero(number < 0)
+        if len(rest):
+            self._keep(*self._whole([raw[s : s + m].decode() for s, m in zip(starts[rest].tolist(), lengths[rest].tolist(), strict=True)]))
+            number[rest] = known[0] + np.arange(len(rest))
+        sizes = self.size[number]
+        ends = np.cumsum(sizes, dtype="i8")
+        out = np.empty(int(ends[-1]), "<u4")
+        for k in range(0, len(starts), CHUNK):
+            own = slice(k, k + CHUNK)
+            lo = int(ends[k] - sizes[k])
+            hi = int(ends[own][-1])
+            out[lo:hi] = self.ids[np.repeat(self.first[number[own]] - (ends[own] - sizes[own]), sizes[own]) + np.arange(lo, hi)]
+        self.n, self.n_ids = known
+        return out, np.append(0, ends)[of_text[1:]]
 
 
 @cache
@@ -145,12 +359,13 @@ def encoder(path: str, drops_space: bool) -> Encoder:
     return Encoder(path, drops_space, spells_added=False)
 
 
-def release() -> None:
-    """Free the words that an earlier job left in a worker that is used again."""
-    encoder.cache_clear()
-
+def spread(texts):
+    """Slices of an Arrow array of texts of about SLICE bytes, so that a batch's spans don't stand in memory all at
+    once."""
+    import numpy as np
+    import pyarrow.compute as pc
 
-def spread(texts: list, n: int = 256):
-    """Slices of so many texts, so that a batch's parts don't stand in memory all at once."""
-    for k in range(0, len(texts), n):
-        yield slice(k, k + n)
+    if len(texts):
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
+        yield from (slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False))

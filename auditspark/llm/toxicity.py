@@ -18,7 +18,6 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.tokens import release
 from auditspark.session import materialise, read_table
 
 #: Category -> its label as an expression on the labels table, in chain order.
@@ -93,7 +92,6 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, st
         import numpy as np
         import pyarrow as pa
 
-        release()
         for batch in batches:
             out = []
             for text in batch.column(1):
@@ -183,7 +181,6 @@ def learner(k: int, chosen: dict[int, list[int]]):
         import numpy as np
         import pyarrow as pa
 
-        release()
         model, fold = table.column("model")[0].as_py(), table.column("fold").to_numpy()
         x = np.zeros((table.num_rows, len(chosen[model])), "f4")
         for row, places, v in zip(x, table.column("places"), table.column("v"), strict=True):
@@ -244,7 +241,6 @@ def score(docs: DataFrame, models: list[dict], names: list[str]) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        release()
         chain_of = shared.value
         features = sorted({f for m in chain_of for f in m["features"]})
         place = {f: k for k, f in enumerate(features)}
