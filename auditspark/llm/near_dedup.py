@@ -2,15 +2,19 @@
 
 1. Every text gets the set of its word shingles and a signature of 16-bit MinHash symbols. Equal sets become
    one representative, by grouping.
-2. A signature is split into CHUNKS chunks. Of two signatures that differ in at most 2 * CHUNKS - 1 symbols
-   one chunk at least has no more than one wrong symbol (pigeonhole). The allowed error is enumerated: a chunk
-   gives one key for each symbol left out, so that such a pair shares a key. All pairs under that distance
-   are found; how many symbols a chunk has is set so that pairs at the wanted similarity are under it but for
-   about one in a million.
-3. Representatives that share a key hang on the key's smallest one: a star, not all pairs. Components of the
-   stars are clusters; no link can leave one.
-4. In a cluster, links are confirmed on the full sets. A cluster is dealt to blocks of bounded size, and every
-   two blocks meet in a task of their own, which returns what connects their members, not their pairs.
+2. A signature is split into chunks. Of two signatures that differ in at most 2 * chunks - 1 symbols one chunk
+   at least has no more than one wrong symbol (pigeonhole). The allowed error is enumerated: a chunk gives one
+   key for each symbol left out, so that such a pair shares a key. All pairs under that distance are found; the
+   layout is set so that pairs at the wanted similarity share a key but for about one in a million, and that
+   unlike texts seldom do.
+3. Representatives that share a key hang on the key's smallest one: a star, not all pairs. Each representative
+   is compared with the nearest of its centres, on the full sets. That costs one comparison a representative, and
+   connects a large group of near copies, if not always all of it.
+4. A key is open if what hangs on it isn't connected yet. In open keys signatures are compared; what is less alike than
+   any pair at the wanted similarity could seem (UNLIKE) is left apart, so unlike texts that share a key make no cluster.
+   Clusters are what the rest connects; no link can leave one. They are confirmed on the full sets.
+   Groups of either kind are dealt to blocks of bounded size, and every two blocks meet in a task of their own, which
+   returns what connects their members, not their pairs. Two blocks of one connected group don't meet.
 5. Components of the confirmed links; the smallest doc_id names each.
 """
 
@@ -22,11 +26,13 @@ from pyspark.sql import functions as F
 from auditspark.llm.components import connected_components
 from auditspark.session import materialise, read_table
 
-CHUNKS = 16
-#: Symbols of a chunk: with 5, pairs at 0.85 exceed the distance in 1 of 19 million cases, with 4, pairs at 0.8
-#: in 1 of 12 million.
-SYMBOLS = {85: 5, 80: 4}
-#: Members and shingles of a block, and clustered representatives whose ids are broadcast.
+#: Least similarity in percent -> (chunks, symbols of a chunk): pairs at 0.85 share no key in 1 of 1.1 million cases,
+#: pairs at 0.8 in 1 of 2.2 million; pairs at 0.3 share one in 2 (9) of 100, pairs at 0.2 in 0.1 (0.8) of 100.
+LAYOUT = {85: (13, 8), 80: (17, 7)}
+#: Share of equal symbols under which a pair counts as unlike, by the least similarity. At that similarity so few are equal
+#: in less than one of 10 ** 9 cases.
+UNLIKE = {85: 0.58, 80: 0.55}
+#: Members and shingles of a block, and representatives whose ids are broadcast.
 BLOCK_ROWS, BLOCK_SHINGLES, BROADCAST_ROWS = 1000, 500_000, 500_000
 SEED = 20_240_229
 
@@ -55,97 +61,226 @@ def shingle_set(text: str | None, words: int):
 class Signer:
     """Signatures of sets, and the keys of their chunks."""
 
-    def __init__(self, symbols: int):
+    def __init__(self, chunks: int, symbols: int):
         import numpy as np
 
         rng = np.random.default_rng(SEED)
-        draw = lambda *shape: rng.integers(0, 2**64, shape, "u8", endpoint=False)
-        self.symbols, self.n = symbols, CHUNKS * symbols
-        self.by, self.plus = draw(self.n) | np.uint64(1), draw(self.n)
-        self.weights, self.marks = draw(CHUNKS, symbols) | np.uint64(1), draw(CHUNKS, symbols)
+        draw = lambda bits, *shape: rng.integers(0, 2**bits, shape, f"u{bits // 8}", endpoint=False)
+        self.chunks, self.symbols, self.n = chunks, symbols, chunks * symbols
+        self.by, self.plus = draw(32, self.n, 1) | np.uint32(1), draw(32, self.n, 1)
+        self.weights, self.marks = draw(64, chunks, symbols) | np.uint64(1), draw(64, chunks, symbols)
 
     def signature(self, shingles):
         """n 16-bit symbols, each from the least of the set under a hash of its own."""
         import numpy as np
 
-        least = np.full(self.n, 2**64 - 1, "u8")
-        for k in range(0, len(shingles), 2048):
-            least = np.minimum(least, (shingles[k : k + 2048, None] * self.by + self.plus).min(axis=0))
-        least = (least ^ (least >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-        return least >> np.uint64(48)
+        short = (shingles >> np.uint64(32)).astype("u4")
+        least = np.full(self.n, 2**32 - 1, "u4")
+        for k in range(0, len(short), 1024):
+            least = np.minimum(least, (short[None, k : k + 1024] * self.by + self.plus).min(axis=1))
+        least = (least ^ (least >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        least = (least ^ (least >> np.uint32(12))) * np.uint32(0x297A2D39)
+        return (least >> np.uint32(16)).astype("<u2")
 
-    def keys(self, signature):
-        """CHUNKS x symbols keys: of every chunk, one for each symbol left out."""
+    def keys(self, signatures):
+        """rows x (chunks * symbols) keys: of every chunk, one for each symbol left out."""
         import numpy as np
 
-        parts = (signature.reshape(CHUNKS, self.symbols) + np.uint64(1)) * self.weights
+        parts = (signatures.astype("u8").reshape(-1, self.chunks, self.symbols) + np.uint64(1)) * self.weights
         parts ^= parts >> np.uint64(32)
         parts *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed = parts.sum(axis=1, keepdims=True) - parts + self.marks
+        mixed = parts.sum(axis=2, keepdims=True) - parts + self.marks
         mixed ^= mixed >> np.uint64(30)
         mixed *= np.uint64(0x94D049BB133111EB)
-        return (mixed ^ (mixed >> np.uint64(31))).view("i8").ravel()
+        return (mixed ^ (mixed >> np.uint64(31))).view("i8").reshape(-1, self.n)
 
 
-def sign(docs: DataFrame, words: int, symbols: int) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b long, keys array<long>); set_a and set_b are a 128-bit hash of the set."""
+def sign(docs: DataFrame, words: int, chunks: int, symbols: int) -> DataFrame:
+    """(doc_id, n_shingles, set_a, set_b long, signature binary); set_a and set_b are a 128-bit hash of the set."""
 
     def work(batches):
         import numpy as np
         import pyarrow as pa
         import xxhash
 
-        signer = Signer(symbols)
+        signer = Signer(chunks, symbols)
         for batch in batches:
-            sizes, ids, keys = [], [], []
+            sizes, ids, signatures = [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), words)
-                digest = xxhash.xxh3_128_digest(s.tobytes())
                 sizes.append(len(s))
-                ids.append(np.frombuffer(digest, "<i8"))
-                keys.append(signer.keys(signer.signature(s)) if len(s) else np.empty(0, "i8"))
+                ids.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8"))
+                signatures.append(signer.signature(s).tobytes() if len(s) else None)
             both = np.array(ids, "i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "keys"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(signatures, pa.binary())],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "signature"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
 
 
-def clusters(signed: DataFrame) -> DataFrame:
-    """(node, component) of the representatives that share a key with another, directly or by way of more."""
-    reps = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("rep"))
-    keyed = reps.select("rep", F.explode_outer("keys").alias("key"))
+def hang(reps: DataFrame, chunks: int, symbols: int) -> DataFrame:
+    """reps(rep, signature) -> (key, rep, first): the keys that more than one has, each with its smallest one."""
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        signer = Signer(chunks, symbols)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                keys = signer.keys(np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(-1, signer.n))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), signer.n))], names=["key", "rep"])
+
+    keyed = materialise(reps.select("rep", "signature").mapInArrow(work, "key long, rep long"), "keyed")
     first = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
-    stars = keyed.join(first, "key").filter("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    return connected_components(stars)
+    return materialise(keyed.join(first, "key"), "hung")
 
 
-def confirmed_links(docs: DataFrame, clustered: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): links that connect, in each cluster, whatever pairs with so large a similarity connect."""
-    spark = docs.sparkSession
-    members = clustered.join(sizes.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), F.col("node") == F.col("doc_id")).select("node", "component", "n_shingles")
-    wide = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n_blocks"))
-    members = materialise(members.join(wide, "component").select(F.col("node").alias("doc_id"), "component", "n_blocks"), "members")
-    small = members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = docs.select("doc_id", "text").join(F.broadcast(members) if small else members, "doc_id")
-
-    def sets(batches):
+def alike_pairs(hung: DataFrame, reps: DataFrame, unlike: float) -> DataFrame:
+    """(rep, first, alike): representatives and the centres they hang on, if the share of equal symbols is enough."""
+    pairs = hung.filter("rep <> first").select("rep", "first").distinct()
+    own = reps.select("rep", F.col("signature").alias("s"))
+    both = pairs.join(own, "rep").join(own.select(F.col("rep").alias("first"), F.col("s").alias("t")), "first").select("rep", "first", "s", "t")
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            s, t = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(batch.num_rows, -1) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((s == t).mean(axis=1))], names=["rep", "first", "alike"])
+
+    return materialise(both.mapInArrow(work, "rep long, first long, alike double").filter(F.col("alike") >= unlike), "alike")
+
+
+def nearest_centres(alike: DataFrame) -> DataFrame:
+    """(rep, centre): the centre that is most like each representative; of equals the smallest."""
+    return alike.groupBy("rep").agg(F.max(F.struct("alike", (-F.col("first")).alias("first"))).alias("m")).select("rep", (-F.col("m.first")).alias("centre"))
+
+
+def with_sets(docs: DataFrame, seats: DataFrame, words: int) -> DataFrame:
+    """docs(doc_id, text), seats(doc_id, seat array<struct>) -> (seat, doc_id, shingles array<long>) for each seat: a
+    document's set is made once, whatever the number of its seats. Only seated documents' texts are read into Python."""
+    seats = materialise(seats, "seats")
+    small = seats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = docs.select("doc_id", "text").join(F.broadcast(seats.select("doc_id")) if small else seats.select("doc_id"), "doc_id")
+
+    def work(batches):
         import pyarrow as pa
 
         for batch in batches:
             found = [shingle_set(t.as_py(), words).view("i8") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "component", "n_blocks", "shingles"])
-
-    own = F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int")
-    met = (
-        texts.select("doc_id", "text", "component", "n_blocks")
-        .mapInArrow(sets, "doc_id long, component long, n_blocks int, shingles array<long>")
-        .withColumn("own", own)
-        .withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "shingles")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    sets = texts.select("doc_id", "text").mapInArrow(work, "doc_id long, shingles array<long>")
+    return sets.join(F.broadcast(seats) if small else seats, "doc_id").select(F.explode_outer("seat").alias("seat"), "doc_id", "shingles")
+
+
+def star_links(docs: DataFrame, centred: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): the links between representatives and their centres. What hangs on a centre is dealt to parts of
+    bounded size, and the centre goes to each."""
+    counted = centred.groupBy(F.col("centre").alias("c")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    members = centred.join(counted, F.col("centre") == F.col("c")).select(F.col("rep").alias("doc_id"), F.struct("centre", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part")).alias("s"))
+    centres = counted.select(F.col("c").alias("doc_id"), F.explode_outer(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.col("c").alias("centre"), k.alias("part")))).alias("s"))
+    seats = members.unionByName(centres).groupBy("doc_id").agg(F.collect_list("s").alias("seat"))
+
+    def confirm(table):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, centre = table.column("doc_id").to_numpy(), table.column("centre")[0].as_py()
+        sets = [x.values.to_numpy() for x in table.column("shingles")]
+        middle = next((s for i, s in zip(ids, sets, strict=True) if i == centre), np.empty(0, "i8"))
+        shared = np.array([np.intersect1d(s, middle, assume_unique=True).size for s in sets])
+        sizes = np.array([len(s) for s in sets])
+        found = ids[(100 * shared >= percent * (sizes + len(middle) - shared)) & (ids != centre)]
+        return pa.table({"a": pa.array(found), "b": pa.array(np.full(len(found), centre))})
+
+    seated = with_sets(docs, seats, words).select(F.col("seat.centre").alias("centre"), F.col("seat.part").alias("part"), "doc_id", "shingles")
+    return seated.groupBy("centre", "part").applyInArrow(confirm, "a long, b long")
+
+
+def blocks(members: DataFrame) -> DataFrame:
+    """members(component, rep, label, n_shingles) -> (component, lo, hi, own, rep): each member in the pairs of blocks
+    that it takes part in. Members with one label are connected already."""
+    groups = members.groupBy("component", "label").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n"), F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles"))
+    # a connected group of more than a block has blocks of its own; the others share blocks, which come first
+    large = F.col("n") > 1
+    shared = groups.groupBy("component").agg(
+        F.greatest(F.ceil(F.sum(F.when(~large, F.col("rows"))) / BLOCK_ROWS), F.ceil(F.sum(F.when(~large, F.col("shingles"))) / BLOCK_SHINGLES), F.lit(0)).cast("int").alias("shared"),
+        F.array_sort(F.collect_list(F.when(large, F.struct("label", "n")))).alias("large"),
     )
+    before = F.aggregate(F.filter("large", lambda g: g.label < F.col("label")), F.col("shared"), lambda n, g: n + g.n)
+    total = F.aggregate("large", F.col("shared"), lambda n, g: n + g.n)
+    own_n = F.aggregate(F.filter("large", lambda g: g.label == F.col("label")), F.lit(0), lambda n, g: n + g.n)
+    placed = members.join(shared, "component").select("component", "rep", "shared", before.alias("base"), own_n.alias("own_n"), total.alias("total"))
+    placed = placed.withColumn("own", F.when(F.col("own_n") > 0, F.col("base") + F.pmod(F.xxhash64("rep"), "own_n")).otherwise(F.pmod(F.xxhash64("rep"), F.greatest("shared", F.lit(1)))).cast("int"))
+    met = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda k: (F.col("own_n") == 0) | (k < F.col("base")) | (k >= F.col("base") + F.col("own_n")))
+    return placed.select("component", "rep", "own", F.explode(met).alias("k")).select("component", F.least("own", "k").alias("lo"), F.greatest("own", "k").alias("hi"), "own", "rep")
+
+
+def bucket_links(members: DataFrame, reps: DataFrame, unlike: float) -> DataFrame:
+    """(a, b): what connects the members of each group, members(component, rep, label, n_shingles), whose signatures
+    are alike, where that are members with different labels."""
+    own = reps.select("rep", "signature")
+    seated = blocks(members).join(members.select("component", "rep", "label"), ["component", "rep"]).join(own, "rep")
+    rows = seated.select("component", "lo", "hi", "own", "rep", "label", "signature")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def connect(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def found(ids, side, labels, s):
+            of = connected_by(lambda k: (s[k, None] == s[None, :, :]).mean(axis=2) >= unlike, len(ids), side)
+            for part in np.unique(of):
+                at = np.flatnonzero(of == part)
+                if len(at) > 1 and (labels[at] != labels[at[0]]).any():
+                    yield from ((i, ids[at[0]]) for i in ids[at[1:]].tolist())
+
+        left = None
+        for batch in (*batches, None):
+            table = left if batch is None else pa.table(batch) if left is None else pa.concat_tables([left, pa.table(batch)])
+            if table is None or not table.num_rows:
+                continue
+            group = np.stack([table.column(k).to_numpy() for k in range(3)])
+            cuts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1).tolist(), table.num_rows]
+            done = len(cuts) - 1 if batch is None else len(cuts) - 2  # the last group may go on in the next batch
+            left = table.slice(cuts[done]).combine_chunks()
+            if not done:
+                continue
+            side, ids, labels = (table.column(k).to_numpy() for k in (3, 4, 5))
+            s = np.frombuffer(b"".join(table.column(6).slice(0, cuts[done]).to_pylist()), "<u2").reshape(cuts[done], -1).astype("u1")
+            out = [x for a, b in zip(cuts[:done], cuts[1:], strict=False) for x in found(ids[a:b], side[a:b] if group[1, a] != group[2, a] else None, labels[a:b], s[a:b])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    keys = ["component", "lo", "hi"]
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(connect, "a long, b long")
+
+
+def unconnected(hung: DataFrame, joined: DataFrame, alike: DataFrame, reps: DataFrame, unlike: float) -> DataFrame:
+    """(component, rep, label, n_shingles): clusters of representatives that may have links which aren't known yet.
+    joined(node, component): what is connected already."""
+    labels = joined.select(F.col("node").alias("rep"), F.col("component").alias("label"))
+    label = F.coalesce("label", "rep").alias("label")
+    labelled = hung.join(labels, "rep", "left").select("key", "rep", label)
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("n")).filter("l < m AND n > 2").select("key")
+    members = materialise(labelled.join(open_keys, "key").select(F.col("key").alias("component"), "rep", "label", F.lit(0).cast("long").alias("n_shingles")).distinct(), "open")
+    # a key of two is the pair of its star
+    pairs = alike.join(labels, "rep", "left").select("first", "rep", label).join(labels.select(F.col("rep").alias("first"), F.col("label").alias("other")), "first", "left").filter(F.col("label") != F.coalesce("other", "first"))
+    links = materialise(bucket_links(members, reps, unlike).unionByName(pairs.select(F.col("rep").alias("a"), F.col("first").alias("b"))).distinct(), "candidates")
+    found = connected_components(links).select(F.col("node").alias("rep"), "component")
+    sizes = reps.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"))
+    return materialise(found.join(labels, "rep", "left").join(sizes, "rep").select("component", "rep", label, "n_shingles"), "members")
+
+
+def block_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): links that connect, in each cluster, whatever pairs with so large a similarity connect."""
+    seat = F.struct("component", "lo", "hi", "own")
+    seats = blocks(members).groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(seat).alias("seat"))
 
     def confirm(table):
         import numpy as np
@@ -160,7 +295,8 @@ def confirmed_links(docs: DataFrame, clustered: DataFrame, sizes: DataFrame, wor
         keep = to != ids
         return pa.table({"a": ids[keep], "b": to[keep]})
 
-    return met.groupBy("component", "lo", "hi").applyInArrow(confirm, "a long, b long")
+    seated = with_sets(docs, seats, words).select(*[F.col(f"seat.{c}").alias(c) for c in ("component", "lo", "hi", "own")], "doc_id", "shingles")
+    return seated.groupBy("component", "lo", "hi").applyInArrow(confirm, "a long, b long")
 
 
 def components_of(sets: list, percent: int, side=None):
@@ -187,15 +323,26 @@ def components_of(sets: list, percent: int, side=None):
         shared[np.ix_(some, some)] += dense @ dense.T
     shared = shared.astype("i8")
     linked = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
-    if side is not None:
-        linked &= side[:, None] != side[None, :]
+    return connected_by(lambda k: linked[k], n, side)
+
+
+def connected_by(linked, n: int, side=None):
+    """A number for each of n things. linked: for the numbers of some, a row each of what they are linked with.
+    side: if given, only links between different sides count."""
+    import numpy as np
+
     label = np.full(n, -1)
     for k in range(n):
         if label[k] < 0:
             label[k] = k
             edge = np.array([k])
-            while len(edge):
-                edge = np.flatnonzero(linked[edge].any(axis=0) & (label < 0))
+            while len(edge) and (label < 0).any():
+                reached = np.zeros(n, bool)
+                for at in range(0, len(edge), 64):
+                    own = edge[at : at + 64]
+                    rows = linked(own)
+                    reached |= (rows if side is None else rows & (side[own, None] != side[None, :])).any(axis=0)
+                edge = np.flatnonzero(reached & (label < 0))
                 label[edge] = k
     return label
 
@@ -211,18 +358,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     component_id and are kept; rows that share an id are judged each by its text (equal rows agree); an empty
     table gives an empty one; other columns are ignored.
     """
-    symbols = SYMBOLS[max((p for p in SYMBOLS if p <= percent), default=80)]
-    if percent < 80:
+    if percent < min(LAYOUT):
         raise ValueError("signatures are laid out for similarities of 80 percent or more")
+    least = max(p for p in LAYOUT if p <= percent)
+    (chunks, symbols), unlike = LAYOUT[least], UNLIKE[least]
     docs = docs.select("doc_id", "text")
-    signed = materialise(sign(docs, words, symbols), "signed")
-    found = materialise(clusters(signed), "clusters")
-    links = confirmed_links(docs, found, signed.select("doc_id", "n_shingles"), words, percent)
-    joined = connected_components(links)
-    same = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
+    signed = materialise(sign(docs, words, chunks, symbols), "signed")
+    proper = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    one = F.min(F.struct("doc_id", "n_shingles", "signature")).alias("r")
+    reps = materialise(proper.groupBy("set_a", "set_b").agg(one).select(F.col("r.doc_id").alias("rep"), "r.n_shingles", "r.signature"), "reps")
+    hung = hang(reps, chunks, symbols)
+    alike = alike_pairs(hung, reps, unlike)
+    links = materialise(star_links(docs, nearest_centres(alike), words, percent), "star-links")
+    members = unconnected(hung, connected_components(links), alike, reps, unlike)
+    more = materialise(block_links(docs, members, words, percent), "block-links")
+    joined = connected_components(links.unionByName(more))
+    same = proper.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     named = same.join(joined, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("of_set"))
     component = F.when(F.col("n_shingles") > 0, F.col("of_set")).otherwise(F.col("doc_id"))
-    out = signed.drop("keys").join(named, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    out = signed.drop("signature").join(named, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
