@@ -9,6 +9,8 @@ that the distance leaves.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +23,19 @@ HELD = 500_000
 UNKNOWN = "und"
 
 
-def letters(text: str) -> str:
-    """Lower case, everything but letters as a single space, a space at either end."""
+@cache
+def letter_runs():
+    r"""Finds runs of letters (Unicode category L): of what \w takes, all but digits, other numbers and the underscore."""
     import re
+    import sys
+
+    numbers = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+    return re.compile(rf"[^\W\d_{''.join(numbers)}]+").findall
 
-    return " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+
+def letters(text: str) -> str:
+    """Lower case, everything but letters as a single space, a space at either end."""
+    return " " + " ".join(letter_runs()(text.lower())) + " "
 
 
 def grams(text: str):
