@@ -46,7 +46,7 @@ def text_part(text: Column) -> Column:
 
 
 def _flat(part: Column) -> Column:
-    shown = F.when(part.kind == "text", escape(F.coalesce(part.text, F.lit(""))))
+    shown = F.when(part.kind == "text", escape(part.text))
     for kind, mark in PLACEHOLDERS.items():
         shown = shown.when(part.kind == kind, F.lit(mark))
     return shown.otherwise(F.lit(UNKNOWN))
@@ -66,27 +66,19 @@ def format_chats(turns: DataFrame, learn_from: tuple[str, ...] = ("assistant",))
     attachments, in order, an array of (turn_index, kind, uri, tokens); expanded_tokens long, their sum.
 
     A conversation is one string and so one row: one that is as long as a large share of the table takes the
-    memory of its text. Defined results: turns go by turn (nulls first), then role, then body, so ties and
-    repeated rows are kept in a fixed order; null roles, parts and texts are empty; a part of unknown kind
+    memory of its text. Defined results: turns go by turn (nulls first), then role, then the texts of
+    their parts before escaping, so ties and repeated rows are kept in a fixed order; null roles, parts and texts are empty; a part of unknown kind
     becomes <|attachment|> with 0 tokens; a null conv_id is a conversation of its own; an empty table gives
     an empty table; other columns are ignored.
     """
-    parts = F.coalesce(F.col("parts"), F.array().cast(PARTS))
-    loose = F.filter("parts", lambda p: ~p.kind.eqNullSafe("text"))
-    one = (
-        turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
-        .select(
-            "conv_id",
-            F.struct(
-                "turn",
-                "role",
-                F.array_join(F.transform("parts", _flat), "").alias("body"),
-                F.transform(loose, lambda p: F.struct(p.kind.alias("kind"), p.uri.alias("uri"), _tokens(p).alias("tokens"))).alias("loose"),
-            ).alias("t"),
-        )
-        .groupBy("conv_id")
-        .agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    # texts first: ties go by the texts as they are, not as they are escaped
+    parts = F.transform(
+        F.coalesce("parts", F.array().cast(PARTS)),
+        lambda p: F.struct(F.when(p.kind.eqNullSafe("text"), F.coalesce(p.text, F.lit(""))).alias("text"), *[p[c].alias(c) for c in ("kind", "uri", "width", "height", "seconds", "pages")]),
     )
+    one = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts")).alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    loose = lambda t: F.transform(F.filter(t.parts, lambda p: ~p.kind.eqNullSafe("text")), lambda p: F.struct(p.kind.alias("kind"), p.uri.alias("uri"), _tokens(p).alias("tokens")))
+    one = one.select("conv_id", F.transform("ts", lambda t: F.struct(t.role.alias("role"), F.array_join(F.transform(t.parts, _flat), "").alias("body"), loose(t).alias("loose"))).alias("ts"))
     head = F.length(F.lit(START)) + F.length(F.lit(BODY))
     shown = F.transform("ts", lambda t: F.concat(F.lit(START), escape(t.role), F.lit(BODY), t.body, F.lit(END)))
     spans = F.filter(
