@@ -8,11 +8,12 @@ import zlib
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from auditspark.llm import best_fit, chat_format, decontaminate, fingerprints, language_id, line_dedup, near_dedup, shard_lookup, sorted_table, toxicity
+from auditspark.llm import best_fit, chat_format, decontaminate, fingerprints, language_id, line_dedup, near_dedup, shard_lookup, sorted_table, tokens, toxicity
 from auditspark.llm.components import connected_components
 from auditspark.llm.tokens import Encoder, encoder
 from auditspark.session import scratch_path
@@ -79,7 +80,30 @@ def test_decontaminate_odd(spark):
     assert decontaminate.contaminated(table(spark, ODD), items.limit(0)).count() == 0
 
 
+def test_decontaminate_finds_items_shorter_than_a_shingle(spark):
+    items = [(1, "capital of France"), (2, "Zebra!"), (3, "one two three four"), (4, "one two three four five six"), (5, "...")]
+    docs = [(1, "the Capital, of france is"), (2, "capital france of"), (3, "a zebra"), (4, "zebras"), (5, "one two three four five"), (6, "zebra capital of france one two three four five six")]
+
+    def own(text, n):
+        w = [x for x in re.split(r"[\W_]+", text.lower()) if x]
+        return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+
+    size = {i: min(5, len(re.findall(r"[^\W_]+", t))) for i, t in items}
+    want = set()
+    for d, text in docs:
+        for i, t in items:
+            if size[i] and len(own(t, size[i]) & own(text, size[i])) >= 0.8 * len(own(t, size[i])):
+                want.add((d, i))
+    got = decontaminate.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want == {(1, 1), (3, 2), (5, 3), (6, 1), (6, 2), (6, 3), (6, 4)}
+
+
 # 2, 4: tokens -------------------------------------------------------------------------------------
+def encoded(words, texts):
+    ids, ends = words.encode(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+
+
 @pytest.mark.parametrize(("path", "drops"), [(WORD, True), (BYTE, False)])
 def test_encoder_equals_whole_text(spark, path, drops):
     plain = Tokenizer.from_file(path)
@@ -92,9 +116,8 @@ def test_encoder_equals_whole_text(spark, path, drops):
     latin = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x250))]
     texts += [" ".join("".join(rng.choice(latin) for _ in range(rng.randint(1, 12))) for _ in range(40)) for _ in range(60)]
     texts += [" ".join("".join(rng.choice("aeinrst") for _ in range(rng.randint(1, 12))) for _ in range(3000))]
-    for text, got in zip(texts, Encoder(path, drops).encode(texts), strict=True):
-        ids = plain.encode(text, add_special_tokens=False).ids
-        assert [int.from_bytes(got[k : k + 4], "little") for k in range(0, len(got), 4)] == ids, repr(text)
+    for text, got in zip(texts, encoded(Encoder(path, drops), texts), strict=True):
+        assert got == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 @pytest.mark.parametrize(("path", "drops"), [(WORD, True), (BYTE, False)])
@@ -104,9 +127,44 @@ def test_worker_encoder_equals_plain_tokenizer(spark, path, drops):
     rng = random.Random(3)
     texts = [t for _, t in documents(spark, 30)] + ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y", "<|ENDOFTEXT|> z"]
     texts += ["".join(rng.choice(marks) for _ in range(12)) for _ in range(300)]
-    for text, got in zip(texts, encoder(path, drops).encode(texts), strict=True):
-        ids = plain.encode(text, add_special_tokens=False).ids
-        assert [int.from_bytes(got[k : k + 4], "little") for k in range(0, len(got), 4)] == ids, repr(text)
+    for text, got in zip(texts, encoded(encoder(path, drops), texts), strict=True):
+        assert got == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize(("path", "drops"), [(WORD, True), (BYTE, False)])
+@pytest.mark.parametrize("case", ["as it is", "one hash for all", "small slices", "forgets", "grows"])
+def test_encoder_in_tight_places(monkeypatch, path, drops, case):
+    """Spans that share a hash, that lie on the border of two slices, and a table that is emptied or enlarged."""
+    if case == "one hash for all":
+        monkeypatch.setattr(tokens.SpanTable, "mix", lambda self, keys: keys[0] * 0 + 5)
+    if case == "small slices":
+        monkeypatch.setattr(tokens, "SLICE", 7)
+        monkeypatch.setattr(tokens, "CHUNK", 5)
+    if case == "forgets":
+        monkeypatch.setattr(tokens, "CACHE", 50)
+    rng = random.Random(case)
+    marks = [" ", " ", " ", "\n", "\n", "\t", "\r", "\x1c", "\x1f", "\x00", "\u0085", "\u00a0", "\u2003", "\u3000", "'s", "'", "a", "Bc", "'Ll", "1", "23", ".", ",", "<", "=", "\u0338", "\u0301", "é", "É", "×", "÷", "Σ", "İ", "ß", "ÿ", "漢字", "😀", "<|endoftext|>", "_", "-" * 30, "x" * 23, "y" * 24, "z" * 130]
+    plain, words = Tokenizer.from_file(path), Encoder(path, drops, spells_added=False)
+    for _ in range(12):
+        texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 25))) for _ in range(60)]
+        if case == "grows":
+            texts = [" ".join("".join(rng.choices("aeinrst", k=6)) for _ in range(900)) for _ in range(6)]
+        for text, got in zip(texts, encoded(words, texts), strict=True):
+            assert got == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    assert case != "grows" or words.table.n > 1 << 15
+
+
+def test_encoder_takes_nulls_and_slices():
+    words = encoder(BYTE, False)
+    texts = pa.array(["left out", None, "", "a b", None])[1:]
+    ids, ends = words.encode(texts)
+    assert ids.tolist() == Tokenizer.from_file(BYTE).encode("a b").ids and ends.tolist() == [0, 0, 2, 2]
+    assert words.encode_ended(texts, 2)[0].tolist() == [2, 2, *ids.tolist(), 2, 2]
+    assert [len(x) for x in words.encode(pa.array([], pa.string()))] == [0, 0]
+    assert [len(x) for x in words.encode(pa.array([None], pa.string()))] == [0, 1]
+    many = pa.array(["x" * 1000, None, ""] * 10_000)
+    cuts = list(tokens.spread(many))
+    assert len(cuts) > 1 and [c.start for c in cuts] == [0, *[c.stop for c in cuts[:-1]]] and cuts[-1].stop == len(many)
 
 
 def test_packing_and_tables_keep_added_tokens(spark):
@@ -319,13 +377,66 @@ def test_multi_index_finds_all_under_distance():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    for symbols in (4, 5):
-        signer = near_dedup.Signer(symbols)
+    for chunks, symbols in near_dedup.LAYOUT.values():
+        signer = near_dedup.Signer(chunks, symbols)
         for _ in range(300):
-            a = rng.integers(0, 2**16, signer.n, "u8")
+            a = rng.integers(0, 2**16, signer.n, "u2")
             b = a.copy()
-            b[rng.choice(signer.n, 2 * near_dedup.CHUNKS - 1, replace=False)] ^= np.uint64(1)
-            assert set(signer.keys(a)) & set(signer.keys(b))
+            b[rng.choice(signer.n, 2 * chunks - 1, replace=False)] ^= np.uint16(1)
+            one, other = signer.keys(np.stack([a, b]))
+            assert set(one) & set(other)
+
+
+@pytest.mark.parametrize(("percent", "chunks", "symbols"), [(p, *x) for p, x in near_dedup.LAYOUT.items()])
+def test_layout_misses_one_in_a_million(percent, chunks, symbols):
+    s = percent / 100
+    assert (1 - s**symbols - symbols * s ** (symbols - 1) * (1 - s)) ** chunks < 1.01e-6
+
+
+def test_signatures_estimate_resemblance():
+    import numpy as np
+
+    rng, signer = np.random.default_rng(2), near_dedup.Signer(13, 8)
+    alike = []
+    for _ in range(200):
+        s = rng.integers(0, 2**64, 460, "u8", endpoint=False)
+        alike.append((signer.signature(s[:400]) == signer.signature(s[60:])).mean())
+    assert abs(np.mean(alike) - 340 / 460) < 0.01
+
+
+def templated(rng, n, own):
+    """Texts that share a template but for so many words, resemblance 0.2 to 0.4 by 3-word shingles."""
+    frame = [f"t{k}" for k in range(60)]
+    return [(k, " ".join([*frame, *[f"w{rng.randrange(10**9)}" for _ in range(own)]])) for k in range(n)]
+
+
+def test_unlike_texts_seldom_meet(spark, monkeypatch):
+    """20,000 texts that share a third of their shingles are no cluster."""
+    met = []
+    real = near_dedup.unconnected
+    monkeypatch.setattr(near_dedup, "unconnected", lambda *a: met.append(real(*a)) or met[0])
+    rows = templated(random.Random(8), 20_000, 60)
+    rows += [(30_000 + k, t + " more") for k, t in rows[:50]]
+    got = near_dedup.near_duplicates(table(spark, rows), 3, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i % 30_000 for i, _ in rows}
+    assert met[0].count() < 100
+
+
+def test_large_group_costs_one_comparison_each(spark, monkeypatch):
+    """5,000 near copies of a text and some others: only the others meet blocks, in number by the group's size."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 200)
+    seen = []
+    real = near_dedup.block_links
+    monkeypatch.setattr(near_dedup, "block_links", lambda docs, members, *a: seen.append(near_dedup.blocks(members).count()) or real(docs, members, *a))
+    rng, base = random.Random(9), [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(5000):
+        w = list(base)
+        w[rng.randrange(150)] = f"e{k}"
+        rows.append((k, " ".join(w)))
+    got = near_dedup.near_duplicates(table(spark, rows), 3, 85).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == 5000
+    assert seen[0] < 5000
 
 
 def test_near_dedup_odd(spark):
@@ -462,6 +573,25 @@ def test_toxicity_chooses_as_brute_force(spark):
             assert sorted((strength[f] for f in got), reverse=True) == pytest.approx(best, abs=1e-4)
 
 
+def test_toxicity_scores_as_brute_force(spark):
+    """The chain's models applied word by word, each with the log odds of those before it."""
+    import math
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    models = toxicity.train_chain(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, models, list(toxicity.CATEGORIES)).collect()}
+    for doc_id, text in documents(spark):
+        words, found, odds = re.findall(r"\w+", text.lower()), Counter(), []
+        for w in words:
+            for start in [f"^{w[:n]}" for n in range(4, min(8, len(w)) + 1)] + [f"^{w}$"]:
+                found[zlib.crc32(start.encode()) % toxicity.DIMENSIONS] += 1
+        for m in models:
+            z = sum(w * min(3, 100 * found[f] / (len(words) + 100)) for f, w in zip(m["features"], m["weights"], strict=True))
+            odds.append(max(-20, min(20, z + m["intercept"] + sum(a * b for a, b in zip(m["before"], odds, strict=True)))))
+        for name, z in zip(toxicity.CATEGORIES, odds, strict=True):
+            assert got[doc_id][f"p_{name}"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+
+
 def test_toxicity_odd(spark):
     labels = spark.createDataFrame([(5, 1, 1), (4, 0, 0), (None, 1, 0), (6, None, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.judge(table(spark, ODD), labels).count() == len(ODD)
@@ -488,6 +618,13 @@ def test_chat_round_trip(spark):
         assert [un(shown[s["turn_index"]][s["start"] : s["start"] + s["length"]]) for s in r["loss_spans"]] == [x[3] or "" for x in own if x[2] == "assistant"]
 
 
+def test_chat_ties_go_by_the_raw_text(spark):
+    rows = [(1, 0, "user", t) for t in ("5a", "<b", "&z", "[", "5a", None, "Z")] + [(1, 0, None, "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", chat_format.text_part(F.col("text")))
+    back = chat_format.format_chats(turns).select(F.transform(chat_format.read_turns(F.col("formatted")), chat_format.turn_body).alias("b")).first()["b"]
+    assert back == ["x", "", "&z", "5a", "5a", "<b", "Z", "["]
+
+
 def test_chat_parts(spark):
     parts = [("text", "see <this>", None, None, None, None, None), ("image", None, "s3://a", 29, 14, None, None), ("audio", None, "b", None, None, 1.5, None), ("document", None, "c", None, None, None, 2), ("video", None, "d", None, None, None, None)]
     turns = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts {chat_format.PARTS}")
@@ -515,6 +652,8 @@ def test_language_odd(spark):
     assert set(profiles) == {"en", "de"}
     got = [(r["doc_id"], r["lang_pred"]) for r in language_id.identify(table(spark, [*ODD, (11, "1 2 3"), (12, "the the the")]), profiles).collect()]
     assert {(1, "und"), (2, "und"), (11, "und"), (12, "en")} <= set(got)
+    signs = [(1, "²½"), (2, "①Ⅳ"), (3, "_ 12 ٣"), (4, "ª"), (5, "½ the")]
+    assert [r["lang_pred"] == "und" for r in language_id.identify(table(spark, signs), profiles).orderBy("doc_id").collect()] == [True, True, True, False, False]
     assert language_id.identify(table(spark, []), profiles).count() == 0
     assert language_id.train(train.limit(0)) == {}
     assert {r["lang_pred"] for r in language_id.identify(table(spark, ODD), {}).collect()} == {"und"}
@@ -532,3 +671,22 @@ def test_profile_equals_brute_force(spark):
     codes = {sum(ord(c) << (21 * (len(g) - 1 - k)) for k, c in enumerate(g)): n for g, n in count.items()}
     want = sorted(codes, key=lambda g: (-codes[g], g))[: language_id.PROFILE]
     assert language_id.train(spark.createDataFrame(rows, "text string, lang string")) == {"en": want}
+
+
+def test_prediction_equals_brute_force(spark):
+    """Out-of-place distances, of equally near languages the first by name."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    profiles = language_id.train(docs)
+    profiles["zz"] = profiles["en"]
+    n = language_id.PROFILE
+    for r, (doc_id, text) in zip(language_id.identify(table(spark, documents(spark)), profiles).orderBy("doc_id").collect(), documents(spark), strict=True):
+        count = Counter()
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            m = f" {w} "
+            for size, of in ((1, w), (2, m), (3, m)):
+                count.update(sum(ord(c) << (21 * (size - 1 - k)) for k, c in enumerate(of[i : i + size])) for i in range(len(of) - size + 1))
+        own = sorted(count, key=lambda g: (-count[g], g))[:n]
+        far = {lang: sum(min(abs(p.index(g) - k), n) if g in p else n for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert (r["doc_id"], r["lang_pred"]) == (doc_id, best if own else "und")
+        assert r["score"] == pytest.approx(1 - far[best] / (n * len(own)) if own else 0)
