@@ -72,3 +72,16 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     one = total.join(chance)
     po, pe = F.col("same") / F.col("n"), F.col("both") / (F.col("n") * F.col("n"))
     return one.select(F.col("n"), po.alias("agreement"), pe.alias("expected"), F.when(pe < 1, (po - pe) / (1 - pe)).alias("kappa"))
+
+
+def smallest_n(p: Column, half: Column, z: float = Z) -> Column:
+    """The smallest n whose Wilson interval for the rate p is at most 2 * half wide, for any half above 0. In u = 1 / n the
+    squared condition is a quadratic, a u^2 + b u <= half^2; its root is rounded and put right by one where needed."""
+    variance, square = p * (1 - p), half * half
+    a, b = z**4 * (0.25 - square), z * z * (variance - 2 * square)
+    root = F.sqrt(b * b + 4 * a * square)
+    # the smaller of the roots' forms that doesn't cancel
+    n = F.when(half >= 0.5, F.lit(1.0)).otherwise((b + root) / (2 * square))
+    near = F.greatest(F.lit(1), F.round(n).cast("long"))
+    fits = lambda m: z * F.sqrt(variance / m + z * z / (4 * m * m)) / (1 + z * z / m) <= half
+    return F.coalesce(*[F.when((near + k >= 1) & fits((near + k).cast("double")), near + k) for k in (-1, 0, 1, 2)])

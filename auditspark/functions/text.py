@@ -7,17 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What varies between two reports of one finding, in order of replacement.
+#: What varies between two reports of one finding, in order of replacement. What names the finding stays: elements and
+#: modules in angle brackets, types, and numbers that aren't places ("VR 16" and "VR 32" are two findings).
 MESSAGE_STEPS = [
-    (r"\([0-9a-fA-F]{4},[0-9a-fA-F]{4}\)", "<tag>"),
-    (r"[0-9]+(\.[0-9]+){3,}", "<uid>"),
+    (r"\((0x)?[0-9a-fA-F]{4},(0x)?[0-9a-fA-F]{4}\)", "<tag>"),
+    (r"\b[0-9]+(\.[0-9]+){3,}\b", "<uid>"),
     (r"\[[0-9]+\]", "[n]"),
-    (r"(?i)\b(frame|item|index|segment) [0-9]+", "$1 <n>"),
+    (r"(?i)\b(frame|item|index|number|segment)[ \t]*#?[ \t]*[0-9]+\b", "$1 <n>"),
     (r'"[^"]*"', "<quoted>"),
     (r"'[^']*'", "<quoted>"),
-    (r"(?i)value *= *<[^>]*>", "Value=<v>"),
-    (r"0x[0-9a-fA-F]+", "<hex>"),
-    (r"\b[0-9]{2,}\b", "<n>"),
+    (r"(?i)\bvalue *= *(<[^>]*>|[^ \t]+)", "Value=<v>"),
     (r"[ \t]+", " "),
 ]
 #: Further differences that a family of messages disregards.

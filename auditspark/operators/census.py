@@ -87,3 +87,62 @@ def grouping(df: DataFrame, keys: Sequence[str], sets: Sequence[Sequence[str]],
 def states(df: DataFrame, keys: Sequence[str], state: Column, values: Sequence[str]) -> DataFrame:
     """Counts of each state, a column each, zero where there is none."""
     return df.groupBy(*keys).agg(*[F.count_if(state == v).alias(v) for v in values])
+
+
+def inherited(derived: DataFrame, acquired: DataFrame, group: Sequence[str], identity: Sequence[str], also: Sequence[str]) -> DataFrame:
+    """Per group of derived rows: rows, those eligible (no part of the identity is blank), those whose identity occurs among
+    the acquired rows (with the same `also` columns), and their percentage of the eligible (0 if there is none). Blanks
+    are trimmed, and a blank never matches a blank."""
+    bare = lambda df: df.select(*group, *also, *[F.coalesce(F.trim(c), F.lit("")).alias(c) for c in identity])
+    full = F.lit(True)
+    for c in identity:
+        full = full & (F.col(c) != "")
+    seen = bare(acquired).filter(full).select(*also, *identity).distinct().withColumn("_found", F.lit(1))
+    # counts per identity meet the acquired identities, not the rows
+    per = bare(derived).groupBy(*group, *also, *identity).agg(F.count("*").alias("_n")).join(seen, [*also, *identity], "left")
+    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("_n"))), F.lit(0))
+    n = per.groupBy(*group).agg(F.sum("_n").alias("series"), total(full).alias("eligible"), total(F.col("_found").isNotNull()).alias("inherited"))
+    return n.withColumn("pct_of_eligible", F.when(F.col("eligible") == 0, 0.0).otherwise(F.round(100.0 * F.col("inherited") / F.col("eligible"), 2)))
+
+
+def first_carrier(labels: dict[str, Column], unknown: str, none: str) -> tuple[Column, Column]:
+    """(label, carrier): the first carrier, in order, whose label is not null."""
+    carrier = F.coalesce(*[F.when(v.isNotNull(), F.lit(c)) for c, v in labels.items()], F.lit(none))
+    return F.coalesce(*labels.values(), F.lit(unknown)), carrier
+
+
+def needle_values(records: DataFrame, key: str, attributes: dict[str, Column], needles: Sequence[str], n: int) -> DataFrame:
+    """(attribute, value, objects, place): for each attribute (an array of an object's values, nested or not) the n
+    commonest values that hold a needle in any case. Values are counted before they are ranked."""
+    each = F.array(*[F.struct(F.lit(a).alias("attribute"), v.alias("values")) for a, v in attributes.items()])
+    long = records.select(key, F.explode(each).alias("a")).select(key, "a.attribute", F.explode(F.array_distinct(F.filter("a.values", lambda v: v.isNotNull()))).alias("value"))
+    hit = F.lit(False)
+    for needle in needles:
+        hit = hit | F.contains(F.lower("value"), F.lit(needle.lower()))
+    counted = long.filter(hit).groupBy("attribute", "value").agg(F.count_distinct(key).alias("objects"))
+    place = F.row_number().over(Window.partitionBy("attribute").orderBy(F.desc("objects"), "value"))
+    return counted.withColumn("place", place).filter(F.col("place") <= n)
+
+
+def search_fields(url: Column, text: Column) -> dict[str, Column]:
+    """page, query (decoded from the URL, else the text's title) and hits (as stated in the text) of a saved search, "not
+    captured" where a record doesn't tell."""
+    shown = lambda *vs: F.coalesce(*[F.nullif(v, F.lit("")) for v in vs], F.lit("not captured"))
+    asked = F.try_url_decode(F.regexp_extract(url, "[?&](q|query|term)=([^&#]*)", 2))
+    return {
+        "page": shown(F.regexp_extract(url, "[?&]page=([0-9]+)", 1)),
+        "query": shown(asked, F.trim(F.regexp_extract(text, "<title>([^<]*)</title>", 1))),
+        "hits": shown(F.replace(F.regexp_extract(text, "([0-9][0-9,]*) (results|hits|records)", 1), F.lit(","), F.lit(""))),
+    }
+
+
+def carrier_hierarchy(df: DataFrame, key: str, levels: Sequence[str], telling, text: str, version: str, least: int, texts: int) -> DataFrame:
+    """Per key with enough rows: the first level (1, 2 ...) whose column has a telling value, the smallest such value, and
+    a version named in the first so many distinct texts. telling: column name -> its value if it tells, else null."""
+    ex = [F.min(telling(c)).alias(f"_e{k}") for k, c in enumerate(levels)]
+    per = df.groupBy(key).agg(F.count("*").alias("series"), *ex).filter(F.col("series") >= least)
+    level = F.coalesce(*[F.when(F.col(f"_e{k}").isNotNull(), F.lit(k + 1)) for k in range(len(levels))])
+    ranked = df.filter(F.col(text).isNotNull()).select(key, text).distinct().withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(text))).filter(F.col("_k") <= texts)
+    named = ranked.groupBy(key).agg(F.min(F.nullif(F.regexp_extract(text, version, 0), F.lit(""))).alias("version_example"))
+    out = per.join(named, key, "left")
+    return out.select(key, "series", level.alias("level"), F.coalesce(*[F.col(f"_e{k}") for k in range(len(levels))]).alias("example"), F.col("version_example").isNotNull().alias("version_in_text"), "version_example")

@@ -12,14 +12,34 @@ def log_lines(logs: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     return logs.select(*keys, F.posexplode_outer(F.split(F.coalesce(text, F.lit("")), "\n")).alias("pos", "line"))
 
 
-def split_findings(logs: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """Lines with a severity anywhere, else UNCLASSIFIED; a log's first non-blank line without one is its banner."""
+SEVERITY = r"(?:^|\s-\s)(Error|Warning)\s-\s"
+#: The name of a recognised type alone on a line.
+BANNER = "^[A-Z][A-Za-z0-9]{3,}$"
+
+
+def split_findings(logs: DataFrame, keys: Sequence[str], text: str, banner: str = BANNER) -> DataFrame:
+    """Lines with a severity anywhere, else UNCLASSIFIED; a log's first line that is nothing but a type's name is its
+    BANNER. Other lines without a severity stay findings."""
     lines = log_lines(logs, keys, text).filter(F.trim("line") != "")
-    severity = F.regexp_extract("line", r"(?:^|\s-\s)(Error|Warning)\s-\s", 1)
+    severity = F.regexp_extract("line", SEVERITY, 1)
     tagged = lines.withColumn("severity", F.when(severity == "", "UNCLASSIFIED").otherwise(severity))
-    first = F.min("pos").over(Window.partitionBy(*keys))
-    banner = (F.col("pos") == first) & (F.col("severity") == "UNCLASSIFIED")
-    return tagged.withColumn("severity", F.when(banner, "BANNER").otherwise(F.col("severity")))
+    named = (F.col("severity") == "UNCLASSIFIED") & F.trim("line").rlike(banner)
+    first = F.min(F.when(named, F.col("pos"))).over(Window.partitionBy(*keys))
+    return tagged.withColumn("severity", F.when(F.col("pos") == first, "BANNER").otherwise(F.col("severity")))
+
+
+def split_prefixed(logs: DataFrame, keys: Sequence[str], text: str, banner: str = "^Testing:[ \t]", passed: str = "Test passed") -> DataFrame:
+    """The lines of logs in which a letter (`W: `, `E: `, `I: `) stands before every line, the verdict too: (keys, pos,
+    kind, severity, message). kind is banner, passed or finding; a finding's severity is the one named in it, else its
+    letter's, else UNCLASSIFIED; banners and verdicts have none and are no findings."""
+    line = F.trim("line")
+    lines = log_lines(logs, keys, text).select(*keys, "pos", line.alias("message")).filter("message <> ''")
+    letter = F.regexp_extract("message", "^([WEI]): ", 1)
+    body = F.trim(F.regexp_replace("message", "^[WEI]: ", ""))
+    kind = F.when(body.rlike(banner), "banner").when(F.startswith(body, F.lit(passed)), "passed").otherwise("finding")
+    said = F.regexp_extract("message", SEVERITY, 1)
+    severity = F.when(said != "", said).when(letter == "W", "Warning").when(letter == "E", "Error").otherwise("UNCLASSIFIED")
+    return lines.select(*keys, "pos", kind.alias("kind"), F.when(kind == "finding", severity).alias("severity"), "message")
 
 
 def split_sectioned(logs: DataFrame, keys: Sequence[str], text: str, section: str, module: str) -> DataFrame:
@@ -64,8 +84,48 @@ def residue(messages: DataFrame, cell: Sequence[str], group: str, a: str, b: str
     return flags.filter(F.col("in_a") != F.col("in_b")).select(*cell, id_col, F.when(F.col("in_a"), a).otherwise(b).alias("only_in"), shown)
 
 
-def triple(messages: DataFrame, keys: Sequence[str], obj: str, verdict: Column) -> DataFrame:
-    """gross, floor, net and other objects per key: an object is net if one of its classes is NET, floor if all of
-    its classes are like the floor, else other; undecided objects are counted beside."""
-    per = messages.withColumn("_v", verdict).groupBy(*keys, obj).agg(F.bool_or(F.col("_v") == "NET").alias("net"), F.bool_and(F.col("_v") == "FLOOR").alias("floor"), F.bool_or(F.col("_v") == "UNDECIDABLE").alias("open"))
-    return per.groupBy(*keys).agg(F.count("*").alias("gross"), F.count_if("floor").alias("floor"), F.count_if("net").alias("net"), F.count_if(~F.col("net") & ~F.col("floor")).alias("other"), F.count_if("open").alias("undecidable"))
+def triple(messages: DataFrame, objects: DataFrame, unit: str, keys: Sequence[str], obj: str, verdict: Column) -> DataFrame:
+    """gross, floor, net and other objects per key, over all objects (unit "(all)") and for each unit, with percentages of
+    the unit's objects(unit, obj): an object is net if one of its classes is NET, floor if all of its classes are like the
+    floor, else other; undecided objects are counted beside. Each object is judged once."""
+    per = messages.withColumn("_v", verdict).groupBy(*keys, unit, obj).agg(F.bool_or(F.col("_v") == "NET").alias("net"), F.bool_and(F.col("_v") == "FLOOR").alias("floor"), F.bool_or(F.col("_v") == "UNDECIDABLE").alias("open"))
+    counts = [F.count("*").alias("gross"), F.count_if("floor").alias("floor"), F.count_if("net").alias("net"), F.count_if(~F.col("net") & ~F.col("floor")).alias("other"), F.count_if("open").alias("undecidable")]
+    by_unit = per.groupBy(*keys, unit).agg(*counts)
+    # an object has one unit, so all objects are the sum of the units
+    summed = by_unit.groupBy(*keys).agg(F.lit("(all)").alias(unit), *[F.sum(c).alias(c) for c in ("gross", "floor", "net", "other", "undecidable")])
+    n = objects.groupBy(unit).agg(F.count_distinct(obj).alias("objects"))
+    n = n.unionByName(n.agg(F.lit("(all)").alias(unit), F.sum("objects").alias("objects")))
+    share = lambda c: F.round(100.0 * F.col(c) / F.col("objects"), 2).alias(f"pct_{c}")
+    return by_unit.unionByName(summed).join(n, unit).select("*", *[share(c) for c in ("gross", "floor", "net")])
+
+
+def net_union(objects: DataFrame, id_col: str, collection: str, obj: str) -> DataFrame:
+    """objects(id, collection, obj, net): objects, net objects and their share over all ("(all)") and per id, the number of
+    collections and the median over collections of their shares."""
+    per = objects.groupBy(id_col, collection, obj).agg(F.bool_or("net").alias("net")).groupBy(id_col, collection).agg(F.count("*").alias("n"), F.count_if("net").alias("k"))
+    whole = per.groupBy(collection).agg(F.lit("(all)").alias(id_col), F.sum("n").alias("n"), F.sum("k").alias("k"))
+    both = per.unionByName(whole)
+    out = both.groupBy(id_col).agg(F.sum("n").alias("objects"), F.sum("k").alias("net_objects"), F.count("*").alias("collections"), F.round(F.percentile(100.0 * F.col("k") / F.col("n"), 0.5), 4).alias("median_collection_pct"))
+    return out.select(id_col, "objects", "net_objects", F.round(100.0 * F.col("net_objects") / F.col("objects"), 2).alias("pct_net"), "collections", "median_collection_pct")
+
+
+def table_difference(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One row: equal as bags, the rows that only one has (as often as it has them more often), and the smallest row that
+    differs, with its side, as text. One shuffle for both differences."""
+    columns = first.columns
+    both = first.select("*", F.lit(1).alias("_n")).unionByName(second.select("*", F.lit(-1).alias("_n")))
+    d = both.groupBy(*columns).agg(F.sum("_n").alias("_d")).filter("_d <> 0")
+    least = F.min(F.struct(*columns, F.when(F.col("_d") > 0, "first").otherwise("second").alias("_side"))).alias("m")
+    t = d.agg(F.coalesce(F.sum(F.greatest("_d", F.lit(0))), F.lit(0)).alias("only_first"), F.coalesce(F.sum(F.greatest(-F.col("_d"), F.lit(0))), F.lit(0)).alias("only_second"), least)
+    shown = F.concat_ws("|", *[F.coalesce(F.col(f"m.{c}").cast("string"), F.lit("")) for c in columns])
+    return t.select("only_first", "only_second", F.col("m").isNull().alias("equal"), F.when(F.col("m").isNotNull(), shown).alias("first_difference"), F.col("m._side").alias("side"))
+
+
+def corroboration(states: DataFrame, messages: DataFrame, obj: str, validators: Sequence[str]) -> DataFrame:
+    """states(obj, attribute, state), messages(obj, validator, template) -> for each attribute, state and validator the
+    objects for which it raised a message that names the attribute, and those for which it was silent. Attributes and
+    messages of one object meet, nothing else."""
+    said = messages.join(states.select(obj, "attribute").distinct(), obj).filter(F.contains("template", F.col("attribute"))).select(obj, "attribute", "validator").distinct()
+    each = states.select(obj, "attribute", "state").distinct().withColumn("validator", F.explode(F.array(*[F.lit(v) for v in validators])))
+    hit = each.join(said.withColumn("hit", F.lit(True)), [obj, "attribute", "validator"], "left")
+    return hit.groupBy("attribute", "state", "validator").agg(F.count("hit").alias("raised"), (F.count("*") - F.count("hit")).alias("silent"))

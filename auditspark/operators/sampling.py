@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditspark.session import materialise
+
 
 def strata(df: DataFrame, stratum: str, size: str, cluster: str, patient: str, instances: str) -> DataFrame:
     """Per stratum: series, instances, mb, mean_mb, sd_mb (0 for one row), collections, patients, largest_pct and the
@@ -47,22 +49,70 @@ def allocate(strata_: DataFrame, budget: float, registered: int = 384, least: in
     return allocate_at(strata_, hi, registered, least).select("stratum", "series", "n", F.round(F.col("n") * F.col("mean_mb"), 2).alias("expected_mb"))
 
 
-def draw(df: DataFrame, sizes: DataFrame, stratum: str, uid: str, seed: int) -> DataFrame:
-    """(stratum, uid, place): the first n of each stratum in the order of a hash, so that a larger n only extends a
-    sample. Only stratum and uid are sorted."""
+def rank(df: DataFrame, stratum: str, uid: str, seed: int, *carried: str, registered: int = 384) -> DataFrame:
+    """(stratum, uid, place and the carried columns): rows in the order of a hash within their stratum, as far as any
+    allocation can reach: all of a stratum of at most `registered` rows, of others that many.
+
+    Large strata are cut to that many before they are shuffled (a group limit), so no task sorts a whole one."""
     key = F.sha2(F.concat(F.lit(f"{seed}|"), F.col(stratum), F.lit("|"), F.col(uid).cast("string")), 256)
-    w = Window.partitionBy(stratum).orderBy(key, uid)
-    placed = df.select(stratum, uid).withColumn("place", F.row_number().over(w))
-    return placed.join(sizes, stratum).filter("place <= n").select(stratum, uid, "place")
+    w = Window.partitionBy(stratum).orderBy("_key", uid)
+    return df.select(stratum, uid, *carried, key.alias("_key")).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= registered).drop("_key")
+
+
+def draw(df: DataFrame, sizes: DataFrame, stratum: str, uid: str, seed: int, registered: int = 384) -> DataFrame:
+    """(stratum, uid, place): the first n of each stratum in the order of a hash, so that a larger n only extends a
+    sample. sizes(stratum, n), a row for each stratum, where n is at most `registered`."""
+    return drawn(rank(df, stratum, uid, seed, registered=registered), sizes, stratum).select(stratum, uid, "place")
+
+
+def drawn(ranked: DataFrame, allocation: DataFrame, stratum: str) -> DataFrame:
+    """The rows of rank() that an allocation(stratum, n) takes."""
+    return ranked.join(F.broadcast(allocation.select(stratum, "n")), stratum).filter("place <= n").drop("n")
+
+
+def drawn_size(ranked: DataFrame, allocation: DataFrame, stratum: str, size: str) -> float:
+    """What the rows that an allocation(stratum, n) draws add up to."""
+    return drawn(ranked, allocation, stratum).agg(F.sum(size).alias("s")).first()["s"] or 0.0
+
+
+def byte_gate(ranked: DataFrame, strata_: DataFrame, stratum: str, size: str, cap: float, budget: float, step: float = 0.95, registered: int = 384, least: int = 30) -> DataFrame:
+    """The allocation at the first cap, shrunk step by step, whose drawn rows fit the budget: strata with n and `fired`, how
+    often the cap was shrunk. The order of the rows stays, so a smaller n takes a prefix. If nothing more can be cut and the
+    budget is still exceeded, that is an error.
+
+    The rows' running sums are written once; what the allocations of some steps draw is looked up there together."""
+    spark = ranked.sparkSession
+    w = Window.partitionBy(stratum).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    sums = materialise(ranked.select(stratum, "place", F.sum(size).over(w).alias("_sum")), "sums")
+    rows = strata_.select(stratum, "series", "mean_mb").collect()  # a row for each stratum
+
+    def sizes(cap: float) -> list[int]:
+        return [r["series"] if r["series"] <= registered else min(registered, max(least, int(cap // r["mean_mb"]) if r["mean_mb"] else registered)) for r in rows]
+
+    fired, before, floor_ = 0, None, sizes(0.0)
+    while True:
+        steps: list[tuple[int, list[int]]] = []
+        while len(steps) < 16 and before != floor_:
+            n = sizes(cap * step**fired)
+            if n != before:
+                steps.append((fired, n))
+            before, fired = n, fired + 1
+        if not steps:
+            raise ValueError("the least allocation exceeds the budget")
+        plans = spark.createDataFrame([(k, r[stratum], m) for k, n in steps for r, m in zip(rows, n, strict=True)], f"_k int, {stratum} string, place int")
+        drawn_ = {r["_k"]: r["s"] or 0.0 for r in plans.join(sums, [stratum, "place"]).groupBy("_k").agg(F.sum("_sum").alias("s")).collect()}
+        for k, _ in steps:
+            if drawn_.get(k, 0.0) <= budget:
+                return allocate_at(strata_, cap * step**k, registered, least).withColumn("fired", F.lit(k))
 
 
-def population_rate(drawn: DataFrame, sizes: DataFrame, stratum: str, cluster: str, y: str) -> DataFrame:
+def population_rate(sample: DataFrame, sizes: DataFrame, stratum: str, cluster: str, y: str) -> DataFrame:
     """One row: n, pct, se_design (with the finite population correction), se_clustered (ultimate clusters; strata
     with a single one are put together for the variance), df."""
-    h = drawn.groupBy(stratum).agg(F.count("*").alias("n"), F.avg(y).alias("p"), F.coalesce(F.var_samp(y), F.lit(0.0)).alias("v"), F.count_distinct(cluster).alias("psus"))
+    h = sample.groupBy(stratum).agg(F.count("*").alias("n"), F.avg(y).alias("p"), F.coalesce(F.var_samp(y), F.lit(0.0)).alias("v"), F.count_distinct(cluster).alias("psus"))
     h = h.join(sizes.select(stratum, F.col("series").cast("double").alias("big")), stratum).withColumn("vs", F.when(F.col("psus") == 1, "(single)").otherwise(F.col(stratum)))
     total = h.agg(F.sum("big").alias("w"), (F.sum(F.col("big") * F.col("p")) / F.sum("big")).alias("rate"), F.sum(F.col("big") * F.col("big") * (1 - F.col("n") / F.col("big")) * F.col("v") / F.col("n")).alias("vd"), F.sum("n").alias("nn"))
-    per = drawn.groupBy(stratum, cluster).agg(F.sum(y).alias("sy"), F.count("*").alias("m"))
+    per = sample.groupBy(stratum, cluster).agg(F.sum(y).alias("sy"), F.count("*").alias("m"))
     z = per.join(h.select(stratum, "vs", "big", "n"), stratum).join(total.select("rate")).select("vs", (F.col("big") / F.col("n") * (F.col("sy") - F.col("m") * F.col("rate"))).alias("e"))
     f = h.groupBy("vs").agg((F.sum("n") / F.sum("big")).alias("f"))
     v = z.groupBy("vs").agg(F.count("*").alias("k"), F.sum("e").alias("s"), F.sum(F.col("e") * F.col("e")).alias("ss")).join(f, "vs")

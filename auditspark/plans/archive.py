@@ -100,12 +100,30 @@ def needle_search(spark, sf_dir):
     return found.groupBy("attribute", "class").agg(F.count_distinct("doc_id").alias("hits"), F.min(F.substring("value", 1, 40)).alias("example"))
 
 
-@r.query("needle_coverage", "SELECT name AS column_name, name IN ('doc_id', 'text', 'lang', 'source') AS searched FROM (SELECT unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS name)")
+@r.query(
+    "needle_coverage",
+    f"SELECT column_name, column_name IN ('doc_id', 'text', 'lang', 'source') AS searched, filled FROM ({' UNION ALL '.join(f'SELECT {chr(39)}{c}{chr(39)} AS column_name, count({c}) AS filled FROM documents' for c in ('doc_id', 'text', 'lang', 'source', 'n_chars'))})",
+)
 def needle_coverage(spark, sf_dir):
-    """FIL6: which columns a search covers and which it doesn't."""
+    """FIL6: which columns a search covers and which it doesn't, and how many rows each has a value in."""
     docs = read_table(spark, sf_dir, "documents")
-    names = docs.limit(1).select(F.explode(F.array(*[F.lit(c) for c in docs.columns])).alias("column_name"))
-    return names.withColumn("searched", F.col("column_name").isin("doc_id", "text", "lang", "source"))
+    n = docs.agg(*[F.count(c).alias(c) for c in docs.columns])
+    long = n.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("filled")) for c in docs.columns])).alias("x")).select("x.*")
+    return long.withColumn("searched", F.col("column_name").isin("doc_id", "text", "lang", "source"))
+
+
+@r.query(
+    "needle_values",
+    """WITH v AS (SELECT o_orderkey AS uid, 'priority' AS attribute, o_orderpriority AS value FROM orders UNION ALL SELECT l_orderkey, 'lines.part', p_name FROM lineitem JOIN part ON p_partkey = l_partkey UNION ALL SELECT l_orderkey, 'lines.brand', p_brand FROM lineitem JOIN part ON p_partkey = l_partkey),
+       n AS (SELECT attribute, value, count(DISTINCT uid) AS objects FROM v WHERE contains(lower(value), 'urgent') OR contains(lower(value), 'brand#1') OR contains(lower(value), 'part 1') GROUP BY ALL)
+       SELECT attribute, value, objects, row_number() OVER (PARTITION BY attribute ORDER BY objects DESC, value)::INTEGER AS place FROM n QUALIFY place <= 5""",
+)
+def needle_values(spark, sf_dir):
+    """FIL6: the search goes into nested items; the commonest values that hold a needle, for each attribute."""
+    parts = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("part"), F.col("p_brand").alias("brand"))
+    lines = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("uid"), "l_partkey").join(parts, "l_partkey").groupBy("uid").agg(F.collect_list(F.struct("part", "brand")).alias("lines"))
+    records = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("uid"), F.col("o_orderpriority").alias("priority")).join(lines, "uid", "full_outer")
+    return C.needle_values(records, "uid", {"priority": F.array("priority"), "lines.part": F.col("lines.part"), "lines.brand": F.col("lines.brand")}, ["urgent", "brand#1", "part 1"], 5)
 
 
 @r.query(
@@ -417,18 +435,19 @@ def strip_markup(spark, sf_dir):
 
 @r.query(
     "search_record_classify",
-    """SELECT page_id, CASE WHEN contains(lower(url), 'example.com') THEN 'com index' WHEN contains(lower(url), 'example.net') THEN 'net index' WHEN contains(lower(url), 'example') THEN 'other index' ELSE 'unknown' END AS source,
+    """WITH u AS (SELECT page_id, url, html, regexp_extract(url, '[?&](q|query|term)=([^&#]*)', 2) AS q FROM pages)
+       SELECT page_id, CASE WHEN contains(lower(url), 'example.com') THEN 'com index' WHEN contains(lower(url), 'example.net') THEN 'net index' WHEN contains(lower(url), 'example') THEN 'other index' ELSE 'unknown' END AS source,
        CASE WHEN contains(url, '://m.') THEN 'mobile' WHEN contains(url, '?') THEN 'web query' ELSE 'web' END AS interface,
        coalesce(nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), ''), 'not captured') AS page,
-       coalesce(nullif(regexp_extract(url, '/([0-9]+)(\\?|#|$)', 1), ''), 'not captured') AS hits FROM pages""",
+       coalesce(nullif(url_decode(replace(q, '+', ' ')), ''), nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), ''), 'not captured') AS query,
+       coalesce(nullif(replace(regexp_extract(html, '([0-9][0-9,]*) (results|hits|records)', 1), ',', ''), ''), 'not captured') AS hits FROM u""",
 )
 def search_record_classify(spark, sf_dir):
-    """CLS28."""
+    """CLS28: source, interface, the decoded query (of the URL, else the page's title) and the stated number of hits."""
     url = F.col("url")
     source = R.first_match(F.lower(url), [("com index", "", r"example\.com"), ("net index", "", r"example\.net"), ("other index", "", "example")], R.decision(F.lit("unknown"), F.lit("")))["category"]
     how = F.when(F.contains(url, F.lit("://m.")), "mobile").when(F.contains(url, F.lit("?")), "web query").otherwise("web")
-    shown = lambda p: F.coalesce(F.nullif(F.regexp_extract(url, p, 1), F.lit("")), F.lit("not captured"))
-    return read_table(spark, sf_dir, "pages").select("page_id", source.alias("source"), how.alias("interface"), shown("[?&]page=([0-9]+)").alias("page"), shown(r"/([0-9]+)(\?|#|$)").alias("hits"))
+    return read_table(spark, sf_dir, "pages").select("page_id", source.alias("source"), how.alias("interface"), *[v.alias(c) for c, v in C.search_fields(url, F.col("html")).items()])
 
 
 @r.query(
@@ -509,21 +528,25 @@ def cohort_recall(spark, sf_dir):
     return per.agg(F.sum("n").alias("total"), F.count("*").alias("spellings"), best.alias("top_spelling"), F.max("n").alias("exact_hits"), F.count_distinct(X.normalise_spelling(F.col("url"))).alias("groups")).withColumn("missed", F.col("total") - F.col("exact_hits"))
 
 
+VERSION_TEXT = "[A-Za-z]+ [0-9]+"
+
+
 @r.query(
     "carrier_hierarchy",
-    f"""WITH d AS (SELECT analysis, 1 AS level, maker AS value FROM idx WHERE analysis IS NOT NULL UNION ALL SELECT analysis, 2, model FROM idx WHERE analysis IS NOT NULL),
+    f"""WITH d AS (SELECT analysis, 1 AS level, maker AS value FROM idx WHERE analysis IS NOT NULL UNION ALL SELECT analysis, 2, model FROM idx WHERE analysis IS NOT NULL UNION ALL SELECT analysis, 3, description FROM idx WHERE analysis IS NOT NULL),
         v AS (SELECT DISTINCT analysis, level, value FROM d WHERE value IS NOT NULL),
-        g AS (SELECT analysis, level, value FROM v WHERE lower(trim(value)) NOT IN ({sql_list(SENTINELS)}) AND len(list_filter(regexp_split_to_array(value, '[^A-Za-z0-9.]+'), lambda t: length(t) >= 3 AND lower(t) NOT IN ({sql_list(GENERIC)}) AND NOT regexp_matches(t, '^[0-9]+$') AND NOT regexp_matches(lower(t), 'http|github'))) > 0),
-        n AS (SELECT analysis, count(*) AS series FROM idx WHERE analysis IS NOT NULL GROUP BY analysis HAVING count(*) >= 10)
-        SELECT n.analysis, any_value(series) AS series, min(level)::INTEGER AS level, arg_min(value, level * 1000000 + 0) IS NOT NULL AS named, min(value) FILTER (WHERE level = 1) AS example FROM n LEFT JOIN g USING (analysis) GROUP BY n.analysis""",
+        g AS (SELECT analysis, level, min(value) AS example FROM v WHERE lower(trim(value)) NOT IN ({sql_list(SENTINELS)}) AND len(list_filter(regexp_split_to_array(value, '[^A-Za-z0-9.]+'), lambda t: length(t) >= 3 AND lower(t) NOT IN ({sql_list(GENERIC)}) AND NOT regexp_matches(t, '^[0-9]+$') AND NOT regexp_matches(lower(t), 'http|github'))) > 0 GROUP BY ALL),
+        n AS (SELECT analysis, count(*) AS series FROM idx WHERE analysis IS NOT NULL GROUP BY analysis HAVING count(*) >= 10),
+        f AS (SELECT analysis, value, row_number() OVER (PARTITION BY analysis ORDER BY value) AS k FROM v WHERE level = 3),
+        x AS (SELECT analysis, min(nullif(regexp_extract(value, '{VERSION_TEXT}'), '')) AS version_example FROM f WHERE k <= 200 GROUP BY analysis)
+        SELECT n.analysis, any_value(series) AS series, min(level)::INTEGER AS level, arg_min(example, level) AS example, any_value(version_example) IS NOT NULL AS version_in_text, any_value(version_example) AS version_example
+        FROM n LEFT JOIN g USING (analysis) LEFT JOIN x USING (analysis) GROUP BY n.analysis""",
 )
 def carrier_hierarchy(spark, sf_dir):
-    """AGG18: the first level with a telling value, for ids with enough rows."""
+    """AGG18: the first level with a telling value, an example of it, and whether the first 200 distinct descriptions name
+    a version (the report's own limit)."""
     df = idx(spark, sf_dir).filter("analysis IS NOT NULL")
-    telling = lambda c: R.informative(F.array(c), GENERIC, SENTINELS)
-    per = df.groupBy("analysis").agg(F.count("*").alias("series"), F.min(telling("maker")).alias("example"), F.min(telling("model")).alias("_model")).filter("series >= 10")
-    level = F.when(F.col("example").isNotNull(), 1).when(F.col("_model").isNotNull(), 2)
-    return per.select("analysis", "series", level.alias("level"), level.isNotNull().alias("named"), "example")
+    return C.carrier_hierarchy(df, "analysis", ["maker", "model", "description"], lambda c: R.informative(F.array(c), GENERIC, SENTINELS), "description", VERSION_TEXT, 10, 200)
 
 
 @r.query(
@@ -614,15 +637,19 @@ def grade_table(spark, sf_dir):
     return t.select("*", p("informative").alias("pct_informative"), F.round(p("informative") + p("uninformative") + p("nonconformant"), 2).alias("sum_pct"))
 
 
+BUCKET_PCT = ", ".join(f"round(100.0 * count(*) FILTER (WHERE bucket = '{b}') / count(*), 2) AS pct_{b}" for b in BUCKETS)
+
+
 @r.query(
     "bucket_table",
     f"""WITH b AS (SELECT class, {KNOWN} AS analysis, {BUCKET_SQL} AS bucket FROM idx)
-        SELECT class, CASE WHEN grouping(analysis) = 1 THEN '(all)' ELSE analysis END AS analysis, count(*) AS objects, {', '.join(f"count(*) FILTER (WHERE bucket = '{b}') AS {b}" for b in BUCKETS)} FROM b GROUP BY GROUPING SETS ((class), (class, analysis))""",
+        SELECT class, CASE WHEN grouping(analysis) = 1 THEN '(all)' ELSE analysis END AS analysis, count(*) AS objects, {', '.join(f"count(*) FILTER (WHERE bucket = '{b}') AS {b}" for b in BUCKETS)}, {BUCKET_PCT} FROM b GROUP BY GROUPING SETS ((class), (class, analysis))""",
 )
 def bucket_table(spark, sf_dir):
-    """AGG25."""
+    """AGG25: counts and shares of the buckets, per class and per class and analysis."""
     df = idx(spark, sf_dir).select("class", C.known_id(F.col("analysis")).alias("analysis"), bucket().alias("bucket"))
-    return C.grouping(df, ["class", "analysis"], [["class"], ["class", "analysis"]], F.count("*").alias("objects"), *[F.count_if(F.col("bucket") == b).alias(b) for b in BUCKETS])
+    t = C.grouping(df, ["class", "analysis"], [["class"], ["class", "analysis"]], F.count("*").alias("objects"), *[F.count_if(F.col("bucket") == b).alias(b) for b in BUCKETS])
+    return t.select("*", *[percent(F.col(b), F.col("objects")).alias(f"pct_{b}") for b in BUCKETS])
 
 
 CARRIERS = ["maker", "model", "description"]
@@ -699,27 +726,27 @@ def totals(spark, sf_dir):
     return idx(spark, sf_dir).agg(F.count("*").alias("series"), F.sum("instances").alias("instances"), F.round(F.sum("mb"), 2).alias("mb"), F.count_distinct("collection").alias("collections"), F.count_distinct("analysis").alias("analyses"), F.count_if(F.col("analysis").isNull()).alias("unattributed"))
 
 
-@r.query(
-    "inherit_same",
-    """WITH a AS (SELECT DISTINCT collection, maker FROM idx WHERE class = '5-LOW' AND trim(maker) <> '') SELECT i.class, count(*) AS series, count(*) FILTER (WHERE coalesce(trim(i.maker), '') <> '') AS eligible, count(a.maker) AS inherited
-       FROM idx i LEFT JOIN a ON a.collection = i.collection AND a.maker = i.maker WHERE i.class <> '5-LOW' GROUP BY i.class""",
-)
+INHERIT = """WITH a AS (SELECT DISTINCT {key}trim(maker) AS maker, trim(model) AS model FROM idx WHERE class = '5-LOW' AND trim(maker) <> '' AND trim(model) <> ''),
+       d AS (SELECT class, collection, coalesce(trim(maker), '') AS maker, coalesce(trim(model), '') AS model FROM idx WHERE class <> '5-LOW'),
+       n AS (SELECT d.class, count(*) AS series, count(*) FILTER (WHERE d.maker <> '' AND d.model <> '') AS eligible, count(a.maker) AS inherited FROM d LEFT JOIN a USING ({using}) GROUP BY d.class)
+       SELECT *, CASE WHEN eligible = 0 THEN 0 ELSE round(100.0 * inherited / eligible, 2) END::DOUBLE AS pct_of_eligible FROM n"""
+
+
+def inherited(spark, sf_dir, same: bool):
+    df = idx(spark, sf_dir)
+    return C.inherited(df.filter("class <> '5-LOW'"), df.filter("class = '5-LOW'"), ["class"], ["maker", "model"], ["collection"] if same else [])
+
+
+@r.query("inherit_same", INHERIT.format(key="collection, ", using="collection, maker, model"))
 def inherit_same(spark, sf_dir):
     """JOI2: does the declared pair occur among acquired rows of the same collection; blanks never match."""
-    df = idx(spark, sf_dir)
-    seen = df.filter((F.col("class") == "5-LOW") & (F.trim("maker") != "")).select("collection", "maker").distinct().withColumn("found", F.lit(1))
-    return df.filter(F.col("class") != "5-LOW").join(seen, ["collection", "maker"], "left").groupBy("class").agg(F.count("*").alias("series"), F.count_if(F.trim("maker") != "").alias("eligible"), F.count("found").alias("inherited"))
+    return inherited(spark, sf_dir, True)
 
 
-@r.query(
-    "inherit_any",
-    """WITH a AS (SELECT DISTINCT maker, model FROM idx WHERE class = '5-LOW' AND trim(maker) <> '' AND trim(model) <> '') SELECT i.class, count(*) AS series, count(a.maker) AS inherited FROM idx i LEFT JOIN a ON a.maker = i.maker AND a.model = i.model WHERE i.class <> '5-LOW' GROUP BY i.class""",
-)
+@r.query("inherit_any", INHERIT.format(key="", using="maker, model"))
 def inherit_any(spark, sf_dir):
-    """JOI3."""
-    df = idx(spark, sf_dir)
-    seen = df.filter((F.col("class") == "5-LOW") & (F.trim("maker") != "") & (F.trim("model") != "")).select("maker", "model").distinct().withColumn("found", F.lit(1))
-    return df.filter(F.col("class") != "5-LOW").join(seen, ["maker", "model"], "left").groupBy("class").agg(F.count("*").alias("series"), F.count("found").alias("inherited"))
+    """JOI3: does it occur among acquired rows anywhere."""
+    return inherited(spark, sf_dir, False)
 
 
 @r.query("registry_lookup", "WITH o AS (SELECT collection, arg_min(licence, uid) AS licence, min(uid) AS uid FROM idx GROUP BY collection) SELECT i.class, o.licence, count(*) AS series FROM idx i LEFT JOIN o USING (collection) GROUP BY ALL")
@@ -730,13 +757,19 @@ def registry_lookup(spark, sf_dir):
     return df.select("collection", "class").join(one, "collection", "left").groupBy("class", "licence").agg(F.count("*").alias("series"))
 
 
+OBJECT_CARRIERS = ["description", "model", "maker"]
+NOW_SQL = "CASE " + " ".join(f"WHEN {case_sql(f'lower(coalesce({c}, {chr(39) * 2}))', WRITER_RULES, 0, 'NULL')} IS NOT NULL THEN {{{c}}}" for c in OBJECT_CARRIERS) + " ELSE {none} END"
+NOW_LABEL = NOW_SQL.format(none="'not identifiable from index'", **{c: case_sql(f"lower(coalesce({c}, ''))", WRITER_RULES, 0, "NULL") for c in OBJECT_CARRIERS})
+NOW_CARRIER = NOW_SQL.format(none="'none of the carriers'", **{c: f"'{c}'" for c in OBJECT_CARRIERS})
+
+
 @r.query(
     "index_vs_object",
-    f"""WITH w AS (SELECT class, {WRITER_SQL} AS was, coalesce({case_sql("lower(coalesce(description, ''))", WRITER_RULES, 0, 'NULL')}, 'not identifiable from index') AS now FROM idx)
-        SELECT class, was, now, count(*) AS series, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY class), 2) AS pct, was <> now AS changed FROM w GROUP BY class, was, now""",
+    f"""WITH w AS (SELECT class, {WRITER_SQL} AS was, {NOW_LABEL} AS now, {NOW_CARRIER} AS carrier FROM idx)
+        SELECT class, was, now, carrier, count(*) AS series, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY class), 2) AS pct, was <> now AS changed FROM w GROUP BY class, was, now, carrier""",
 )
 def index_vs_object(spark, sf_dir):
-    """JOI6."""
-    now = R.first_match(F.lower(F.coalesce("description", F.lit(""))), WRITER_RULES, R.decision(F.lit("not identifiable from index"), F.lit("")))["category"]
-    per = idx(spark, sf_dir).groupBy("class", writer().alias("was"), now.alias("now")).agg(F.count("*").alias("series"))
+    """JOI6: the writer by the index against the writer by the object's own carriers, and the carrier that decided."""
+    label, carrier = C.first_carrier({c: R.first_match(F.lower(F.coalesce(c, F.lit(""))), WRITER_RULES, R.decision(F.lit(None).cast("string"), F.lit("")))["category"] for c in OBJECT_CARRIERS}, "not identifiable from index", "none of the carriers")
+    per = idx(spark, sf_dir).groupBy("class", writer().alias("was"), label.alias("now"), carrier.alias("carrier")).agg(F.count("*").alias("series"))
     return C.share_within(per, "series", ["class"]).withColumn("changed", F.col("was") != F.col("now"))

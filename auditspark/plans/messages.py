@@ -230,20 +230,23 @@ def reportable_only(spark, sf_dir):
     return n.select("class", "series", F.when(F.col("good"), percent(F.col("k"), F.col("series"))).alias("pct"))
 
 
-LOGS = "SELECT uid, validator, string_agg(CASE WHEN line % 4 = 0 THEN message ELSE concat(severity, ' - ', message) END, chr(10) ORDER BY line) AS log FROM msg GROUP BY uid, validator"
+LOGS = "SELECT uid, validator, concat(CASE WHEN uid % 3 = 0 THEN concat('Segmentation', chr(10)) WHEN uid % 3 = 1 THEN concat('no type found', chr(10)) ELSE '' END, string_agg(CASE WHEN line % 4 = 0 THEN message ELSE concat(severity, ' - ', message) END, chr(10) ORDER BY line)) AS log FROM msg GROUP BY uid, validator"
 
 
 def logs(spark, sf_dir):
     m = view(spark, sf_dir, "msg")
     shown = F.when(F.col("line") % 4 == 0, F.col("message")).otherwise(F.concat_ws(" - ", "severity", "message"))
-    return m.groupBy("uid", "validator").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", shown.alias("t")))), lambda x: x.t), "\n").alias("log"))
+    head = F.when(F.col("uid") % 3 == 0, "Segmentation\n").when(F.col("uid") % 3 == 1, "no type found\n").otherwise("")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", shown.alias("t")))), lambda x: x.t), "\n")
+    return m.groupBy("uid", "validator").agg(text.alias("log")).withColumn("log", F.concat(head, "log"))
 
 
 @r.query(
     "split_findings",
     f"""WITH g AS ({LOGS}), l AS (SELECT uid, validator, (generate_subscripts(string_split(log, chr(10)), 1) - 1)::INTEGER AS pos, unnest(string_split(log, chr(10))) AS line FROM g),
-        t AS (SELECT *, regexp_extract(line, '(?:^|\\s-\\s)(Error|Warning)\\s-\\s', 1) AS s, min(pos) OVER (PARTITION BY uid, validator) AS f FROM l WHERE trim(line) <> '')
-        SELECT uid, validator, pos, line, CASE WHEN s <> '' THEN s WHEN pos = f THEN 'BANNER' ELSE 'UNCLASSIFIED' END AS severity FROM t""",
+        t AS (SELECT *, regexp_extract(line, '(?:^|\\s-\\s)(Error|Warning)\\s-\\s', 1) AS s FROM l WHERE trim(line) <> ''),
+        f AS (SELECT *, min(CASE WHEN s = '' AND regexp_matches(trim(line), '^[A-Z][A-Za-z0-9]{{3,}}$') THEN pos END) OVER (PARTITION BY uid, validator) AS b FROM t)
+        SELECT uid, validator, pos, line, CASE WHEN s <> '' THEN s WHEN pos = b THEN 'BANNER' ELSE 'UNCLASSIFIED' END AS severity FROM f""",
 )
 def split_findings(spark, sf_dir):
     """LOG1."""
@@ -268,17 +271,26 @@ def split_sectioned(spark, sf_dir):
     return M.split_sectioned(m.groupBy("uid").agg(text.alias("log")), ["uid"], "log", "^(Errors|Warnings)$", "^Module: (.*)$")
 
 
-@r.query(
-    "split_prefixed",
-    """WITH l AS (SELECT uid, CASE severity WHEN 'Error' THEN concat('E: ', message) WHEN 'ERROR' THEN concat('E: ', message) WHEN 'Warning' THEN concat('W: ', message) ELSE concat('I: ', message) END AS line FROM msg)
-       SELECT uid, count(*) AS lines, count(*) FILTER (WHERE line LIKE 'E: %') AS errors, count(*) FILTER (WHERE line LIKE 'W: %') AS warnings, min(substr(line, 4)) FILTER (WHERE line LIKE 'E: %') AS example, count(*) FILTER (WHERE line LIKE 'E: %') = 0 AS passed FROM l GROUP BY uid""",
-)
+PREFIXED = """pf AS (SELECT uid, concat('I: Testing: /tmp/', uid, chr(10), string_agg(CASE WHEN line % 6 = 0 THEN message WHEN severity = 'Error' THEN concat('E: ', message) WHEN severity = 'Warning' THEN concat('W: Error - ', message) WHEN severity = 'ERROR' THEN concat('W: ', message) ELSE concat('I: ', message) END, chr(10) ORDER BY line), CASE WHEN bool_or(severity = 'Error') THEN '' ELSE concat(chr(10), 'W: Test passed.') END) AS log FROM msg GROUP BY uid),
+  pl AS (SELECT uid, (generate_subscripts(string_split(log, chr(10)), 1) - 1)::INTEGER AS pos, trim(unnest(string_split(log, chr(10)))) AS message FROM pf),
+  pk AS (SELECT uid, pos, message, regexp_extract(message, '^([WEI]): ', 1) AS letter, trim(regexp_replace(message, '^[WEI]: ', '')) AS body, regexp_extract(message, '(?:^|\\s-\\s)(Error|Warning)\\s-\\s', 1) AS said FROM pl WHERE message <> ''),
+  pp AS (SELECT uid, pos, message, CASE WHEN regexp_matches(body, '^Testing:[ \\t]') THEN 'banner' WHEN starts_with(body, 'Test passed') THEN 'passed' ELSE 'finding' END AS kind, CASE WHEN said <> '' THEN said WHEN letter = 'W' THEN 'Warning' WHEN letter = 'E' THEN 'Error' ELSE 'UNCLASSIFIED' END AS s FROM pk)"""
+
+
+def prefixed(spark, sf_dir):
+    """Logs with a banner, lettered findings and, where nothing failed, a verdict, parsed."""
+    m = view(spark, sf_dir, "msg")
+    shown = F.when(F.col("line") % 6 == 0, F.col("message")).when(F.col("severity") == "Error", F.concat(F.lit("E: "), "message")).when(F.col("severity") == "Warning", F.concat(F.lit("W: Error - "), "message")).when(F.col("severity") == "ERROR", F.concat(F.lit("W: "), "message")).otherwise(F.concat(F.lit("I: "), "message"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", shown.alias("t")))), lambda x: x.t), "\n")
+    g = m.groupBy("uid").agg(text.alias("t"), F.bool_or(F.col("severity") == "Error").alias("bad"))
+    log = F.concat(F.lit("I: Testing: /tmp/"), F.col("uid").cast("string"), F.lit("\n"), "t", F.when(F.col("bad"), "").otherwise("\nW: Test passed."))
+    return M.split_prefixed(g.select("uid", log.alias("log")), ["uid"], "log")
+
+
+@r.query("split_prefixed", f"WITH {PREFIXED} SELECT uid, pos, kind, CASE WHEN kind = 'finding' THEN s END AS severity, message FROM pp")
 def split_prefixed(spark, sf_dir):
-    """LOG3."""
-    prefix = F.when(F.upper("severity") == "ERROR", "E: ").when(F.col("severity") == "Warning", "W: ").otherwise("I: ")
-    lines = view(spark, sf_dir, "msg").select("uid", F.concat(prefix, "message").alias("line"))
-    e = F.startswith("line", F.lit("E: "))
-    return lines.groupBy("uid").agg(F.count("*").alias("lines"), F.count_if(e).alias("errors"), F.count_if(F.startswith("line", F.lit("W: "))).alias("warnings"), F.min(F.when(e, F.substr("line", F.lit(4)))).alias("example")).withColumn("passed", F.col("errors") == 0)
+    """LOG3: banner, verdict and findings apart."""
+    return prefixed(spark, sf_dir)
 
 
 @r.query(
@@ -325,14 +337,22 @@ def exposure_residue(spark, sf_dir):
 
 @r.query(
     "pass_summary",
-    f"WITH {CLASSED}, o AS (SELECT DISTINCT user_id AS uid FROM events UNION SELECT 100000 + nation.n_nationkey FROM nation), f AS (SELECT uid, count(DISTINCT cid) AS classes, bool_or(upper(severity) = 'ERROR') AS failed FROM m GROUP BY uid) SELECT CASE WHEN coalesce(failed, false) THEN 'failed' ELSE 'passed' END AS verdict, count(*) AS objects, count(f.uid) AS with_finding, coalesce(sum(classes), 0)::BIGINT AS classes FROM o LEFT JOIN f USING (uid) GROUP BY 1",
+    f"""WITH {PREFIXED}, o AS (SELECT uid, bool_or(kind = 'passed') AS passed, count(*) FILTER (WHERE kind = 'banner') AS banners, count(*) FILTER (WHERE kind = 'finding') AS findings, count(DISTINCT CASE WHEN kind = 'finding' THEN sha256(message) END) AS classes, CASE WHEN bool_or(kind = 'finding' AND s = 'Error') THEN 1 ELSE 0 END AS returncode FROM pp GROUP BY uid
+          UNION ALL SELECT 100000 + n_nationkey, true, 1, 0, 0, 0 FROM nation)
+        SELECT CASE WHEN passed THEN 'passed' ELSE 'failed' END AS verdict, returncode, count(*) AS objects, sum(banners)::BIGINT AS banners, count(*) FILTER (WHERE findings > 0) AS with_finding, sum(classes)::BIGINT AS classes FROM o GROUP BY ALL""",
 )
 def pass_summary(spark, sf_dir):
-    """AGG41: objects without a finding are kept."""
-    m = msg(spark, sf_dir)
-    every = m.select(F.col("uid")).distinct().union(read_table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100000).cast("long")))
-    f = m.groupBy("uid").agg(F.count_distinct("cid").alias("classes"), F.bool_or(F.upper("severity") == "ERROR").alias("failed"), F.lit(1).alias("has"))
-    return every.join(f, "uid", "left").groupBy(F.when(F.coalesce("failed", F.lit(False)), "failed").otherwise("passed").alias("verdict")).agg(F.count("*").alias("objects"), F.count("has").alias("with_finding"), F.coalesce(F.sum("classes"), F.lit(0)).alias("classes"))
+    """AGG41: verdicts, return codes, banners and classes; objects without a finding are kept."""
+    finding = F.col("kind") == "finding"
+    o = prefixed(spark, sf_dir).groupBy("uid").agg(
+        F.bool_or(F.col("kind") == "passed").alias("passed"),
+        F.count_if(F.col("kind") == "banner").alias("banners"),
+        F.count_if(finding).alias("findings"),
+        F.count_distinct(F.when(finding, F.sha2("message", 256))).alias("classes"),
+        F.when(F.bool_or(finding & (F.col("severity") == "Error")), 1).otherwise(0).alias("returncode"),
+    )
+    silent = read_table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100000).cast("long").alias("uid"), F.lit(True).alias("passed"), F.lit(1).cast("long").alias("banners"), F.lit(0).cast("long").alias("findings"), F.lit(0).cast("long").alias("classes"), F.lit(0).alias("returncode"))
+    return o.unionByName(silent).groupBy(F.when(F.col("passed"), "passed").otherwise("failed").alias("verdict"), "returncode").agg(F.count("*").alias("objects"), F.sum("banners").alias("banners"), F.count_if(F.col("findings") > 0).alias("with_finding"), F.sum("classes").alias("classes"))
 
 
 FLAGS = f"""{CLASSED}, c AS (SELECT class, validator, cid, bool_or(writer = 'left') AS a, bool_or(writer = 'right') AS b, min(template) AS template FROM m GROUP BY class, validator, cid),
@@ -406,13 +426,21 @@ def round_trip_control(spark, sf_dir):
 
 @r.query(
     "floor_table",
-    f"WITH {CLASSED}, g AS (SELECT * FROM (SELECT DISTINCT writer FROM msg), (SELECT DISTINCT class FROM msg UNION SELECT 'KOS'), (SELECT DISTINCT validator FROM msg)), n AS (SELECT writer, class, validator, count(DISTINCT cid) AS classes, count(DISTINCT uid) AS objects FROM m GROUP BY ALL) SELECT writer, class, validator, coalesce(classes, 0) AS classes, coalesce(objects, 0) AS objects FROM g LEFT JOIN n USING (writer, class, validator)",
+    f"""WITH {CLASSED}, g AS (SELECT * FROM (SELECT DISTINCT writer FROM msg), (SELECT DISTINCT class FROM msg UNION SELECT 'KOS'), (SELECT DISTINCT validator FROM msg)), c AS (SELECT writer, class, validator, cid, min(template) AS template, count(DISTINCT uid) AS objects FROM m GROUP BY ALL)
+        SELECT g.writer, g.class, g.validator, coalesce(c.cid, '') AS cid, coalesce(c.template, 'no message class') AS template, coalesce(c.objects, 0) AS objects,
+               CASE WHEN c.cid IS NULL THEN '' ELSE coalesce((SELECT string_agg(o.writer, ', ' ORDER BY o.writer) FROM c o WHERE o.class = g.class AND o.validator = g.validator AND o.cid = c.cid AND o.writer <> g.writer), 'this writer only') END AS shared_with
+        FROM g LEFT JOIN c ON c.writer = g.writer AND c.class = g.class AND c.validator = g.validator""",
 )
 def floor_table(spark, sf_dir):
-    """SET6: every cell, with zeros."""
+    """SET6: every cell's classes and which other writers share them; an empty cell has a row."""
     m = msg(spark, sf_dir)
-    n = m.groupBy("writer", "class", "validator").agg(F.count_distinct("cid").alias("classes"), F.count_distinct("uid").alias("objects"))
-    return m.select("writer").distinct().join(grid(spark, m)).join(n, ["writer", "class", "validator"], "left").fillna(0)
+    c = m.groupBy("writer", "class", "validator", "cid").agg(F.min("template").alias("template"), F.count_distinct("uid").alias("objects"))
+    # a handful of writers
+    c = c.groupBy("class", "validator", "cid").agg(F.array_sort(F.collect_set("writer")).alias("all"), F.collect_list(F.struct("writer", "template", "objects")).alias("w")).select("class", "validator", "cid", "all", F.explode("w").alias("w")).select("w.*", "class", "validator", "cid", "all")
+    others = F.array_join(F.array_except("all", F.array("writer")), ", ")
+    c = c.withColumn("shared_with", F.when(F.size("all") > 1, others).otherwise("this writer only")).drop("all")
+    cells = m.select("writer").distinct().join(grid(spark, m))
+    return cells.join(c, ["writer", "class", "validator"], "left").fillna({"cid": "", "template": "no message class", "objects": 0, "shared_with": ""})
 
 
 @r.query(
@@ -429,27 +457,33 @@ def floor_rows(spark, sf_dir):
 PER = f"v AS (SELECT *, {VERDICT_SQL} AS verdict FROM m)"
 
 
+COUNTS = "count(*) AS gross, count(*) FILTER (WHERE floor) AS floor, count(*) FILTER (WHERE net) AS net, count(*) FILTER (WHERE NOT net AND NOT floor) AS other, count(*) FILTER (WHERE open) AS undecidable"
+
+
 @r.query(
     "triple",
-    f"""WITH {CLASSED}, {PER}, o AS (SELECT validator, upper(severity) AS severity, uid, bool_or(verdict = 'NET') AS net, bool_and(verdict = 'FLOOR') AS floor, bool_or(verdict = 'UNDECIDABLE') AS open FROM v GROUP BY ALL)
-        SELECT validator, severity, count(*) AS gross, count(*) FILTER (WHERE floor) AS floor, count(*) FILTER (WHERE net) AS net, count(*) FILTER (WHERE NOT net AND NOT floor) AS other, count(*) FILTER (WHERE open) AS undecidable FROM o GROUP BY ALL""",
+    f"""WITH {CLASSED}, {PER}, o AS (SELECT class, validator, upper(severity) AS severity, uid, bool_or(verdict = 'NET') AS net, bool_and(verdict = 'FLOOR') AS floor, bool_or(verdict = 'UNDECIDABLE') AS open FROM v GROUP BY ALL),
+        t AS (SELECT CASE WHEN grouping(class) = 1 THEN '(all)' ELSE class END AS class, validator, severity, {COUNTS} FROM o GROUP BY GROUPING SETS ((class, validator, severity), (validator, severity))),
+        n AS (SELECT CASE WHEN grouping(class) = 1 THEN '(all)' ELSE class END AS class, count(DISTINCT uid) AS objects FROM msg GROUP BY GROUPING SETS ((class), ()))
+        SELECT t.*, objects, round(100.0 * gross / objects, 2) AS pct_gross, round(100.0 * floor / objects, 2) AS pct_floor, round(100.0 * net / objects, 2) AS pct_net FROM t JOIN n USING (class)""",
 )
 def triple(spark, sf_dir):
-    """SET7: severities in upper case, so that no tool's spelling is missed."""
+    """SET7: overall and by class; severities in upper case, so that no tool's spelling is missed."""
     m = msg(spark, sf_dir).withColumn("severity", F.upper("severity"))
-    return M.triple(m, ["validator", "severity"], "uid", verdict()["category"])
+    return M.triple(m, m.select("class", "uid"), "class", ["validator", "severity"], "uid", verdict()["category"])
 
 
 @r.query(
     "net_union",
-    f"""WITH {CLASSED}, {PER}, o AS (SELECT class, uid, bool_or(verdict = 'NET') AS net FROM v GROUP BY ALL), p AS (SELECT class, uid % 10 AS unit, avg(CASE WHEN net THEN 100.0 ELSE 0.0 END) AS pct FROM o GROUP BY ALL)
-        SELECT o.class, count(*) AS objects, count(*) FILTER (WHERE net) AS net_objects, (SELECT round(median(pct), 4) FROM p WHERE p.class = o.class) AS median_unit_pct FROM o GROUP BY o.class""",
+    f"""WITH {CLASSED}, {PER}, o AS (SELECT class, n_name AS collection, uid, bool_or(verdict = 'NET') AS net FROM v JOIN nation ON n_nationkey = uid % 25 GROUP BY ALL),
+        p AS (SELECT CASE WHEN grouping(class) = 1 THEN '(all)' ELSE class END AS class, collection, count(*) AS n, count(*) FILTER (WHERE net) AS k FROM o GROUP BY GROUPING SETS ((class, collection), (collection)))
+        SELECT class, sum(n)::BIGINT AS objects, sum(k)::BIGINT AS net_objects, round(100.0 * sum(k) / sum(n), 2) AS pct_net, count(*) AS collections, round(median(100.0 * k / n), 4) AS median_collection_pct FROM p GROUP BY class""",
 )
 def net_union(spark, sf_dir):
-    """SET8: net from any tool or severity, and the median over units."""
+    """SET8: net from any tool or severity, overall and per class, and the median over collections."""
     o = msg(spark, sf_dir).withColumn("v", verdict()["category"]).groupBy("class", "uid").agg(F.bool_or(F.col("v") == "NET").alias("net"))
-    units = o.groupBy("class", (F.col("uid") % 10).alias("unit")).agg(F.avg(F.when(F.col("net"), 100.0).otherwise(0.0)).alias("pct")).groupBy("class").agg(F.round(F.percentile("pct", 0.5), 4).alias("median_unit_pct"))
-    return o.groupBy("class").agg(F.count("*").alias("objects"), F.count_if("net").alias("net_objects")).join(units, "class")
+    n = read_table(spark, sf_dir, "nation").select((F.col("n_nationkey").cast("long")).alias("k"), F.col("n_name").alias("collection"))
+    return M.net_union(o.withColumn("k", F.col("uid") % 25).join(n, "k"), "class", "collection", "uid")
 
 
 @r.query(
@@ -539,14 +573,18 @@ def confusion(spark, sf_dir):
     return v.agg(*[F.count_if(F.expr(e)).alias(n) for n, e in (("both", "a AND b"), ("first_only", "a AND NOT b"), ("second_only", "b AND NOT a"), ("neither", "NOT a AND NOT b"))])
 
 
-@r.query("table_equal", "WITH a AS (SELECT l_orderkey AS k, l_returnflag AS f FROM lineitem WHERE l_linenumber <= 6), b AS (SELECT l_orderkey, l_returnflag FROM lineitem WHERE l_linenumber >= 2) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_first, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_second, false AS equal")
+@r.query(
+    "table_equal",
+    """WITH a AS (SELECT l_orderkey AS k, l_returnflag AS f FROM lineitem WHERE l_linenumber <= 6), b AS (SELECT l_orderkey AS k, l_returnflag AS f FROM lineitem WHERE l_linenumber >= 2),
+       x AS (SELECT *, 'first' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'second' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)),
+       d AS (SELECT concat(k, '|', f) AS shown, side FROM x ORDER BY k, f, side LIMIT 1)
+       SELECT count(*) FILTER (WHERE side = 'first') AS only_first, count(*) FILTER (WHERE side = 'second') AS only_second, count(*) = 0 AS equal, (SELECT shown FROM d) AS first_difference, (SELECT side FROM d) AS side FROM x""",
+)
 def table_equal(spark, sf_dir):
-    """SET17: two builds as bags, by counts of each row: one shuffle for both differences."""
+    """SET17: two builds as bags, and the first row in which they differ."""
     l = read_table(spark, sf_dir, "lineitem")  # noqa: E741
-    both = l.filter("l_linenumber <= 6").select("l_orderkey", "l_returnflag", F.lit(1).alias("n")).unionAll(l.filter("l_linenumber >= 2").select("l_orderkey", "l_returnflag", F.lit(-1)))
-    d = both.groupBy("l_orderkey", "l_returnflag").agg(F.sum("n").alias("d"))
-    t = d.agg(F.coalesce(F.sum(F.greatest("d", F.lit(0))), F.lit(0)).alias("only_first"), F.coalesce(F.sum(F.greatest(-F.col("d"), F.lit(0))), F.lit(0)).alias("only_second"))
-    return t.withColumn("equal", (F.col("only_first") == 0) & (F.col("only_second") == 0))
+    pick = lambda c: l.filter(c).select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("f"))
+    return M.table_difference(pick("l_linenumber <= 6"), pick("l_linenumber >= 2"))
 
 
 @r.query(
@@ -576,16 +614,17 @@ def corpus_context(spark, sf_dir):
 
 @r.query(
     "corroboration",
-    f"""WITH {CLASSED}, a AS (SELECT uid, unnest(['error', 'click']) AS attribute FROM (SELECT DISTINCT uid FROM m)), h AS (SELECT a.uid, a.attribute, t.validator, bool_or(m.line IS NOT NULL) AS hit FROM a CROSS JOIN (SELECT DISTINCT validator FROM msg) t LEFT JOIN m ON m.uid = a.uid AND m.validator = t.validator AND contains(m.template, a.attribute) GROUP BY ALL)
-        SELECT attribute, validator, count(*) FILTER (WHERE hit) AS raised, count(*) FILTER (WHERE NOT hit) AS silent FROM h GROUP BY ALL""",
+    f"""WITH {CLASSED}, st AS (SELECT DISTINCT uid, a AS attribute, CASE WHEN (uid + length(a)) % 3 = 0 THEN 'absent' WHEN (uid + length(a)) % 3 = 1 THEN 'empty' END AS state FROM msg, (SELECT unnest(['error', 'click', 'view']) AS a)),
+        h AS (SELECT attribute, state, validator, uid, EXISTS (SELECT 1 FROM m WHERE m.uid = st.uid AND m.validator = t.validator AND contains(m.template, st.attribute)) AS hit FROM st, (SELECT unnest(['alpha', 'beta', 'gamma']) AS validator) t WHERE state IS NOT NULL)
+        SELECT attribute, state, validator, count(*) FILTER (WHERE hit) AS raised, count(*) FILTER (WHERE NOT hit) AS silent FROM h GROUP BY ALL""",
 )
 def corroboration(spark, sf_dir):
-    """JOI7: did a tool raise a matching message; silence is what is left of the objects."""
+    """JOI7: for each attribute in a state that is at fault, did a tool raise a matching message."""
     m = msg(spark, sf_dir)
-    all_ = m.agg(F.count_distinct("uid").alias("n"))
-    cells = m.select("validator").distinct().select("validator", F.explode(F.array(F.lit("error"), F.lit("click"))).alias("attribute"))
-    hits = m.select("uid", "validator", F.explode(F.filter(F.array(F.lit("error"), F.lit("click")), lambda a: F.contains(F.col("template"), a))).alias("attribute")).groupBy("attribute", "validator").agg(F.count_distinct("uid").alias("raised"))
-    return cells.join(hits, ["attribute", "validator"], "left").fillna(0).join(all_).select("attribute", "validator", "raised", (F.col("n") - F.col("raised")).alias("silent"))
+    a = F.explode(F.array(F.lit("error"), F.lit("click"), F.lit("view")))
+    which = (F.col("uid") + F.length("attribute")) % 3
+    states = m.select("uid").distinct().select("uid", a.alias("attribute")).withColumn("state", F.when(which == 0, "absent").when(which == 1, "empty")).filter("state IS NOT NULL")
+    return M.corroboration(states, m, "uid", ["alpha", "beta", "gamma"])
 
 
 @r.query(

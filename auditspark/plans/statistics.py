@@ -9,6 +9,7 @@ from auditspark.functions.stats import percent
 from auditspark.operators import census as C
 from auditspark.operators import sampling as P
 from auditspark.plans.views import Registry, view
+from auditspark.session import materialise
 
 r = Registry()
 QUERIES, ORACLES = r.queries, r.oracles
@@ -41,17 +42,19 @@ def reporting_rule(spark, sf_dir):
     return c.select("class", "collection", "n", S.reporting_rule(F.col("n")).alias("rule"), F.when(F.col("n") >= 30, percent(F.col("k"), F.col("n"))).alias("pct"))
 
 
+HALVES = [0.05, 0.02, 0.01]
+
+
 @r.query(
     "smallest_n",
-    f"""WITH p AS (SELECT class, avg(CASE WHEN syntax = 'F' THEN 1.0 ELSE 0.0 END) AS p FROM idx GROUP BY class), g AS (SELECT class, p, unnest(range(1, 2001)) AS n FROM p)
-        SELECT class, round(any_value(p), 6) AS p, min(n) AS smallest_n FROM g WHERE {Z} * sqrt(p * (1 - p) / n + {Z * Z} / (4.0 * n * n)) / (1 + {Z * Z} / n) <= 0.05 GROUP BY class""",
+    f"""WITH p AS (SELECT class, avg(CASE WHEN syntax = 'F' THEN 1.0 ELSE 0.0 END) AS p FROM idx GROUP BY class), h AS (SELECT unnest({HALVES}) AS half), g AS (SELECT class, p, half, unnest(range(1, 20001)) AS n FROM p, h)
+        SELECT class, half::DOUBLE AS half, round(any_value(p), 6) AS p, min(n) AS smallest_n FROM g WHERE {Z} * sqrt(p * (1 - p) / n + {Z * Z} / (4.0 * n * n)) / (1 + {Z * Z} / n) <= half GROUP BY class, half""",
 )
 def smallest_n(spark, sf_dir):
-    """STA3: the smallest sample whose interval is narrow enough, for each class's own rate."""
+    """STA3: the smallest sample whose interval is narrow enough, for each class's own rate and several widths."""
     p = idx(spark, sf_dir).groupBy("class").agg(F.avg(F.when(F.col("syntax") == "F", 1.0).otherwise(0.0)).alias("p"))
-    n = p.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(2000).cast("long"))))
-    half = Z * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n") + Z * Z / (4 * F.col("n") * F.col("n"))) / (1 + Z * Z / F.col("n"))
-    return n.filter(half <= 0.05).groupBy("class").agg(F.round(F.first("p"), 6).alias("p"), F.min("n").alias("smallest_n"))
+    p = p.withColumn("half", F.explode(F.array(*[F.lit(h) for h in HALVES])))
+    return p.select("class", "half", F.round("p", 6).alias("p"), S.smallest_n(F.col("p"), F.col("half")).alias("smallest_n"))
 
 
 @r.query(
@@ -125,6 +128,10 @@ CAP = 20_000_000.0
 ALLOC = f"{STRATA}, al AS (SELECT *, CASE WHEN series <= 384 THEN series ELSE least(384, greatest(30, floor({CAP} / mean_mb)::BIGINT)) END AS n FROM st)"
 
 
+def stratified(spark, sf_dir):
+    return idx(spark, sf_dir).withColumn("stratum", F.concat_ws(" / ", "class", C.known_id(F.col("analysis"))))
+
+
 def allocated(spark, sf_dir):
     return P.allocate_at(strata_of(spark, sf_dir), CAP)
 
@@ -149,14 +156,29 @@ def allocate_budget(spark, sf_dir):
 )
 def draw(spark, sf_dir):
     """SAM2: a deterministic prefix of each stratum; a larger n only adds."""
-    df = idx(spark, sf_dir).withColumn("stratum", F.concat_ws(" / ", "class", C.known_id(F.col("analysis"))))
-    return P.draw(df, allocated(spark, sf_dir).select("stratum", "n"), "stratum", "uid", 7)
+    return P.draw(stratified(spark, sf_dir), allocated(spark, sf_dir).select("stratum", "n"), "stratum", "uid", 7)
 
 
-@r.query("byte_gate", f"WITH {ALLOC.replace(str(CAP), str(CAP * 0.95 ** 3))} SELECT stratum, n FROM al")
+GATE_STEPS = 120
+
+
+@r.query(
+    "byte_gate",
+    f"""WITH {STRATA}, cp AS (SELECT k, {CAP} * pow(0.95, k) AS cap FROM (SELECT unnest(range(0, {GATE_STEPS})) AS k)),
+        al AS (SELECT k, cap, st.*, CASE WHEN series <= 384 THEN series ELSE least(384, greatest(30, floor(cap / mean_mb)::BIGINT)) END AS n FROM st, cp),
+        rk AS (SELECT stratum, uid, mb, row_number() OVER (PARTITION BY stratum ORDER BY sha256(concat('7|', stratum, '|', CAST(uid AS VARCHAR))), uid) AS place FROM s),
+        tt AS (SELECT k, sum(rk.mb) AS drawn FROM al JOIN rk ON rk.stratum = al.stratum AND place <= n GROUP BY k),
+        ok AS (SELECT min(k) AS k FROM tt WHERE drawn <= 0.5 * ((SELECT drawn FROM tt WHERE k = 0) + (SELECT drawn FROM tt WHERE k = {GATE_STEPS - 1})))
+        SELECT al.stratum, n, al.k::INTEGER AS fired FROM al JOIN ok ON al.k = ok.k""",
+)
 def byte_gate(spark, sf_dir):
-    """SAM3: the cap shrunk by steps of 5 percent; here after three of them."""
-    return P.allocate_at(strata_of(spark, sf_dir), CAP * 0.95**3).select("stratum", "n")
+    """SAM3: the cap is shrunk by 5 percent until what is drawn in fact fits the budget (here half-way between the first draw and the least)."""
+    df = stratified(spark, sf_dir)
+    s = materialise(strata_of(spark, sf_dir), "strata")
+    ranked = materialise(P.rank(df, "stratum", "uid", 7, "mb"), "ranked")
+    first = P.drawn_size(ranked, P.allocate_at(s, CAP), "stratum", "mb")
+    least = P.drawn_size(ranked, P.allocate_at(s, 0.0), "stratum", "mb")
+    return P.byte_gate(ranked, s, "stratum", "mb", CAP, 0.5 * (first + least)).select("stratum", "n", "fired")
 
 
 @r.query(
@@ -215,9 +237,10 @@ def prob_any(spark, sf_dir):
 def population_rate(spark, sf_dir):
     """STA11: the weighted rate with its design and clustered standard errors; strata with one cluster are one for
     the variance."""
-    df = idx(spark, sf_dir).withColumn("stratum", F.concat_ws(" / ", "class", C.known_id(F.col("analysis"))))
-    drawn = P.draw(df, allocated(spark, sf_dir).select("stratum", "n"), "stratum", "uid", 7).join(df.select("uid", "collection", F.when(F.contains("licence", F.lit("NC")), 1.0).otherwise(0.0).alias("y")), "uid")
-    return P.population_rate(drawn, strata_of(spark, sf_dir).select("stratum", "series"), "stratum", "collection", "y")
+    df = stratified(spark, sf_dir).withColumn("y", F.when(F.contains("licence", F.lit("NC")), 1.0).otherwise(0.0))
+    s = materialise(strata_of(spark, sf_dir), "strata")
+    sample = materialise(P.drawn(P.rank(df, "stratum", "uid", 7, "collection", "y"), P.allocate_at(s, CAP), "stratum"), "sample")
+    return P.population_rate(sample, s.select("stratum", "series"), "stratum", "collection", "y")
 
 
 @r.query(

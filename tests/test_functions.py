@@ -67,6 +67,9 @@ def test_messages_of_one_class_collapse(spark):
     assert one(spark, f, "Missing Element=<A> in frame 1") == one(spark, f, "Missing Element=<A> in frame 17")
     assert one(spark, f, "Missing Element=<A>") != one(spark, f, "Missing Element=<B>")
     assert one(spark, f, "under 1.2.840.10008.5 and 'x'") == "under <uid> and <quoted>"
+    assert one(spark, f, "VR 16 of Type 2") != one(spark, f, "VR 32 of Type 2")
+    assert one(spark, f, "(0x0008,0x0060) Value=abc in frame #7") == one(spark, f, "(0x0010,0x0020)  value = <x y> in Frame 12").replace("Frame", "frame")
+    assert one(spark, f, "number 4, item 5, index  6") == "number <n>, item <n>, index <n>"
 
 
 def test_spelling_clip_mask(spark):
@@ -208,3 +211,62 @@ def test_prose(spark):
     assert {(r["n"], r["m"]) for r in D.n_of_m(df, "id", "text").collect()} == {(12, 30)}
     assert {r["number"] for r in D.numbers(df, "id", "text").collect()} == {"1,234"}
     assert [r["number"] for r in D.citations(df, "id", "text").orderBy("place").collect()] == [2, 3, 1]
+
+
+def test_findings_without_a_banner_stay_findings(spark):
+    logs = spark.createDataFrame([(1, "no type here\nSegmentation\nError - x"), (2, "CTImage\n\nMRImage\na - Warning - y"), (3, ""), (4, None)], "uid long, log string")
+    got = {(r["uid"], r["line"]): r["severity"] for r in M.split_findings(logs, ["uid"], "log").collect()}
+    assert got == {(1, "no type here"): "UNCLASSIFIED", (1, "Segmentation"): "BANNER", (1, "Error - x"): "Error", (2, "CTImage"): "BANNER", (2, "MRImage"): "UNCLASSIFIED", (2, "a - Warning - y"): "Warning"}
+
+
+def test_prefixed_logs_are_parsed(spark):
+    log = "W: Testing: /tmp/a b\nE: bad\nW: odd\nI: note\nplain\nW: Error - said\n\nW: Test passed."
+    got = [(r["kind"], r["severity"], r["message"]) for r in M.split_prefixed(spark.createDataFrame([(1, log), (2, None)], "uid long, log string"), ["uid"], "log").orderBy("pos").collect()]
+    assert got == [("banner", None, "W: Testing: /tmp/a b"), ("finding", "Error", "E: bad"), ("finding", "Warning", "W: odd"), ("finding", "UNCLASSIFIED", "I: note"), ("finding", "UNCLASSIFIED", "plain"), ("finding", "Error", "W: Error - said"), ("passed", None, "W: Test passed.")]
+
+
+def test_equal_tables_have_no_difference(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (None, None)], "k long, f string")
+    assert M.table_difference(a, a).first().asDict() == {"only_first": 0, "only_second": 0, "equal": True, "first_difference": None, "side": None}
+    assert M.table_difference(a, a.distinct()).first().asDict() == {"only_first": 1, "only_second": 0, "equal": False, "first_difference": "1|x", "side": "first"}
+
+
+def test_inheritance_needs_both_attributes(spark):
+    t = "class string, collection string, maker string, model string"
+    acquired = spark.createDataFrame([("A", "c1", "m", "x"), ("A", "c2", " m ", "y"), ("A", "c1", None, None), ("A", "c1", "", "z")], t)
+    derived = spark.createDataFrame([("D", "c1", "m", "x"), ("D", "c2", "m", " x"), ("D", "c1", "m", "y"), ("D", "c1", None, None), ("D", "c1", "", "z"), ("E", "c1", None, "x")], t)
+    got = {r["class"]: tuple(r)[1:] for r in C.inherited(derived, acquired, ["class"], ["maker", "model"], ["collection"]).collect()}
+    assert got == {"D": (5, 3, 1, 33.33), "E": (1, 0, 0, 0.0)}
+    got = {r["class"]: tuple(r)[1:] for r in C.inherited(derived, acquired, ["class"], ["maker", "model"], []).collect()}
+    assert got == {"D": (5, 3, 3, 100.0), "E": (1, 0, 0, 0.0)}
+
+
+def test_search_fields_are_decoded(spark):
+    df = spark.createDataFrame([("http://x/?q=a%20b+c", "<title>t</title> 1,234 hits"), ("http://x/2", "<title> t </title>"), ("http://x/?q=%zz", None)], "url string, html string")
+    got = [tuple(r) for r in df.select(*[v.alias(c) for c, v in C.search_fields(F.col("url"), F.col("html")).items()]).collect()]
+    assert got == [("not captured", "a b c", "1234"), ("not captured", "t", "not captured"), ("not captured", "not captured", "not captured")]
+
+
+@pytest.mark.parametrize("half", [0.2, 0.05, 0.013, 0.001])
+def test_smallest_n_is_the_smallest(spark, half):
+    z = S.Z
+    width = lambda p, n: z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
+    rates = [0.0, 1e-9, 0.001, 0.02, 0.3, 0.5, 0.97, 1.0]
+    df = spark.createDataFrame([(p,) for p in rates], "p double")
+    for p, n in df.select("p", S.smallest_n(F.col("p"), F.lit(half))).collect():
+        assert width(p, n) <= half and (n == 1 or width(p, n - 1) > half)
+
+
+def test_byte_gate_shrinks_until_the_draw_fits(spark):
+    rows = [(f"s{k % 3}", k, float(k % 50) + 1) for k in range(6000)]
+    df = spark.createDataFrame(rows, "stratum string, uid long, mb double")
+    strata = df.groupBy("stratum").agg(F.count("*").alias("series"), F.avg("mb").alias("mean_mb"))
+    ranked = P.rank(df, "stratum", "uid", 7, "mb")
+    assert ranked.groupBy("stratum").count().agg(F.max("count")).first()[0] == 384
+    first = P.drawn_size(ranked, P.allocate_at(strata, 5000.0), "stratum", "mb")
+    got = P.byte_gate(ranked, strata, "stratum", "mb", 5000.0, 0.5 * first)
+    assert P.drawn_size(ranked, got, "stratum", "mb") <= 0.5 * first
+    fired = got.first()["fired"]
+    assert P.drawn_size(ranked, P.allocate_at(strata, 5000.0 * 0.95 ** (fired - 1)), "stratum", "mb") > 0.5 * first
+    with pytest.raises(ValueError):
+        P.byte_gate(ranked, strata, "stratum", "mb", 5000.0, 1.0)
