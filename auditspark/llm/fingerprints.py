@@ -13,6 +13,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditspark.llm.workers import drop
 from auditspark.session import read_table
 
 #: 256 bins of 4 bits: 128 bytes a document, and a standard error of about 0.03.
@@ -113,6 +114,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def work(batches):
         import pyarrow as pa
 
+        drop()
         sketch = Sketcher()
         for batch in batches:
             found = [sketch.pack(sketch.values(t.as_py() or "")) for t in batch.column(1)]
@@ -160,6 +162,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     def work(batches):
         import pyarrow as pa
 
+        drop()
         sketch = Sketcher()
         out: list[tuple] = []
         before = None  # (part, doc_id, text, values) of the row that waits for its successor

@@ -14,6 +14,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from auditspark.llm.workers import drop
 from auditspark.session import materialise, read_table
 
 #: N-grams of a profile, and of a document's ranking.
@@ -72,6 +73,7 @@ def train(docs: DataFrame, n: int = PROFILE) -> dict[str, list[int]]:
     def count(batches):
         import pyarrow as pa
 
+        drop()
         held: dict[tuple[str, int], int] = {}
 
         def flush():
@@ -147,6 +149,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
     def work(batches):
         import pyarrow as pa
 
+        drop()
         ranker = Ranker(shared.value)
         for batch in batches:
             found = [ranker.predict(t.as_py()) for t in batch.column(1)]

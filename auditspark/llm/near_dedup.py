@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditspark.llm.components import connected_components
+from auditspark.llm.workers import drop
 from auditspark.session import materialise, read_table
 
 #: Least similarity in percent -> (chunks, symbols of a chunk): pairs at 0.85 share no key in 1 of 1.1 million cases,
@@ -103,6 +104,7 @@ def sign(docs: DataFrame, words: int, chunks: int, symbols: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
+        drop()
         signer = Signer(chunks, symbols)
         for batch in batches:
             sizes, ids, signatures = [], [], []
@@ -127,6 +129,7 @@ def hang(reps: DataFrame, chunks: int, symbols: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        drop()
         signer = Signer(chunks, symbols)
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
@@ -149,6 +152,7 @@ def alike_pairs(hung: DataFrame, reps: DataFrame, unlike: float) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        drop()
         for batch in batches:
             s, t = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(batch.num_rows, -1) for k in (2, 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((s == t).mean(axis=1))], names=["rep", "first", "alike"])
@@ -171,6 +175,7 @@ def with_sets(docs: DataFrame, seats: DataFrame, words: int) -> DataFrame:
     def work(batches):
         import pyarrow as pa
 
+        drop()
         for batch in batches:
             found = [shingle_set(t.as_py(), words).view("i8") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
@@ -191,6 +196,7 @@ def star_links(docs: DataFrame, centred: DataFrame, words: int, percent: int) ->
         import numpy as np
         import pyarrow as pa
 
+        drop()
         ids, centre = table.column("doc_id").to_numpy(), table.column("centre")[0].as_py()
         sets = [x.values.to_numpy() for x in table.column("shingles")]
         middle = next((s for i, s in zip(ids, sets, strict=True) if i == centre), np.empty(0, "i8"))
@@ -234,6 +240,7 @@ def bucket_links(members: DataFrame, reps: DataFrame, unlike: float) -> DataFram
         import numpy as np
         import pyarrow as pa
 
+        drop()
         def found(ids, side, labels, s):
             of = connected_by(lambda k: (s[k, None] == s[None, :, :]).mean(axis=2) >= unlike, len(ids), side)
             for part in np.unique(of):
@@ -286,6 +293,7 @@ def block_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -
         import numpy as np
         import pyarrow as pa
 
+        drop()
         ids, side = table.column("doc_id").to_numpy(), table.column("own").to_numpy()
         sets = [x.values.to_numpy() for x in table.column("shingles")]
         joined = components_of(sets, percent, side if table.column("lo")[0].as_py() != table.column("hi")[0].as_py() else None)

@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import os
 import re
-from functools import cache
+
+from auditspark.llm.workers import keep
 
 #: Spans whose ids a worker keeps, some 60 bytes each; beyond that it starts anew. Results don't depend on it.
-CACHE = 2_000_000
+CACHE = 1_000_000
 #: Bytes of a span that the table compares (three machine words); longer ones up to KEPT bytes are kept in a dict.
 WIDTH, KEPT = 24, 100
 #: Bytes of texts, and spans, that are worked on at once.
-SLICE, CHUNK = 4 << 20, 1 << 19
+SLICE, CHUNK = 1 << 20, 1 << 17
 #: Words of Latin letters (without the signs U+00D7 and U+00F7, and U+0130, which falls apart in lower case): one
 #: piece in either file, and nothing to normalise but case.
 LATIN = "[a-zA-ZÀ-ÖØ-öø-įı-ɏ]+"
@@ -353,10 +354,9 @@ class Encoder:
         return out, np.append(0, ends)[of_text[1:]]
 
 
-@cache
 def encoder(path: str, drops_space: bool) -> Encoder:
     """One encoder for each worker process, with the ids that Tokenizer.from_file gives."""
-    return Encoder(path, drops_space, spells_added=False)
+    return keep(("encoder", path, drops_space), lambda: Encoder(path, drops_space, spells_added=False))
 
 
 def spread(texts):

@@ -18,6 +18,7 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditspark.llm.workers import drop
 from auditspark.session import materialise, read_table
 
 #: Category -> its label as an expression on the labels table, in chain order.
@@ -92,6 +93,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, st
         import numpy as np
         import pyarrow as pa
 
+        drop()
         for batch in batches:
             out = []
             for text in batch.column(1):
@@ -154,6 +156,7 @@ def narrow(sample: DataFrame, chosen: dict[int, list[int]]) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        drop()
         place = {}
         for m, features in shared.value.items():
             place[m] = np.full(DIMENSIONS, -1, "i2")
@@ -181,6 +184,7 @@ def learner(k: int, chosen: dict[int, list[int]]):
         import numpy as np
         import pyarrow as pa
 
+        drop()
         model, fold = table.column("model")[0].as_py(), table.column("fold").to_numpy()
         x = np.zeros((table.num_rows, len(chosen[model])), "f4")
         for row, places, v in zip(x, table.column("places"), table.column("v"), strict=True):
@@ -241,6 +245,7 @@ def score(docs: DataFrame, models: list[dict], names: list[str]) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        drop()
         chain_of = shared.value
         features = sorted({f for m in chain_of for f in m["features"]})
         place = {f: k for k, f in enumerate(features)}
