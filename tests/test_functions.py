@@ -220,9 +220,9 @@ def test_findings_without_a_banner_stay_findings(spark):
 
 
 def test_prefixed_logs_are_parsed(spark):
-    log = "W: Testing: /tmp/a b\nE: bad\nW: odd\nI: note\nplain\nW: Error - said\n\nW: Test passed."
+    log = "W: Testing: /tmp/a b\nE: bad\nW: odd\nI: note\nplain\nW: x - Error - said\n\nW: Test passed."
     got = [(r["kind"], r["severity"], r["message"]) for r in M.split_prefixed(spark.createDataFrame([(1, log), (2, None)], "uid long, log string"), ["uid"], "log").orderBy("pos").collect()]
-    assert got == [("banner", None, "W: Testing: /tmp/a b"), ("finding", "Error", "E: bad"), ("finding", "Warning", "W: odd"), ("finding", "UNCLASSIFIED", "I: note"), ("finding", "UNCLASSIFIED", "plain"), ("finding", "Error", "W: Error - said"), ("passed", None, "W: Test passed.")]
+    assert got == [("banner", None, "W: Testing: /tmp/a b"), ("finding", "Error", "E: bad"), ("finding", "Warning", "W: odd"), ("finding", "UNCLASSIFIED", "I: note"), ("finding", "UNCLASSIFIED", "plain"), ("finding", "Error", "W: x - Error - said"), ("passed", None, "W: Test passed.")]
 
 
 def test_equal_tables_have_no_difference(spark):
