@@ -138,27 +138,18 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     bases = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
     within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("_rank", F.row_number().over(within)).join(bases, ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.col("_rank") - 1)
-    shared = docs.sparkSession.sparkContext.broadcast(rows)  # bounded by the capacity: ranges split at most a few times for each length
-
-    def look_up(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        table = np.array(sorted(shared.value), dtype="i8").reshape(-1, 5)
-        starts = (table[:, 0] << 44) + table[:, 1]
-        for batch in batches:
-            length, rank = (batch.column(c).to_numpy() for c in ("length", "_rank"))
-            own = table[np.searchsorted(starts, (length << 44) + rank, "right") - 1]
-            far = rank - own[:, 1]
-            columns = [batch.column(c) for c in batch.schema.names if c[0] != "_"]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(own[:, 3] + far // own[:, 2]), pa.array(own[:, 4] + far % own[:, 2] * length)],
-                names=[*[c for c in batch.schema.names if c[0] != "_"], "sequence_id", "offset"],
-            )
-
+    # bounded by the capacity: ranges split at most a few times for each length
+    by_length: dict[int, list[tuple]] = {}
+    for length, *place in sorted(rows):
+        by_length.setdefault(length, []).append(tuple(place))
+    spark = docs.sparkSession
+    table = spark.createDataFrame(list(by_length.items()), "length long, places array<struct<rank long, per long, first long, base long>>")
+    own = F.element_at(F.filter("places", lambda p: p["rank"] <= F.col("_rank")), -1)
+    far = F.col("_rank") - F.col("_own.rank")
+    placed = ranked.join(F.broadcast(table), "length").withColumn("_own", own)
     kept = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
-    types = dict(pieces.dtypes)
-    return ranked.select(*kept, "_rank").mapInArrow(look_up, ", ".join(f"{c} {types[c]}" for c in kept) + ", sequence_id long, offset long")
+    sequence, offset = F.col("_own.first") + F.floor(far / F.col("_own.per")), F.col("_own.base") + far % F.col("_own.per") * F.col("length")
+    return placed.select(*kept, sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
