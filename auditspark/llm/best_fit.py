@@ -6,13 +6,16 @@ no more lengths than a sequence has tokens. So the plan is made on the histogram
 remaining capacity, as ranges of sequence numbers with the same room; a segment tree over the capacities
 finds the tightest range in logarithmic time, and all pieces of a length that go to a range are placed
 at once. The result is that of placing one piece after another. Then every piece, by its rank among those
-of its length, looks up its place; pieces never pass through the driver, nor do all go to one task.
+of its length, looks up its place; pieces never pass through the driver, nor do all go to one task. A task that
+cuts texts numbers its pieces of each length, so a rank is that number and a sum over the tasks before: counts
+are shuffled, pieces and their ids aren't.
 """
 
 from __future__ import annotations
 
 import zlib
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +23,8 @@ from auditspark.llm.tokens import encoder, spread
 from auditspark.session import materialise, read_table
 
 CAPACITY, END_ID = 1024, 2
-#: Pieces of one length that are ranked in one group.
-RANKED = 200_000
+#: Tasks whose sums (at most one for each length, so some 12 KB a task) are broadcast; those of more tasks are joined by a shuffle.
+BROADCAST_TASKS = 2000
 
 
 class OpenSequences:
@@ -94,14 +97,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, piece int, start, length, ids_crc32 long[, ids array<int>]): each text's ids and the end id,
-    cut from the end into pieces of the capacity, so that the first one may be shorter."""
+    """(doc_id, piece int, start, length, ids_crc32 long[, ids array<int>], task int, nth long): each text's ids and the
+    end id, cut from the end into pieces of the capacity, so that the first one may be shorter. nth counts the
+    earlier pieces of the same length in the task; write the rows before using it, as another run may deal them otherwise."""
 
     def cut(batches):
         import numpy as np
         import pyarrow as pa
 
-        words = encoder(tokenizer, False)
+        words, task = encoder(tokenizer, False), TaskContext.get().partitionId()
+        seen = np.zeros(capacity + 1, "i8")
         for batch in batches:
             for part in spread(batch.column(1)):
                 ids, ends = words.encode_ended(batch.column(1)[part], end_id)
@@ -114,12 +119,18 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
                 start = np.where(piece == 0, 0, first[doc] + (piece - 1) * capacity)
                 stops, data = np.cumsum(length), memoryview(ids.tobytes())
                 crcs = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((stops - length).tolist(), stops.tolist(), strict=True)]
-                arrays = [batch.column(0)[part].take(pa.array(doc)), *map(pa.array, (piece.astype("i4"), start, length)), pa.array(crcs, pa.int64())]
+                by_length = np.argsort(length, kind="stable")
+                counts = np.bincount(length, minlength=capacity + 1)
+                nth = np.empty(len(length), "i8")
+                nth[by_length] = np.arange(len(length)) - np.repeat(np.cumsum(counts) - counts, counts)
+                nth += seen[length]
+                seen += counts
+                columns = {"doc_id": batch.column(0)[part].take(pa.array(doc)), "piece": piece.astype("i4"), "start": start, "length": length, "ids_crc32": pa.array(crcs, pa.int64())}
                 if keep_ids:
-                    arrays.append(pa.ListArray.from_arrays(pa.array(np.append(0, stops), pa.int32()), ids.astype("i4")))
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, stops), pa.int32()), ids.astype("i4"))
+                yield pa.RecordBatch.from_pydict(columns | {"task": np.full(len(length), task, "i4"), "nth": nth})
 
-    columns = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
+    columns = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids + ", task int, nth long"
     return docs.select("doc_id", "text").mapInArrow(cut, columns)
 
 
@@ -130,14 +141,15 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     packed each; null ids are kept; an empty table gives an empty one; other columns are ignored.
     """
     pieces = materialise(cut_pieces(docs, tokenizer, capacity, end_id, keep_ids), "pieces")
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # one row for each length: at most `capacity`
+    counts = materialise(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "piece-counts")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row for each length: at most `capacity`
     rows = plan(histogram, capacity)
-    groups = 1 + max(histogram.values(), default=0) // RANKED
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("_rank", F.row_number().over(within)).join(bases, ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.col("_rank") - 1)
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    summed = counts.withColumn("_base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    bases = summed.groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("length", "_base"))).alias("_bases"))
+    if counts.select("task").distinct().count() <= BROADCAST_TASKS:
+        bases = F.broadcast(bases)
+    ranked = pieces.join(bases, "task").withColumn("_rank", F.col("_bases")[F.col("length")] + F.col("nth"))
     # bounded by the capacity: ranges split at most a few times for each length
     by_length: dict[int, list[tuple]] = {}
     for length, *place in sorted(rows):
