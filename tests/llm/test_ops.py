@@ -324,6 +324,20 @@ def test_pack(spark):
     assert best_fit.pack(table(spark, []), BYTE).count() == 0
 
 
+def test_pack_over_many_tasks(spark, monkeypatch):
+    rows = [(k, "a b c " * (k % 7)) for k in range(200)]
+    docs = table(spark, rows).repartition(5)
+    for broadcast in (2000, 0):  # sums of the tasks' counts: broadcast, joined by a shuffle
+        monkeypatch.setattr(best_fit, "BROADCAST_TASKS", broadcast)
+        got = best_fit.pack(docs, BYTE).collect()
+        assert sorted(r["doc_id"] for r in got) == list(range(200))
+        ends = {}
+        for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+            assert r["offset"] == ends.get(r["sequence_id"], 0)
+            ends[r["sequence_id"]] = r["offset"] + r["length"]
+        assert len(ends) == len(slow_best_fit([r["length"] for r in got], 1024))
+
+
 # 5 ------------------------------------------------------------------------------------------------
 def slow_components(rows, words, percent):
     sets = {}
