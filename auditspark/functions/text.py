@@ -66,5 +66,10 @@ def mask(text: Column, phrases: Sequence[tuple[str, str]]) -> Column:
     return text
 
 
+def leaks(text: Column, phrases: Sequence[tuple[str, str]]) -> Column:
+    """The phrases that a masked text still holds, sorted."""
+    return F.filter(F.array(*[F.lit(p) for p in sorted({p for p, _ in phrases})]), lambda p: F.contains(text, p))
+
+
 def fold_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditspark.session import materialise
+
 
 def sticky_upsert(old: DataFrame, new: DataFrame, key: str, sticky: dict[str, str], protected: tuple[Column, Sequence[str]] | None = None) -> DataFrame:
     """Insert or replace by key. A column that holds its sticky value keeps it; where `protected`'s condition holds
@@ -24,13 +26,64 @@ def sticky_upsert(old: DataFrame, new: DataFrame, key: str, sticky: dict[str, st
     return j.select(key, *[merged(c).alias(c) for c in columns])
 
 
-def violations(rows: DataFrame, key: str, statuses: Sequence[str], required: Sequence[str]) -> DataFrame:
-    """(key, violation) of a batch: invalid status, duplicate id, missing required field."""
-    bad = rows.select(key, F.explode(F.array_compact(F.array(F.when(~F.col("status").isin(*statuses), "invalid status"), *[F.when(F.coalesce(F.trim(c), F.lit("")) == "", f"missing {c}") for c in required]))).alias("violation"))
+def violations(rows: DataFrame, key: str, statuses: Sequence[str], required: Sequence[str], unknown: Column | None = None) -> DataFrame:
+    """(key, violation) of a batch: invalid status, duplicate id, missing required field, and the names in the array
+    `unknown` of fields that the table hasn't."""
+    faults = F.array_compact(F.array(F.when(~F.col("status").isin(*statuses), "invalid status"), *[F.when(F.coalesce(F.trim(c), F.lit("")) == "", f"missing {c}") for c in required]))
+    if unknown is not None:
+        faults = F.concat(faults, F.transform(unknown, lambda f: F.concat(F.lit("unknown field "), f)))
+    bad = rows.select(key, F.explode(faults).alias("violation"))
     twice = rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key, F.lit("duplicate id").alias("violation"))
     return bad.unionByName(twice)
 
 
+def all_or_nothing(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """The batch's rows if `bad` has none, else no row."""
+    return rows.join(F.broadcast(bad.agg(F.count("*").alias("_bad"))), F.col("_bad") == 0).drop("_bad")
+
+
+def proposed_rows(files: DataFrame, name: str, content: str, fields: Sequence[str]) -> DataFrame:
+    """(name, place, present, unknown, each of the fields as a string) of proposal files.
+
+    A file's content is JSON: a list of rows, an envelope with the list under `rows`, or one row. `present` holds the
+    fields that a row sets, `unknown` what it sets beside them. Content that can't be read gives one row of nulls.
+    """
+    rows = "array<map<string,string>>"
+    c = F.trim(content)
+    inner = F.get_json_object(c, "$.rows")
+    parsed = F.when(F.startswith(c, F.lit("[")), F.from_json(c, rows)).when(inner.isNotNull(), F.from_json(inner, rows)).otherwise(F.array(F.from_json(c, "map<string,string>")))
+    row = F.col("_row")
+    keys, ours = F.map_keys(row), F.array(*map(F.lit, fields))
+    return files.select(name, F.posexplode_outer(parsed).alias("place", "_row")).select(
+        name, "place", F.array_intersect(ours, keys).alias("present"), F.array_sort(F.array_except(keys, ours)).alias("unknown"), *[row[f].alias(f) for f in fields]
+    )
+
+
+def judge_proposals(rows: DataFrame, claims: DataFrame, statuses: Sequence[str], protected: Column, outcome: Sequence[str]) -> DataFrame:
+    """proposed_rows with `dropped` (how many unknown keys went) and `decision`: accepted, or all that speaks against the row.
+
+    A protected id (a condition on `id`) must be there already, keeps its claim and may only have its outcome fields
+    set; a retired row is neither reworded nor made current again. claims(id, claim, status), ids distinct.
+    """
+    old = claims.select("id", F.col("claim").alias("_claim"), F.col("status").alias("_status"))
+    there = F.col("_status").isNotNull()
+    reworded = F.coalesce(there & (F.trim("claim") != "") & (F.trim("claim") != F.trim("_claim")), F.lit(False))
+    retired = F.col("_status").eqNullSafe("RETIRED")
+    stray = F.array_except("present", F.array(F.lit("id"), *map(F.lit, outcome)))
+    reasons = [
+        (F.coalesce(F.trim("id"), F.lit("")) == "", F.lit("no id")),
+        (~F.col("status").isin(*statuses), F.lit("invalid status")),
+        (protected & ~there, F.lit("new pre-registration")),
+        (protected & reworded, F.lit("rewords a protected row")),
+        (protected & there & (F.size(stray) > 0), F.concat(F.lit("sets "), F.array_join(stray, ", "))),
+        (retired & (F.trim("status") != "") & (F.col("status") != "RETIRED"), F.lit("un-retires")),
+        (retired & reworded, F.lit("rewords a retired row")),
+    ]
+    against = F.array_join(F.array_compact(F.array(*[F.when(c, what) for c, what in reasons])), "; ")
+    decision = F.when(against == "", "accepted").otherwise(against)
+    return rows.join(old, "id", "left").select(*rows.columns, F.size("unknown").alias("dropped"), decision.alias("decision"))
+
+
 def retire(claims: DataFrame, retired: DataFrame) -> DataFrame:
     """claims with the ids of retired(id, successor) marked, and a `supersedes` link on each successor."""
     gone = retired.select("id", F.col("successor").alias("_to"), F.lit(True).alias("_gone"))
@@ -64,6 +117,25 @@ def tokens(df: DataFrame, key: str, column: str, pattern: str, name: str) -> Dat
     return df.select(key, F.explode(F.filter(F.transform(F.split(column, pattern), lambda t: F.trim(t)), lambda t: t != "")).alias(name))
 
 
+def chain_ends(links: DataFrame, rounds: int = 40) -> DataFrame:
+    """(id, last, hops) of links(id, next), ids distinct: where the chain from each id ends, and after how many steps.
+
+    Each round lets a link skip as far as its target has got, so chains of any length up to 2^rounds take as many
+    joins as their length has bits. A chain that runs into a cycle has no end: both are null then, and the
+    rounds end once no chain can be longer than there are links.
+    """
+    start = links.filter("next IS NOT NULL").groupBy("id").agg(F.min("next").alias("last")).withColumn("hops", F.lit(1).cast("long"))
+    ends = materialise(start, "links")
+    n = ends.count()
+    for k in range(rounds):
+        far = ends.select(F.col("id").alias("last"), F.col("last").alias("_last"), F.col("hops").alias("_hops"))
+        moved = ends.join(far, "last", "left")
+        ends = materialise(moved.select("id", F.coalesce("_last", "last").alias("last"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.col("_last").isNotNull().alias("open")), "links")
+        if 2**k > n or ends.filter("open").isEmpty():
+            break
+    return ends.select("id", *[F.when(~F.col("open"), F.col(c)).alias(c) for c in ("last", "hops")])
+
+
 def claims_join(claims: DataFrame, sources: DataFrame, references: DataFrame, artefacts: DataFrame) -> DataFrame:
     """Per claim: whether its sources exist (yes / partial / no / none), which artefacts carry it, whether its
     references and its successor exist."""

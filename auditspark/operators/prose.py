@@ -56,6 +56,21 @@ def citations(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.posexplode(all_).alias("place", "number")).withColumn("number", F.col("number").cast("int"))
 
 
+def bare_citations(docs: DataFrame, key: str, text: str, named: dict[str, str], within: int = 40) -> DataFrame:
+    """(key, kind, place, cited): what looks like a citation but has no whole marker in the characters that follow, so
+    many as `within`. named: kind -> pattern without groups."""
+    t = F.coalesce(text, F.lit(""))
+
+    def hits_of(kind: str, pattern: str) -> Column:
+        tail = rf"(?:{pattern})(?=([\s\S]{{0,{within}}}))"
+        hits = F.arrays_zip(F.regexp_extract_all(t, F.lit(tail), F.lit(0)).alias("cited"), F.regexp_extract_all(t, F.lit(tail), F.lit(1)).alias("tail"))
+        return F.transform(hits, lambda h, n: F.struct(F.lit(kind).alias("kind"), n.alias("place"), h["cited"].alias("cited"), h["tail"].alias("tail")))
+
+    found = [hits_of(kind, pattern) for kind, pattern in named.items()]
+    hits = docs.select(key, F.explode_outer(F.concat(*found)).alias("h")).filter("h IS NOT NULL").select(key, "h.*")
+    return hits.filter(~F.col("tail").rlike(MARKER)).drop("tail")
+
+
 def first_appearance(cited: DataFrame, doc_order: str, place: str, number: str) -> DataFrame:
     """(number, new_number): numbered again in the order in which they first appear. The listed works are few and
     known (a numbering), however long the texts are."""
@@ -76,11 +91,27 @@ def reconcile(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return j.withColumn("difference", F.col("first") - F.col("second"))
 
 
-def masked_diff(left: Column, right: Column, phrases: Sequence[tuple[str, str]]) -> Column:
-    """struct(equal, at): whether two texts are equal once masked and with white space folded, and else the word
-    at which they part."""
-    a, b = (F.split(fold_space(mask(F.coalesce(t, F.lit("")), phrases)), " ") for t in (left, right))
-    n = F.greatest(F.size(a), F.size(b))
-    unlike = F.filter(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda same: ~same)
-    at = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), F.lit(True))
-    return F.struct((F.size(unlike) == 0).alias("equal"), F.when(F.size(unlike) > 0, at).alias("at"), n.alias("words"))
+def masked_diff(left: Column, right: Column, phrases: Sequence[tuple[str, str]], until: str | None = None) -> Column:
+    """struct(equal, at, left_length, right_length): whether two texts are equal before the heading `until`, once masked
+    and with white space folded, and else the first character (from 0) at which they part. `at` is null where one text
+    is the beginning of the other, which the lengths show. Null is an empty text."""
+
+    def core(text: Column) -> Column:
+        t = mask(F.coalesce(text, F.lit("")), phrases)
+        return fold_space(F.substring_index(t, until, 1) if until else t)
+
+    def letters(word: Column) -> Column:
+        return F.regexp_extract_all(word, F.lit("(?s)."), F.lit(0))
+
+    def parting(a: Column, b: Column) -> Column:
+        """How many items come before the first pair that differs."""
+        return F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), F.lit(True)).cast("int") - 1
+
+    a, b = core(left), core(right)
+    u, v = F.split(a, " "), F.split(b, " ")
+    k = parting(u, v)  # words are compared first, letters only within the word that differs
+    lead = F.length(F.array_join(F.slice(u, F.lit(1), k), " ")) + F.when(k > 0, 1).otherwise(0)
+    word = lambda words: F.concat(F.coalesce(F.get(words, k), F.lit("")), F.lit(" "))
+    at = lead + parting(letters(word(u)), letters(word(v)))
+    shown = F.when((a != b) & (at < F.least(F.length(a), F.length(b))), at)
+    return F.struct((a == b).alias("equal"), shown.alias("at"), F.length(a).alias("left_length"), F.length(b).alias("right_length"))

@@ -76,10 +76,29 @@ def citations(spark, sf_dir):
 @r.query("citation_gaps", f"WITH {CITE}, g AS (SELECT unnest(range(1, 15)) AS number) SELECT number::INTEGER AS number FROM g WHERE number NOT IN (SELECT number FROM ct)")
 def citation_gaps(spark, sf_dir):
     """DOC3: listed works that nothing cites."""
-    listed = notes(spark, sf_dir).limit(1).select(F.explode(F.sequence(F.lit(1), F.lit(14))).alias("number"))
+    listed = spark.range(1, 15).select(F.col("id").cast("int").alias("number"))
     return listed.join(D.citations(notes(spark, sf_dir), "id", "text").select("number").distinct(), "number", "left_anti")
 
 
+CITED = {"name": r"\b[A-Z][a-z]+\s+et\s+al\b", "RFC": r"\bRFC\s+[0-9]+\b"}
+REMARK = "concat('As Stone et al ', repeat('say ', p_size % 13), '[', p_size, '] and RFC ', p_size, ' too, ', p_name, ' is. See Flint et al', CASE WHEN p_partkey % 2 = 0 THEN ' [3].' ELSE '.' END)"
+
+
+@r.query(
+    "bare_citations",
+    "WITH rm AS (SELECT p_partkey AS id, "
+    + REMARK
+    + """ AS text FROM part), c AS (SELECT 'name' AS kind, '\\b[A-Z][a-z]+\\s+et\\s+al\\b' AS pattern UNION ALL SELECT 'RFC', '\\bRFC\\s+[0-9]+\\b'),
+        m AS (SELECT id, text, kind, regexp_extract_all(text, pattern) AS ms, regexp_split_to_array(text, pattern) AS ss FROM rm, c), f AS (SELECT *, unnest(range(1, len(ms) + 1)) AS n FROM m)
+        SELECT id, kind, (n - 1)::INTEGER AS place, ms[n] AS cited FROM f
+        WHERE NOT regexp_matches(substr(text, 1 + (list_sum(list_transform(ss[1:n], lambda x: len(x))) + list_sum(list_transform(ms[1:n], lambda x: len(x))))::BIGINT, 40), '\\[[0-9]+(?:, ?[0-9]+)*\\]')""",
+)
+def bare_citations(spark, sf_dir):
+    """DOC3: works named without a marker close behind."""
+    remarks = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr(REMARK).alias("text"))
+    return D.bare_citations(remarks, "id", "text", CITED)
+
+
 @r.query("first_appearance", f"WITH {CITE}, f AS (SELECT number, min(id * 100 + place) AS at_ FROM ct GROUP BY number) SELECT number, row_number() OVER (ORDER BY at_)::INTEGER AS new_number FROM f")
 def first_appearance(spark, sf_dir):
     """DOC4."""
@@ -99,6 +118,17 @@ def mask(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.sha2(m, 256).alias("masked_sha256"), F.contains(F.lower(m), F.lit("the")).alias("leaks"))
 
 
+@r.query(
+    "mask_leaks",
+    "WITH bl AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, 'the', '<T>') ELSE " + MASKED + " END AS text FROM documents) "
+    + " UNION ALL ".join(f"SELECT doc_id, '{p}' AS leak FROM bl WHERE contains(text, '{p}')" for p, _ in PHRASES),
+)
+def mask_leaks(spark, sf_dir):
+    """DOC5: phrases that masked copies still hold; a third of the copies were masked with one phrase only."""
+    copy = F.when(F.col("doc_id") % 3 == 0, X.mask(F.col("text"), [p for p in PHRASES if p[0] == "the"])).otherwise(X.mask(F.col("text"), PHRASES))
+    return docs(spark, sf_dir).select("doc_id", F.explode_outer(X.leaks(copy, PHRASES)).alias("leak")).filter("leak IS NOT NULL")
+
+
 @r.query("n_of_m", f"WITH {NOTES}, q AS (SELECT DISTINCT id, unnest(regexp_extract_all(text, '\\b[0-9]+ of [0-9]+\\b')) AS pair FROM nt), s AS (SELECT id, CAST(split_part(pair, ' ', 1) AS BIGINT) AS n, CAST(split_part(pair, ' ', 3) AS BIGINT) AS m FROM q) SELECT id, n, m FROM s WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_size = s.n AND p_size = s.m)")
 def n_of_m(spark, sf_dir):
     """DOC6: pairs that the reference set lacks."""
@@ -124,13 +154,14 @@ def lists_agree(spark, sf_dir):
 
 @r.query(
     "masked_diff",
-    f"WITH {NOTES}, pr AS (SELECT a.id, regexp_split_to_array(trim(regexp_replace(replace(a.text, a.author, '<A>'), '[ \\t\\r\\n]+', ' ', 'g')), ' ') AS x, regexp_split_to_array(trim(regexp_replace(replace(b.text, b.author, '<A>'), '[ \\t\\r\\n]+', ' ', 'g')), ' ') AS y FROM nt a JOIN nt b ON b.id = a.id + 1) SELECT id, x = y AS equal, CASE WHEN x <> y THEN list_min(list_filter(range(1, greatest(len(x), len(y)) + 1), lambda i: x[i] IS DISTINCT FROM y[i])) END::BIGINT AS at_word FROM pr",
+    f"""WITH {NOTES}, cr AS (SELECT id, trim(regexp_replace(split_part(replace(replace(text, author, '<A>'), 'percent', '<P>'), 'None the', 1), '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM nt), pr AS (SELECT a.id, a.t AS x, b.t AS y FROM cr a JOIN cr b ON b.id = a.id + 1)
+        SELECT id, x = y AS equal, CASE WHEN x <> y THEN list_min(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[i] <> y[i])) - 1 END::INTEGER AS at, len(x)::INTEGER AS left_length, len(y)::INTEGER AS right_length FROM pr""",
 )
 def masked_diff(spark, sf_dir):
-    """DOC9: two copies, masked and folded, and the first word at which they part."""
+    """DOC9: two copies up to a heading, masked and folded, and the first character at which they part."""
     n = notes(spark, sf_dir).select("id", F.replace("text", F.col("author"), F.lit("<A>")).alias("text"))
     other = n.select((F.col("id") - 1).alias("id"), F.col("text").alias("other"))
-    return n.join(other, "id").withColumn("d", D.masked_diff(F.col("text"), F.col("other"), [])).select("id", "d.equal", F.col("d.at").alias("at_word"))
+    return n.join(other, "id").select("id", D.masked_diff(F.col("text"), F.col("other"), [("percent", "<P>")], until="None the").alias("d")).select("id", "d.*")
 
 
 @r.query(

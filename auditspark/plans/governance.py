@@ -52,16 +52,52 @@ def sticky_outcome(spark, sf_dir):
     return G.sticky_upsert(claim(spark, sf_dir).select(pre.alias("id"), "section", "claim", "status"), new, "id", {"status": "RETIRED"}, protected=(F.startswith("id", F.lit("PRE-")), ["claim"]))
 
 
+FIELDS = ["id", "section", "claim", "status"]
+UNKNOWN = "list_concat(CASE WHEN p_partkey % 4 = 0 THEN ['note'] ELSE [] END, CASE WHEN p_partkey % 8 = 0 THEN ['seen_by'] ELSE [] END)"
+#: what the files of proposed() hold, row by row
+FILED = f"p AS (SELECT p_partkey // 50 AS file, concat('C-', p_partkey * 2) AS id, CASE WHEN p_partkey % 11 <> 0 THEN 'new' END AS section, CASE WHEN p_partkey % 3 > 0 THEN concat('revised ', p_name) END AS claim, CASE WHEN p_partkey % 5 > 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'MEASURED' ELSE 'BOGUS' END END AS status, {UNKNOWN} AS unknown FROM part)"
+
+
+def proposed(spark, sf_dir):
+    """Rows out of proposal files, each about 50 parts long: lists and envelopes in turn."""
+    k = F.col("p_partkey")
+    row = F.struct(
+        F.concat(F.lit("C-"), (k * 2).cast("string")).alias("id"), F.when(k % 11 != 0, "new").alias("section"), F.when(k % 3 > 0, F.concat(F.lit("revised "), "p_name")).alias("claim"),
+        F.when(k % 5 > 0, F.when(k % 2 == 0, "MEASURED").otherwise("BOGUS")).alias("status"), F.when(k % 4 == 0, "why").alias("note"), F.when(k % 8 == 0, F.lit(3)).alias("seen_by"),
+    )
+    files = read_table(spark, sf_dir, "part").groupBy(F.expr("p_partkey DIV 50").alias("file")).agg(F.collect_list(row).alias("rows"))
+    content = F.when(F.col("file") % 2 == 0, F.to_json("rows")).otherwise(F.to_json(F.struct(F.lit("a run").alias("track"), "rows")))
+    return G.proposed_rows(files.select("file", content.alias("content")), "file", "content", FIELDS)
+
+
+STATUS_SQL = ", ".join(f"'{s}'" for s in STATUSES)
+
+
 @r.query(
     "validate_rows",
-    f"""WITH {PROP}, d AS (SELECT id FROM p GROUP BY id HAVING count(*) > 1) SELECT id, 'invalid status' AS violation FROM p WHERE status NOT IN ('MEASURED', 'VERIFIED', 'DERIVED', 'PENDING', 'LITERATURE', 'RETIRED')
-        UNION ALL SELECT id, 'duplicate id' FROM d UNION ALL SELECT id, 'unknown id' FROM p WHERE id NOT IN (SELECT id FROM claim)""",
+    f"""WITH {FILED}, q AS (SELECT CASE WHEN file % 3 = 0 THEN 'C-' || file ELSE id END AS id, section, claim, status, unknown FROM p)
+        SELECT id, 'invalid status' AS violation FROM q WHERE status NOT IN ({STATUS_SQL}) UNION ALL SELECT id, 'duplicate id' FROM q GROUP BY id HAVING count(*) > 1
+        UNION ALL SELECT id, concat('unknown field ', unnest(unknown)) FROM q {" ".join(f"UNION ALL SELECT id, 'missing {c}' FROM q WHERE {c} IS NULL" for c in ("section", "claim", "status"))}""",
 )
 def validate_rows(spark, sf_dir):
-    """GOV2: all violations of a batch; it is published only if there is none."""
-    bad = G.violations(proposals(spark, sf_dir), "id", STATUSES, ["section", "claim"])
-    unknown = proposals(spark, sf_dir).join(claim(spark, sf_dir), "id", "left_anti").select("id", F.lit("unknown id").alias("violation"))
-    return bad.unionByName(unknown)
+    """GOV2: all violations of a batch."""
+    rows = proposed(spark, sf_dir).withColumn("id", F.when(F.col("file") % 3 == 0, F.concat(F.lit("C-"), F.col("file").cast("string"))).otherwise(F.col("id")))
+    return G.violations(rows, "id", STATUSES, ["section", "claim", "status"], F.col("unknown"))
+
+
+@r.query(
+    "record_many",
+    """WITH o AS (SELECT id, section, claim, status FROM claim), q AS (SELECT concat('C-', p_partkey * 2) AS id, 'new' AS section, concat('revised ', p_name) AS claim, 'MEASURED' AS status FROM part WHERE p_partkey % 7 < 3 AND p_partkey % 2 = 0)
+       SELECT id, coalesce(q.section, o.section) AS section, coalesce(q.claim, o.claim) AS claim, CASE WHEN o.status = 'RETIRED' THEN 'RETIRED' ELSE coalesce(q.status, o.status) END AS status FROM o FULL JOIN q USING (id)""",
+)
+def record_many(spark, sf_dir):
+    """GOV2: a batch goes in as a whole or not at all. The first has no fault, the second has some."""
+    table = claim(spark, sf_dir).select(*FIELDS)
+    p = proposals(spark, sf_dir)
+    for batch in (p.filter("status <> 'BOGUS'"), p.withColumn("section", F.lit("later"))):
+        rows = G.all_or_nothing(batch, G.violations(batch, "id", STATUSES, ["section", "claim", "status"]))
+        table = G.sticky_upsert(table, rows, "id", {"status": "RETIRED"})
+    return table
 
 
 @r.query(
@@ -98,14 +134,15 @@ def null_join_guard(spark, sf_dir):
 
 @r.query(
     "merge_proposals",
-    f"""WITH {PROP}, j AS (SELECT p.id, p.claim, p.status, c.claim AS old_claim, c.status AS old_status FROM p LEFT JOIN claim c USING (id))
-        SELECT id, claim, status, CASE WHEN status NOT IN ('MEASURED', 'VERIFIED', 'DERIVED', 'PENDING', 'LITERATURE', 'RETIRED') THEN 'invalid status' WHEN old_status = 'RETIRED' AND status <> 'RETIRED' THEN 'un-retires' WHEN old_status = 'LITERATURE' AND claim <> old_claim THEN 'rewords a protected row' ELSE 'accepted' END AS decision FROM j""",
+    f"""WITH {FILED}, j AS (SELECT p.*, c.claim AS old_claim, c.status AS old_status, c.id IS NOT NULL AS there, substr(p.id, 1, 3) = 'C-7' AS protected FROM p LEFT JOIN claim c USING (id)),
+        d AS (SELECT *, list_filter([CASE WHEN status NOT IN ({STATUS_SQL}) THEN 'invalid status' END, CASE WHEN protected AND NOT there THEN 'new pre-registration' END, CASE WHEN protected AND there AND claim <> old_claim THEN 'rewords a protected row' END,
+            CASE WHEN protected AND there AND section IS NOT NULL THEN 'sets section' END, CASE WHEN old_status = 'RETIRED' AND status <> 'RETIRED' THEN 'un-retires' END, CASE WHEN old_status = 'RETIRED' AND claim <> old_claim THEN 'rewords a retired row' END], lambda x: x IS NOT NULL) AS why FROM j)
+        SELECT file, id, claim, status, len(unknown)::INTEGER AS dropped, CASE WHEN len(why) = 0 THEN 'accepted' ELSE array_to_string(why, '; ') END AS decision FROM d""",
 )
 def merge_proposals(spark, sf_dir):
-    """GOV7."""
-    old = claim(spark, sf_dir).select("id", F.col("claim").alias("old_claim"), F.col("status").alias("old_status"))
-    why = F.when(~F.col("status").isin(*STATUSES), "invalid status").when((F.col("old_status") == "RETIRED") & (F.col("status") != "RETIRED"), "un-retires").when((F.col("old_status") == "LITERATURE") & (F.col("claim") != F.col("old_claim")), "rewords a protected row").otherwise("accepted")
-    return proposals(spark, sf_dir).join(old, "id", "left").select("id", "claim", "status", why.alias("decision"))
+    """GOV7: the rows of all proposal files, without foreign keys, and what speaks against each."""
+    judged = G.judge_proposals(proposed(spark, sf_dir), claim(spark, sf_dir), STATUSES, F.startswith("id", F.lit("C-7")), ["claim", "status"])
+    return judged.select("file", "id", "claim", "status", "dropped", "decision")
 
 
 SRC = "t AS (SELECT id, unnest(list_filter(list_transform(regexp_split_to_array(sources, ' and |,'), lambda x: trim(x)), lambda x: x <> '')) AS token FROM claim), k AS (SELECT DISTINCT source FROM documents)"
@@ -174,12 +211,11 @@ def supersession(spark, sf_dir):
 
 @r.query(
     "supersession_chains",
-    "WITH RECURSIVE e AS (SELECT id, superseded_by FROM claim), t AS (SELECT id, superseded_by AS nxt, 1 AS hops FROM e WHERE superseded_by IS NOT NULL UNION ALL SELECT t.id, e.superseded_by, t.hops + 1 FROM t JOIN e ON e.id = t.nxt WHERE e.superseded_by IS NOT NULL) SELECT id, arg_max(nxt, hops) AS last, max(hops) AS hops FROM t GROUP BY id",
+    "WITH RECURSIVE e AS (SELECT id, superseded_by FROM claim), t AS (SELECT id, superseded_by AS nxt, 1 AS hops FROM e WHERE superseded_by IS NOT NULL UNION ALL SELECT t.id, e.superseded_by, t.hops + 1 FROM t JOIN e ON e.id = t.nxt WHERE e.superseded_by IS NOT NULL) SELECT id, arg_max(nxt, hops) AS last, max(hops)::BIGINT AS hops FROM t GROUP BY id",
 )
 def supersession_chains(spark, sf_dir):
-    """GOV12, whole chains."""
-    sql = "WITH RECURSIVE t AS (SELECT id, superseded_by AS nxt, 1 AS hops FROM {e} WHERE superseded_by IS NOT NULL UNION ALL SELECT t.id, e.superseded_by, t.hops + 1 FROM t JOIN {e} AS e ON e.id = t.nxt WHERE e.superseded_by IS NOT NULL) SELECT id, max_by(nxt, hops) AS last, max(hops) AS hops FROM t GROUP BY id"
-    return spark.sql(sql, e=claim(spark, sf_dir).select("id", "superseded_by"))
+    """GOV12, whole chains, of any length."""
+    return G.chain_ends(claim(spark, sf_dir).select("id", F.col("superseded_by").alias("next")))
 
 
 @r.query("outcomes", f"WITH {PROP} SELECT c.id, CASE WHEN coalesce(trim(floor_value), '') <> '' THEN 'recorded' WHEN q.id IS NOT NULL THEN 'proposed' ELSE 'open' END AS outcome FROM claim c LEFT JOIN (SELECT DISTINCT id FROM p) q USING (id) WHERE c.status = 'PENDING'")

@@ -63,7 +63,7 @@ def atomic_publish(spark, sf_dir):
     n = o.count()
     first = tables.publish(o, path, n)
     second = tables.publish(o.filter("o_orderkey % 2 = 0"), path, n)
-    return spark.read.parquet(path).agg(F.count("*").alias("n")).select("n", F.lit(first).alias("published"), F.lit(second).alias("replaced"))
+    return tables.published(spark, path).agg(F.count("*").alias("n")).select("n", F.lit(first).alias("published"), F.lit(second).alias("replaced"))
 
 
 @r.query(

@@ -48,8 +48,8 @@ def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is spark.checkpoint.dir where the session names one; only where that is unset (a local test
-    session) a folder of our own is chosen and set.
+    It is spark.checkpoint.dir where the session names one. Where that is unset, a local session gets a folder of
+    its own; on a cluster that is an error, as executors can't see the driver's temporary folders.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -57,6 +57,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="auditspark-shared-")
     spark.sparkContext.setCheckpointDir(f"file://{own}")
     return shared_dir(spark)

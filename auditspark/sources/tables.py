@@ -26,27 +26,38 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def publish(df: DataFrame, path: str, at_least: int) -> bool:
-    """Write beside the target, count what was written, and put it in the target's place only if it has rows
-    enough. -> whether it was published; a refused or failed write leaves the target as it was."""
+def publish(df: DataFrame, path: str, at_least: int, keep: int = 2) -> bool:
+    """Write beside the versions of a table, count what was written, and make it the newest version v=<n> only if it
+    has rows enough. -> whether it was published.
+
+    One rename makes it visible, to a name that isn't there yet, so readers (published) always find a whole table; a
+    refused or failed write leaves the versions as they were, and a rename that fails is an error. The `keep` newest
+    versions stay, for readers that have begun. A table has one publisher at a time.
+    """
     spark = df.sparkSession
-    temporary = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
+    temporary = f"{path}/_{uuid.uuid4().hex[:8]}.tmp"
     df.write.parquet(temporary)
-    n = spark.read.parquet(temporary).count()
-    target, fs = _fs(spark, path)
-    source, _ = _fs(spark, temporary)
-    if n < at_least:
+    source, fs = _fs(spark, temporary)
+    if spark.read.schema(df.schema).parquet(temporary).count() < at_least:
         fs.delete(source, True)
         return False
-    old, _ = _fs(spark, f"{path}.{uuid.uuid4().hex[:8]}.old")
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(source, target)
-    if fs.exists(old):
-        fs.delete(old, True)
+    before = versions(spark, path)
+    target, _ = _fs(spark, f"{path}/v={before[-1] + 1 if before else 0}")
+    if fs.exists(target) or not fs.rename(source, target):
+        raise OSError(f"{temporary} could not be renamed to {target}")
+    for n in before[: -(keep - 1) or None]:
+        drop_version(spark, path, n)
     return True
 
 
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a published table."""
+    found = versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return spark.read.parquet(f"{path}/v={found[-1]}")
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the complete versions v=<n> under a path, in order."""
     folder, fs = _fs(spark, path)

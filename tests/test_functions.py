@@ -166,8 +166,14 @@ def test_publish_refuses_partial(spark):
     path = scratch_path(spark, "t")
     assert tables.publish(spark.range(10), path, 10)
     assert not tables.publish(spark.range(5), path, 10)
-    assert spark.read.parquet(path).count() == 10
-    assert tables.publish(spark.range(12), path, 10) and spark.read.parquet(path).count() == 12
+    assert tables.published(spark, path).count() == 10
+    assert tables.publish(spark.range(12), path, 10) and tables.published(spark, path).count() == 12
+    assert tables.publish(spark.range(13), path, 10) and tables.versions(spark, path) == [1, 2]
+
+
+def test_nothing_published(spark):
+    with pytest.raises(FileNotFoundError):
+        tables.published(spark, scratch_path(spark, "t"))
 
 
 def test_sticky_retirement_survives(spark):
@@ -182,6 +188,48 @@ def test_violations(spark):
     assert {tuple(r) for r in G.violations(rows, "id", ["OK"], ["claim"]).collect()} == {("1", "invalid status"), ("2", "missing claim"), ("2", "duplicate id")}
 
 
+def test_proposals_of_each_shape(spark):
+    files = [("a", '[{"id": "1", "claim": "x", "note": "n"}, {"id": "2"}]'), ("b", '{"track": "t", "rows": [{"id": "3", "status": "OK"}]}'), ("c", ' {"id": "4"}'), ("d", "[{"), ("e", None)]
+    rows = G.proposed_rows(spark.createDataFrame(files, "file string, content string"), "file", F.col("content"), ["id", "claim", "status"])
+    got = [(r["file"], r["id"], r["claim"], r["status"], r["unknown"], r["present"]) for r in rows.orderBy("file", "place").collect()]
+    assert got[:4] == [("a", "1", "x", None, ["note"], ["id", "claim"]), ("a", "2", None, None, [], ["id"]), ("b", "3", None, "OK", [], ["id", "status"]), ("c", "4", None, None, [], ["id"])]
+    assert [g[:4] for g in got[4:]] == [("d", None, None, None), ("e", None, None, None)]
+    old = spark.createDataFrame([("1", "y", "RETIRED"), ("4", "z", "OK")], "id string, claim string, status string")
+    judged = {r["id"]: (r["dropped"], r["decision"]) for r in G.judge_proposals(rows.filter("id IS NOT NULL"), old, ["OK"], F.col("id") == "3", ["status"]).collect()}
+    assert judged == {"1": (1, "rewords a retired row"), "2": (0, "accepted"), "3": (0, "new pre-registration"), "4": (0, "accepted")}
+
+
+def test_all_or_nothing(spark):
+    rows = spark.createDataFrame([("1", "x", "NO"), ("2", "y", "OK")], "id string, claim string, status string")
+    good = rows.filter("status = 'OK'")
+    assert G.all_or_nothing(rows, G.violations(rows, "id", ["OK"], ["claim"])).isEmpty()
+    assert G.all_or_nothing(good, G.violations(good, "id", ["OK"], ["claim"])).count() == 1
+
+
+def test_chain_ends(spark):
+    long = [(str(k), str(k + 1)) for k in range(300)]
+    cycle = [("a", "b"), ("b", "a"), ("c", "a"), ("s", "s"), ("end", None), ("lost", "nowhere")]
+    got = {r["id"]: (r["last"], r["hops"]) for r in G.chain_ends(spark.createDataFrame(long + cycle, "id string, next string")).collect()}
+    want = {str(k): ("300", 300 - k) for k in range(300)} | dict.fromkeys("abcs", (None, None)) | {"lost": ("nowhere", 1)}
+    assert got == want
+    assert G.chain_ends(spark.createDataFrame([], "id string, next string")).isEmpty()
+
+
+def test_bare_citations(spark):
+    text = "Stone et al say [1]. Flint et al" + " x" * 20 + " [2]. RFC 12 and Reed et al [3]. Moss et al"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string")
+    got = {(r["id"], r["kind"], r["cited"]) for r in D.bare_citations(df, "id", "text", {"name": r"\b[A-Z][A-Za-z]+\s+et\s+al\b", "RFC": r"\bRFC\s+[0-9]+\b"}).collect()}
+    assert got == {(1, "name", "Flint et al"), (1, "name", "Moss et al")}
+
+
+def test_masked_diff_and_leaks(spark):
+    pairs = [("a  b", "a b"), ("a bcd e", "a bcx e"), ("ab", "ab c"), ("ab c", "abd c"), (None, "x"), ("", None), ("\U0001f600 ab", "\U0001f600 ac"), ("one # End x", "two # End y")]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, x string, y string")
+    got = {r["k"]: (r["d"]["equal"], r["d"]["at"]) for r in df.select("k", D.masked_diff(F.col("x"), F.col("y"), [("two", "one")], until="# End").alias("d")).collect()}
+    assert got == {0: (True, None), 1: (False, 4), 2: (False, None), 3: (False, 2), 4: (False, None), 5: (True, None), 6: (False, 3), 7: (True, None)}
+    assert one(spark, lambda v: X.leaks(v, [("ab", "1"), ("abc", "2"), ("z", "3")]), "xabcab") == ["ab", "abc"]
+
+
 def test_overlap_of_sets(spark):
     rows = [("c", g, i) for g, ids in (("l", range(6)), ("r", range(7))) for i in ids] + [("d", "l", 1)]
     grid = spark.createDataFrame([("c",), ("d",), ("e",)], "cell string")
