@@ -146,3 +146,51 @@ def carrier_hierarchy(df: DataFrame, key: str, levels: Sequence[str], telling, t
     named = ranked.groupBy(key).agg(F.min(F.nullif(F.regexp_extract(text, version, 0), F.lit(""))).alias("version_example"))
     out = per.join(named, key, "left")
     return out.select(key, "series", level.alias("level"), F.coalesce(*[F.col(f"_e{k}") for k in range(len(levels))]).alias("example"), F.col("version_example").isNotNull().alias("version_in_text"), "version_example")
+
+
+def recoverability(objects: DataFrame, values: DataFrame, by: Sequence[str], levels: Sequence[tuple[str, bool]], named: Column, version: str) -> DataFrame:
+    """The first level at which any of a group's objects names a producer, and whether a version stands there.
+
+    objects: one row each, with the columns `by`. values(by, level from 1, use "identity" or "version", value): what
+    the carriers of a level hold; blank and null say nothing. levels: (name, whether it is in the object itself).
+    named: a condition on `value`; version: the pattern of a version.
+    -> by, objects, first_level, level_name, producer, version, version_in (the value that holds it), in_object,
+    level1, level2, ...; of several values the smallest is shown. A version may also stand in the producer's value.
+    """
+    v = F.col("value")
+    distinct = values.filter(F.trim("value") != "").select(*by, "level", "use", "value").distinct()
+    identity = F.col("use") == "identity"
+    dated = v.rlike(version)
+    p = distinct.groupBy(*by, "level").agg(F.min(F.when(identity & named, v)).alias("producer"), F.min(F.when(~identity & dated, v)).alias("_in"))
+    p = p.filter("producer IS NOT NULL").withColumn("version_in", F.coalesce("_in", F.when(F.col("producer").rlike(version), F.col("producer"))))
+    yes = [F.bool_or(F.col("level") == k + 1).alias(f"level{k + 1}") for k in range(len(levels))]
+    first = p.groupBy(*by).agg(F.min("level").alias("first_level"), F.min_by(F.struct("producer", "version_in"), "level").alias("_first"), *yes)
+    names = F.array(*[F.lit(name) for name, _ in levels])
+    inside = F.array(*[F.lit("yes" if own else "no, registry only") for _, own in levels])
+    same = [F.col(f"_g.{b}").eqNullSafe(F.col(f"_f.{b}")) for b in by]
+    counted = objects.groupBy(*by).agg(F.count("*").alias("objects"))
+    at = F.col("first_level")
+    return counted.alias("_g").join(first.alias("_f"), same, "left").select(
+        *[f"_g.{b}" for b in by],
+        "objects",
+        "first_level",
+        F.coalesce(F.get(names, at - 1), F.lit("appears at no level")).alias("level_name"),
+        F.col("_first.producer").alias("producer"),
+        F.regexp_extract("_first.version_in", f"({version})", 1).alias("version"),
+        F.col("_first.version_in").alias("version_in"),
+        F.coalesce(F.get(inside, at - 1), F.lit("appears nowhere")).alias("in_object"),
+        *[F.coalesce(f"level{k + 1}", F.lit(False)).alias(f"level{k + 1}") for k in range(len(levels))],
+    )
+
+
+def module_table(types: DataFrame, held: DataFrame, attributes: Sequence[str]) -> DataFrame:
+    """(type, module, usage, a column for each attribute): what each attribute is in each module of each type.
+
+    held(type, module, usage, attribute, kind, order): of an attribute held twice the kind first in order counts. A
+    type without modules gives one row that says so, an attribute that a module lacks says "not in module".
+    """
+    kinds = [F.min_by("kind", F.when(F.col("attribute") == a, F.col("order"))).alias(a) for a in attributes]
+    wide = held.groupBy("type", "module", "usage").agg(*kinds)
+    there = F.col("module").isNotNull()
+    shown = [F.when(there, F.coalesce(a, F.lit("not in module"))).otherwise("").alias(a) for a in attributes]
+    return types.join(wide, "type", "left").select("type", F.coalesce("module", F.lit("TYPE NOT FOUND")).alias("module"), F.coalesce("usage", F.lit("")).alias("usage"), *shown)

@@ -132,25 +132,40 @@ def first_exemplar(spark, sf_dir):
     return seg(spark, sf_dir).filter("non_manual").groupBy("kind", "identification").agg(F.min(order).alias("m"), F.count("*").alias("n")).select("kind", "identification", "m.uid", "m.number", "n")
 
 
-NAMED = f"trim(v) <> '' AND {case_sql('lower(trim(v))', PRODUCT_RULES, 0, chr(39) + 'x' + chr(39))} = 'named'"
+NAMED = f"{case_sql('lower(trim(v))', PRODUCT_RULES, 0, chr(39) + 'x' + chr(39))} = 'named'"
+LEVELS = [("equipment attributes", True), ("file meta", True), ("description", True), ("in-object carriers", True), ("collection metadata", False)]
+#: (level, use) -> columns of the index, of the segments
+INDEX_CARRIERS = {(1, "identity"): ["maker", "model"], (1, "version"): ["model"], (2, "identity"): ["syntax"], (2, "version"): ["syntax"], (3, "identity"): ["description"], (3, "version"): ["description"], (5, "identity"): ["collection", "analysis", "doi"]}
+SEGMENT_CARRIERS = {(4, "identity"): ["tool"], (4, "version"): ["tool_version"]}
+
+
+def _carried(table: str, carriers: dict) -> str:
+    return " UNION ALL ".join(f"SELECT class, analysis, {level} AS level, '{use}' AS use, {c} AS v FROM {table}" for (level, use), columns in carriers.items() for c in columns)
 
 
 @r.query(
     "recoverability_ladder",
-    f"""WITH l AS (SELECT {KNOWN} AS analysis, unnest([1, 2, 3]) AS level, unnest([maker, model, description]) AS v FROM idx),
-        p AS (SELECT analysis, level, min(v) FILTER (WHERE {NAMED}) AS producer, min(regexp_extract(v, '{VERSION}')) FILTER (WHERE regexp_matches(v, '{VERSION}')) AS version FROM l GROUP BY ALL)
-        SELECT analysis, min(level) FILTER (WHERE producer IS NOT NULL)::INTEGER AS first_level, arg_min(producer, level) FILTER (WHERE producer IS NOT NULL) AS producer, arg_min(version, level) FILTER (WHERE version IS NOT NULL) AS version,
-          {', '.join(f"coalesce(bool_or(producer IS NOT NULL) FILTER (WHERE level = {k}), false) AS level{k}" for k in (1, 2, 3))} FROM p GROUP BY analysis""",
+    f"""WITH ix AS (SELECT class, {KNOWN} AS analysis, collection, doi, maker, model, syntax, description, uid FROM idx), sx AS (SELECT class, analysis, tool, tool_version FROM seg JOIN ix USING (uid)),
+        l AS (SELECT * FROM ({_carried("ix", INDEX_CARRIERS)} UNION ALL {_carried("sx", SEGMENT_CARRIERS)}) WHERE trim(v) <> ''),
+        p AS (SELECT class, analysis, level, min(v) FILTER (WHERE use = 'identity' AND {NAMED}) AS producer, min(v) FILTER (WHERE use = 'version' AND regexp_matches(v, '{VERSION}')) AS vin FROM l GROUP BY ALL),
+        q AS (SELECT *, coalesce(vin, CASE WHEN regexp_matches(producer, '{VERSION}') THEN producer END) AS version_in, row_number() OVER (PARTITION BY class, analysis ORDER BY level) AS rn FROM p WHERE producer IS NOT NULL),
+        o AS (SELECT class, analysis, count(*) AS objects FROM ix GROUP BY ALL), y AS (SELECT class, analysis, {", ".join(f"bool_or(level = {k}) AS level{k}" for k in range(1, 6))} FROM q GROUP BY ALL)
+        SELECT o.class, o.analysis, objects, level::INTEGER AS first_level, CASE level {" ".join(f"WHEN {k + 1} THEN '{name}'" for k, (name, _) in enumerate(LEVELS))} ELSE 'appears at no level' END AS level_name, producer,
+          regexp_extract(version_in, '{VERSION}') AS version, version_in, CASE WHEN level IS NULL THEN 'appears nowhere' WHEN level = 5 THEN 'no, registry only' ELSE 'yes' END AS in_object, {", ".join(f"coalesce(level{k}, false) AS level{k}" for k in range(1, 6))}
+        FROM o LEFT JOIN (SELECT * FROM q WHERE rn = 1) USING (class, analysis) LEFT JOIN y USING (class, analysis)""",
 )
 def recoverability_ladder(spark, sf_dir):
-    """AGG27: the first level at which a producer is named."""
-    df = view(spark, sf_dir, "idx").select(C.known_id(F.col("analysis")).alias("analysis"), F.posexplode(F.array("maker", "model", "description")).alias("level", "v"))
-    named = R.classify(F.col("v"), PRODUCT_RULES)["category"] == "named"
-    values = df.groupBy("analysis", "level", "v").agg(F.count("*").alias("n"))
-    p = values.groupBy("analysis", "level").agg(F.min(F.when(named, F.col("v"))).alias("producer"), F.min(F.nullif(F.regexp_extract("v", f"({VERSION})", 1), F.lit(""))).alias("version"))
-    at = lambda k: F.coalesce(F.bool_or(F.when(F.col("level") == k - 1, F.col("producer").isNotNull())), F.lit(False)).alias(f"level{k}")
-    has = F.col("producer").isNotNull()
-    return p.groupBy("analysis").agg((F.min(F.when(has, F.col("level"))) + 1).alias("first_level"), F.min_by("producer", F.when(has, F.col("level"))).alias("producer"), F.min_by("version", F.when(F.col("version").isNotNull(), F.col("level"))).alias("version"), at(1), at(2), at(3))
+    """AGG27: the first of five levels at which a producer is named. Segments are reduced to their distinct values
+    per object before they meet the index."""
+    ix = view(spark, sf_dir, "idx").withColumn("analysis", C.known_id(F.col("analysis")))
+    s = seg(spark, sf_dir).select("uid", "tool", "tool_version").distinct().join(ix.select("uid", "class", "analysis"), "uid")
+
+    def carried(df: DataFrame, carriers: dict) -> DataFrame:
+        held = F.array(*[F.struct(F.lit(level).alias("level"), F.lit(use).alias("use"), F.col(c).alias("value")) for (level, use), columns in carriers.items() for c in columns])
+        return df.select("class", "analysis", F.explode(held).alias("h")).select("class", "analysis", "h.*")
+
+    named = R.classify(F.col("value"), PRODUCT_RULES)["category"] == "named"
+    return C.recoverability(ix, carried(ix, INDEX_CARRIERS).unionByName(carried(s, SEGMENT_CARRIERS)), ["class", "analysis"], LEVELS, named, VERSION)
 
 
 @r.query(
@@ -240,6 +255,23 @@ def nested_path_find(spark, sf_dir):
     return reduce(DataFrame.unionAll, levels) if levels else level
 
 
+USAGE = "CASE p_size % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'U' ELSE 'C' END"
+ATTRIBUTES = ["red", "blue", "small", "large"]
+
+
+@r.query(
+    "module_table",
+    f"""WITH m AS (SELECT p_type AS type, p_brand AS module, {USAGE} AS usage, split_part(p_name, ' ', 1) AS attribute, p_size FROM part WHERE p_brand LIKE 'Brand#1%'), t AS (SELECT p_type AS type FROM part UNION SELECT 'NO SUCH TYPE')
+        SELECT t.type, coalesce(module, 'TYPE NOT FOUND') AS module, coalesce(usage, '') AS usage, {", ".join(f"CASE WHEN module IS NULL THEN '' ELSE coalesce(min(p_size) FILTER (WHERE attribute = '{a}')::VARCHAR, 'not in module') END AS {a}" for a in ATTRIBUTES)} FROM t LEFT JOIN m ON m.type = t.type GROUP BY t.type, module, usage""",
+)
+def module_table(spark, sf_dir):
+    """JOI11: each measured type's modules of interest with their usage, and what each attribute is in them."""
+    p = read_table(spark, sf_dir, "part")
+    held = p.filter("p_brand LIKE 'Brand#1%'").select(F.col("p_type").alias("type"), F.col("p_brand").alias("module"), F.expr(USAGE).alias("usage"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("attribute"), F.col("p_size").cast("string").alias("kind"), F.col("p_size").alias("order"))
+    types = p.select(F.col("p_type").alias("type")).union(spark.range(1).select(F.lit("NO SUCH TYPE"))).distinct()
+    return C.module_table(types, held, ATTRIBUTES)
+
+
 @r.query(
     "module_usage",
     "WITH m AS (SELECT p_type AS type, p_brand AS module, CASE p_size % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'U' ELSE 'C' END AS usage, p_name AS attribute FROM part) SELECT type, count(DISTINCT module) FILTER (WHERE usage = 'M') AS mandatory_modules, count(DISTINCT attribute) FILTER (WHERE usage = 'M') AS mandatory_attributes, count(DISTINCT attribute) AS attributes FROM m GROUP BY type",
