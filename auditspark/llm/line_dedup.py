@@ -3,7 +3,8 @@
 Lines are exploded with their position, normalised and hashed; documents are counted per hash; the lines
 of a repeated hash go from every document but the one with the largest id; what stays is put together
 again by position. Only hashes, ids and positions are shuffled for the count; the text moves once, when
-the dropped positions meet their document.
+the dropped positions meet their document. A very common line is not gathered in one task: the hashes with more
+than one in HOT_SHARE of all lines, which are HOT_SHARE at most, are broadcast.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from auditspark.session import materialise, read_table
 
 WHITE = " \t\n\x0b\x0c\r"
+HOT_SHARE = 1000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -36,12 +38,16 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
     lines = materialise(lines, "lines")
     repeated = (
         lines.groupBy("line_hash")
-        .agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
+        .agg(F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n_lines"), F.max("doc_id").alias("keeper"))
         .filter(F.col("n_docs") >= min_docs)
-        .select("line_hash", "keeper")
+        .select("line_hash", "keeper", (F.col("n_lines") * HOT_SHARE > lines.count()).alias("hot"))
     )
+    repeated = materialise(repeated, "repeated")
+    hot = F.broadcast(repeated.filter("hot").drop("hot"))
+    others = lines.join(hot, "line_hash", "left_anti").join(repeated.filter("NOT hot").drop("hot"), "line_hash")
     return (
-        lines.join(repeated, "line_hash")
+        lines.join(hot, "line_hash")
+        .unionByName(others)
         .filter(F.col("doc_id") != F.col("keeper"))
         .groupBy("doc_id", "text_hash")
         .agg(F.collect_set("pos").alias("dropped"))

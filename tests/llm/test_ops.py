@@ -495,7 +495,9 @@ def slow_lines(rows):
     return out
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("share", [1, 30, 1000])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, share):
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", share)  # no line, some and all go the way of the common ones
     shared = "This LINE is shared by many documents, Éé, and long enough"
     rows = documents(spark) + [(7000 + k, f"own {k}\n\t{shared.upper() if k % 2 else shared} \nÉ{shared}\nend") for k in range(6)] + [(7100, None), (7101, ""), (7102, shared)]
     got = line_dedup.dedup_lines(table(spark, rows))
@@ -503,6 +505,14 @@ def test_line_dedup_equals_brute_force(spark):
     assert set(got.columns) == {*table(spark, []).columns, "n_lines", "n_dropped"}
 
 
+def test_shards_keep_columns_with_clashing_names(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a", "x", 5), (None, "b", "y", 6)], "doc_id long, _slot string, _part string, SLOT int")
+    got = shard_lookup.place(docs, ["p", "q"], size=7)
+    assert got.columns == ["doc_id", "_slot", "_part", "slot", "shard"] and {(r["doc_id"], r["_slot"], r["_part"]) for r in got.collect()} == {(1, "a", "x"), (None, "b", "y")}
+    shard_lookup.write_shards(docs, str(tmp_path / "s"), ["p", "q"], files=2)
+    assert {(r["_slot"], r["_part"]) for r in spark.read.parquet(str(tmp_path / "s")).collect()} == {("a", "x"), ("b", "y")}
+
+
 def test_line_dedup_odd(spark):
     line = "the same line of more than forty characters, really"
     rows = [*ODD, *[(k, line) for k in range(20, 25)], (None, line), (24, line), (21, f"x\n{line}")]
