@@ -52,6 +52,14 @@ def fill_table(shards: list[str], size: int = TABLE_SIZE) -> list[int]:
     return table
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the table hasn't."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def place(docs: DataFrame, shards: list[str], key: str = "doc_id", size: int = TABLE_SIZE) -> DataFrame:
     """docs with two more columns, slot (int) and shard (string); columns of these names are replaced.
 
@@ -59,19 +67,20 @@ def place(docs: DataFrame, shards: list[str], key: str = "doc_id", size: int = T
     stays empty.
     """
     spark = docs.sparkSession
-    table = fill_table(shards, size)
-    lookup = spark.createDataFrame([(i, shards[k]) for i, k in enumerate(table)], "_slot int, shard string")
+    table, at = fill_table(shards, size), _fresh(docs, "_slot")
+    lookup = spark.createDataFrame([(i, shards[k]) for i, k in enumerate(table)], f"{at} int, shard string")
     kept = [c for c in docs.columns if c.lower() not in ("slot", "shard")]
-    slotted = docs.withColumn("_slot", F.pmod(F.xxhash64(F.col(key)), F.lit(size)).cast("int"))
+    slotted = docs.withColumn(at, F.pmod(F.xxhash64(F.col(key)), F.lit(size)).cast("int"))
     # bounded: the lookup has `size` rows, a parameter that does not depend on the documents
-    return slotted.join(F.broadcast(lookup), "_slot").select(*[F.col(f"`{c}`") for c in kept], F.col("_slot").alias("slot"), "shard")
+    return slotted.join(F.broadcast(lookup), at).select(*[F.col(f"`{c}`") for c in kept], F.col(at).alias("slot"), "shard")
 
 
 def write_shards(docs: DataFrame, path: str, shards: list[str], key: str = "doc_id", files: int = 4) -> None:
     """Write docs as Parquet, a folder for each shard, each shard's rows dealt over so many files: a key that
     holds much of the rows fills its shard's files evenly instead of one task."""
-    placed = place(docs, shards, key).withColumn("_part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(files)))
-    placed.repartition("shard", "_part").drop("_part").write.partitionBy("shard").parquet(path)
+    part = _fresh(docs, "_part")
+    placed = place(docs, shards, key).withColumn(part, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(files)))
+    placed.repartition("shard", part).drop(part).write.partitionBy("shard").parquet(path)
 
 
 def names(n: int = SHARDS) -> list[str]:
