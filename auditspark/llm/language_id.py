@@ -9,6 +9,8 @@ that the distance leaves.
 
 from __future__ import annotations
 
+import re
+import sys
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,19 +26,23 @@ HELD = 500_000
 UNKNOWN = "und"
 
 
-@cache
-def letter_runs():
-    r"""Finds runs of letters (Unicode category L): of what \w takes, all but digits, other numbers and the underscore."""
-    import re
-    import sys
+#: Runs of what \w takes, but decimal digits and the underscore: letters and other numbers (a superscript two, one half).
+RUNS = re.compile(r"[^\W\d_]+").findall
+
 
-    numbers = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
-    return re.compile(rf"[^\W\d_{''.join(numbers)}]+").findall
+@cache
+def numbers_out():
+    """Splits a run at its numbers. Slow, as it names them all: for runs that hold one."""
+    found = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+    return re.compile(rf"[^{''.join(found)}]+").findall
 
 
 def letters(text: str) -> str:
-    """Lower case, everything but letters as a single space, a space at either end."""
-    return " " + " ".join(letter_runs()(text.lower())) + " "
+    """Lower case, everything but letters (Unicode category L) as a single space, a space at either end."""
+    found = RUNS(text.lower())
+    if not "".join(found).isalpha():
+        found = [w for run in found for w in ((run,) if run.isalpha() else numbers_out()(run))]
+    return " " + " ".join(found) + " "
 
 
 def grams(text: str):
