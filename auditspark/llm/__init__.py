@@ -1,4 +1,4 @@
-"""Operators of a training-data pipeline: ten components, each with the query that applies it.
+"""Operators of a training-data pipeline: the numbered components, each with the query that applies it.
 
 queries() and oracle_sql() are what __spark_entry__.py adds to the library's own registry.
 """
@@ -19,6 +19,7 @@ MODULES = {
     8: "toxicity",
     9: "chat_format",
     10: "language_id",
+    11: "simhash",
 }
 
 

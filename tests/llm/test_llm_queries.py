@@ -11,6 +11,7 @@ import pytest
 from auditspark import llm
 from pyspark.sql import functions as F
 from tests.llm.test_ops import documents, slow_best_fit, slow_components
+from tests.llm.test_simhash import slow_components as slow_simhash
 from tokenizers import Tokenizer
 
 TYPES = {
@@ -24,6 +25,7 @@ TYPES = {
     "op8_toxicity": "doc_id bigint, p_low_quality double, p_toxic double, toxic boolean",
     "op9_chat_format": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
     "op10_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op11_simhash": "doc_id bigint, fingerprint string, component_id bigint",
 }
 
 
@@ -134,3 +136,8 @@ def test_op10(spark, crafted):
     for i, t in crafted[1].items():
         assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= got[i]["score"] <= 1
         assert (got[i]["lang_pred"] == "und") == (not any(c.isalpha() for c in t or ""))
+
+
+def test_op11(spark, crafted):
+    got = run(spark, "op11_simhash", crafted)
+    assert sorted(map(tuple, got)) == [(i, f"{p:016x}", c) for i, p, c in slow_simhash(list(crafted[1].items()))]
