@@ -20,6 +20,7 @@ MODULES = {
     9: "chat_format",
     10: "language_id",
     11: "simhash",
+    12: "ranked_search",
 }
 
 

@@ -26,6 +26,7 @@ TYPES = {
     "op9_chat_format": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
     "op10_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op11_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op12_ranked_search": "item_id bigint, rank int, doc_id bigint, score bigint",
 }
 
 
@@ -59,7 +60,7 @@ def run(spark, name, crafted):
     return df.collect()
 
 
-@pytest.mark.parametrize("name", ["op1_decontaminate", "op6_line_dedup", "op9_chat_format"])
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op6_line_dedup", "op9_chat_format", "op12_ranked_search"])
 def test_equals_sql(spark, crafted, name):
     got = run(spark, name, crafted)
     con = duckdb.connect()
