@@ -21,6 +21,7 @@ MODULES = {
     10: "language_id",
     11: "simhash",
     12: "ranked_search",
+    13: "conversation_repair",
 }
 
 

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from auditspark import llm
 from pyspark.sql import functions as F
+from tests.llm.test_conversation_repair import slow_query
 from tests.llm.test_ops import documents, slow_best_fit, slow_components
 from tests.llm.test_simhash import slow_components as slow_simhash
 from tokenizers import Tokenizer
@@ -26,6 +27,7 @@ TYPES = {
     "op9_chat_format": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
     "op10_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op11_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op13_conversation_repair": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
     "op12_ranked_search": "item_id bigint, rank int, doc_id bigint, score bigint",
 }
 
@@ -142,3 +144,9 @@ def test_op10(spark, crafted):
 def test_op11(spark, crafted):
     got = run(spark, "op11_simhash", crafted)
     assert sorted(map(tuple, got)) == [(i, f"{p:016x}", c) for i, p, c in slow_simhash(list(crafted[1].items()))]
+
+
+def test_op13(spark, crafted):
+    rows = [tuple(r) for r in spark.read.parquet(f"{crafted[0]}/conversations.parquet").collect()]
+    got = [tuple(r) for r in run(spark, "op13_conversation_repair", crafted)]
+    assert sorted(got, key=lambda r: (r[0] is not None, r[0] or 0)) == slow_query(rows)
