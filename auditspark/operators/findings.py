@@ -42,17 +42,36 @@ def split_prefixed(logs: DataFrame, keys: Sequence[str], text: str, banner: str
     return lines.select(*keys, "pos", kind.alias("kind"), F.when(kind == "finding", severity).alias("severity"), "message")
 
 
-def split_sectioned(logs: DataFrame, keys: Sequence[str], text: str, section: str, module: str) -> DataFrame:
-    """Lines under section headers (which set the severity and reset the context) and module headers (which set
-    the context): the last header above holds."""
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = log_lines(logs, keys, text).filter(F.trim("line") != "")
-    head, sub = F.regexp_extract("line", section, 1), F.regexp_extract("line", module, 1)
-    marked = lines.withColumn("_s", F.when(head != "", head)).withColumn("_m", F.when(sub != "", sub))
-    filled = marked.withColumn("severity", F.last("_s", ignorenulls=True).over(w)).withColumn("_at", F.max(F.when(F.col("_s").isNotNull(), F.col("pos"))).over(w)).withColumn("_mat", F.max(F.when(F.col("_m").isNotNull(), F.col("pos"))).over(w)).withColumn("_mod", F.last("_m", ignorenulls=True).over(w))
-    found = filled.filter(F.col("_s").isNull() & F.col("_m").isNull())
-    context = F.when(F.col("_mat") > F.coalesce("_at", F.lit(-1)), F.col("_mod"))
-    return found.select(*keys, "pos", F.coalesce("severity", F.lit("none")).alias("severity"), context.alias("context"), F.trim("line").alias("finding"), F.col("line").rlike("^[ \t]").alias("indented"))
+def split_sectioned(logs: DataFrame, keys: Sequence[str], text: str, section: str, module: str, context: str, banner: str, flush: str) -> DataFrame:
+    """Findings of logs in sections: (keys, pos, banner, severity, module, context, indented, finding, message).
+
+    Patterns find a line's kind, in this order, their first group its name: the banner (a log's last one holds for all its
+    findings), a section (names the severity; without its plural s, in upper case), a module (ends the context), a context
+    (a parent's line). Blank lines and rules of `=` are no lines. Of the others, those before the first section go; indented
+    ones (two blanks or a tab) are findings under the context; flush ones are findings only if they begin with `flush`,
+    and end the context, as they have no parent.
+    """
+    raw = F.regexp_replace("line", r"\s+$", "")
+    lines = log_lines(logs, keys, text).select(*keys, "pos", raw.alias("raw"), F.regexp_replace(raw, r"^\s+", "").alias("finding")).filter(~F.col("finding").rlike("^=*$"))
+    kind = F.lit("line")
+    for name, pattern in (("context", context), ("module", module), ("section", section), ("banner", banner)):
+        kind = F.when(F.col("finding").rlike(pattern), name).otherwise(kind)
+    marked = lines.withColumn("kind", kind).withColumn("indented", F.col("raw").rlike("^(  |\t)"))
+    of = lambda name, pattern: F.when(F.col("kind") == name, F.regexp_extract("finding", pattern, 1))
+    log = Window.partitionBy(*keys)
+    so_far = log.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    upto = lambda c: F.last(c, ignorenulls=True).over(so_far)
+    known = marked.select(
+        "*",
+        F.last(of("banner", banner), ignorenulls=True).over(log.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("banner"),
+        upto(F.upper(F.regexp_replace(of("section", section), "s$", ""))).alias("severity"),
+        upto(of("module", module)).alias("module"),
+    )
+    is_flush = (F.col("kind") == "line") & ~F.col("indented") & F.startswith("finding", F.lit(flush)) & F.col("severity").isNotNull()
+    event = F.when((F.col("kind") == "module") | is_flush, "").otherwise(of("context", context))  # an empty one ends it
+    found = known.withColumn("context", F.nullif(upto(event), F.lit(""))).filter((F.col("kind") == "line") & F.col("severity").isNotNull() & (F.col("indented") | is_flush))
+    message = F.format_string("Module <%s> %s %s", F.coalesce("module", F.lit("?")), F.coalesce("context", F.lit("")), "finding")
+    return found.select(*keys, "pos", "banner", "severity", "module", "context", "indented", "finding", message.alias("message"))
 
 
 def cell_sets(messages: DataFrame, cell: Sequence[str], group: str, id_col: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark.functions.text import fold_space, mask
+from auditspark.operators.ranges import numbered
 
 SENTENCE = r"[^.!?\n]+[.!?]?"
 NUMBER = r"\b[0-9]{1,3}(,[0-9]{3})+\b|\b[0-9]+(\.[0-9]+)? (percent|GB|MB)"
@@ -72,10 +73,9 @@ def bare_citations(docs: DataFrame, key: str, text: str, named: dict[str, str],
 
 
 def first_appearance(cited: DataFrame, doc_order: str, place: str, number: str) -> DataFrame:
-    """(number, new_number): numbered again in the order in which they first appear. The listed works are few and
-    known (a numbering), however long the texts are."""
-    first = cited.groupBy(number).agg(F.min(F.struct(doc_order, place)).alias("at"))
-    return first.select(number, F.row_number().over(Window.orderBy("at")).alias("new_number"))
+    """(number, new_number long): numbered again in the order in which they first appear."""
+    first = cited.groupBy(number).agg(F.min(F.struct(doc_order, place)).alias("at")).select(number, f"at.{doc_order}", f"at.{place}")
+    return numbered(first, [F.col(doc_order), F.col(place)], "new_number").select(number, "new_number")
 
 
 def n_of_m(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditspark.operators.ranges import last_before, numbered
+from auditspark.session import materialise
+
 
 def compact_attempts(log: DataFrame, key: str, ordinal: str, ok: Column, payload: Sequence[str]) -> DataFrame:
     """(key, _ok, _p, _n, _first): how often each outcome occurred for a key, and where first. Compacted logs can be put
@@ -75,27 +78,66 @@ def completeness(recorded: DataFrame, planned: DataFrame, group: str, key: str)
     return j.withColumn("state", F.when(F.col("recorded") == 0, "not started").when(F.col("recorded") < F.col("planned"), "in flight").otherwise("complete"))
 
 
-def byte_batches(work: DataFrame, shard: Column, order: Sequence[str], size: str, key: str, max_bytes: float, max_count: int) -> DataFrame:
-    """Next-fit batches in order, capped by bytes and by count: (shard, batch, key). A batch is closed when the next
-    item would break a cap, and an item over the cap is a batch alone. The state is a fold over a shard's rows, and
-    shards run in parallel; a shard's rows stream through in order and only the open batch's totals are kept."""
-    rows = work.select(shard.cast("int").alias("shard"), F.col(key).alias("key"), F.col(size).cast("double").alias("size"), F.row_number().over(Window.partitionBy(shard).orderBy(*order)).alias("_n"))
+#: Consecutive rows that one task walks through.
+BLOCK = 100_000
+
+
+def byte_batches(work: DataFrame, order: Sequence[Column], size: str, key: str, max_bytes: int, max_count: int, block: int = BLOCK) -> DataFrame:
+    """Next-fit batches over one global order, capped by bytes and by count: (key, size long, batch long from 0).
+
+    A batch is closed when the next item would break a cap; an item over the cap is a batch alone; a null size counts as
+    0. The result doesn't depend on partitions: sums before each row say where a batch that starts there would end (its jump);
+    in blocks of consecutive rows jumps are followed to where they leave the block; among those exits, a few for each
+    block, pointers are doubled until all that is reached from the first row is marked; a block then marks its starts.
+    """
+    rows = work.select(F.col(key).alias("key"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"), *[c.alias(f"_o{k}") for k, c in enumerate(order)])
+    placed = materialise(numbered(rows, [F.asc(f"_o{k}") for k in range(len(order))], "n", ["size"]).select("key", "size", (F.col("n") - 1).alias("n"), "before_size"), "placed")
+    end = placed.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("value"))
+    points = placed.select(F.col("before_size").alias("value"), "n").unionByName(end.select("value", "n"))
+    reached = last_before(points, placed.select((F.col("before_size") + F.lit(max_bytes)).alias("value"), F.col("n").alias("id")))
+    to = F.least(F.greatest("n", F.col("id") + 1), F.col("id") + F.lit(max_count))
+    jumps = materialise(reached.select(F.col("id").alias("n"), to.alias("to"), F.floor(F.col("id") / block).cast("long").alias("block")), "jumps")
+
+    def leave(table):
+        import numpy as np
+        import pyarrow as pa
 
-    def fold(batches):
+        table = table.sort_by("n")
+        n, to = table.column("n").to_numpy(), table.column("to").to_numpy()
+        out, first, past = to.copy(), int(n[0]), int(n[-1]) + 1
+        for k in np.flatnonzero(to < past)[::-1].tolist():
+            out[k] = out[to[k] - first]
+        return pa.table({"n": n, "exit": out})
+
+    exits = materialise(jumps.groupBy("block").applyInArrow(leave, "n long, exit long"), "exits")
+    last = end.first()["n"]
+    spark = work.sparkSession
+    marked = spark.createDataFrame([(0,)], "n long")
+    entries = exits.select(F.col("exit").alias("n")).unionByName(marked).distinct()
+    far = materialise(exits.join(entries, "n", "left_semi").withColumnRenamed("exit", "to"), "doubled")
+    while True:  # `marked` holds the first 2 ** k entries of the path, `far` goes 2 ** k entries on
+        more = materialise(marked.join(far, "n").select(F.col("to").alias("n")).filter(F.col("n") < last), "marked")
+        if more.isEmpty():
+            break
+        marked = materialise(marked.unionByName(more), "marked")
+        far = materialise(far.join(far.select(F.col("n").alias("to"), F.col("to").alias("next")), "to").select("n", F.col("next").alias("to")), "doubled")
+
+    def starts(table):
+        import numpy as np
         import pyarrow as pa
 
-        now, batch, held, count = None, 0, 0.0, 0
-        for b in batches:
-            out = []
-            for s, size_ in zip(b.column("shard").to_pylist(), b.column("size").to_pylist(), strict=True):
-                size_ = size_ or 0.0
-                if s != now:
-                    now, batch, held, count = s, 0, 0.0, 0
-                if count and (held + size_ > max_bytes or count >= max_count):
-                    batch, held, count = batch + 1, 0.0, 0
-                held, count = held + size_, count + 1
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("key"), b.column("size"), pa.array(out, pa.int32())], names=["shard", "key", "size", "batch"])
-
-    ordered = rows.repartition("shard").sortWithinPartitions("shard", "_n").select("shard", "key", "size")
-    return ordered.mapInArrow(fold, f"shard int, key {dict(rows.dtypes)['key']}, size double, batch int")
+        table = table.sort_by("n")
+        n, to, entry = (table.column(c).to_numpy() for c in ("n", "to", "entry"))
+        first, past, begins = int(n[0]), int(n[-1]) + 1, np.zeros(len(n), bool)
+        for at in n[entry > 0].tolist():  # one at most, as the path enters a block once
+            while at < past:
+                begins[at - first] = True
+                at = int(to[at - first])
+        return pa.table({"block": table.column("block"), "n": n, "begun": np.cumsum(begins)})
+
+    flagged = jumps.join(marked.withColumn("entry", F.lit(1)), "n", "left").fillna(0, ["entry"])
+    begun = materialise(flagged.groupBy("block").applyInArrow(starts, "block long, n long, begun long"), "begun")
+    per = begun.groupBy("block").agg(F.max("begun").alias("own"))
+    before = per.select("block", F.coalesce(F.sum("own").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each block
+    number = begun.join(before, "block").select("n", (F.col("begun") + F.col("before") - 1).alias("batch"))
+    return placed.join(number, "n").select("key", "size", "batch")

@@ -99,7 +99,7 @@ def bare_citations(spark, sf_dir):
     return D.bare_citations(remarks, "id", "text", CITED)
 
 
-@r.query("first_appearance", f"WITH {CITE}, f AS (SELECT number, min(id * 100 + place) AS at_ FROM ct GROUP BY number) SELECT number, row_number() OVER (ORDER BY at_)::INTEGER AS new_number FROM f")
+@r.query("first_appearance", f"WITH {CITE}, f AS (SELECT number, min(id * 100 + place) AS at_ FROM ct GROUP BY number) SELECT number, row_number() OVER (ORDER BY at_) AS new_number FROM f")
 def first_appearance(spark, sf_dir):
     """DOC4."""
     return D.first_appearance(D.citations(notes(spark, sf_dir), "id", "text"), "id", "place", "number")

@@ -11,6 +11,7 @@ from auditspark.functions.stats import percent
 from auditspark.operators import census as C
 from auditspark.operators import findings as M
 from auditspark.operators import records as L
+from auditspark.operators.ranges import numbered
 from auditspark.plans.vocabulary import case_sql
 from auditspark.plans.views import Registry, view
 from auditspark.session import materialise, read_table
@@ -177,19 +178,14 @@ def flatten_messages(spark, sf_dir):
 RANKS = {"1-URGENT": 1, "2-HIGH": 2}
 
 
-@r.query("manifest", "SELECT o_orderkey AS uid, o_orderpriority AS class, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 1 ELSE 2 END, o_totalprice, o_orderkey)::INTEGER AS place FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+@r.query("manifest", "SELECT o_orderkey AS uid, o_orderpriority AS class, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 1 ELSE 2 END, o_totalprice, o_orderkey) AS place FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
 def manifest(spark, sf_dir):
     """SRC8: the whole plan, cheapest first within a class. Each range of the order is numbered by itself, from the
     number of rows in the ranges before it."""
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv]), F.col("o_orderpriority"))
     order = [rank, F.col("o_totalprice"), F.col("o_orderkey")]
     plan = read_table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").isin(*RANKS)).select("o_orderkey", "o_orderpriority", "o_totalprice")
-    ranges = materialise(plan.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
-    # a row for each range
-    n = ranges.groupBy("range").agg(F.count("*").alias("n"))
-    before = n.select("range", (F.sum("n").over(C.Window.orderBy("range")) - F.col("n")).alias("before"))
-    place = F.row_number().over(C.Window.partitionBy("range").orderBy(*order)) + F.col("before")
-    return ranges.join(F.broadcast(before), "range").select(F.col("o_orderkey").alias("uid"), F.col("o_orderpriority").alias("class"), place.cast("int").alias("place"))
+    return numbered(plan, order).select(F.col("o_orderkey").alias("uid"), F.col("o_orderpriority").alias("class"), "place")
 
 
 @r.query("resume_pending", "SELECT o_orderkey AS uid FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -198,10 +194,18 @@ def resume_pending(spark, sf_dir):
     return L.pending(read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("uid")), read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("uid")), "uid")
 
 
-@r.query("byte_batches")
+@r.query(
+    "byte_batches",
+    """WITH RECURSIVE o AS (SELECT o_orderkey AS key, CAST(round(o_totalprice * 100) AS BIGINT) AS size, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS n FROM orders),
+       p AS (SELECT *, (sum(size) OVER (ORDER BY n) - size)::BIGINT AS before FROM o), ends AS (SELECT n, before FROM p UNION ALL SELECT count(*), sum(size)::BIGINT FROM p),
+       nx AS MATERIALIZED (SELECT p.n, least(greatest(e.n, p.n + 1), p.n + 12) AS too FROM p ASOF JOIN (SELECT before, max(n) AS n FROM ends GROUP BY before) e ON p.before + 200000000 >= e.before),
+       w AS (SELECT 0::BIGINT AS n, 0::BIGINT AS batch UNION ALL SELECT nx.too, w.batch + 1 FROM w JOIN nx ON nx.n = w.n)
+       SELECT key, size, w.batch FROM o ASOF JOIN w ON o.n >= w.n""",
+)
 def byte_batches(spark, sf_dir):
-    """SRC10."""
-    return L.byte_batches(read_table(spark, sf_dir, "orders"), F.pmod(F.col("o_custkey"), F.lit(16)), ["o_orderkey"], "o_totalprice", "o_orderkey", 2_000_000.0, 12)
+    """SRC10: sizes in cents."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.round(F.col("o_totalprice") * 100).cast("long").alias("size"))
+    return L.byte_batches(o, [F.col("o_orderdate"), F.col("o_orderkey")], "size", "o_orderkey", 200_000_000, 12)
 
 
 @r.query(
@@ -253,22 +257,44 @@ def split_findings(spark, sf_dir):
     return M.split_findings(logs(spark, sf_dir), ["uid", "validator"], "log")
 
 
-SECTIONED = "SELECT uid, concat('Errors', chr(10), string_agg(CASE WHEN line % 5 = 0 THEN concat('Module: ', validator) WHEN line % 7 = 0 THEN 'Warnings' WHEN line % 3 = 0 THEN concat('  ', message) ELSE message END, chr(10) ORDER BY line)) AS log FROM msg GROUP BY uid"
+#: A log of each object with all kinds of lines: (banner, section, module, context) patterns and the start of a flush finding.
+SECTION_KINDS = (r'^SOP class is "[^"]+" \((.+)\)$', "^(Errors|Warnings)$", '^Module "([^"]+)":', r"^(\([0-9A-Fa-f]{4},[0-9A-Fa-f]{4}\).*):$", "Tag ")
+SECTIONED = """SELECT uid, concat('SOP class is "1.2" (', class, ')', chr(10), '=====', chr(10), 'Tag before any section', chr(10), '  indented before any section', chr(10), 'Errors', chr(10), string_agg(
+    CASE WHEN line % 13 = 0 THEN CASE WHEN line % 2 = 0 THEN 'Warnings' ELSE 'Errors  ' END WHEN line % 5 = 0 THEN concat('Module "', validator, '": ', severity) WHEN line % 4 = 0 THEN concat('  (0040,', lpad(CAST(line % 977 AS VARCHAR(9)), 4, '0'), ') sequence:')
+         WHEN line % 17 = 0 THEN '  ' WHEN line % 3 = 0 THEN concat('Tag ', message) WHEN line % 7 = 0 THEN message WHEN line % 11 = 0 THEN concat(chr(9), message) ELSE concat('  ', message, ' ') END, chr(10) ORDER BY line)) AS log FROM msg GROUP BY uid, class"""
 
 
 @r.query(
     "split_sectioned",
     f"""WITH g AS ({SECTIONED}), l AS (SELECT uid, (generate_subscripts(string_split(log, chr(10)), 1) - 1)::INTEGER AS pos, unnest(string_split(log, chr(10))) AS line FROM g),
-        h AS (SELECT *, nullif(regexp_extract(line, '^(Errors|Warnings)$', 1), '') AS s, nullif(regexp_extract(line, '^Module: (.*)$', 1), '') AS m FROM l WHERE trim(line) <> ''),
-        f AS (SELECT *, last_value(s IGNORE NULLS) OVER w AS severity, max(CASE WHEN s IS NOT NULL THEN pos END) OVER w AS at_s, max(CASE WHEN m IS NOT NULL THEN pos END) OVER w AS at_m, last_value(m IGNORE NULLS) OVER w AS mod FROM h WINDOW w AS (PARTITION BY uid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-        SELECT uid, pos, coalesce(severity, 'none') AS severity, CASE WHEN at_m > coalesce(at_s, -1) THEN mod END AS context, trim(line) AS finding, regexp_matches(line, '^[ \\t]') AS indented FROM f WHERE s IS NULL AND m IS NULL""",
+        c AS (SELECT uid, pos, regexp_replace(line, '\\s+$', '') AS raw, regexp_replace(regexp_replace(line, '\\s+$', ''), '^\\s+', '') AS t FROM l),
+        k AS (SELECT *, regexp_matches(raw, '^(  |\\t)') AS indented, CASE WHEN starts_with(t, 'SOP class is "') AND t LIKE '%)' THEN 'banner' WHEN t IN ('Errors', 'Warnings') THEN 'section' WHEN starts_with(t, 'Module "') THEN 'module' WHEN regexp_matches(t, '^\\([0-9A-Fa-f]{{4}},[0-9A-Fa-f]{{4}}\\).*:$') THEN 'context' ELSE 'line' END AS kind FROM c WHERE t <> '' AND replace(t, '=', '') <> ''),
+        s AS (SELECT uid, pos AS spot, upper(rtrim(t, 's')) AS severity FROM k WHERE kind = 'section'), m AS (SELECT uid, pos AS spot, split_part(t, '"', 2) AS module FROM k WHERE kind = 'module'), x AS (SELECT uid, pos AS spot, rtrim(t, ':') AS context FROM k WHERE kind = 'context'),
+        b AS (SELECT uid, arg_max(regexp_extract(t, '\\((.+)\\)$', 1), pos) AS banner FROM k WHERE kind = 'banner' GROUP BY uid),
+        f AS (SELECT k.*, s.severity FROM k ASOF JOIN s ON k.uid = s.uid AND k.pos >= s.spot WHERE kind = 'line' AND (indented OR starts_with(t, 'Tag '))),
+        e AS (SELECT uid, spot FROM m UNION ALL SELECT uid, pos FROM f WHERE NOT indented),
+        j AS (SELECT f.*, b.banner, m.module, x.context, x.spot AS x_at, e.spot AS e_at FROM f LEFT JOIN b USING (uid) ASOF LEFT JOIN m ON f.uid = m.uid AND f.pos >= m.spot ASOF LEFT JOIN x ON f.uid = x.uid AND f.pos >= x.spot ASOF LEFT JOIN e ON f.uid = e.uid AND f.pos >= e.spot),
+        r AS (SELECT uid, pos, banner, severity, module, CASE WHEN x_at > coalesce(e_at, -1) THEN context END AS context, indented, t AS finding FROM j)
+        SELECT *, concat('Module <', coalesce(module, '?'), '> ', coalesce(context, ''), ' ', finding) AS message FROM r""",
 )
 def split_sectioned(spark, sf_dir):
     """LOG2."""
     m = view(spark, sf_dir, "msg")
-    shown = F.when(F.col("line") % 5 == 0, F.concat(F.lit("Module: "), "validator")).when(F.col("line") % 7 == 0, "Warnings").when(F.col("line") % 3 == 0, F.concat(F.lit("  "), "message")).otherwise(F.col("message"))
-    text = F.concat(F.lit("Errors\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", shown.alias("t")))), lambda x: x.t), "\n"))
-    return M.split_sectioned(m.groupBy("uid").agg(text.alias("log")), ["uid"], "log", "^(Errors|Warnings)$", "^Module: (.*)$")
+    line = F.col("line")
+    shown = (
+        F.when(line % 13 == 0, F.when(line % 2 == 0, "Warnings").otherwise("Errors  "))
+        .when(line % 5 == 0, F.concat(F.lit('Module "'), "validator", F.lit('": '), "severity"))
+        .when(line % 4 == 0, F.concat(F.lit("  (0040,"), F.lpad((line % 977).cast("string"), 4, "0"), F.lit(") sequence:")))
+        .when(line % 17 == 0, "  ")
+        .when(line % 3 == 0, F.concat(F.lit("Tag "), "message"))
+        .when(line % 7 == 0, F.col("message"))
+        .when(line % 11 == 0, F.concat(F.lit("\t"), "message"))
+        .otherwise(F.concat(F.lit("  "), "message", F.lit(" ")))
+    )
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", shown.alias("t")))), lambda x: x.t), "\n")
+    head = F.concat(F.lit('SOP class is "1.2" ('), "class", F.lit(")\n=====\nTag before any section\n  indented before any section\nErrors\n"))
+    banner, section, module, context, flush = SECTION_KINDS
+    return M.split_sectioned(m.groupBy("uid", "class").agg(text.alias("log")).select("uid", F.concat(head, "log").alias("log")), ["uid"], "log", section, module, context, banner, flush)
 
 
 PREFIXED = """pf AS (SELECT uid, concat('I: Testing: /tmp/', uid, chr(10), string_agg(CASE WHEN line % 6 = 0 THEN message WHEN severity = 'Error' THEN concat('E: ', message) WHEN severity = 'Warning' THEN concat('W: Error - ', message) WHEN severity = 'ERROR' THEN concat('W: ', message) ELSE concat('I: ', message) END, chr(10) ORDER BY line), CASE WHEN bool_or(severity = 'Error') THEN '' ELSE concat(chr(10), 'W: Test passed.') END) AS log FROM msg GROUP BY uid),

@@ -22,7 +22,7 @@ def test_equals_oracle(spark, con, name):
 
 
 def test_what_has_no_oracle(spark):
-    assert sorted(set(QUERIES) - set(ORACLES)) == ["allocate_budget", "byte_batches"]
+    assert sorted(set(QUERIES) - set(ORACLES)) == ["allocate_budget"]
 
 
 def test_entry(spark):
@@ -32,20 +32,6 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_byte_batches(spark):
-    rows = QUERIES["byte_batches"](spark, SF).collect()
-    assert len(rows) == spark.read.parquet(f"{SF}/orders.parquet").count()
-    by = {}
-    for r in rows:
-        by.setdefault((r["shard"], r["batch"]), []).append((r["key"], r["size"]))
-    assert all(len(b) <= 12 and (sum(s for _, s in b) <= 2_000_000 or len(b) == 1) for b in by.values())
-    for (shard, k), batch in by.items():
-        after = by.get((shard, k + 1))
-        if after:
-            first = min(after)
-            assert max(batch)[0] < first[0] and (len(batch) == 12 or sum(s for _, s in batch) + first[1] > 2_000_000)
-
-
 def test_floor_rows_reads_all_lines(spark):
     m = msg(spark, SF).select("writer", "class", "validator", "cid")
     got = [tuple(r) for r in QUERIES["floor_rows"](spark, SF).select(*m.columns).collect()]
