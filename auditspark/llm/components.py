@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditspark.llm.skew import join_unique
 from auditspark.session import materialise
 
 
@@ -18,16 +19,16 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["s"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return join_unique(both, least, ["a"], total=2 * n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = join_unique(down, least, ["a"], total=n).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -37,7 +38,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = materialise(links.select("a", "b").filter("a <> b").distinct(), "links")
     state = _state(edges)
     while state[0]:
-        edges = materialise(_small_star(_large_star(edges)), "links")
+        larger = materialise(_large_star(edges, state[0]), "links")
+        edges = materialise(_small_star(larger, _state(larger)[0]), "links")
         after = _state(edges)
         if after == state:
             break

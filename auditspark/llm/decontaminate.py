@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from auditspark.session import materialise, read_table
 
-#: Candidate documents (16 bytes each) up to which their ids are broadcast; more go through a shuffled join.
+#: Candidate documents, or hashes of sketches (16 bytes each), up to which they are broadcast; more go through a shuffled join.
 BROADCAST_ROWS = 500_000
 
 
@@ -77,9 +77,10 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, containment:
     items = items.select("item_id", "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     sketches = materialise(item_sketches(items, words, containment), "sketches")
     lengths = sorted(r["n_words"] for r in sketches.select("n_words").distinct().collect()) or [words]  # `words` numbers at most
-    keys = sketches.select(F.explode("sketch").alias("shingle")).distinct()
+    keys = materialise(sketches.select(F.explode("sketch").alias("shingle")).distinct(), "sketch-hashes")
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     probes = shingle_hashes(docs, "doc_id", "text", lengths).select(F.col("id").alias("doc_id"), F.explode_outer("shingles").alias("shingle"))
-    candidates = materialise(probes.join(keys, "shingle", "left_semi").select("doc_id").distinct(), "candidates")
+    candidates = materialise(probes.join(F.broadcast(keys) if few else keys, "shingle", "left_semi").select("doc_id").distinct(), "candidates")
     small = candidates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     suspects = docs.join(F.broadcast(candidates) if small else candidates, "doc_id", "left_semi")
     found = (

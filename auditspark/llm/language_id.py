@@ -16,7 +16,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditspark.llm.workers import drop
+from auditspark.llm.workers import drop, spread
 from auditspark.session import materialise, read_table
 
 #: N-grams of a profile, and of a document's ranking.
@@ -170,6 +170,6 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     profiles = train(docs.filter(~held_out()))
     return identify(docs, profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

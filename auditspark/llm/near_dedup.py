@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditspark.llm.components import connected_components
-from auditspark.llm.workers import drop
-from auditspark.session import materialise, read_table
+from auditspark.llm.skew import join_unique
+from auditspark.llm.workers import arrow_rows, drop, spread
+from auditspark.session import materialise, read_table, ship_package
 
 #: Least similarity in percent -> (chunks, symbols of a chunk): pairs at 0.85 share no key in 1 of 1.1 million cases,
 #: pairs at 0.8 in 1 of 2.2 million; pairs at 0.3 share one in 2 (9) of 100, pairs at 0.2 in 0.1 (0.8) of 100.
@@ -33,8 +34,8 @@ LAYOUT = {85: (13, 8), 80: (17, 7)}
 #: Share of equal symbols under which a pair counts as unlike, by the least similarity. At that similarity so few are equal
 #: in less than one of 10 ** 9 cases.
 UNLIKE = {85: 0.58, 80: 0.55}
-#: Members and shingles of a block, and representatives whose ids are broadcast.
-BLOCK_ROWS, BLOCK_SHINGLES, BROADCAST_ROWS = 1000, 500_000, 500_000
+#: Members and shingles of a block; seats (40 bytes each) that are broadcast; rows of an Arrow batch.
+BLOCK_ROWS, BLOCK_SHINGLES, BROADCAST_SEATS, BATCH_ROWS = 1000, 500_000, 500_000, 1000
 SEED = 20_240_229
 
 
@@ -138,15 +139,16 @@ def hang(reps: DataFrame, chunks: int, symbols: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), signer.n))], names=["key", "rep"])
 
     keyed = materialise(reps.select("rep", "signature").mapInArrow(work, "key long, rep long"), "keyed")
-    first = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
-    return materialise(keyed.join(first, "key"), "hung")
+    first = materialise(keyed.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).filter("n > 1"), "first")
+    return materialise(join_unique(keyed, first, ["key"]), "hung")
 
 
 def alike_pairs(hung: DataFrame, reps: DataFrame, unlike: float) -> DataFrame:
     """(rep, first, alike): representatives and the centres they hang on, if the share of equal symbols is enough."""
-    pairs = hung.filter("rep <> first").select("rep", "first").distinct()
+    pairs = materialise(hung.filter("rep <> first").select("rep", "first").distinct(), "pairs")
     own = reps.select("rep", F.col("signature").alias("s"))
-    both = pairs.join(own, "rep").join(own.select(F.col("rep").alias("first"), F.col("s").alias("t")), "first").select("rep", "first", "s", "t")
+    centres = materialise(pairs.groupBy("first").agg(F.count("*").alias("n")).join(own.select(F.col("rep").alias("first"), F.col("s").alias("t")), "first"), "centres")
+    both = join_unique(pairs, centres, ["first"]).join(own, "rep").select("rep", "first", "s", "t")
 
     def work(batches):
         import numpy as np
@@ -169,7 +171,8 @@ def with_sets(docs: DataFrame, seats: DataFrame, words: int) -> DataFrame:
     """docs(doc_id, text), seats(doc_id, seat array<struct>) -> (seat, doc_id, shingles array<long>) for each seat: a
     document's set is made once, whatever the number of its seats. Only seated documents' texts are read into Python."""
     seats = materialise(seats, "seats")
-    small = seats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # a member of a large cluster has many seats
+    small = (seats.agg(F.sum(F.size("seat") + 1)).first()[0] or 0) <= BROADCAST_SEATS
     texts = docs.select("doc_id", "text").join(F.broadcast(seats.select("doc_id")) if small else seats.select("doc_id"), "doc_id")
 
     def work(batches):
@@ -371,21 +374,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     least = max(p for p in LAYOUT if p <= percent)
     (chunks, symbols), unlike = LAYOUT[least], UNLIKE[least]
     docs = docs.select("doc_id", "text")
-    signed = materialise(sign(docs, words, chunks, symbols), "signed")
-    proper = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    one = F.min(F.struct("doc_id", "n_shingles", "signature")).alias("r")
-    reps = materialise(proper.groupBy("set_a", "set_b").agg(one).select(F.col("r.doc_id").alias("rep"), "r.n_shingles", "r.signature"), "reps")
-    hung = hang(reps, chunks, symbols)
-    alike = alike_pairs(hung, reps, unlike)
-    links = materialise(star_links(docs, nearest_centres(alike), words, percent), "star-links")
-    members = unconnected(hung, connected_components(links), alike, reps, unlike)
-    more = materialise(block_links(docs, members, words, percent), "block-links")
-    joined = connected_components(links.unionByName(more))
-    same = proper.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    named = same.join(joined, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("of_set"))
-    component = F.when(F.col("n_shingles") > 0, F.col("of_set")).otherwise(F.col("doc_id"))
-    out = signed.drop("signature").join(named, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    ship_package(docs.sparkSession)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        signed = materialise(sign(docs, words, chunks, symbols), "signed")
+        proper = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+        one = F.min(F.struct("doc_id", "n_shingles", "signature")).alias("r")
+        reps = materialise(proper.groupBy("set_a", "set_b").agg(one).select(F.col("r.doc_id").alias("rep"), "r.n_shingles", "r.signature"), "reps")
+        hung = hang(reps, chunks, symbols)
+        alike = alike_pairs(hung, reps, unlike)
+        links = materialise(star_links(docs, nearest_centres(alike), words, percent), "star-links")
+        joined = connected_components(links)
+        members = unconnected(hung, joined, alike, reps, unlike)
+        more = materialise(block_links(docs, members, words, percent), "block-links")
+        if not more.isEmpty():
+            joined = connected_components(links.unionByName(more))
+    same = proper.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    named = materialise(same.join(joined, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component_id")), "named")
+    columns = ["doc_id", "n_shingles", "component_id"]
+    found = join_unique(proper.drop("signature"), named, ["set_a", "set_b"]).select(columns)
+    rest = signed.filter("n_shingles = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
+    return found.unionByName(rest.select(columns)).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -396,4 +404,4 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"), words=3, percent=85)
+    return near_duplicates(spread(read_table(spark, sf_dir, "documents")), words=3, percent=85)

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditspark.llm.workers import drop
+from auditspark.llm.workers import drop, spread
 from auditspark.session import materialise, read_table
 
 K = 10
@@ -223,7 +223,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return search(spread(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "benchmark"))
 
 
 _SPLIT = rf"list_filter(regexp_split_to_array(translate(text, '{UPPER}', '{UPPER.lower()}'), '{BETWEEN}'), lambda x: x <> '')"

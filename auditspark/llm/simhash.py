@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from auditspark.llm.components import connected_components
 from auditspark.llm.skew import join_unique
-from auditspark.llm.workers import drop
+from auditspark.llm.workers import drop, spread
 from auditspark.session import materialise, read_table
 
 BITS, RADIUS, WORDS, SEED = 64, 3, 3, 42
@@ -262,4 +262,4 @@ def near_copies(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Da
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     hex_digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return near_copies(read_table(spark, sf_dir, "documents")).select("doc_id", hex_digits, "component_id")
+    return near_copies(spread(read_table(spark, sf_dir, "documents"))).select("doc_id", hex_digits, "component_id")

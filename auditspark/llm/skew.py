@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 SHARE = 1000
 
 
-def join_unique(rows: DataFrame, named: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+def join_unique(rows: DataFrame, named: DataFrame, keys: list[str], n: str = "n", total: int | None = None) -> DataFrame:
     """rows joined with named, whose keys are unique; the column n says how many of the rows have the key, and goes.
 
     The hot keys, SHARE at most, are broadcast, so their rows stay where they are; of what is shuffled no key has

@@ -8,6 +8,9 @@ with drop().
 from __future__ import annotations
 
 import gc
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 
 _kept: dict = {}
 
@@ -28,3 +31,21 @@ def drop() -> None:
         _kept.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Rows of an Arrow batch, for what is run inside: wide rows in fewer at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over as many partitions as there are cores, where a table of few files or row groups has fewer."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
