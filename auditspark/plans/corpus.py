@@ -166,14 +166,14 @@ def masked_diff(spark, sf_dir):
 
 @r.query(
     "pinned_rows_agree",
-    f"WITH {NOTES}, pn AS (SELECT DISTINCT p_type AS title, p_size AS k FROM part WHERE p_size <= 12), f AS (SELECT trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM nt) SELECT title, k, (SELECT count(*) FROM f WHERE contains(t, concat('Of these ', k, ' of ', k, ' are ', title, ','))) AS documents FROM pn",
+    f"""WITH {NOTES}, pn AS (SELECT DISTINCT concat(p_type, ' / ', p_size) AS pinned, concat('are ', p_type, ',') AS a, concat('Of these ', p_size, ' of') AS b FROM part WHERE p_size % 4 = 1), f AS (SELECT trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM nt)
+        SELECT pinned, (SELECT count(*) FROM f WHERE contains(t, a)) AS cited, (SELECT count(*) FROM f WHERE contains(t, a) AND contains(t, b)) AS complete FROM pn""",
 )
 def pinned_rows_agree(spark, sf_dir):
-    """DOC11: pinned rows that have to occur in the folded text. The text gives its own row, joined on equality."""
-    pinned = read_table(spark, sf_dir, "part").filter("p_size <= 12").select(F.col("p_type").alias("title"), F.col("p_size").alias("k")).distinct()
-    folded = X.fold_space(F.col("text"))
-    said = notes(spark, sf_dir).select(F.regexp_extract(folded, r"Of these ([0-9]+) of \1 are ([A-Z]+),", 1).cast("string").alias("a"), F.regexp_extract(folded, r"Of these ([0-9]+) of \1 are ([A-Z]+),", 2).alias("title")).filter("a <> ''").groupBy(F.col("a").cast("int").alias("k"), "title").agg(F.count("*").alias("documents"))
-    return pinned.join(said, ["k", "title"], "left").fillna(0, ["documents"])
+    """DOC11: pinned rows whose pieces have to occur in the folded text."""
+    pieces = F.array(F.concat(F.lit("are "), "p_type", F.lit(",")), F.concat(F.lit("Of these "), F.col("p_size").cast("string"), F.lit(" of")))
+    pinned = read_table(spark, sf_dir, "part").filter("p_size % 4 = 1").select(F.concat("p_type", F.lit(" / "), F.col("p_size").cast("string")).alias("pinned"), pieces.alias("pieces")).distinct()
+    return D.pinned_rows(notes(spark, sf_dir), "id", "text", pinned, "pinned", "pieces")
 
 
 @r.query("word_limits", "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda w: w <> ''))::INTEGER AS words, len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda w: w <> '')) BETWEEN 50 AND 300 AS within FROM documents")
