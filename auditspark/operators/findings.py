@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditspark.operators.quantiles import quantiles
+from auditspark.session import materialise
+
 
 def log_lines(logs: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     return logs.select(*keys, F.posexplode_outer(F.split(F.coalesce(text, F.lit("")), "\n")).alias("pos", "line"))
@@ -123,9 +126,10 @@ def net_union(objects: DataFrame, id_col: str, collection: str, obj: str) -> Dat
     collections and the median over collections of their shares."""
     per = objects.groupBy(id_col, collection, obj).agg(F.bool_or("net").alias("net")).groupBy(id_col, collection).agg(F.count("*").alias("n"), F.count_if("net").alias("k"))
     whole = per.groupBy(collection).agg(F.lit("(all)").alias(id_col), F.sum("n").alias("n"), F.sum("k").alias("k"))
-    both = per.unionByName(whole)
-    out = both.groupBy(id_col).agg(F.sum("n").alias("objects"), F.sum("k").alias("net_objects"), F.count("*").alias("collections"), F.round(F.percentile(100.0 * F.col("k") / F.col("n"), 0.5), 4).alias("median_collection_pct"))
-    return out.select(id_col, "objects", "net_objects", F.round(100.0 * F.col("net_objects") / F.col("objects"), 2).alias("pct_net"), "collections", "median_collection_pct")
+    both = materialise(per.unionByName(whole).withColumn("share", 100.0 * F.col("k") / F.col("n")), "collections")
+    median = quantiles(both, [id_col], "share", {"median": 0.5})
+    out = both.groupBy(id_col).agg(F.sum("n").alias("objects"), F.sum("k").alias("net_objects"), F.count("*").alias("collections")).alias("o").join(median.alias("m"), F.col(f"o.{id_col}").eqNullSafe(F.col(f"m.{id_col}")))
+    return out.select(f"o.{id_col}", "objects", "net_objects", F.round(100.0 * F.col("net_objects") / F.col("objects"), 2).alias("pct_net"), "collections", F.round("median", 4).alias("median_collection_pct"))
 
 
 def table_difference(first: DataFrame, second: DataFrame) -> DataFrame:

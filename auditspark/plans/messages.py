@@ -11,6 +11,7 @@ from auditspark.functions.stats import percent
 from auditspark.operators import census as C
 from auditspark.operators import findings as M
 from auditspark.operators import records as L
+from auditspark.operators.quantiles import quantiles
 from auditspark.operators.ranges import numbered
 from auditspark.plans.vocabulary import case_sql
 from auditspark.plans.views import Registry, view
@@ -555,7 +556,7 @@ def set_relations(spark, sf_dir):
 def substantial(spark, sf_dir):
     """SET12."""
     o = msg(spark, sf_dir).withColumn("v", verdict()["category"]).groupBy("validator", "uid").agg(F.max(F.when(F.col("v") == "NET", 100.0).otherwise(0.0)).alias("net"))
-    q = o.groupBy("validator", (F.col("uid") % 10).alias("unit")).agg(F.avg("net").alias("pct")).groupBy("validator").agg(F.percentile("pct", 0.5).alias("med"))
+    q = quantiles(o.groupBy("validator", (F.col("uid") % 10).alias("unit")).agg(F.avg("net").alias("pct")), ["validator"], "pct", {"med": 0.5})
     n = o.groupBy("validator").agg(F.avg("net").alias("all")).join(q, "validator")
     return n.select("validator", F.round("all", 4).alias("overall"), F.round("med", 4).alias("median_unit"), ((F.col("all") > 5) & (F.col("med") > 5)).alias("substantial"))
 

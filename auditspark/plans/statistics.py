@@ -8,6 +8,7 @@ from auditspark.functions import stats as S
 from auditspark.functions.stats import percent
 from auditspark.operators import census as C
 from auditspark.operators import sampling as P
+from auditspark.operators.quantiles import quantiles
 from auditspark.plans.views import Registry, view
 from auditspark.session import materialise
 
@@ -103,7 +104,9 @@ def planning_icc(spark, sf_dir):
     df = idx(spark, sf_dir)
     long = df.select("class", "collection", F.explode(F.array(F.struct(F.lit("syntax").alias("proxy"), F.when(F.col("syntax") == "F", 1.0).otherwise(0.0).alias("y")), F.struct(F.lit("nc").alias("proxy"), F.when(F.contains("licence", F.lit("NC")), 1.0).otherwise(0.0).alias("y")))).alias("p"))
     cells = S.icc(long.select("class", "collection", "p.proxy", "p.y"), ["class", "proxy"], "collection", "y").filter("clusters > 1 AND n > clusters")
-    return cells.agg(F.count("*").alias("cells"), F.round(F.percentile("icc", 0.5), 6).alias("median_icc"))
+    cells = materialise(cells.select("icc"), "cells")
+    median = quantiles(cells, [], "icc", {"median_icc": 0.5})
+    return cells.agg(F.count("*").alias("cells")).join(median, how="left").select("cells", F.round("median_icc", 6).alias("median_icc"))  # one row each
 
 
 STRATA = """s AS (SELECT concat(class, ' / ', coalesce(analysis, '(null)')) AS stratum, * FROM idx), u AS (SELECT stratum, collection, count(*) AS n FROM s GROUP BY ALL),
@@ -266,10 +269,10 @@ def leave_one_out(spark, sf_dir):
 def cluster_summary(spark, sf_dir):
     """STA13: boundary counts are exact, not of rounded shares."""
     u = idx(spark, sf_dir).groupBy("class", "collection").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.trim("maker"), F.lit("")) == "").alias("k"))
-    pct = 100.0 * F.col("k") / F.col("n")
-    q = F.percentile(pct, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    t = u.groupBy("class").agg(percent(F.sum("k"), F.sum("n"), 4).alias("pct"), q.alias("q"), F.count_if(F.col("k") == 0).alias("at_0"), F.count_if(F.col("k") == F.col("n")).alias("at_100"), percent(F.max("n"), F.sum("n"), 4).alias("largest_share"), F.max_by("collection", F.struct("n", -F.substr("collection", F.lit(8)).cast("int"))).alias("largest"))
-    return t.select("class", "pct", *[F.round(F.col("q")[k], 4).alias(f"q{k + 1}") for k in range(3)], "at_0", "at_100", "largest_share", "largest")
+    u = materialise(u.withColumn("share", 100.0 * F.col("k") / F.col("n")), "clusters")
+    q = quantiles(u, ["class"], "share", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    t = u.groupBy("class").agg(percent(F.sum("k"), F.sum("n"), 4).alias("pct"), F.count_if(F.col("k") == 0).alias("at_0"), F.count_if(F.col("k") == F.col("n")).alias("at_100"), percent(F.max("n"), F.sum("n"), 4).alias("largest_share"), F.max_by("collection", F.struct("n", -F.substr("collection", F.lit(8)).cast("int"))).alias("largest"))
+    return t.join(q, "class").select("class", "pct", *[F.round(c, 4).alias(c) for c in ("q1", "q2", "q3")], "at_0", "at_100", "largest_share", "largest")
 
 
 @r.query(

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditspark.operators import findings as M
+from auditspark.operators.quantiles import quantiles
 from auditspark.operators.ranges import last_before, numbered
 from auditspark.operators.records import byte_batches
 from auditspark.plans.messages import SECTION_KINDS
@@ -110,3 +111,24 @@ def test_sectioned_log(spark):
     ]
     assert [r["severity"] for r in got] == ["ERROR"] * 9 + ["WARNING", "ERROR"] and {r["banner"] for r in got if r["id"] == 1} == {"Last type"}
     assert tuple(got[-1]) == (3, 4, None, "ERROR", "A", "(0010,0010)", True, "y", "Module <A> (0010,0010) y")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_quantiles_equal_percentile(many_ranges, seed):
+    """A group with a third of the rows, groups of one and two values, nulls in key and value."""
+    rng = random.Random(seed)
+    rows = [(rng.choice(["hot", "a", "b", None]), rng.choice([None, 0.5, 7.25, rng.random(), float(rng.randint(-3, 3))])) for _ in range(600)]
+    rows += [("one", 3.5), ("two", 1.0), ("two", 2.0), ("void", None)]
+    df = many_ranges.createDataFrame(rows, "k string, v double").withColumn("extra", F.lit(1))
+    at = {"q1": 0.25, "q2": 0.5, "q9": 0.9, "least": 0.0, "most": 1.0}
+    got = {r["k"]: tuple(r)[1:] for r in quantiles(df, ["k"], "v", at).collect()}
+    want = {r["k"]: tuple(r["q"]) for r in df.groupBy("k").agg(F.percentile("v", F.array(*[F.lit(q) for q in at.values()])).alias("q")).collect() if r["q"]}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    whole = quantiles(df, [], "v", {"m": 0.5}).first()["m"]
+    assert whole == pytest.approx(df.agg(F.percentile("v", 0.5)).first()[0])
+    assert quantiles(df.limit(0), ["k"], "v", at).collect() == []
+
+
+def test_quantiles_hold_no_group_in_a_buffer(spark):
+    plan = quantiles(spark.createDataFrame([("a", 1.0)], "k string, v double"), ["k"], "v", {"m": 0.5})._jdf.queryExecution().toString()
+    assert "percentile" not in plan and "collect" not in plan
