@@ -58,15 +58,15 @@ def published(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/v={found[-1]}")
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
+def versions(spark: SparkSession, path: str, prefix: str = "v=") -> list[int]:
     """Numbers of the complete versions v=<n> under a path, in order."""
     folder, fs = _fs(spark, path)
     if not fs.exists(folder):
         return []
-    found = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("v=")]
-    return sorted(int(p.getName()[2:]) for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    found = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith(prefix)]
+    return sorted(int(p.getName()[len(prefix) :]) for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
-def drop_version(spark: SparkSession, path: str, n: int) -> None:
-    p, fs = _fs(spark, f"{path}/v={n}")
+def drop_version(spark: SparkSession, path: str, n: int, prefix: str = "v=") -> None:
+    p, fs = _fs(spark, f"{path}/{prefix}{n}")
     fs.delete(p, True)

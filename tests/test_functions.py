@@ -17,7 +17,6 @@ from auditspark.operators import records as L
 from auditspark.operators import sampling as P
 from auditspark.session import scratch_path
 from auditspark.sources import jsonl, tables
-from auditspark.streaming import records as T
 
 RULES = [("a", "first", "^x"), ("b", "second", "y"), ("c", "third", "xy")]
 
@@ -140,17 +139,6 @@ def test_merge_of_random_logs(spark):
         assert r["disagreements"] == sum(v != want[r["k"]][2] for v in oks) if r["kept_ok"] else r["disagreements"] == 0
 
 
-def test_stream_equals_batch_and_repeats_are_harmless(spark):
-    df = spark.createDataFrame(LOG, "k string, o long, status string, v string")
-    state = scratch_path(spark, "state")
-    ok = F.col("status") == "OK"
-    for n, part in enumerate([df.filter("o < 3"), df.filter("o BETWEEN 3 AND 5"), df.filter("o > 5")]):
-        T.merge_batch(part, n, state, "k", "o", ok, ["v"])
-        T.merge_batch(part, n, state, "k", "o", ok, ["v"])  # a batch that runs again
-    key = lambda r: str(r)
-    assert sorted(T.current(spark, state, "k", "o").collect(), key=key) == sorted(L.merge_attempts(df, "k", "o", ok, ["v"]).collect(), key=key)
-
-
 def test_broken_lines_are_counted(spark):
     path = scratch_path(spark, "log")
     spark.createDataFrame([('{"uid": 1}',), ("",), ('{"uid": 2',), ('{"other": 3}',), ("[1]",)], "value string").coalesce(1).write.text(path)
