@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.skew import join_unique
+from auditspark.llm.skew import ONE_TASK, join_unique
 from auditspark.session import materialise
 
 
@@ -38,8 +38,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = materialise(links.select("a", "b").filter("a <> b").distinct(), "links")
     state = _state(edges)
     while state[0]:
-        larger = materialise(_large_star(edges, state[0]), "links")
-        edges = materialise(_small_star(larger, _state(larger)[0]), "links")
+        larger = _large_star(edges, state[0])
+        if state[0] > ONE_TASK:  # else it is cheaper to make it again
+            larger = materialise(larger, "links")
+        edges = materialise(_small_star(larger, 2 * state[0]), "links")
         after = _state(edges)
         if after == state:
             break

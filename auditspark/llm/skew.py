@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot if it has more than one row in so many; so no more than that many are hot.
 SHARE = 1000
+#: Rows that one task may join; if there are no more, no key can be too hot.
+ONE_TASK = 1_000_000
 
 
 def join_unique(rows: DataFrame, named: DataFrame, keys: list[str], n: str = "n", total: int | None = None) -> DataFrame:
@@ -16,6 +18,8 @@ def join_unique(rows: DataFrame, named: DataFrame, keys: list[str], n: str = "n"
     more than one row in SHARE. Both sides should be tables: rows are read twice.
     """
     total = named.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    if total <= ONE_TASK:
+        return rows.join(named.drop(n), keys)
     is_hot = F.col(n) * SHARE > total
     hot = named.filter(is_hot)
     cold = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(named.filter(~is_hot).drop(n), keys)

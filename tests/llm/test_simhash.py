@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from auditspark.llm import simhash
+from auditspark.llm import components, simhash, skew
 from auditspark.llm.skew import join_unique
 from tests.llm.test_ops import ODD, documents, table
 
@@ -124,10 +124,25 @@ def test_odd(spark):
     assert simhash.near_copies(table(spark, [])).collect() == []
 
 
-def test_a_hot_key_stays_where_it_is(spark):
+def test_a_hot_key_stays_where_it_is(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ONE_TASK", 100)
     rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
     named = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m"))
     got = join_unique(rows, named, ["k"])
     assert got.count() == 3000 and got.columns == ["k", "id", "m"]
     assert got.filter("k = 7").count() == 1001  # and the row whose own id is 7
     assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+
+
+def test_components_where_a_node_has_a_third_of_all_links(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ONE_TASK", 10)
+    monkeypatch.setattr(components, "ONE_TASK", 10)
+    rng = random.Random(8)
+    links = [(5, k) for k in range(100, 300)] + [(rng.randint(1000, 1400), rng.randint(1000, 1400)) for _ in range(400)] + [(300, 7), (7, 299), (1, 1), (None, 4)]
+    label = {x: x for ab in links for x in ab if x is not None and ab[0] != ab[1] and None not in ab}
+    for _ in range(60):
+        for a, b in links:
+            if a in label and b in label:
+                label[a] = label[b] = min(label[a], label[b])
+    got = components.connected_components(spark.createDataFrame(links, "a long, b long"))
+    assert {r["node"]: r["component"] for r in got.collect()} == label
