@@ -50,14 +50,43 @@ def icc(df: DataFrame, keys: list[str], cluster: str, y: str) -> DataFrame:
     return tot.select(*keys, "clusters", "n", F.when(ok, m0).alias("m0"), F.when(ok & ~flat, rho).alias("icc"))
 
 
+HALF_LOG_2PI = 0.9189385332046727
+#: From here on four terms of Stirling's series are exact to a double's last digits.
+LARGE = 16
+
+
+def _series(x: Column) -> Column:
+    return 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+
+
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x > 0: Stirling's series at x + LARGE, less the factors between."""
+    z = x + LARGE
+    between = F.aggregate(F.sequence(F.lit(0), F.lit(LARGE - 1)), F.lit(0.0), lambda acc, i: acc + F.log(x + i))
+    return (z - 0.5) * F.log(z) - z + HALF_LOG_2PI + _series(z) - between
+
+
+def _beyond(x: Column) -> Column:
+    """What Stirling's formula leaves of ln x!, for whole x > 0."""
+    return F.when(x >= LARGE, _series(x)).otherwise(log_gamma(x + 1) - (x + 0.5) * F.log(x) + x - HALF_LOG_2PI)
+
+
 def log_miss(size: Column, total: Column, drawn: Column) -> Column:
     """ln of the chance that a simple random sample without replacement of `drawn` from `total` has none of a
-    cluster of `size`; -infinity if it can't miss. No gamma function is needed: a product of `drawn` terms."""
-    can = drawn <= total - size
-    # n factors (total - size - i) / (total - i)
-    steps = F.sequence(F.lit(0), F.greatest(drawn - 1, F.lit(0)).cast("int"))
-    terms = F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.log((total - size - i) / (total - i)))
-    return F.when(drawn == 0, F.lit(0.0)).when(can, terms).otherwise(F.lit(float("-inf")))
+    cluster of `size`; -infinity if it can't miss. Its cost doesn't depend on the sample's size.
+
+    It is the same with size and sample exchanged; with m the smaller and n the larger, it is ln of b! / (b - m)! less ln of
+    total! / (total - m)!, with b = total - n. Factorials of large numbers would cancel to nothing, so Stirling's formula is put
+    in and the terms that are equal are taken out.
+    """
+    whole = total.cast("double")
+    m, n = F.least(size, drawn).cast("double"), F.greatest(size, drawn).cast("double")
+    a, b = whole - m, whole - n
+    r = b - m
+    log_share = lambda x, of: F.when(2 * x > of, F.log1p((x - of) / of)).otherwise(F.log(x / of))
+    rest = F.when(r >= LARGE, -(r + 0.5) * log_share(r, b) - _beyond(r)).otherwise((r + 0.5) * F.log(b) - r + HALF_LOG_2PI - log_gamma(r + 1))
+    value = m * log_share(b, whole) + (a + 0.5) * log_share(a, whole) + _beyond(a) + _beyond(b) - _beyond(whole) + rest
+    return F.when(m == 0, F.lit(0.0)).when(r < 0, F.lit(float("-inf"))).otherwise(value)
 
 
 def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:

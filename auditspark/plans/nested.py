@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from auditspark.functions import rules as R
 from auditspark.functions import stats as S
 from auditspark.functions.stats import percent
 from auditspark.operators import census as C
+from auditspark.operators.graph import root_paths
 from auditspark.plans.archive import KNOWN
 from auditspark.plans.statistics import wilson_sql
 from auditspark.plans.vocabulary import PRODUCT_RULES, VERSION, case_sql, sql_list
@@ -241,18 +240,37 @@ EDGES = "SELECT p_partkey AS child, CASE WHEN p_partkey < 5 THEN NULL ELSE p_par
         SELECT child, path, depth, kind FROM t""",
 )
 def nested_path_find(spark, sf_dir):
-    """JOI10: paths to all keys of nested definitions, a join over the edges for each level: a recursive query has
-    a limit of rows."""
+    """JOI10: paths to all keys of nested definitions."""
     sql = EDGES.replace("//", "DIV").replace("FROM part", "FROM {part}")
     edges = materialise(spark.sql(sql, part=read_table(spark, sf_dir, "part")), "edges")
-    level = edges.filter("parent IS NULL").select("child", F.col("child").cast("string").alias("path"), F.lit(0).alias("depth"), "kind")
-    below = edges.filter("child <> parent")
-    levels = []
-    while not (level := materialise(level, "level")).isEmpty():
-        levels.append(level)
-        above = level.select(F.col("child").alias("parent"), F.col("path").alias("lead"), F.col("depth").alias("above"))
-        level = below.join(above, "parent").select("child", F.concat("lead", F.lit("/"), F.col("child").cast("string")).alias("path"), (F.col("above") + 1).alias("depth"), "kind")
-    return reduce(DataFrame.unionAll, levels) if levels else level
+    paths, _ = root_paths(edges, "child", "parent")
+    return paths.join(edges.select("child", "kind"), F.col("node") == F.col("child")).select("child", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "depth", "kind")
+
+
+#: Parts that contain others, by two rules that make diamonds, and, for some, cycles.
+LINKS = "SELECT p_partkey AS child, CASE WHEN p_partkey % 50 < 2 THEN NULL ELSE p_partkey - 1 - p_partkey % 3 END AS parent FROM part UNION ALL SELECT p_partkey, p_partkey - 2 FROM part WHERE p_partkey % 50 BETWEEN 3 AND 12 UNION ALL SELECT p_partkey - p_partkey % 7, p_partkey FROM part WHERE p_partkey % 350 BETWEEN 43 AND 45"
+
+
+@r.query(
+    "nested_paths",
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT child, parent FROM ({LINKS})), t AS (SELECT child, [child] AS path FROM e WHERE parent IS NULL UNION ALL SELECT e.child, list_append(t.path, e.child) FROM t JOIN e ON e.parent = t.child WHERE NOT list_contains(t.path, e.child))
+        SELECT child, array_to_string(path, '/') AS path, len(path)::INTEGER - 1 AS depth FROM t""",
+)
+def nested_paths(spark, sf_dir):
+    """JOI10 where keys have several parents: each path once, none through a cycle."""
+    edges = spark.sql(LINKS.replace("FROM part", "FROM {part}"), part=read_table(spark, sf_dir, "part"))
+    return root_paths(edges, "child", "parent")[0].select(F.col("node").alias("child"), F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "depth")
+
+
+@r.query(
+    "nested_cycles",
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT child, parent FROM ({LINKS}) WHERE parent IS NOT NULL), t AS (SELECT child AS start, parent AS at_ FROM e UNION SELECT t.start, e.parent FROM t JOIN e ON e.child = t.at_)
+        SELECT DISTINCT start AS node FROM t WHERE start = at_""",
+)
+def nested_cycles(spark, sf_dir):
+    """JOI10: keys that contain themselves."""
+    edges = spark.sql(LINKS.replace("FROM part", "FROM {part}"), part=read_table(spark, sf_dir, "part"))
+    return root_paths(edges, "child", "parent")[1]
 
 
 USAGE = "CASE p_size % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'U' ELSE 'C' END"

@@ -71,6 +71,19 @@ def expected_clusters(spark, sf_dir):
     return t.groupBy("class").agg(F.count("*").alias("clusters"), F.round(F.sum(meet), 4).alias("expected"))
 
 
+@r.query(
+    "expected_clusters_third",
+    """WITH s AS (SELECT class, collection, count(*) AS m FROM idx GROUP BY ALL), t AS (SELECT *, sum(m) OVER (PARTITION BY class) AS total, (sum(m) OVER (PARTITION BY class) // 3)::BIGINT AS n FROM s)
+       SELECT class, count(*) AS clusters, round(sum(CASE WHEN n > total - m THEN 1.0 ELSE 1 - exp(lgamma(total - m + 1) - lgamma(total - m - n + 1) - lgamma(total + 1) + lgamma(total - n + 1)) END), 4) AS expected FROM t GROUP BY class""",
+)
+def expected_clusters_third(spark, sf_dir):
+    """STA4, for samples that grow with the table: a third of each class."""
+    s = idx(spark, sf_dir).groupBy("class", "collection").agg(F.count("*").alias("m"))
+    t = s.join(s.groupBy("class").agg(F.sum("m").alias("total")), "class")
+    meet = 1 - F.exp(S.log_miss(F.col("m"), F.col("total"), F.floor(F.col("total") / 3)))
+    return t.groupBy("class").agg(F.count("*").alias("clusters"), F.round(F.sum(meet), 4).alias("expected"))
+
+
 ICC_SQL = """c AS (SELECT {k} AS g, {c} AS u, count(y)::DOUBLE AS m, sum(y) AS s, sum(y * y) AS ss FROM d WHERE y IS NOT NULL GROUP BY ALL),
   t AS (SELECT g, count(*)::DOUBLE AS k, sum(m) AS n, sum(s) AS s, sum(ss) AS ss, sum(s * s / m) AS sm, sum(m * m) AS mm FROM c GROUP BY g),
   a AS (SELECT *, (sm - s * s / n) / (k - 1) AS b, (ss - sm) / (n - k) AS w, (n - mm / n) / (k - 1) AS m0 FROM t WHERE k > 1 AND n > k)"""
