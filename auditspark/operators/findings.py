@@ -132,10 +132,45 @@ def net_union(objects: DataFrame, id_col: str, collection: str, obj: str) -> Dat
     return out.select(f"o.{id_col}", "objects", "net_objects", F.round(100.0 * F.col("net_objects") / F.col("objects"), 2).alias("pct_net"), "collections", F.round("median", 4).alias("median_collection_pct"))
 
 
+#: Children of a node of the hash tree, and leaves up to which they are broadcast.
+FANOUT, BROADCAST_LEAVES = 4096, 500_000
+
+
+def _sums(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """By node: the number of rows and the sums of two hashes of them, which don't depend on the order."""
+    return df.groupBy(*by).agg(F.count("*").alias("_n"), F.sum(F.col("_h").cast("decimal(38,0)")).alias("_s"), F.sum(F.col("_g").cast("decimal(38,0)")).alias("_t"))
+
+
+def unlike_rows(first: DataFrame, second: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The rows of either table that lie in leaves of a hash tree in which the tables differ.
+
+    Rows are dealt to FANOUT ** depth leaves by a hash; a node's sums are compared from the root down, and only below unlike
+    nodes they are taken again. Sums go up from each task, so no row is shuffled. Tables with equal sums (a count and
+    twice 64 bits a leaf) count as equal.
+    """
+    columns = first.columns
+    values = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]  # a hash passes nulls over
+    hashed = [df.select(*columns, F.xxhash64(*values).alias("_h"), F.xxhash64(F.lit(1), *values).alias("_g")) for df in (first, second)]
+    place = F.col("_h")
+    by: list[str] = []
+    for k in range(depth):
+        by.append(f"_b{k}")
+        hashed = [df.withColumn(by[-1], F.pmod(place, F.lit(FANOUT)).cast("int")) for df in hashed]
+        place = F.shiftrightunsigned(place, 12)
+        x, y = (_sums(df, by) for df in hashed)
+        same = (F.col("x._n") == F.col("y._n")) & (F.col("x._s") == F.col("y._s")) & (F.col("x._t") == F.col("y._t"))
+        met = x.alias("x").join(y.alias("y"), by, "full_outer")
+        unlike = materialise(met.filter(~F.coalesce(same, F.lit(False))).select(*by), "unlike")
+        n = unlike.limit(BROADCAST_LEAVES + 1).count()
+        hashed = [df.join(F.broadcast(unlike) if n <= BROADCAST_LEAVES else unlike, by, "left_semi") for df in hashed]
+    return tuple(df.select(*columns) for df in hashed)
+
+
 def table_difference(first: DataFrame, second: DataFrame) -> DataFrame:
     """One row: equal as bags, the rows that only one has (as often as it has them more often), and the smallest row that
-    differs, with its side, as text. One shuffle for both differences."""
+    differs, with its side, as text. Only rows in unlike leaves of a hash tree are shuffled, once for both differences."""
     columns = first.columns
+    first, second = unlike_rows(first, second)
     both = first.select("*", F.lit(1).alias("_n")).unionByName(second.select("*", F.lit(-1).alias("_n")))
     d = both.groupBy(*columns).agg(F.sum("_n").alias("_d")).filter("_d <> 0")
     least = F.min(F.struct(*columns, F.when(F.col("_d") > 0, "first").otherwise("second").alias("_side"))).alias("m")
