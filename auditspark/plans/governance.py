@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from auditspark.functions.stats import percent
 from auditspark.operators import claims as G
+from auditspark.operators import records as L
 from auditspark.plans.views import Registry, view
-from auditspark.session import read_table
+from auditspark.session import read_table, scratch_path
+from auditspark.sources import buckets as B
 
 r = Registry()
 QUERIES, ORACLES = r.queries, r.oracles
@@ -40,6 +44,34 @@ def sticky_upsert(spark, sf_dir):
     return G.sticky_upsert(claim(spark, sf_dir).select("id", "section", "claim", "status"), new, "id", {"status": "RETIRED"})
 
 
+@r.query(
+    "bucketed_upsert",
+    f"""WITH {PROP}, o AS (SELECT id, section, claim, status FROM claim), q AS (SELECT * FROM p WHERE status <> 'BOGUS'),
+        t AS (SELECT id, coalesce(q.section, o.section) AS section, coalesce(q.claim, o.claim) AS claim, CASE WHEN o.status = 'RETIRED' THEN 'RETIRED' ELSE coalesce(q.status, o.status) END AS status FROM o FULL JOIN q USING (id))
+        SELECT id, section, claim, CASE WHEN status = 'RETIRED' OR CAST(substr(id, 3) AS BIGINT) % 3 > 0 THEN status ELSE 'RETIRED' END AS status FROM t""",
+)
+def bucketed_upsert(spark, sf_dir):
+    """GOV1 over a table in buckets: two batches, of which the second retires a third of all ids."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"claims_{uuid.uuid4().hex[:8]}", scratch_path(spark, "claims")
+    B.create(claim(spark, sf_dir).select("id", "section", "claim", "status"), name, "id", buckets, path)
+    new = proposals(spark, sf_dir).filter("status <> 'BOGUS'")
+    B.change(spark, name, "id", buckets, path, lambda old: G.sticky_upsert(old, new, "id", {"status": "RETIRED"}))
+    third = B.read(spark, name).filter(F.substr("id", F.lit(3)).cast("long") % 3 == 0).select("id", *[F.lit(None).cast("string").alias(c) for c in ("section", "claim")], F.lit("RETIRED").alias("status"))
+    B.change(spark, name, "id", buckets, path, lambda old: G.sticky_upsert(old, third, "id", {"status": "RETIRED"}))
+    return B.read(spark, name)
+
+
+@r.query("bucketed_pending", "SELECT o_orderkey AS uid FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity < 10)")
+def bucketed_pending(spark, sf_dir):
+    """SRC9 over a plan and a log in buckets of one key: neither moves."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan, log = (f"{t}_{uuid.uuid4().hex[:8]}" for t in ("plan", "log"))
+    B.create(read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("uid")), plan, "uid", buckets, scratch_path(spark, "plan"))
+    B.create(read_table(spark, sf_dir, "lineitem").filter("l_quantity < 10").select(F.col("l_orderkey").alias("uid")), log, "uid", buckets, scratch_path(spark, "log"))
+    return L.pending(B.read(spark, plan), B.read(spark, log), "uid")
+
+
 @r.query(
     "sticky_outcome",
     f"""WITH {PROP}, o AS (SELECT CASE WHEN CAST(substr(id, 3) AS BIGINT) % 5 = 0 THEN concat('PRE-', id) ELSE id END AS id, section, claim, status FROM claim), q AS (SELECT CASE WHEN CAST(substr(id, 3) AS BIGINT) % 5 = 0 THEN concat('PRE-', id) ELSE id END AS id, section, claim, status FROM p WHERE status <> 'BOGUS')
