@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from auditspark.plans.messages import KEPT
 from auditspark.plans.views import Registry, view
 from auditspark.session import read_table, scratch_path
-from auditspark.sources import jsonl, tables
+from auditspark.sources import guarded, jsonl, tables
 from auditspark.streaming import records as S
 
 r = Registry()
@@ -66,6 +66,25 @@ def atomic_publish(spark, sf_dir):
     return tables.published(spark, path).agg(F.count("*").alias("n")).select("n", F.lit(first).alias("published"), F.lit(second).alias("replaced"))
 
 
+@r.query("guarded_publish", "SELECT o_orderkey AS uid, o_totalprice AS price, true AS refused FROM orders")
+def guarded_publish(spark, sf_dir):
+    """SRC12, SRC13 as a data source: a write that is too short is refused, and the whole table is read back."""
+    guarded.register(spark)
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("uid"), F.col("o_totalprice").alias("price"))
+    path = scratch_path(spark, "guarded")
+    write = lambda df: df.write.format("guarded").option("at_least", n).mode("append").save(path)
+    n = o.count()
+    write(o)
+    try:
+        write(o.filter("uid % 2 = 0"))
+        refused = False
+    except Exception as e:
+        if "the table needs" not in str(e):
+            raise
+        refused = True
+    return spark.read.format("guarded").load(path).withColumn("refused", F.lit(refused))
+
+
 @r.query(
     "stream_records",
     f"""WITH {KEPT} SELECT b.uid, b.ordinal, b.status = 'OK' AS kept_ok, b.outcome, count(*) AS attempts, count(*) FILTER (WHERE a.status <> 'OK') AS failures, count(*) - 1 AS duplicates,
