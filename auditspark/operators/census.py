@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark.functions.stats import percent
+from auditspark.operators.ranges import numbered_within
 
 #: What stands for a missing id in a grouping.
 NULL_ID = "(null)"
@@ -19,14 +20,20 @@ def known_id(value: Column) -> Column:
 
 
 def census(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(
-        F.count("*").alias("series"),
+    """Series, instances, volume, distinct collections and patients of each group. Rows are added up by collection and patient
+    first; from those cells each distinct count is taken by itself, so that rows aren't multiplied for the two."""
+    cell = df.groupBy(*keys, "collection", "patient").agg(F.count("*").alias("n"), F.sum("instances").alias("instances"), F.sum("mb").alias("mb"), F.count("mb").alias("known"))
+    by_collection = cell.groupBy(*keys, "collection").agg(*[F.sum(c).alias(c) for c in ("n", "instances", "mb", "known")])
+    sums = by_collection.groupBy(*keys).agg(
+        F.sum("n").alias("series"),
         F.sum("instances").alias("instances"),
         F.round(F.sum("mb") / 1000, 3).alias("gb"),
-        F.round(F.avg("mb"), 3).alias("mean_mb"),
-        F.count_distinct("collection").alias("collections"),
-        F.count_distinct("patient").alias("patients"),
+        F.round(F.sum("mb") / F.nullif(F.sum("known"), F.lit(0)), 3).alias("mean_mb"),
+        F.count("collection").alias("collections"),
     )
+    patients = cell.select(*keys, "patient").distinct().groupBy(*keys).agg(F.count("patient").alias("patients"))
+    same = [F.col(f"_s.{k}").eqNullSafe(F.col(f"_p.{k}")) for k in keys]
+    return sums.alias("_s").join(patients.alias("_p"), same).select("_s.*", "patients")
 
 
 def joined(values: Column, between: str = " | ") -> Column:
@@ -53,12 +60,29 @@ def melt(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str =
 
 
 def population(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Null, empty and populated rows of each attribute; the two kinds of missing are never added up."""
+    """Null, empty and populated rows of each attribute; the two kinds of missing are never added up. Equal values are
+    counted before they are told apart."""
     v = F.col("value")
-    blank = v.isNotNull() & (F.trim(v) == "")
-    n = F.count("*")
-    full = F.count_if(v.isNotNull() & (F.trim(v) != ""))
-    return melt(df, by, columns).groupBy(*by, "attribute").agg(n.alias("rows"), F.count_if(v.isNull()).alias("nulls"), F.count_if(blank).alias("empties"), full.alias("populated"), F.count_distinct(F.when(F.trim(v) != "", v)).alias("distinct_values"), percent(full, n).alias("pct_populated"))
+    per = melt(df, by, columns).groupBy(*by, "attribute", "value").agg(F.count("*").alias("_n"))
+    full = v.isNotNull() & (F.trim(v) != "")
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0))
+    rows = F.sum("_n")
+    return per.groupBy(*by, "attribute").agg(rows.alias("rows"), n(v.isNull()).alias("nulls"), n(v.isNotNull() & (F.trim(v) == "")).alias("empties"), n(full).alias("populated"), F.count_if(full).alias("distinct_values"), percent(n(full), rows).alias("pct_populated"))
+
+
+def totals(df: DataFrame) -> DataFrame:
+    """One row for the whole index, from its cells of collection and analysis."""
+    cell = df.groupBy("collection", "analysis").agg(F.count("*").alias("n"), F.sum("instances").alias("instances"), F.sum("mb").alias("mb"))
+    sums = cell.agg(F.sum("n").alias("series"), F.sum("instances").alias("instances"), F.round(F.sum("mb"), 2).alias("mb"), F.coalesce(F.sum(F.when(F.col("analysis").isNull(), F.col("n"))), F.lit(0)).alias("unattributed"))
+    counts = [cell.select(c).distinct().agg(F.count(c).alias(name)) for c, name in (("collection", "collections"), ("analysis", "analyses"))]
+    return sums.join(counts[0]).join(counts[1])  # one row each
+
+
+def spellings(df: DataFrame, value: str, rule: Column) -> DataFrame:
+    """(rule, value, series, place, spellings): the values that a rule takes for one, most frequent first. rule: on `value`,
+    worked out once for each distinct value."""
+    per = df.groupBy(value).agg(F.count("*").alias("series")).withColumn("rule", rule)
+    return numbered_within(per, ["rule"], [F.desc("series"), F.asc(value)]).select("rule", value, "series", "place", "of_group").withColumnRenamed("of_group", "spellings")
 
 
 def both_ways(df: DataFrame, unit: str, flag: Column) -> DataFrame:
@@ -136,16 +160,20 @@ def search_fields(url: Column, text: Column) -> dict[str, Column]:
     }
 
 
-def carrier_hierarchy(df: DataFrame, key: str, levels: Sequence[str], telling, text: str, version: str, least: int, texts: int) -> DataFrame:
-    """Per key with enough rows: the first level (1, 2 ...) whose column has a telling value, the smallest such value, and
-    a version named in the first so many distinct texts. telling: column name -> its value if it tells, else null."""
-    ex = [F.min(telling(c)).alias(f"_e{k}") for k, c in enumerate(levels)]
+def carrier_hierarchy(df: DataFrame, key: str, levels: Sequence[str], telling, text: str, version: str, least: int, texts: int | None = None) -> DataFrame:
+    """Per key with enough rows: the smallest telling value of each level's column (level1, level2, ...; null if none tells),
+    the first level that has one, its value, and the smallest version named in the key's texts. telling: column name -> its
+    value if it tells, else null. texts: look at so many distinct texts only, the smallest; all, if None."""
+    names = [f"level{k + 1}" for k in range(len(levels))]
+    ex = [F.min(telling(c)).alias(name) for c, name in zip(levels, names, strict=True)]
     per = df.groupBy(key).agg(F.count("*").alias("series"), *ex).filter(F.col("series") >= least)
-    level = F.coalesce(*[F.when(F.col(f"_e{k}").isNotNull(), F.lit(k + 1)) for k in range(len(levels))])
-    ranked = df.filter(F.col(text).isNotNull()).select(key, text).distinct().withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(text))).filter(F.col("_k") <= texts)
-    named = ranked.groupBy(key).agg(F.min(F.nullif(F.regexp_extract(text, version, 0), F.lit(""))).alias("version_example"))
+    level = F.coalesce(*[F.when(F.col(name).isNotNull(), F.lit(k + 1)) for k, name in enumerate(names)])
+    looked = df.filter(F.col(text).isNotNull()).select(key, text)
+    if texts is not None:
+        looked = top(looked.distinct(), [key], [F.asc(text)], texts)
+    named = looked.groupBy(key).agg(F.min(F.nullif(F.regexp_extract(text, version, 0), F.lit(""))).alias("version_example"))
     out = per.join(named, key, "left")
-    return out.select(key, "series", level.alias("level"), F.coalesce(*[F.col(f"_e{k}") for k in range(len(levels))]).alias("example"), F.col("version_example").isNotNull().alias("version_in_text"), "version_example")
+    return out.select(key, "series", *names, level.alias("level"), F.coalesce(*names).alias("example"), F.col("version_example").isNotNull().alias("version_in_text"), "version_example")
 
 
 def recoverability(objects: DataFrame, values: DataFrame, by: Sequence[str], levels: Sequence[tuple[str, bool]], named: Column, version: str) -> DataFrame:

@@ -32,6 +32,19 @@ def numbered(df: DataFrame, order: Sequence[Column], place: str = "place", sums:
     return held.join(F.broadcast(offsets), "__range").select(*df.columns, (F.row_number().over(inside) + F.col("__n")).cast("long").alias(place), *own)
 
 
+def numbered_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """df with each row's place in its group, from 1, and the number of the group's rows, of_group; null keys are a group.
+    Groups lie in many ranges, so a large one is in no task as a whole."""
+    whole = numbered(df, [*[F.asc_nulls_first(k) for k in keys], *order], "__place")
+    held = materialise(whole, "places")
+    groups = held.groupBy(*keys).agg(F.min("__place").alias("__first"), F.count("*").alias("of_group"))
+    points = held.select(F.col("__place").alias("value"), F.col("__place").alias("id"))
+    # a group's first place is the last first place that is no larger
+    begun = last_before(groups.select(F.col("__first").alias("value"), F.col("__first").alias("n")), points)
+    sized = begun.join(groups.select(F.col("__first").alias("n"), "of_group"), "n")
+    return held.join(sized, F.col("__place") == F.col("id")).select(*df.columns, (F.col("__place") - F.col("n") + 1).alias("place"), "of_group")
+
+
 def last_before(points: DataFrame, probes: DataFrame) -> DataFrame:
     """points(value, n), probes(value, id) -> (id, n): of the points whose value is no larger than the probe's the largest
     n; null if there is none. n grows with the value."""

@@ -475,14 +475,12 @@ def category_counts(spark, sf_dir):
 
 @r.query(
     "spelling_variants",
-    f"""WITH v AS (SELECT {rule_sql('maker')} AS rule, maker, count(*) AS n FROM idx WHERE trim(maker) <> '' GROUP BY ALL)
-        SELECT rule, count(*) AS spellings, sum(n)::BIGINT AS series, string_agg(concat(maker, ' (', n, ')'), '; ' ORDER BY n DESC, maker) AS listed FROM v GROUP BY rule""",
+    f"""WITH v AS (SELECT {rule_sql('maker')} AS rule, maker, count(*) AS series FROM idx WHERE trim(maker) <> '' GROUP BY ALL)
+        SELECT *, row_number() OVER (PARTITION BY rule ORDER BY series DESC, maker) AS place, count(*) OVER (PARTITION BY rule) AS spellings FROM v""",
 )
 def spelling_variants(spark, sf_dir):
-    """AGG11: two levels, so the list has a value for each spelling."""
-    per = idx(spark, sf_dir).filter(F.trim("maker") != "").groupBy("maker").agg(F.count("*").alias("n")).withColumn("rule", R.classify(F.col("maker"), PRODUCT_RULES)["rule"])
-    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "maker"))), lambda s: F.concat(s.maker, F.lit(" ("), (-s.m).cast("string"), F.lit(")")))
-    return per.groupBy("rule").agg(F.count("*").alias("spellings"), F.sum("n").alias("series"), F.array_join(listed, "; ").alias("listed"))
+    """AGG11: a row for each spelling."""
+    return C.spellings(idx(spark, sf_dir).filter(F.trim("maker") != ""), "maker", R.classify(F.col("maker"), PRODUCT_RULES)["rule"])
 
 
 @r.query("pair_counts", f"SELECT maker, model, count(*) AS series FROM idx WHERE {BUCKET_SQL} = 'other' GROUP BY maker, model")
@@ -538,15 +536,14 @@ VERSION_TEXT = "[A-Za-z]+ [0-9]+"
         g AS (SELECT analysis, level, min(value) AS example FROM v WHERE lower(trim(value)) NOT IN ({sql_list(SENTINELS)}) AND len(list_filter(regexp_split_to_array(value, '[^A-Za-z0-9.]+'), lambda t: length(t) >= 3 AND lower(t) NOT IN ({sql_list(GENERIC)}) AND NOT regexp_matches(t, '^[0-9]+$') AND NOT regexp_matches(lower(t), 'http|github'))) > 0 GROUP BY ALL),
         n AS (SELECT analysis, count(*) AS series FROM idx WHERE analysis IS NOT NULL GROUP BY analysis HAVING count(*) >= 10),
         f AS (SELECT analysis, value, row_number() OVER (PARTITION BY analysis ORDER BY value) AS k FROM v WHERE level = 3),
-        x AS (SELECT analysis, min(nullif(regexp_extract(value, '{VERSION_TEXT}'), '')) AS version_example FROM f WHERE k <= 200 GROUP BY analysis)
-        SELECT n.analysis, any_value(series) AS series, min(level)::INTEGER AS level, arg_min(example, level) AS example, any_value(version_example) IS NOT NULL AS version_in_text, any_value(version_example) AS version_example
+        x AS (SELECT analysis, min(nullif(regexp_extract(value, '{VERSION_TEXT}'), '')) AS version_example FROM f GROUP BY analysis)
+        SELECT n.analysis, any_value(series) AS series, max(example) FILTER (WHERE level = 1) AS level1, max(example) FILTER (WHERE level = 2) AS level2, max(example) FILTER (WHERE level = 3) AS level3, min(level)::INTEGER AS level, arg_min(example, level) AS example, any_value(version_example) IS NOT NULL AS version_in_text, any_value(version_example) AS version_example
         FROM n LEFT JOIN g USING (analysis) LEFT JOIN x USING (analysis) GROUP BY n.analysis""",
 )
 def carrier_hierarchy(spark, sf_dir):
-    """AGG18: the first level with a telling value, an example of it, and whether the first 200 distinct descriptions name
-    a version (the report's own limit)."""
+    """AGG18: each level's telling value, the first level with one, and whether the descriptions name a version."""
     df = idx(spark, sf_dir).filter("analysis IS NOT NULL")
-    return C.carrier_hierarchy(df, "analysis", ["maker", "model", "description"], lambda c: R.informative(F.array(c), GENERIC, SENTINELS), "description", VERSION_TEXT, 10, 200)
+    return C.carrier_hierarchy(df, "analysis", ["maker", "model", "description"], lambda c: R.informative(F.array(c), GENERIC, SENTINELS), "description", VERSION_TEXT, 10)
 
 
 @r.query(
@@ -723,7 +720,7 @@ def writer_table1(spark, sf_dir):
 @r.query("totals", "SELECT count(*) AS series, sum(instances)::BIGINT AS instances, round(sum(mb), 2) AS mb, count(DISTINCT collection) AS collections, count(DISTINCT analysis) AS analyses, count(*) FILTER (WHERE analysis IS NULL) AS unattributed FROM idx")
 def totals(spark, sf_dir):
     """AGG38."""
-    return idx(spark, sf_dir).agg(F.count("*").alias("series"), F.sum("instances").alias("instances"), F.round(F.sum("mb"), 2).alias("mb"), F.count_distinct("collection").alias("collections"), F.count_distinct("analysis").alias("analyses"), F.count_if(F.col("analysis").isNull()).alias("unattributed"))
+    return C.totals(idx(spark, sf_dir))
 
 
 INHERIT = """WITH a AS (SELECT DISTINCT {key}trim(maker) AS maker, trim(model) AS model FROM idx WHERE class = '5-LOW' AND trim(maker) <> '' AND trim(model) <> ''),

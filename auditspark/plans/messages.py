@@ -632,9 +632,12 @@ def two_pass_compare(spark, sf_dir):
         SELECT cid, class, coalesce(objects, 0) AS objects, denominator FROM g LEFT JOIN n USING (cid, class)""",
 )
 def corpus_context(spark, sf_dir):
-    """JOI5: objects of each class with a denominator, zeros shown. The grid is classes times types, both small."""
+    """JOI5: objects of each class with a denominator, zeros shown. The grid is what is asked for; its side of types is
+    sent to all tasks if it is counted to be short."""
     m = msg(spark, sf_dir)
-    g = m.select("cid").distinct().join(m.groupBy("class").agg(F.count_distinct("uid").alias("denominator")))
+    types = materialise(m.groupBy("class").agg(F.count_distinct("uid").alias("denominator")), "types")
+    short = types.limit(10_001).count() <= 10_000
+    g = m.select("cid").distinct().join(F.broadcast(types) if short else types)
     n = m.groupBy("cid", "class").agg(F.count_distinct("uid").alias("objects"))
     return g.join(n, ["cid", "class"], "left").fillna(0, ["objects"]).select("cid", "class", "objects", "denominator")
 

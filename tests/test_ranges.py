@@ -6,9 +6,10 @@ from bisect import bisect_right
 import pytest
 from pyspark.sql import functions as F
 
+from auditspark.operators import census as C
 from auditspark.operators import findings as M
 from auditspark.operators.quantiles import quantiles
-from auditspark.operators.ranges import last_before, numbered
+from auditspark.operators.ranges import last_before, numbered, numbered_within
 from auditspark.operators.records import byte_batches
 from auditspark.plans.messages import SECTION_KINDS
 
@@ -132,3 +133,22 @@ def test_quantiles_equal_percentile(many_ranges, seed):
 def test_quantiles_hold_no_group_in_a_buffer(spark):
     plan = quantiles(spark.createDataFrame([("a", 1.0)], "k string, v double"), ["k"], "v", {"m": 0.5})._jdf.queryExecution().toString()
     assert "percentile" not in plan and "collect" not in plan
+
+
+def test_numbered_within(many_ranges):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "a", None]), k) for k in rng.sample(range(1000), 200)]
+    got = numbered_within(many_ranges.createDataFrame(rows, "k string, v long"), ["k"], [F.desc("v")])
+    for group in ("hot", "a", None):
+        own = sorted((r for r in got.collect() if r["k"] == group), key=lambda r: r["place"])
+        assert [r["v"] for r in own] == sorted((v for k, v in rows if k == group), reverse=True)
+        assert [r["place"] for r in own] == list(range(1, len(own) + 1)) and {r["of_group"] for r in own} == {len(own)}
+
+
+def test_counts_go_up_in_two_levels(spark):
+    """Two distinct counts in one aggregate would multiply the rows first (Expand)."""
+    df = spark.createDataFrame([("a", "c", "p", "n", 1, 2.0, "x", "y")], "class string, collection string, patient string, analysis string, instances long, mb double, maker string, model string")
+    for counted in (C.census(df, ["class"]), C.population(df, ["maker", "model"], ["class"]), C.totals(df)):
+        assert "Expand" not in counted._jdf.queryExecution().executedPlan().toString()
+    null = df.select(F.lit(None).cast("string").alias("class"), *df.columns[1:])
+    assert [tuple(r) for r in C.census(null.unionByName(null), ["class"]).collect()] == [(None, 2, 2, 0.004, 2.0, 1, 1)]
