@@ -43,11 +43,18 @@ def classify_extended(value: Column, rules: Sequence[Rule], extra: Sequence[Rule
     return F.struct(picked["category"].alias("category"), picked["rule"].alias("rule"), (use & (picked["category"] != "unclassified")).alias("from_extra"))
 
 
+def on_distinct(df: DataFrame, columns: Sequence[str], verdict: Column, name: str) -> DataFrame:
+    """df with a verdict on a few of its columns. Long tables repeat few values: it is worked out once for each distinct
+    combination and joined back (null-safe). Where values seldom repeat, work it out on the rows instead."""
+    own = df.select(*columns).distinct().withColumn(name, verdict).select(*[F.col(c).alias(f"_v_{c}") for c in columns], name)
+    same = [F.col(c).eqNullSafe(F.col(f"_v_{c}")) for c in columns]
+    return df.join(own, same, "left").select(*df.columns, name)
+
+
 def classify_distinct(df: DataFrame, column: str, rules: Sequence[Rule]) -> DataFrame:
-    """df with category and rule of a column. Long tables repeat few values: the rules run once for each distinct
-    value and the verdicts are joined back (null-safe)."""
-    verdicts = df.select(F.col(column).alias("_value")).distinct().withColumn("_v", classify(F.col("_value"), rules))
-    return df.join(verdicts, F.col(column).eqNullSafe(F.col("_value")), "left").select(*df.columns, F.col("_v.category").alias("category"), F.col("_v.rule").alias("rule"))
+    """df with category and rule of a column, each distinct value classified once."""
+    found = on_distinct(df, [column], classify(F.col(column), rules), "_v")
+    return found.select(*df.columns, F.col("_v.category").alias("category"), F.col("_v.rule").alias("rule"))
 
 
 def cascade(*steps: tuple[Column, str], rules: Sequence[Rule], default: str) -> Column:

@@ -265,7 +265,7 @@ def classify(spark, sf_dir):
 def classify_extended(spark, sf_dir):
     """CLS2."""
     v = R.classify_extended(F.col("maker"), PRODUCT_RULES, EXTRA_RULES)
-    return idx(spark, sf_dir).withColumn("v", v).select("uid", "v.category", "v.rule", "v.from_extra")
+    return R.on_distinct(idx(spark, sf_dir).select("uid", "maker"), ["maker"], v, "v").select("uid", "v.category", "v.rule", "v.from_extra")
 
 
 WRITER_TEXT = "lower(concat(coalesce(maker, ''), ' ', coalesce(model, '')))"
@@ -280,7 +280,7 @@ def writer():
 @r.query("writer_of", f"SELECT uid, {WRITER_SQL} AS writer FROM idx")
 def writer_of(spark, sf_dir):
     """CLS3."""
-    return idx(spark, sf_dir).select("uid", writer().alias("writer"))
+    return R.on_distinct(idx(spark, sf_dir).select("uid", "maker", "model"), ["maker", "model"], writer(), "writer").select("uid", "writer")
 
 
 @r.query(
@@ -686,8 +686,8 @@ def state_pivot(spark, sf_dir):
 @r.query("category_table", f"WITH m AS ({MELT}) SELECT class, {classified_sql('value')} AS category, count(*) AS n FROM m GROUP BY ALL")
 def category_table(spark, sf_dir):
     """AGG32."""
-    m = C.melt(idx(spark, sf_dir), ["class"], ["maker", "model", "description"])
-    return m.groupBy("class", R.classify(F.col("value"), PRODUCT_RULES)["category"].alias("category")).agg(F.count("*").alias("n"))
+    m = C.melt(idx(spark, sf_dir), ["class"], ["maker", "model", "description"]).groupBy("class", "value").agg(F.count("*").alias("n"))
+    return m.groupBy("class", R.classify(F.col("value"), PRODUCT_RULES)["category"].alias("category")).agg(F.sum("n").alias("n"))
 
 
 @r.query("unclassified", f"WITH m AS ({MELT}) SELECT value, count(*) AS n FROM m WHERE {classified_sql('value')} = 'unclassified' GROUP BY value")
