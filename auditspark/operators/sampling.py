@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def allocate(strata_: DataFrame, budget: float, registered: int = 384, least: in
     def cost(cap: float) -> float:
         mean = var = 0.0
         for series, m, sd in rows:
-            n = series if series <= registered else min(registered, max(least, int(cap // m) if m else registered))
+            n = series if series <= registered else min(registered, max(least, math.floor(cap / m) if m else registered))  # as allocate_at has it
             mean += n * m
             var += n * sd * sd * (1 - n / series)
         return mean + deviations * var**0.5

@@ -158,7 +158,18 @@ def allocate(spark, sf_dir):
     return allocated(spark, sf_dir).select("stratum", "series", "n", F.round(F.col("n") * F.col("mean_mb"), 2).alias("expected_mb"), (F.col("n") == F.col("series")).alias("whole"))
 
 
-@r.query("allocate_budget")
+@r.query(
+    "allocate_budget",
+    f"""WITH RECURSIVE {STRATA}, sm AS MATERIALIZED (SELECT stratum, series, mean_mb AS m, sd_mb AS sd FROM st), bu AS MATERIALIZED (SELECT 0.4 * sum(mb) AS budget, 384 * max(mean_mb) + 1 AS top FROM st),
+        bs AS (SELECT 0 AS step, 0::DOUBLE AS lo, any_value(top)::DOUBLE AS hi FROM bu
+          UNION ALL SELECT step + 1, CASE WHEN fits THEN mid ELSE lo END, CASE WHEN fits THEN hi ELSE mid END FROM (
+            SELECT step, lo, hi, mid, sum(n * m) + 3 * sqrt(sum(n * sd * sd * (1 - n::DOUBLE / series))) <= any_value(budget) AS fits FROM (
+              SELECT bs.step, lo, hi, (lo + hi) / 2 AS mid, m, sd, series, budget, CASE WHEN series <= 384 THEN series ELSE least(384, greatest(30, floor((lo + hi) / 2 / m)::BIGINT)) END AS n FROM bs, sm, bu WHERE step < 200)
+            GROUP BY step, lo, hi, mid)),
+        mo AS (SELECT sum(n * m) + 3 * sqrt(sum(n * sd * sd * (1 - n::DOUBLE / series))) <= any_value(budget) AS all_fits FROM (SELECT *, least(series, 384) AS n FROM sm), bu),
+        ca AS (SELECT CASE WHEN all_fits THEN top ELSE lo END AS cap FROM bs, mo, bu WHERE step = 200)
+        SELECT stratum, series, n, round(n * m, 2) AS expected_mb FROM (SELECT *, CASE WHEN series <= 384 THEN series ELSE least(384, greatest(30, floor(cap / m)::BIGINT)) END AS n FROM sm, ca)""",
+)
 def allocate_budget(spark, sf_dir):
     """SAM1: the cap found by bisection so that the expected size and three deviations stay within the budget."""
     s = strata_of(spark, sf_dir)
