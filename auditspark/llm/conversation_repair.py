@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditspark.llm.workers import drop
-from auditspark.session import materialise, read_table
+from auditspark.session import materialise, read_table, ship_package
 
 #: States, and the roles that an insert or a new role gives in each.
 NOTHING, SYSTEM, USER, ASSISTANT = range(4)
@@ -285,6 +285,7 @@ def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     equal rows are duplicates of the first; rows with a null conv_id are a conversation; an empty table gives empty results;
     other columns are ignored.
     """
+    ship_package(rows.sparkSession)
     placed = in_order(rows)
     faulty = materialise(with_faults(placed), "faults")
     cut = materialise(segments(faulty), "segments")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditspark.llm.workers import drop
-from auditspark.session import read_table
+from auditspark.session import read_table, ship_package
 
 #: 256 bins of 4 bits: 128 bytes a document, and a standard error of about 0.03.
 BINS, BITS, WORDS = 256, 4, 5
@@ -110,6 +110,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     share an id are each fingerprinted; null ids pass; an empty table gives an empty one; other columns are
     ignored.
     """
+    ship_package(docs.sparkSession)
 
     def work(batches):
         import pyarrow as pa
@@ -137,6 +138,7 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
     driver, as many as parts. A range's rows and guests hold every row's successor, so that the texts are
     shuffled once and no window runs over the whole table.
     """
+    ship_package(docs.sparkSession)
     ids = docs.agg(F.min("doc_id").alias("least"), F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000).alias("cuts")).first()
     least = ids["least"]
     cuts = sorted({c for c in ids["cuts"] or [] if c > least})

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditspark.llm.tokens import encoder, spread
-from auditspark.session import materialise, read_table, scratch_path
+from auditspark.session import materialise, read_table, scratch_path, ship_package
 
 MAGIC = b"ASSTBL01"
 FOOTER = struct.Struct("<QQQQQQI8s")
@@ -195,6 +195,7 @@ def write_tables(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     Defined results: a null or empty text has the end id only; rows that share an id stay side by side,
     ordered by text; null ids come first; an empty table has no file; other columns are ignored.
     """
+    ship_package(docs.sparkSession)
     spark = docs.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     width = 4 if wide else 2
@@ -247,6 +248,7 @@ def write_tables(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 def read_tables(manifest: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32 long, ids array<long>) of every document in the files, where start
     is the number of ids of all documents before it; without ids if they are not wanted."""
+    ship_package(manifest.sparkSession)
 
     def read(batches):
         import numpy as np
