@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark.operators.ranges import last_before, numbered
-from auditspark.session import materialise
+from auditspark.session import materialise, ship_package
 
 
 def compact_attempts(log: DataFrame, key: str, ordinal: str, ok: Column, payload: Sequence[str]) -> DataFrame:
@@ -90,6 +90,7 @@ def byte_batches(work: DataFrame, order: Sequence[Column], size: str, key: str,
     in blocks of consecutive rows jumps are followed to where they leave the block; among those exits, a few for each
     block, pointers are doubled until all that is reached from the first row is marked; a block then marks its starts.
     """
+    ship_package(work.sparkSession)
     rows = work.select(F.col(key).alias("key"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"), *[c.alias(f"_o{k}") for k, c in enumerate(order)])
     placed = materialise(numbered(rows, [F.asc(f"_o{k}") for k in range(len(order))], "n", ["size"]).select("key", "size", (F.col("n") - 1).alias("n"), "before_size"), "placed")
     end = placed.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("value"))
