@@ -44,12 +44,13 @@ def shingle_hashes(df: DataFrame, id_col: str, text_col: str, lengths: list[int]
     return hashed.select("id", F.flatten(F.array_compact(F.array(*[runs(n) for n in lengths]))).alias("shingles"))
 
 
-def item_sketches(items: DataFrame, words: int = 5, containment: float = 0.8) -> DataFrame:
-    """(item_id, n_words, n_shingles, size_class, sketch, shingles) of each item with a word. n_words: the words of a
+def item_sketches(items: DataFrame, words: int = 5, containment: float = 0.8, least_words: int = 1) -> DataFrame:
+    """(item_id, n_words, n_shingles, size_class, sketch, shingles) of each item with at least so many words. n_words: the words of a
     shingle, all the item's if it has fewer."""
     own = F.coalesce(runs(words), *[F.when(F.size("w") == n, runs(n)) for n in range(words - 1, 0, -1)])
     sized = (
         word_hashes(items, "item_id", "text")
+        .filter(F.size("w") >= least_words)
         .select(F.col("id").alias("item_id"), F.least(F.size("w"), F.lit(words)).alias("n_words"), F.array_sort(F.array_distinct(own)).alias("shingles"))
         .filter(F.col("shingles").isNotNull())
         .withColumn("n_shingles", F.size("shingles"))
@@ -63,8 +64,9 @@ def item_sketches(items: DataFrame, words: int = 5, containment: float = 0.8) ->
     )
 
 
-def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, containment: float = 0.8) -> DataFrame:
-    """Pairs of a document and an item of which it holds at least so large a share of the shingles.
+def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, containment: float = 0.8, least_words: int = 1) -> DataFrame:
+    """Pairs of a document and an item of which it holds at least so large a share of the shingles. Items of fewer words
+    than least_words (1: none) are left out: an item of one word is found in every document that has the word.
 
     docs(doc_id, text), items(item_id, text) -> (doc_id, item_id, n_item_shingles long, n_found long,
     containment double). Other columns are ignored.
@@ -75,7 +77,7 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, containment:
     """
     docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     items = items.select("item_id", "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    sketches = materialise(item_sketches(items, words, containment), "sketches")
+    sketches = materialise(item_sketches(items, words, containment, least_words), "sketches")
     lengths = sorted(r["n_words"] for r in sketches.select("n_words").distinct().collect()) or [words]  # `words` numbers at most
     keys = materialise(sketches.select(F.explode("sketch").alias("shingle")).distinct(), "sketch-hashes")
     few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -99,9 +101,9 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, containment:
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, words: int = 5, containment: float = 0.8) -> DataFrame:
-    """docs without the documents that contain an item; rows with a null doc_id stay."""
-    bad = contaminated(docs, items, words, containment).select("doc_id").distinct()
+def decontaminate(docs: DataFrame, items: DataFrame, words: int = 5, containment: float = 0.8, least_words: int = 1) -> DataFrame:
+    """docs without the documents that contain an item; rows with a null doc_id stay. For least_words see contaminated."""
+    bad = contaminated(docs, items, words, containment, least_words).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
 
 

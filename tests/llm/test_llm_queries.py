@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import public_tokenizers
 import pytest
+import xxhash
 from auditspark import llm
 from pyspark.sql import functions as F
 from tests.llm.test_conversation_repair import slow_query
@@ -90,7 +91,23 @@ def test_op2(spark, crafted):
 
 
 def test_op3(spark, crafted):
-    assert sorted(r["doc_id"] for r in run(spark, "op3_shard_lookup", crafted)) == sorted(crafted[1])
+    """Slots by XXH64 of the id, shards by their turns at claiming slots in the order that each prefers."""
+    got = run(spark, "op3_shard_lookup", crafted)
+    size, names = 65_537, [f"shard-{k:05d}" for k in range(64)]
+    number = lambda name, salt, below: int.from_bytes(hashlib.blake2b(f"{salt}:{name}".encode(), digest_size=8).digest(), "big") % below
+
+    def prefers(name):
+        at, step = number(name, "offset", size), number(name, "step", size - 1) + 1
+        return ((at + j * step) % size for j in range(size))
+
+    order, slots = [prefers(n) for n in names], {}
+    while len(slots) < size:
+        for name, own in zip(names, order, strict=True):
+            if len(slots) < size:
+                slots[next(at for at in own if at not in slots)] = name
+    hashed = {i: xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42) for i in crafted[1]}
+    signed = lambda h: h - 2**64 if h >> 63 else h
+    assert sorted(map(tuple, got)) == sorted((i, signed(h) % size, slots[signed(h) % size]) for i, h in hashed.items())
 
 
 def test_op4(spark, crafted):

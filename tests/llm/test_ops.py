@@ -97,6 +97,8 @@ def test_decontaminate_finds_items_shorter_than_a_shingle(spark):
                 want.add((d, i))
     got = decontaminate.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want == {(1, 1), (3, 2), (5, 3), (6, 1), (6, 2), (6, 3), (6, 4)}
+    left = decontaminate.decontaminate(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"), least_words=4)
+    assert {r["doc_id"] for r in left.collect()} == {1, 2, 3, 4}
 
 
 # 2, 4: tokens -------------------------------------------------------------------------------------
