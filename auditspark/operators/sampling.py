@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from auditspark.session import materialise
 
 
+#: Strata (a name and a number each) up to which an allocation is broadcast.
+BROADCAST_STRATA = 100_000
+
+
 def strata(df: DataFrame, stratum: str, size: str, cluster: str, patient: str, instances: str) -> DataFrame:
     """Per stratum: series, instances, mb, mean_mb, sd_mb (0 for one row), collections, patients, largest_pct and the
     sizes of its clusters, largest first. Two levels, so a stratum's rows never meet in one task."""
@@ -69,7 +73,9 @@ def draw(df: DataFrame, sizes: DataFrame, stratum: str, uid: str, seed: int, reg
 
 def drawn(ranked: DataFrame, allocation: DataFrame, stratum: str) -> DataFrame:
     """The rows of rank() that an allocation(stratum, n) takes."""
-    return ranked.join(F.broadcast(allocation.select(stratum, "n")), stratum).filter("place <= n").drop("n")
+    sizes = materialise(allocation.select(stratum, "n"), "sizes")
+    few = sizes.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
+    return ranked.join(F.broadcast(sizes) if few else sizes, stratum).filter("place <= n").drop("n")
 
 
 def drawn_size(ranked: DataFrame, allocation: DataFrame, stratum: str, size: str) -> float:
