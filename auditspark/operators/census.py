@@ -20,20 +20,15 @@ def known_id(value: Column) -> Column:
 
 
 def census(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Series, instances, volume, distinct collections and patients of each group. Rows are added up by collection and patient
-    first; from those cells each distinct count is taken by itself, so that rows aren't multiplied for the two."""
-    cell = df.groupBy(*keys, "collection", "patient").agg(F.count("*").alias("n"), F.sum("instances").alias("instances"), F.sum("mb").alias("mb"), F.count("mb").alias("known"))
-    by_collection = cell.groupBy(*keys, "collection").agg(*[F.sum(c).alias(c) for c in ("n", "instances", "mb", "known")])
-    sums = by_collection.groupBy(*keys).agg(
-        F.sum("n").alias("series"),
-        F.sum("instances").alias("instances"),
-        F.round(F.sum("mb") / 1000, 3).alias("gb"),
-        F.round(F.sum("mb") / F.nullif(F.sum("known"), F.lit(0)), 3).alias("mean_mb"),
-        F.count("collection").alias("collections"),
-    )
-    patients = cell.select(*keys, "patient").distinct().groupBy(*keys).agg(F.count("patient").alias("patients"))
-    same = [F.col(f"_s.{k}").eqNullSafe(F.col(f"_p.{k}")) for k in keys]
-    return sums.alias("_s").join(patients.alias("_p"), same).select("_s.*", "patients")
+    """Series, instances, volume, distinct collections and patients of each group. Sums are combined before they are
+    shuffled; the distinct counts are taken from the cells of collection and patient, each by itself, so that rows aren't
+    multiplied for the two."""
+    sums = df.groupBy(*keys).agg(F.count("*").alias("series"), F.sum("instances").alias("instances"), F.round(F.sum("mb") / 1000, 3).alias("gb"), F.round(F.avg("mb"), 3).alias("mean_mb"))
+    cell = df.select(*keys, "collection", "patient").distinct()
+    counts = [cell.select(*keys, c).distinct().groupBy(*keys).agg(F.count(c).alias(name)) for c, name in (("collection", "collections"), ("patient", "patients"))]
+    same = lambda x, y: [F.col(f"{x}.{k}").eqNullSafe(F.col(f"{y}.{k}")) for k in keys]
+    both = counts[0].alias("_c").join(counts[1].alias("_p"), same("_c", "_p")).select("_c.*", "patients")
+    return sums.alias("_s").join(both.alias("_b"), same("_s", "_b")).select("_s.*", "collections", "patients")
 
 
 def joined(values: Column, between: str = " | ") -> Column:
