@@ -7,35 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What varies between two reports of one finding, in order of replacement. What names the finding stays: elements and
-#: modules in angle brackets, types, and numbers that aren't places ("VR 16" and "VR 32" are two findings).
-MESSAGE_STEPS = [
-    (r"\((0x)?[0-9a-fA-F]{4},(0x)?[0-9a-fA-F]{4}\)", "<tag>"),
-    (r"\b[0-9]+(\.[0-9]+){3,}\b", "<uid>"),
-    (r"\[[0-9]+\]", "[n]"),
-    (r"(?i)\b(frame|item|index|number|segment)[ \t]*#?[ \t]*[0-9]+\b", "$1 <n>"),
-    (r'"[^"]*"', "<quoted>"),
-    (r"'[^']*'", "<quoted>"),
-    (r"(?i)\bvalue *= *(<[^>]*>|[^ \t]+)", "Value=<v>"),
-    (r"[ \t]+", " "),
-]
-#: Further differences that a family of messages disregards.
-FAMILY_STEPS = [(r"Element=<[^>]*>", "Element=<*>"), (r"<(tag|uid|quoted|hex|n|v)>", "<*>"), (r"[0-9]+", "#"), (r" +", " ")]
-
-
 def replace_all(text: Column, steps: Sequence[tuple[str, str]]) -> Column:
     for pattern, to in steps:
         text = F.regexp_replace(text, pattern, to)
     return text
 
 
-def normalise_message(message: Column) -> Column:
-    """The template of a validator's message; which element it names is kept."""
-    return F.trim(replace_all(message, MESSAGE_STEPS))
+def normalise_message(message: Column, steps: Sequence[tuple[str, str]]) -> Column:
+    """The template of a validator's message: the steps, (pattern, replacement) in order, take out what varies between two
+    reports of one finding."""
+    return F.trim(replace_all(message, steps))
 
 
-def message_family(template: Column) -> Column:
-    return F.lower(F.trim(replace_all(template, FAMILY_STEPS)))
+def message_family(template: Column, steps: Sequence[tuple[str, str]]) -> Column:
+    """What is left when a family's further differences are taken out as well."""
+    return F.lower(F.trim(replace_all(template, steps)))
 
 
 def message_class_id(validator: Column, template: Column) -> Column:

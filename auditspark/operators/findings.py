@@ -15,23 +15,18 @@ def log_lines(logs: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     return logs.select(*keys, F.posexplode_outer(F.split(F.coalesce(text, F.lit("")), "\n")).alias("pos", "line"))
 
 
-SEVERITY = r"(?:^|\s-\s)(Error|Warning)\s-\s"
-#: The name of a recognised type alone on a line.
-BANNER = "^[A-Z][A-Za-z0-9]{3,}$"
-
-
-def split_findings(logs: DataFrame, keys: Sequence[str], text: str, banner: str = BANNER) -> DataFrame:
-    """Lines with a severity anywhere, else UNCLASSIFIED; a log's first line that is nothing but a type's name is its
+def split_findings(logs: DataFrame, keys: Sequence[str], text: str, severity: str, banner: str) -> DataFrame:
+    """Lines with a severity (the first group of its pattern) anywhere, else UNCLASSIFIED; a log's first line that is nothing but a type's name is its
     BANNER. Other lines without a severity stay findings."""
     lines = log_lines(logs, keys, text).filter(F.trim("line") != "")
-    severity = F.regexp_extract("line", SEVERITY, 1)
-    tagged = lines.withColumn("severity", F.when(severity == "", "UNCLASSIFIED").otherwise(severity))
+    said = F.regexp_extract("line", severity, 1)
+    tagged = lines.withColumn("severity", F.when(said == "", "UNCLASSIFIED").otherwise(said))
     named = (F.col("severity") == "UNCLASSIFIED") & F.trim("line").rlike(banner)
     first = F.min(F.when(named, F.col("pos"))).over(Window.partitionBy(*keys))
     return tagged.withColumn("severity", F.when(F.col("pos") == first, "BANNER").otherwise(F.col("severity")))
 
 
-def split_prefixed(logs: DataFrame, keys: Sequence[str], text: str, banner: str = "^Testing:[ \t]", passed: str = "Test passed") -> DataFrame:
+def split_prefixed(logs: DataFrame, keys: Sequence[str], text: str, severity: str, banner: str = "^Testing:[ \t]", passed: str = "Test passed") -> DataFrame:
     """The lines of logs in which a letter (`W: `, `E: `, `I: `) stands before every line, the verdict too: (keys, pos,
     kind, severity, message). kind is banner, passed or finding; a finding's severity is the one named in it, else its
     letter's, else UNCLASSIFIED; banners and verdicts have none and are no findings."""
@@ -40,9 +35,9 @@ def split_prefixed(logs: DataFrame, keys: Sequence[str], text: str, banner: str
     letter = F.regexp_extract("message", "^([WEI]): ", 1)
     body = F.trim(F.regexp_replace("message", "^[WEI]: ", ""))
     kind = F.when(body.rlike(banner), "banner").when(F.startswith(body, F.lit(passed)), "passed").otherwise("finding")
-    said = F.regexp_extract("message", SEVERITY, 1)
-    severity = F.when(said != "", said).when(letter == "W", "Warning").when(letter == "E", "Error").otherwise("UNCLASSIFIED")
-    return lines.select(*keys, "pos", kind.alias("kind"), F.when(kind == "finding", severity).alias("severity"), "message")
+    said = F.regexp_extract("message", severity, 1)
+    found = F.when(said != "", said).when(letter == "W", "Warning").when(letter == "E", "Error").otherwise("UNCLASSIFIED")
+    return lines.select(*keys, "pos", kind.alias("kind"), F.when(kind == "finding", found).alias("severity"), "message")
 
 
 def split_sectioned(logs: DataFrame, keys: Sequence[str], text: str, section: str, module: str, context: str, banner: str, flush: str) -> DataFrame:

@@ -13,7 +13,7 @@ from auditspark.operators import findings as M
 from auditspark.operators import records as L
 from auditspark.operators.quantiles import quantiles
 from auditspark.operators.ranges import numbered
-from auditspark.plans.vocabulary import case_sql
+from auditspark.plans.vocabulary import BANNER, FAMILY_STEPS, MESSAGE_STEPS, SEVERITY, case_sql
 from auditspark.plans.views import Registry, view
 from auditspark.session import materialise, read_table
 
@@ -21,11 +21,11 @@ r = Registry()
 QUERIES, ORACLES = r.queries, r.oracles
 
 STEPS_SQL = "message"
-for _p, _to in X.MESSAGE_STEPS:
+for _p, _to in MESSAGE_STEPS:
     STEPS_SQL = f"regexp_replace({STEPS_SQL}, '{_p.replace(chr(39), chr(39) * 2)}', '{_to.replace('$1', chr(92) + '1')}', 'g')"
 STEPS_SQL = f"trim({STEPS_SQL})"
 FAMILY_SQL = "template"
-for _p, _to in X.FAMILY_STEPS:
+for _p, _to in FAMILY_STEPS:
     FAMILY_SQL = f"regexp_replace({FAMILY_SQL}, '{_p}', '{_to}', 'g')"
 FAMILY_SQL = f"lower(trim({FAMILY_SQL}))"
 CLASSED = f"""k AS (SELECT *, {STEPS_SQL} AS template FROM msg), m AS (SELECT *, left(sha256(concat(validator, '|', template)), 12) AS cid, {FAMILY_SQL} AS family FROM k)"""
@@ -38,8 +38,8 @@ SECOND_SQL = case_sql("family", SECOND, 0, "'UNDECIDABLE'")
 
 
 def msg(spark, sf_dir):
-    m = view(spark, sf_dir, "msg").withColumn("template", X.normalise_message(F.col("message")))
-    return m.withColumn("cid", X.message_class_id(F.col("validator"), F.col("template"))).withColumn("family", X.message_family(F.col("template")))
+    m = view(spark, sf_dir, "msg").withColumn("template", X.normalise_message(F.col("message"), MESSAGE_STEPS))
+    return m.withColumn("cid", X.message_class_id(F.col("validator"), F.col("template"))).withColumn("family", X.message_family(F.col("template"), FAMILY_STEPS))
 
 
 def verdict():
@@ -255,7 +255,7 @@ def logs(spark, sf_dir):
 )
 def split_findings(spark, sf_dir):
     """LOG1."""
-    return M.split_findings(logs(spark, sf_dir), ["uid", "validator"], "log")
+    return M.split_findings(logs(spark, sf_dir), ["uid", "validator"], "log", SEVERITY, BANNER)
 
 
 #: A log of each object with all kinds of lines: (banner, section, module, context) patterns and the start of a flush finding.
@@ -311,7 +311,7 @@ def prefixed(spark, sf_dir):
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", shown.alias("t")))), lambda x: x.t), "\n")
     g = m.groupBy("uid").agg(text.alias("t"), F.bool_or(F.col("severity") == "Error").alias("bad"))
     log = F.concat(F.lit("I: Testing: /tmp/"), F.col("uid").cast("string"), F.lit("\n"), "t", F.when(F.col("bad"), "").otherwise("\nW: Test passed."))
-    return M.split_prefixed(g.select("uid", log.alias("log")), ["uid"], "log")
+    return M.split_prefixed(g.select("uid", log.alias("log")), ["uid"], "log", SEVERITY)
 
 
 @r.query("split_prefixed", f"WITH {PREFIXED} SELECT uid, pos, kind, CASE WHEN kind = 'finding' THEN s END AS severity, message FROM pp")

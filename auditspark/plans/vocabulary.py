@@ -20,6 +20,24 @@ GENERIC = ["small", "large", "old", "red", "blue", "hot", "brand"]
 CONVENTION_STOP = ["small", "large", "nation", "the", "old"]
 BUCKETS = ["absent", "encoder_only", "producer_and_converter", "other"]
 VERSION = r"v[0-9]+\.[0-9]+"
+#: What varies between two reports of one finding, in order of replacement. What names the finding stays: elements and
+#: modules in angle brackets, types, and numbers that aren't places ("VR 16" and "VR 32" are two findings).
+MESSAGE_STEPS = [
+    (r"\((0x)?[0-9a-fA-F]{4},(0x)?[0-9a-fA-F]{4}\)", "<tag>"),
+    (r"\b[0-9]+(\.[0-9]+){3,}\b", "<uid>"),
+    (r"\[[0-9]+\]", "[n]"),
+    (r"(?i)\b(frame|item|index|number|segment)[ \t]*#?[ \t]*[0-9]+\b", "$1 <n>"),
+    (r'"[^"]*"', "<quoted>"),
+    (r"'[^']*'", "<quoted>"),
+    (r"(?i)\bvalue *= *(<[^>]*>|[^ \t]+)", "Value=<v>"),
+    (r"[ \t]+", " "),
+]
+#: Further differences that a family of messages disregards.
+FAMILY_STEPS = [(r"Element=<[^>]*>", "Element=<*>"), (r"<(tag|uid|quoted|hex|n|v)>", "<*>"), (r"[0-9]+", "#"), (r" +", " ")]
+#: A severity, at the start of a line or between dashes in it.
+SEVERITY = r"(?:^|\s-\s)(Error|Warning)\s-\s"
+#: The name of a recognised type alone on a line.
+BANNER = "^[A-Z][A-Za-z0-9]{3,}$"
 
 
 def sql_list(values: Sequence[str]) -> str:

@@ -15,6 +15,7 @@ from auditspark.operators import findings as M
 from auditspark.operators import prose as D
 from auditspark.operators import records as L
 from auditspark.operators import sampling as P
+from auditspark.plans.vocabulary import BANNER, MESSAGE_STEPS, SEVERITY
 from auditspark.session import scratch_path
 from auditspark.sources import jsonl, tables
 
@@ -62,7 +63,7 @@ def test_macro_states(spark):
 
 
 def test_messages_of_one_class_collapse(spark):
-    f = X.normalise_message
+    f = lambda c: X.normalise_message(c, MESSAGE_STEPS)
     assert one(spark, f, "Missing Element=<A> in frame 1") == one(spark, f, "Missing Element=<A> in frame 17")
     assert one(spark, f, "Missing Element=<A>") != one(spark, f, "Missing Element=<B>")
     assert one(spark, f, "under 1.2.840.10008.5 and 'x'") == "under <uid> and <quoted>"
@@ -251,13 +252,13 @@ def test_prose(spark):
 
 def test_findings_without_a_banner_stay_findings(spark):
     logs = spark.createDataFrame([(1, "no type here\nSegmentation\nError - x"), (2, "CTImage\n\nMRImage\na - Warning - y"), (3, ""), (4, None)], "uid long, log string")
-    got = {(r["uid"], r["line"]): r["severity"] for r in M.split_findings(logs, ["uid"], "log").collect()}
+    got = {(r["uid"], r["line"]): r["severity"] for r in M.split_findings(logs, ["uid"], "log", SEVERITY, BANNER).collect()}
     assert got == {(1, "no type here"): "UNCLASSIFIED", (1, "Segmentation"): "BANNER", (1, "Error - x"): "Error", (2, "CTImage"): "BANNER", (2, "MRImage"): "UNCLASSIFIED", (2, "a - Warning - y"): "Warning"}
 
 
 def test_prefixed_logs_are_parsed(spark):
     log = "W: Testing: /tmp/a b\nE: bad\nW: odd\nI: note\nplain\nW: x - Error - said\n\nW: Test passed."
-    got = [(r["kind"], r["severity"], r["message"]) for r in M.split_prefixed(spark.createDataFrame([(1, log), (2, None)], "uid long, log string"), ["uid"], "log").orderBy("pos").collect()]
+    got = [(r["kind"], r["severity"], r["message"]) for r in M.split_prefixed(spark.createDataFrame([(1, log), (2, None)], "uid long, log string"), ["uid"], "log", SEVERITY).orderBy("pos").collect()]
     assert got == [("banner", None, "W: Testing: /tmp/a b"), ("finding", "Error", "E: bad"), ("finding", "Warning", "W: odd"), ("finding", "UNCLASSIFIED", "I: note"), ("finding", "UNCLASSIFIED", "plain"), ("finding", "Error", "W: x - Error - said"), ("passed", None, "W: Test passed.")]
 
 
