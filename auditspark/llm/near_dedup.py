@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from auditspark.llm.components import connected_components
 from auditspark.llm.skew import join_unique
-from auditspark.llm.workers import arrow_rows, drop, spread
+from auditspark.llm.workers import arrow_rows, drop, spread, trimmed
 from auditspark.session import materialise, read_table, ship_package
 
 #: Least similarity in percent -> (chunks, symbols of a chunk): pairs at 0.85 share no key in 1 of 1.1 million cases,
@@ -120,7 +120,7 @@ def sign(docs: DataFrame, words: int, chunks: int, symbols: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "set_a", "set_b", "signature"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(work), "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
 
 
 def hang(reps: DataFrame, chunks: int, symbols: int) -> DataFrame:
@@ -138,7 +138,7 @@ def hang(reps: DataFrame, chunks: int, symbols: int) -> DataFrame:
                 keys = signer.keys(np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(-1, signer.n))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), signer.n))], names=["key", "rep"])
 
-    keyed = materialise(reps.select("rep", "signature").mapInArrow(work, "key long, rep long"), "keyed")
+    keyed = materialise(reps.select("rep", "signature").mapInArrow(trimmed(work), "key long, rep long"), "keyed")
     first = materialise(keyed.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).filter("n > 1"), "first")
     return materialise(join_unique(keyed, first, ["key"]), "hung")
 
@@ -159,7 +159,7 @@ def alike_pairs(hung: DataFrame, reps: DataFrame, unlike: float) -> DataFrame:
             s, t = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(batch.num_rows, -1) for k in (2, 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((s == t).mean(axis=1))], names=["rep", "first", "alike"])
 
-    return materialise(both.mapInArrow(work, "rep long, first long, alike double").filter(F.col("alike") >= unlike), "alike")
+    return materialise(both.mapInArrow(trimmed(work), "rep long, first long, alike double").filter(F.col("alike") >= unlike), "alike")
 
 
 def nearest_centres(alike: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def with_sets(docs: DataFrame, seats: DataFrame, words: int) -> DataFrame:
             found = [shingle_set(t.as_py(), words).view("i8") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
-    sets = texts.select("doc_id", "text").mapInArrow(work, "doc_id long, shingles array<long>")
+    sets = texts.select("doc_id", "text").mapInArrow(trimmed(work), "doc_id long, shingles array<long>")
     return sets.join(F.broadcast(seats) if small else seats, "doc_id").select(F.explode_outer("seat").alias("seat"), "doc_id", "shingles")
 
 
@@ -268,7 +268,7 @@ def bucket_links(members: DataFrame, reps: DataFrame, unlike: float) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     keys = ["component", "lo", "hi"]
-    return rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(connect, "a long, b long")
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(trimmed(connect), "a long, b long")
 
 
 def unconnected(hung: DataFrame, joined: DataFrame, alike: DataFrame, reps: DataFrame, unlike: float) -> DataFrame:

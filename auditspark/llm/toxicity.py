@@ -18,7 +18,7 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.workers import drop
+from auditspark.llm.workers import drop, trimmed
 from auditspark.session import materialise, read_table, ship_package
 
 #: Category -> its label as an expression on the labels table, in chain order.
@@ -106,7 +106,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, st
             cols = list(zip(*out, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, k) for c, k in zip(cols, (pa.list_(pa.int32()), pa.list_(pa.float32())), strict=True)]], names=["doc_id", "y", "features", "v"])
 
-    made = texts.mapInArrow(featurise, "doc_id long, y array<int>, features array<int>, v array<float>")
+    made = texts.mapInArrow(trimmed(featurise), "doc_id long, y array<int>, features array<int>, v array<float>")
     return materialise(made.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")), "featurised")
 
 
@@ -173,7 +173,7 @@ def narrow(sample: DataFrame, chosen: dict[int, list[int]]) -> DataFrame:
                 model = pa.array([m] * batch.num_rows, pa.int32())
                 yield pa.RecordBatch.from_arrays([model, *batch.columns[:4], pa.array(places, pa.binary()), pa.array(kept, pa.binary())], names=["model", "doc_id", "fold", "y", "odds", "places", "v"])
 
-    return sample.select("doc_id", "fold", "y", "odds", "features", "v").mapInArrow(cut, "model int, doc_id long, fold int, y array<int>, odds array<double>, places binary, v binary")
+    return sample.select("doc_id", "fold", "y", "odds", "features", "v").mapInArrow(trimmed(cut), "model int, doc_id long, fold int, y array<int>, odds array<double>, places binary, v binary")
 
 
 def learner(k: int, chosen: dict[int, list[int]]):
@@ -220,7 +220,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str] =
         chosen = choose(sums, per_fold, k)
         held = narrow(sample.join(earlier, "doc_id"), chosen)
         # each group is the bounded sample
-        done = materialise(held.groupBy("model").applyInArrow(learner(k, chosen), "doc_id long, odds double, model array<double>"), "learnt")
+        done = materialise(held.groupBy("model").applyInArrow(trimmed(learner(k, chosen)), "doc_id long, odds double, model array<double>"), "learnt")
         final = done.filter("model IS NOT NULL").select("model").first()
         flat = final["model"] if final else [-20.0, *[0.0] * k]
         m = (len(flat) - 1 - k) // 2
@@ -276,7 +276,7 @@ def score(docs: DataFrame, models: list[dict], names: list[str]) -> DataFrame:
             p = 1 / (1 + np.exp(-odds))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x) for x in p]], names=["doc_id", *[f"p_{n}" for n in names]])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, " + ", ".join(f"p_{n} double" for n in names))
+    return docs.select("doc_id", "text").mapInArrow(trimmed(work), "doc_id long, " + ", ".join(f"p_{n} double" for n in names))
 
 
 def judge(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, threshold: float = THRESHOLD) -> DataFrame:

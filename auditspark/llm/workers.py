@@ -8,6 +8,7 @@ with drop().
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +26,41 @@ def keep(name: tuple, make):
 
 def drop() -> None:
     """Free what an earlier operator left in this worker."""
-    import pyarrow as pa
-
     if _kept:
         _kept.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task holds it beside the executor's heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if give_back is not None:
+        give_back(0)
+
+
+def trimmed(work):
+    """A function of Arrow batches, or of a group's table, that trims its worker when it has done."""
+
+    def run(given):
+        found = work(given)
+        if isinstance(found, Iterator):
+            return _to_the_end(found)
+        trim()
+        return found
+
+    return run
+
+
+def _to_the_end(found):
+    yield from found
+    del found
+    trim()
 
 
 @contextmanager
