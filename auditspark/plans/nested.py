@@ -9,7 +9,7 @@ from auditspark.functions import rules as R
 from auditspark.functions import stats as S
 from auditspark.functions.stats import percent
 from auditspark.operators import census as C
-from auditspark.operators.graph import root_paths
+from auditspark.operators.graph import cycles, root_paths
 from auditspark.plans.archive import KNOWN
 from auditspark.plans.statistics import wilson_sql
 from auditspark.plans.vocabulary import PRODUCT_RULES, VERSION, case_sql, sql_list
@@ -270,7 +270,7 @@ def nested_paths(spark, sf_dir):
 def nested_cycles(spark, sf_dir):
     """JOI10: keys that contain themselves."""
     edges = spark.sql(LINKS.replace("FROM part", "FROM {part}"), part=read_table(spark, sf_dir, "part"))
-    return root_paths(edges, "child", "parent")[1]
+    return cycles(edges, "child", "parent")
 
 
 USAGE = "CASE p_size % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'U' ELSE 'C' END"
