@@ -8,29 +8,41 @@ from pyspark.sql import functions as F
 from auditspark.session import materialise
 
 
+#: Chains that one task joins; so much is sorted in it, however many there are.
+TASK_ROWS = 200_000
+
+
 def root_paths(edges: DataFrame, child: str, parent: str) -> tuple[DataFrame, DataFrame]:
-    """edges(child, parent), a null parent for roots -> (paths, cycles).
+    """edges(child, parent), a null parent for roots -> (paths, cycles), as the functions of these names give them."""
+    return paths(edges, child, parent), cycles(edges, child, parent)
+
 
-    paths(node, path array, depth): each way from a root down to a node, once; the path begins with the root and ends with
-    the node. cycles(node): the nodes from which parents lead back to them; a way through a cycle is no path, so a node that
-    hangs on cycles alone has none. Nor has one above which no root is. Repeated edges count once.
+def paths(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """edges(child, parent), a null parent for roots -> (node, path array, depth): each way from a root down to a node, once;
+    the path begins with the root and ends with the node. A way through a cycle is no path, so a node that hangs on cycles
+    alone has none. Nor has one above which no root is. Repeated edges count once.
 
     Each node's chains upwards are doubled: one of 2 ** k steps goes on with the chains of the node it has come to, so
-    that depth d takes about log2(d) joins.
+    that depth d takes about log2(d) joins. A chain that has come to a root is written once, and is read again only where
+    another goes on with it. Joins have a task for TASK_ROWS chains; chains that have come to one node in larger numbers are
+    dealt over several.
     """
     known = edges.select(F.col(child).alias("node"), F.col(parent).alias("top")).filter("node IS NOT NULL").distinct()
-    # `path` holds the nodes from `node` up to the one before `top`, or up to the root
-    state = materialise(known.select("node", "top", F.array("node").alias("path"), F.col("top").isNull().alias("done")), "chains")
-    cycles = None
-    while not state.filter("NOT done").isEmpty():
-        above = state.select(F.col("node").alias("top"), F.col("top").alias("beyond"), F.col("path").alias("rest"), F.col("done").alias("ends"))
-        met = materialise(state.filter("NOT done").join(above, "top"), "met")
-        back = met.filter(F.array_contains("rest", F.col("node"))).select("node").distinct()
-        cycles = back if cycles is None else cycles.unionByName(back)
-        longer = met.filter(~F.arrays_overlap("path", "rest")).select("node", F.col("beyond").alias("top"), F.concat("path", "rest").alias("path"), F.col("ends").alias("done"))
-        state = materialise(state.filter("done").unionByName(longer), "chains")
-    paths = state.select("node", F.reverse("path").alias("path"), (F.size("path") - 1).alias("depth"))
-    return paths, known.select("node").limit(0) if cycles is None else cycles.distinct()
+    # `path` holds the nodes from `node` up to the one before `top`, or up to the root, where `top` is null
+    chains = materialise(known.select("node", "top", F.array("node").alias("path")), "chains")
+    ended, open_ = chains.filter("top IS NULL"), chains.filter("top IS NOT NULL")
+    few = edges.sparkSession.sparkContext.defaultParallelism
+    while n := open_.count():
+        tops = materialise(open_.groupBy("top").agg(F.ceil(F.count("*") / TASK_ROWS).cast("int").alias("seats")), "tops")
+        above = ended.unionByName(open_).select(F.col("node").alias("top"), F.col("top").alias("beyond"), F.col("path").alias("rest")).join(tops, "top")
+        above = above.withColumn("seat", F.explode_outer(F.sequence(F.lit(0), F.col("seats") - 1))).drop("seats")
+        below = open_.join(F.broadcast(tops.filter("seats > 1")), "top", "left").withColumn("seat", F.pmod(F.xxhash64("node", "path"), F.coalesce("seats", F.lit(1))).cast("int")).drop("seats")
+        if (tasks := -(-(n + ended.count()) // TASK_ROWS)) > few:
+            below, above = below.repartition(tasks, "top", "seat"), above.repartition(tasks, "top", "seat")
+        met = below.join(above, ["top", "seat"]).filter(~F.arrays_overlap("path", "rest"))
+        met = materialise(met.select("node", F.col("beyond").alias("top"), F.concat("path", "rest").alias("path")), "met")
+        ended, open_ = ended.unionByName(met.filter("top IS NULL")), met.filter("top IS NOT NULL")
+    return ended.select("node", F.reverse("path").alias("path"), (F.size("path") - 1).alias("depth"))
 
 
 #: Shrinking goes on while at least one node in so many goes.
@@ -38,7 +50,7 @@ WORTH = 20
 
 
 def cycles(edges: DataFrame, child: str, parent: str) -> DataFrame:
-    """edges(child, parent) -> (node): the nodes from which parents lead back to them, as in root_paths, but without paths:
+    """edges(child, parent) -> (node): the nodes from which parents lead back to them. Paths are not walked:
     no table has more rows than there are edges. An edge with a null leads nowhere.
 
     Rounds shrink the graph. Nodes without parents or without children are on no cycle and go. Of the nodes with one parent,

@@ -9,7 +9,7 @@ from auditspark.functions import rules as R
 from auditspark.functions import stats as S
 from auditspark.functions.stats import percent
 from auditspark.operators import census as C
-from auditspark.operators.graph import cycles, root_paths
+from auditspark.operators.graph import cycles, paths
 from auditspark.plans.archive import KNOWN
 from auditspark.plans.statistics import wilson_sql
 from auditspark.plans.vocabulary import PRODUCT_RULES, VERSION, case_sql, sql_list
@@ -243,8 +243,7 @@ def nested_path_find(spark, sf_dir):
     """JOI10: paths to all keys of nested definitions."""
     sql = EDGES.replace("//", "DIV").replace("FROM part", "FROM {part}")
     edges = materialise(spark.sql(sql, part=read_table(spark, sf_dir, "part")), "edges")
-    paths, _ = root_paths(edges, "child", "parent")
-    return paths.join(edges.select("child", "kind"), F.col("node") == F.col("child")).select("child", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "depth", "kind")
+    return paths(edges, "child", "parent").join(edges.select("child", "kind"), F.col("node") == F.col("child")).select("child", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "depth", "kind")
 
 
 #: Parts that contain others, by two rules that make diamonds, and, for some, cycles.
@@ -259,7 +258,7 @@ LINKS = "SELECT p_partkey AS child, CASE WHEN p_partkey % 50 < 2 THEN NULL ELSE
 def nested_paths(spark, sf_dir):
     """JOI10 where keys have several parents: each path once, none through a cycle."""
     edges = spark.sql(LINKS.replace("FROM part", "FROM {part}"), part=read_table(spark, sf_dir, "part"))
-    return root_paths(edges, "child", "parent")[0].select(F.col("node").alias("child"), F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "depth")
+    return paths(edges, "child", "parent").select(F.col("node").alias("child"), F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "depth")
 
 
 @r.query(
